@@ -197,3 +197,26 @@ def token_memo(vocabulary: str) -> TokenMemo:
     if vocabulary not in _MEMOS:
         _MEMOS[vocabulary] = TokenMemo(vocabulary)
     return _MEMOS[vocabulary]
+
+
+def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows of equal keys (integers, sorted) as one table each, also across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(k)) for k in keys]
+        changed = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            changed[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(int(c[a]) for c in columns)
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)

@@ -72,6 +72,34 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.near_dups import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.winnowing import with_edited
+
+    return with_edited(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm import toxicity as t
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = t.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = t.score_toxicity(docs, model, ["doc_id"])
+    return scored.select("doc_id", t.held_out().alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.mixing import mix
+
+    mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
