@@ -149,25 +149,27 @@ class TokenMemo:
         bounds = np.asarray(cut.offsets, dtype=np.int64) - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
         which = np.asarray(coded.indices, dtype=np.int64)
-        pieces = coded.dictionary.to_pylist()
-        if self.drops_blanks:  # letter case is dropped as well
-            keys = [p.lower() if p.isascii() and "<" not in p else p for p in pieces]
+        pieces = coded.dictionary
+        if self.drops_blanks:  # letter case is dropped as well; special strings keep theirs
+            plain = pc.and_(pc.string_is_ascii(pieces), pc.invert(pc.match_substring(pieces, "<")))
+            keys = pc.if_else(plain, pc.ascii_lower(pieces), pieces).to_pylist()
         else:  # all but a text's first piece take the blank before them
-            first = np.zeros(len(which), dtype=np.int64)
-            first[bounds[:-1]] = 1
-            pairs, which = np.unique(2 * which + first, return_inverse=True)
-            keys = [pieces[k >> 1] if k & 1 else " " + pieces[k >> 1] for k in pairs.tolist()]
-        if new := list({k for k in keys if k not in self.memo}):
+            n, pieces = len(pieces), pieces.to_pylist()
+            which = which.copy()
+            keys = [" " + p for p in pieces] + [pieces[k] for k in which[bounds[:-1]].tolist()]
+            which[bounds[:-1]] = np.arange(n, len(keys))
+        if new := list(set(keys).difference(self.memo)):
             self._learn(new)
-        memo = self.memo
-        found = [memo[k] for k in keys]
+        found = list(map(self.memo.__getitem__, keys))
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         flat, starts = gather(np.frombuffer(b"".join(found), dtype="<u4"), np.concatenate([[0], np.cumsum(size)]), which)
         starts = starts[bounds]
         if not self.drops_blanks:
-            unsafe = np.array([k != "" and (k[-1].isspace()) for k in keys])
+            trimmed = pc.equal(pc.utf8_rtrim_whitespace(coded.dictionary), coded.dictionary)
+            unsafe = ~np.asarray(pc.and_(trimmed, pc.not_equal(coded.dictionary, "")))
             if unsafe.any():
-                per_text = np.add.reduceat(unsafe[which], bounds[:-1]) > 0
+                unsafe = np.concatenate([unsafe, [k[-1:].isspace() for k in keys[n:]]])
+                per_text = np.add.reduceat(unsafe[which].astype(np.int64), bounds[:-1]) > 0
                 return self._whole(texts, flat, starts, np.flatnonzero(per_text).tolist())
         return flat, starts
 
