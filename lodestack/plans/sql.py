@@ -139,7 +139,6 @@ def queries() -> dict[str, str]:
 both_f AS (SELECT query_id, representation_id, chunk_id, document_id, sum(score) AS score FROM (SELECT query_id, representation_id, chunk_id, document_id, 2e0 * score AS score FROM by_title UNION ALL SELECT query_id, representation_id, chunk_id, document_id, score FROM by_body) GROUP BY ALL),
 {top_cte('both_f', 'hits', 10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits""",
         "exact_cosine_topk": f"WITH {VECTORS}, {top_cte('pairs', 'hits', 10)} SELECT query_id, representation_id, rank, round(score, 6) AS score FROM hits",
-        "approximate_recall": "SELECT true AS recall_at_least_090",
         "vector_identity": "SELECT 'given' AS model, cast(len(embedding) AS bigint) AS dims, count(*) AS n FROM embeddings GROUP BY ALL",
         "vector_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) AS norm, true AS finite FROM embeddings",
         "collapse_document": f"WITH {hits(30)}, {COLLAPSED} SELECT query_id, document_id, chunk_id, rank FROM collapsed",

@@ -42,3 +42,9 @@ def test_query(spark, duck, name):
     want = plain(result.fetchall(), columns)
     assert len(got) == len(want)
     assert got == want
+
+
+def test_approximate_recall_on_the_tables(spark):
+    pair = lambda name: {(r["query_id"], r["representation_id"]) for r in catalog.queries()[name](spark, SF).collect()}
+    exact, near = pair("exact_cosine_topk"), pair("approximate_topk")
+    assert len(exact & near) / len(exact) >= 0.9
