@@ -183,6 +183,33 @@ def prepare(evidence: DataFrame, config: Config, citation_style: str = "chunk-id
     return used.withColumn("label", label).drop("pos")
 
 
+def augmented_problems(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, problem) of augmented evidence: unknown or repeated chunks, texts that are not the stored ones, bad ranks."""
+    stored = chunks.select(F.col("id").alias("chunk_id"), F.col("content_digest").alias("own"))
+    found = evidence.join(stored, "chunk_id", "left")
+    tests = F.array_compact(F.array(
+        F.when(F.col("own").isNull(), "unknown chunk"),
+        F.when(F.col("own") != t.digest("text"), "text differs"),
+        F.when(F.col("rank") < 1, "rank below 1"),
+    ))
+    twice = evidence.groupBy("query_id", "chunk_id").count().where("count > 1").select("query_id", F.lit("repeated chunk").alias("problem"))
+    ranks = evidence.groupBy("query_id", "rank").count().where("count > 1").select("query_id", F.lit("repeated rank").alias("problem"))
+    return found.select("query_id", F.explode(tests).alias("problem")).unionByName(twice).unionByName(ranks)
+
+
+def prepared_problems(prepared: DataFrame, config: Config, citation_style: str = "chunk-id") -> DataFrame:
+    """(query_id, problem) of prepared evidence: too much of it, labels that repeat or are not the style's."""
+    totals = prepared.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("runes"), F.countDistinct("label").alias("labels"), F.collect_set("label").alias("got"), F.collect_set("chunk_id").alias("ids"))
+    due = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat(F.lit("E"), i.cast("string"))) if citation_style == "ordinal" else F.col("ids")
+    tests = F.array_compact(F.array(
+        F.when(F.col("n") > config.evidence_k, "too many texts"),
+        F.when(F.col("runes") > config.maximum_context_runes, "too many code points"),
+        F.when(F.col("labels") < F.col("n"), "repeated label"),
+        F.when(F.size(F.array_except("got", due)) > 0, "label of another style"),
+    ))
+    return totals.select("query_id", F.explode(tests).alias("problem"))
+
+
 _ANSWER = "answer string, citations array<string>, abstained boolean, failure_category string, failures array<string>"
 
 

@@ -61,3 +61,21 @@ def cached_embeddings(representations: DataFrame, embed: Callable[[DataFrame], D
     work = lambda df: embed(df.select(F.col("key").alias("id"), "text")).select(F.col("representation_id").alias("key"), "values")
     found, report = cached(checked.select("id", "text"), cache_key(model=F.lit(model), text_digest=t.digest("text")), work, ["values"], path)
     return found.select(F.col("id").alias("representation_id"), "values", F.lit(model).alias("model")), report
+
+
+def cached_rerank(candidates: DataFrame, queries: DataFrame, score: Callable[[str, list[str]], list[float]], model: str, results: int, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Reranked candidates through a cache on the query's text and the candidates' identities."""
+    from lodestack.operators.reranking import rerank
+
+    listed = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "content_digest", "text"))).alias("candidates"))
+    rows = listed.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+
+    def work(missing: DataFrame) -> DataFrame:
+        flat = missing.select("query_id", F.explode("candidates").alias("c")).select("query_id", "c.*")
+        asked = missing.select("query_id", F.col("query_text").alias("text"))
+        done = rerank(flat, asked, score, results).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "reranker_score"))).alias("ranked"))
+        return missing.select("query_id", "key").join(done, "query_id").select("key", "ranked")
+
+    found, report = cached(rows, rerank_key(model, results), work, ["ranked"], path)
+    flat = found.select("query_id", F.explode("ranked").alias("r")).select("query_id", F.col("r.chunk_id").alias("chunk_id"), F.col("r.rank").alias("new_rank"), F.col("r.reranker_score").alias("reranker_score"))
+    return candidates.join(flat, ["query_id", "chunk_id"]).drop("rank").withColumnRenamed("new_rank", "rank"), report

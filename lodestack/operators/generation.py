@@ -82,6 +82,25 @@ def generate(requests: DataFrame, model: Callable[[list[str], list[str]], list[s
     return requests.mapInPandas(task, wider(requests, output="string"))
 
 
+def observed(call: Callable[[DataFrame], DataFrame], observe: Callable[[dict], None], disclose: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """call, with a note before and after it; texts are part of a note only where they may be disclosed."""
+
+    def noted(requests: DataFrame) -> DataFrame:
+        note: dict = {"requests": requests.count()}
+        if disclose:
+            note["inputs"] = [r[0] for r in requests.select("input").limit(10).collect()]
+        observe({"status": "started", **note})
+        try:
+            out = call(requests)
+        except Exception as error:
+            observe({"status": "failed", "error": str(error) if disclose else type(error).__name__, **note})
+            raise
+        observe({"status": "completed", **note})
+        return out
+
+    return noted
+
+
 def total_usage(rows: DataFrame, *by: str) -> DataFrame:
     """Sums that stay null where no row reports a value: unreported is not zero."""
     present = [c for c in s.USAGE_COLUMNS if c in rows.columns]

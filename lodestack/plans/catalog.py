@@ -349,6 +349,93 @@ def document_rollup(spark, sf):
     return out.select("document_id", "name", *[F.col(x).cast("long") for x in ("chunks", "total_runes", "min_runes", "max_runes", "first_ordinal", "last_ordinal")])
 
 
+@query
+def signals_by_document(spark, sf):
+    rows = statistics.signals_by_document(statistics.measured(large(spark, sf), OPTIONS))
+    return rows.select("document_id", F.array_join("signals", ",").alias("signals"), F.array_join("patterns", ",").alias("patterns"))
+
+
+# more of evidence and answers -------------------------------------------------------------------
+@query
+def evidence_identities(spark, sf):
+    evidence = retrieval.hydrate(retrieval.from_hits(bm25(spark, sf, 3)), large(spark, sf))
+    found = validation.evidence_identities(evidence)
+    return found.select("query_id", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["chunk_id"], e["content_digest"])), ",").alias("evidence"))
+
+
+@query
+def unit_targets(spark, sf):
+    docs = c.documents(spark, sf)
+    units = docs.withColumn("metadata", F.when(F.col("metadata")["lang"] == "en", F.create_map(F.lit("evaluation_unit_id"), F.col("metadata")["source_role"])).otherwise(F.col("metadata")))
+    found = retrieval.target_ids(bm25(spark, sf, 10), "unit", units)
+    return found.select("query_id", "chunk_id", F.col("rank").cast("long"), "target_id")
+
+
+@query
+def candidate_metadata(spark, sf):
+    found = retrieval.candidate_metadata(large(spark, sf), c.documents(spark, sf))
+    return found.select("chunk_id", "document_id", F.col("metadata")["source_role"].alias("source_role"), F.col("metadata")["lang"].alias("lang"))
+
+
+@query
+def prefixed_fusion(spark, sf):
+    hits = bm25(spark, sf, 20)
+    varied = hits.unionByName(hits.where("rank % 2 = 0").withColumn("channel", F.lit("bm25:q2")).withColumn("rank", (F.col("rank") / 2).cast("int")))
+    fused = retrieval.fuse(varied, 60.0, {"bm25": 2.0})
+    return scores(fused, 9).select("query_id", "chunk_id", F.col("rank").cast("long"), "score")
+
+
+@query
+def ordinal_labels(spark, sf):
+    evidence = retrieval.hydrate(retrieval.from_hits(bm25(spark, sf, 8)), large(spark, sf))
+    prepared = answering.prepare(evidence, answering.Config(evidence_k=4, maximum_context_runes=1_000_000), "ordinal")
+    return prepared.select("query_id", "chunk_id", "label")
+
+
+@query
+def answer_contract(spark, sf):
+    evidence = retrieval.hydrate(retrieval.from_hits(bm25(spark, sf, 2)), large(spark, sf))
+    prepared = answering.prepare(evidence, answering.Config(evidence_k=2, maximum_context_runes=1_000_000), "ordinal")
+    asked = c.queries(spark, sf)
+    texts = (
+        '{"answer":"a","citation_chunk_ids":["E1"],"abstained":false}',
+        '{"answer":"a","citation_chunk_ids":["E9"],"abstained":false}',
+        '{"answer":"","citation_chunk_ids":[],"abstained":true}',
+        '{"answer":"a","citation_chunk_ids":["E1","E1"],"abstained":false}',
+        "no json",
+    )
+    kind = (F.col("query_id").cast("long") % len(texts) + 1).cast("int")
+    raw = asked.join(evidence.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.element_at(F.array(*[F.lit(x) for x in texts]), kind).alias("output"))
+    return answering.interpret(raw, prepared).groupBy("valid", "abstained", "failure_category").agg(F.count("*").alias("n"))
+
+
+@query
+def document_summaries(spark, sf):
+    docs = c.documents(spark, sf)
+    found = rep.document_summaries(docs, LARGE.chunk(docs), F.substring("text", 1, 80))
+    return found.select("id", "chunk_id", "kind", "text")
+
+
+@query
+def line_functions(spark, sf):
+    turns = c.table(spark, sf, "conversations").where("text is not null")
+    return turns.select("conv_id", "turn", F.array_join(t.question_lines("text"), "|").alias("questions"), t.excerpt("text").alias("excerpt"))
+
+
+@query
+def representation_violations(spark, sf):
+    chunks = large(spark, sf)
+    reps, number = rep.raw(chunks).withColumn("n", F.length("text") % 5), F.col("n")
+    broken = reps.withColumn("text", F.when(number == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("chunk_id", F.when(number == 2, "none").otherwise(F.col("chunk_id")))
+    return validation.representation_problems(broken, chunks).groupBy("entity", "problem").agg(F.count("*").alias("n"))
+
+
+@query
+def normalized_vectors(spark, sf):
+    rows = c.table(spark, sf, "embeddings").select("vec_id", v.normalized(F.transform("embedding", lambda x: (x * 3).cast("float"))).alias("u"))
+    return rows.select("vec_id", F.round(F.col("u")[0].cast("double"), 5).alias("first"), F.round(v.norm("u"), 5).alias("norm"))
+
+
 # contracts, usage, errors -----------------------------------------------------------------------
 @query
 def corpus_violations(spark, sf):

@@ -182,6 +182,26 @@ SELECT 'judgment' AS entity, problem, count(*) AS n FROM (SELECT 'bad grade' AS
         + "SELECT cast(p AS bigint) AS percentile, cast(runes AS bigint) AS runes FROM sized, (SELECT unnest([25, 50, 75, 95]) AS p) WHERE r = (p * total + 99) // 100",
         "signal_summary": with_(DOCS, LARGE, MEASURED, "ex AS (SELECT document_id, unnest(signals) AS signal FROM measured)", "names AS (SELECT unnest(['at-limit', 'short', 'no-overlap', 'heading-cut', 'furniture']) AS signal)")
         + "SELECT names.signal, count(ex.document_id) AS chunks, count(DISTINCT ex.document_id) AS documents FROM names LEFT JOIN ex ON ex.signal = names.signal GROUP BY names.signal",
+        "signals_by_document": with_(DOCS, LARGE, MEASURED, "flat AS (SELECT document_id, unnest(signals) AS s FROM measured)", "names AS (SELECT unnest(['at-limit', 'short', 'no-overlap', 'heading-cut', 'furniture']) AS s, unnest(range(5)) AS o)",
+            "agg AS (SELECT document_id, string_agg(s, ',' ORDER BY o) AS signals FROM (SELECT DISTINCT document_id, s, o FROM flat JOIN names USING (s)) GROUP BY document_id)",
+            "pats AS (SELECT document_id, ordinal, CASE WHEN len(regexp_extract_all(text, '\\d{3}[-.\\s]\\d{3}[-.\\s]\\d{4}')) >= 3 THEN 'address directory' WHEN contains(text, '[wpforms id=') THEN 'contact form' WHEN regexp_matches(text, '(?i)\\A\\s*login\\s*\\z') THEN 'navigation' ELSE 'product data' END AS p FROM measured WHERE furniture)",
+            "pagg AS (SELECT document_id, string_agg(p, ',' ORDER BY o) AS patterns FROM (SELECT document_id, p, min(ordinal) AS o FROM pats GROUP BY ALL) GROUP BY document_id)")
+        + "SELECT d.document_id, coalesce(agg.signals, '') AS signals, coalesce(pagg.patterns, '') AS patterns FROM (SELECT DISTINCT document_id FROM large) d LEFT JOIN agg USING (document_id) LEFT JOIN pagg USING (document_id)",
+        "evidence_identities": f"WITH {hits(3)} SELECT query_id, string_agg(hits.chunk_id || ':' || large.content_digest, ',' ORDER BY rank) AS evidence FROM hits JOIN large ON large.id = hits.chunk_id GROUP BY query_id",
+        "unit_targets": f"WITH {hits(10)} SELECT query_id, chunk_id, rank, CASE WHEN docs.lang = 'en' THEN docs.source ELSE document_id END AS target_id FROM hits JOIN docs ON docs.id = hits.document_id",
+        "candidate_metadata": with_(DOCS, LARGE) + "SELECT large.id AS chunk_id, document_id, source AS source_role, lang FROM large JOIN docs ON docs.id = large.document_id",
+        "prefixed_fusion": f"""WITH {hits(20)}, parts AS (SELECT query_id, chunk_id, 2e0 / (60 + rank) AS value FROM hits UNION ALL SELECT query_id, chunk_id, 2e0 / (60 + rank // 2) FROM hits WHERE rank % 2 = 0),
+fused AS (SELECT query_id, chunk_id, sum(value) AS score FROM parts GROUP BY ALL) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 15) DESC, chunk_id) AS rank, round(score, 9) AS score FROM fused""",
+        "ordinal_labels": f"WITH {hits(4)} SELECT query_id, chunk_id, 'E' || rank AS label FROM hits",
+        "answer_contract": f"""WITH {hits(2)}, k AS (SELECT cast(query_id AS bigint) % 5 AS k FROM (SELECT DISTINCT query_id FROM hits))
+SELECT k IN (0, 2) AS valid, k <> 0 AS abstained, CASE WHEN k IN (1, 3) THEN 'contract' WHEN k = 4 THEN 'parse' END AS failure_category, count(*) AS n FROM k GROUP BY ALL""",
+        "document_summaries": with_(DOCS, LARGE, f"sums AS (SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(substring(text, 1, 80), '[\\r\\n]+'), lambda y: {TRIM.format('y')}), lambda x: x <> '' AND NOT starts_with(x, '```')), '; ') AS text FROM docs)")
+        + f"SELECT {derived_id('large.id', 'content_digest', 'document-summary', 'sums.text')} AS id, large.id AS chunk_id, 'document-summary' AS kind, sums.text FROM large JOIN sums ON sums.id = large.document_id WHERE ordinal = 0 AND sums.text <> ''",
+        "line_functions": f"""WITH turns AS (SELECT * FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_transform(string_split(text, chr(10)), lambda y: regexp_replace({TRIM.format('y')}, '^[-*• \t]+', '')), lambda z: regexp_replace(z, '^[0-9]+[.)][ \t]*', '')), lambda x: x <> '' AND NOT starts_with(x, '```')), '|') AS questions,
+  coalesce(substring(regexp_replace({TRIM.format("list_filter(string_split(text, chr(10)), lambda y: " + TRIM.format('y') + " <> '')[1]")}, '[\s]+', ' ', 'g'), 1, 80), '') AS excerpt FROM turns""",
+        "representation_violations": with_(DOCS, LARGE) + """SELECT 'representation' AS entity, problem, count(*) AS n FROM (SELECT 'digest differs' AS problem FROM large WHERE length(text) % 5 = 1 UNION ALL SELECT 'raw text differs' FROM large WHERE length(text) % 5 = 1 UNION ALL SELECT 'unknown chunk' FROM large WHERE length(text) % 5 = 2) GROUP BY problem""",
+        "normalized_vectors": "SELECT vec_id, round(cast(cast(cast(embedding[1] * 3 AS float)::double / sqrt(list_sum(list_transform(embedding, lambda x: cast(x * 3 AS float)::double * cast(x * 3 AS float)::double))) AS float) AS double), 5) AS first, 1e0 AS norm FROM embeddings",
         "document_rollup": with_(DOCS, LARGE) + "SELECT document_id, document_id AS name, count(*) AS chunks, cast(sum(length(text)) AS bigint) AS total_runes, cast(min(length(text)) AS bigint) AS min_runes, cast(max(length(text)) AS bigint) AS max_runes, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal FROM large GROUP BY document_id",
         "corpus_violations": with_(DOCS, LARGE) + """SELECT entity, problem, count(*) AS n FROM (
   SELECT 'document' AS entity, 'digest differs' AS problem FROM docs WHERE doc_id % 97 = 0 AND doc_id % 101 <> 0

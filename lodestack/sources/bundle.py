@@ -181,3 +181,37 @@ def inspect(spark: SparkSession, path: str) -> dict:
     else:
         state = "matches" if table_digest(spark.read.parquet(f"{path}/documents"), "id") == m["content"]["documents"]["digest"] else "differs"
     return {"manifest": m, "chunks": chunks.groupBy("document_id").agg(F.count("*").alias("chunks"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last")), "corpus": state}
+
+
+def build_staged(spark: SparkSession, root: str, out: str, chunker: str, stage: Callable[[str], None] | None = None) -> Bundle:
+    """Publish what streaming ingestion has staged under root."""
+    from lodestack.streaming.ingest import staged
+
+    tables = [staged(spark, root, name) for name in ("documents", "chunks", "representations")]
+    return build(BuildInput(*tables, chunker), out, stage)
+
+
+def load_verified_documents(spark: SparkSession, path: str, corpus_root: str, name: str) -> DataFrame:
+    """The corpus file that a bundle was built from: inside the given root, of equal count and digest."""
+    from lodestack.sources.corpus import contained_path, load_documents
+
+    docs = load_documents(spark, str(contained_path(corpus_root, name)))
+    want = load_manifest(spark, path)["content"]["documents"]
+    if docs.count() != want["rows"] or table_digest(docs, *KEYS["documents"]) != want["digest"]:
+        raise ContractError("the corpus is not the one that the bundle was built from")
+    return docs
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a folder."""
+    fs, at = _fs(spark, path)
+    return fs.getContentSummary(at).getLength()
+
+
+def preflight(spark: SparkSession, path: str) -> None:
+    """Whether a folder can be written, before a long build."""
+    import uuid
+
+    fs, probe = _fs(spark, f"{path.rstrip('/')}/.probe-{uuid.uuid4().hex}")
+    fs.create(probe, True).close()
+    fs.delete(probe, False)

@@ -315,6 +315,39 @@ def test_cache(spark, tmp_path):
     assert second == {"rows": 3, "hits": 3, "misses": 0, "writes": 0}
 
 
+def test_cached_rerank_and_observed_calls(spark, tmp_path):
+    queries, calls = asked(spark, "red oak leaf"), tmp_path / "calls"
+    candidates = evidence(spark, "pine", "oak leaf", "red oak leaf leaf")
+
+    def score(q, texts):
+        with calls.open("a") as f:
+            f.write("x")
+        return [len(x) for x in texts]
+
+    for n in (0, 1):
+        out, report = caching.cached_rerank(candidates, queries, score, "m", 2, str(tmp_path / "c"))
+        assert [x["chunk_id"] for x in out.orderBy("rank").collect()] == ["c2", "c1"] and report["hits"] == n
+    notes = []
+    requests = spark.createDataFrame([("p", "secret")], "prompt string, input string")
+    out = generation.observed(lambda df: generation.generate(df, lambda p, x: [y.upper() for y in x]), notes.append)(requests)
+    assert out.first()["output"] == "SECRET" and [x["status"] for x in notes] == ["started", "completed"] and "secret" not in str(notes)
+    with pytest.raises(ZeroDivisionError):
+        generation.observed(lambda df: 1 / 0, notes.append, disclose=True)(requests)
+    assert notes[-1]["status"] == "failed" and notes[-1]["inputs"] == ["secret"]
+
+
+def test_augmented_and_prepared_problems(spark):
+    good = evidence(spark, "one", "two")
+    chunks = chunk_table(spark, c0="one", c1="two")
+    assert ans.augmented_problems(good, chunks).count() == 0
+    bad = good.withColumn("text", F.when(F.col("rank") == 1, "changed").otherwise(F.col("text"))).withColumn("chunk_id", F.when(F.col("rank") == 2, "zz").otherwise(F.col("chunk_id"))).withColumn("rank", F.lit(1))
+    assert {x["problem"] for x in ans.augmented_problems(bad, chunks).collect()} == {"unknown chunk", "text differs", "repeated rank"}
+    config = ans.Config(evidence_k=2, maximum_context_runes=10)
+    prepared = ans.prepare(good, config, "ordinal")
+    assert ans.prepared_problems(prepared, config, "ordinal").count() == 0
+    assert {x["problem"] for x in ans.prepared_problems(prepared, ans.Config(evidence_k=1, maximum_context_runes=3)).collect()} == {"too many texts", "too many code points", "label of another style"}
+
+
 def test_violations(spark):
     text = "añb"
     docs = spark.createDataFrame([("d", text, hashlib.sha256(text.encode()).hexdigest()), ("d", text, "bad"), ("", "x", "")], "id string, text string, content_digest string")

@@ -165,6 +165,34 @@ def test_streaming_ingest(spark, tmp_path):
     assert staged["chunks"].count() == staged["representations"].count() == chunking.Fixed(10).chunk(staged["documents"]).count()
 
 
+def test_staged_build_and_verified_corpus(spark, tmp_path):
+    docs = corpus.load_documents(spark, write(tmp_path / "c.json", [doc(), doc("b", "second text")]))
+    docs.write.parquet(str(tmp_path / "in"))
+    ingest.ingest(spark, str(tmp_path / "in"), chunking.Fixed(10), str(tmp_path / "stage")).awaitTermination()
+    bundle.preflight(spark, str(tmp_path))
+    made = bundle.build_staged(spark, str(tmp_path / "stage"), str(tmp_path / "out"), "fixed-10-0")
+    assert made.chunks.count() > 2 and bundle.size_of(spark, made.path) > 0
+    assert bundle.load_verified_documents(spark, made.path, str(tmp_path), "c.json").count() == 2
+    write(tmp_path / "other.json", [doc()])
+    for name in ("other.json", "../c.json"):
+        with pytest.raises(ContractError):
+            bundle.load_verified_documents(spark, made.path, str(tmp_path), name)
+
+
+def test_entry_works_without_the_optional_part():
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name.startswith(("lodestack.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+assert "bm25_topk" in e.queries() and not any(k.startswith("op") for k in e.queries() if k[2:3].isdigit()) and e.oracle_sql()
+"""
+    assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/", 2)[0]).returncode == 0
+
+
 def test_library_does_not_import_the_optional_part():
     code = "import sys, lodestack.plans.catalog, lodestack.sources.bundle, lodestack.streaming.ingest; assert not any(m.startswith('lodestack.llm') for m in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/", 2)[0]).returncode == 0
