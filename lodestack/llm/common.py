@@ -46,6 +46,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self.close)
@@ -68,6 +69,7 @@ class Workspace:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -75,25 +77,52 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that one piece holds few rows and, one long text aside, a few MB."""
+#: Rows of an Arrow batch between the JVM and Python, at most: texts may be long, and both sides hold
+#: several batches at once.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS, where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def regroup(batches: Iterable[pa.RecordBatch], rows: int = 4096, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, and about so many bytes; one row may hold more."""
+    held, n, held_size = [], 0, 0
     for batch in batches:
-        size = max(1, batch.nbytes // max(1, batch.num_rows))
-        step = max(1, min(rows, chars // size))
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes))) if batch.num_rows else 1
         for start in range(0, batch.num_rows, step):
-            yield batch.slice(start, step)
+            part = batch.slice(start, step)
+            if held and (n + part.num_rows > rows or held_size + part.nbytes > size):
+                yield _joined_batch(held)
+                held, n, held_size = [], 0, 0
+            held.append(part)
+            n, held_size = n + part.num_rows, held_size + part.nbytes
+    if held:
+        yield _joined_batch(held)
+
+
+def _joined_batch(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 class TokenMemo:
     """Encode texts word by word with a bounded memo; the ids are those of the whole text.
 
+    The memo has two halves: when the newer one is full it becomes the older one, whose pieces move
+    back as they are met, so frequent pieces stay and memory is bounded by `most` pieces.
+
     Texts are cut at blanks, equal pieces of a batch are found by Arrow's dictionary encoding, and
     only pieces new to this worker reach the tokenizer. Where the vocabulary drops white space any
     such cut is exact. Where a blank belongs to the word after it, a cut is exact unless the piece
     before it is empty or ends in white space: texts with such pieces are encoded whole.
     """
 
-    def __init__(self, vocabulary: str, most: int = 1_000_000):
+    def __init__(self, vocabulary: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,6 +131,7 @@ class TokenMemo:
         self.tokenizer.no_padding()
         self.most = most
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.drops_blanks = not self.ids([" "])[0]
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark_id, self.mark = special[0] if special else (None, None)
@@ -120,8 +150,11 @@ class TokenMemo:
 
     def _learn(self, keys: list[str]) -> None:
         """Marks after a Latin letter always are a pre-token of their own: learn the word without them."""
-        memo, cut, plain = self.memo, [], {}
+        memo, older, cut, plain = self.memo, self.older, [], {}
         for k in keys:
+            if k in older:
+                memo[k] = older[k]
+                continue
             core = k.rstrip(MARKS)
             if len(core) < len(k) and core and core[-1] < "\u0250" and core[-1].isalpha() and "<" not in core:
                 cut.append((k, core, k[len(core) :]))
@@ -130,6 +163,7 @@ class TokenMemo:
                 plain[k] = None
         if self.mark is None:
             cut, plain = [], {}
+        memo.update([(k, older[k]) for k in plain if k in older])
         todo = [k for k in plain if k and k not in memo]
         for start in range(0, len(todo), 512):
             some = todo[start : start + 512]
@@ -140,8 +174,8 @@ class TokenMemo:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start (one entry more than texts)."""
-        if len(self.memo) > self.most:
-            self.memo.clear()
+        if len(self.memo) > self.most // 2:
+            self.memo, self.older = {}, self.memo
         if self.drops_blanks:
             for c in "\n\t\r":
                 texts = pc.replace_substring(texts, c, " ")
@@ -187,7 +221,9 @@ def gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[n
     """Concatenate the runs values[starts[k]:starts[k + 1]] for k in which; also where each run begins."""
     size = (starts[1:] - starts[:-1])[which]
     begins = np.concatenate([[0], np.cumsum(size)])
-    at = np.arange(begins[-1], dtype=np.int64) + np.repeat(starts[:-1][which] - begins[:-1], size)
+    kind = np.int32 if max(int(begins[-1]), len(values)) < 2**31 else np.int64
+    at = np.repeat((starts[:-1][which] - begins[:-1]).astype(kind), size)
+    at += np.arange(begins[-1], dtype=kind)
     return values[at], begins
 
 

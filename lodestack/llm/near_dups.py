@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import Workspace, key_runs, slices
+from lodestack.llm.common import Workspace, key_runs, regroup
 from lodestack.llm.components import UnionFind, components
 
 HASHES, ROWS, BITS = 128, 4, 4
@@ -46,7 +46,13 @@ _LANES = np.uint64(0x1111111111111111)
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, kept for a bounded number of words."""
+    """word -> 64-bit hash, kept for MOST words at a time."""
+
+    MOST = 150_000
+
+    def room(self) -> None:
+        if len(self) > self.MOST:
+            self.clear()
 
     def __missing__(self, word: bytes) -> int:
         self[word] = found = xxhash.xxh64_intdigest(word)
@@ -136,9 +142,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     def task(batches):
-        for batch in slices(batches, 2048, 8_000_000):
-            if len(_WORDS) > 1_000_000:
-                _WORDS.clear()
+        for batch in regroup(batches, 512, 2_000_000):
+            _WORDS.room()
             n, key, bands, sig = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, size)
@@ -221,9 +226,8 @@ def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """members: id, cluster, set_key, sig. The same with the set, from the texts."""
 
     def task(batches):
-        for batch in slices(batches, 1024, 8_000_000):
-            if len(_WORDS) > 1_000_000:
-                _WORDS.clear()
+        for batch in regroup(batches, 256, 2_000_000):
+            _WORDS.room()
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
             data = [s.astype("<u8").tobytes() for s in sets]
             same = pa.array([xxhash.xxh128_digest(s.tobytes()) == k for s, k in zip(sets, batch.column("set_key").to_pylist(), strict=True)])

@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestack.llm.common import slices, text_or_empty, token_memo
+from lodestack.llm.common import regroup, text_or_empty, token_memo
 
 TIERS = (256, 512, 1024, 2048)
-POOL = 4_000_000
+POOL = 2_000_000
 STEP_WINDOWS = 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, tier int, step_group long"
 
@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
 
         memo, base = token_memo(vocabulary), TaskContext.get().partitionId() << 40
         held, held_ids, sequence, group = [], 0, 0, 0
-        for batch in slices(batches, 8192, 16_000_000):
+        for batch in regroup(batches, 8192, 8_000_000):
             ids, starts = memo.encode(batch.column("text"))
             ids = np.insert(ids, starts[1:], end_id)
             starts = starts + np.arange(len(starts))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import slices
+from lodestack.llm.common import regroup
 
 #: Kinds in the order of ties, and the base patterns.
 KINDS = ("assign", "access", "hex", "markov")
@@ -120,7 +120,7 @@ def find_secrets(docs: DataFrame, table: np.ndarray, keep: list[str] | None = No
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def task(batches):
-        for batch in slices(batches, 4096):
+        for batch in regroup(batches, 1024, 2_000_000):
             found = find_in(batch.column(batch.num_columns - 1).to_pylist(), table, threshold)
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, arrow)], schema.names)
@@ -143,7 +143,7 @@ def redact(docs: DataFrame, table: np.ndarray, mark: str = "[secret]", threshold
     """docs with each secret in text replaced by mark; n_chars, where it is a column, follows the new text."""
 
     def task(batches):
-        for batch in slices(batches, 4096):
+        for batch in regroup(batches, 1024, 2_000_000):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             for i, spans in enumerate(find_in(texts, table, threshold)):

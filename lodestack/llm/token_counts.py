@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import Workspace, shared_folder, slices, text_or_empty, token_memo
+from lodestack.llm.common import Workspace, regroup, shared_folder, text_or_empty, token_memo
 
 CACHE = "content binary, tokenizer string, n_tokens long"
 
@@ -57,7 +57,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str | None = None, lim
 
     def encode(batches):
         memo = token_memo(vocabulary)
-        for batch in slices(batches, 4096, 8_000_000):
+        for batch in regroup(batches, 4096, 8_000_000):
             _, starts = memo.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(np.diff(starts), pa.int64())], ["content", "n_tokens"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import simple8b
-from lodestack.llm.common import slices, text_or_empty, token_memo
+from lodestack.llm.common import regroup, text_or_empty, token_memo
 
 FRAME_IDS = 1 << 18
 FRAMES = "shard int, frame int, doc_ids binary, has_id binary, lengths binary, n_ids long, offsets binary, words binary, words_crc32 long"
@@ -33,7 +33,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -
         from pyspark import TaskContext
 
         memo, shard, frame = token_memo(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, 2048, 4_000_000):
+        for batch in regroup(batches, 2048, 4_000_000):
             ids, starts = memo.encode(batch.column("text"))
             lengths = np.diff(starts) + 1
             ids = np.insert(ids, starts[1:], end_id)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import slices
+from lodestack.llm.common import regroup
 
 TOKEN = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]")
@@ -260,7 +260,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None,
                 return e
 
         memo = Memo()
-        for batch in slices(batches, 8192, 16_000_000):
+        for batch in regroup(batches, 8192, 16_000_000):
             if len(memo) > 1_000_000:
                 memo.clear()
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
