@@ -105,14 +105,15 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 def votes() -> dict[str, Column]:
     """A vote of each rule from COUNTS: one rule for each fault, and one that finds prose."""
     n, c = F.col("n_words"), F.col
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     ratio = {
-        "symbols": c("n_symbols") / c("word_chars"),
-        "dup_lines": c("n_dup_lines") / c("n_lines"),
-        "repeats": c("n_repeat_words") / n,
-        "shouting": c("n_shout_words") / n,
-        "one_word": F.when(n >= 10, c("top_word") / n).otherwise(0.0),
+        "symbols": share("n_symbols", "word_chars"),
+        "dup_lines": share("n_dup_lines", "n_lines"),
+        "repeats": share("n_repeat_words", "n_words"),
+        "shouting": share("n_shout_words", "n_words"),
+        "one_word": F.when(n >= 10, share("top_word", "n_words")).otherwise(0.0),
     }
-    mean, bad = c("word_chars") / n, {}
+    mean, bad = share("word_chars", "n_words"), {}
     for k, r in ratio.items():
         bad[k] = (n > 0) & (r > FAULTS[k][0])
     bad["word_size"] = (n > 0) & ((mean < WORD_SIZES[0][0]) | (mean > WORD_SIZES[0][1]))

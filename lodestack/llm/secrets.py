@@ -3,8 +3,8 @@
 Three fixed patterns give the base spans. Beside them, runs of key characters are scored by two
 first-order Markov models, one of random strings and one of ordinary identifiers; a run whose
 log-likelihood ratio passes the threshold and that holds a digit becomes a span of kind "markov"
-unless it touches a base span. Models are trained from labelled strings: generated keys, and words
-of a bounded sample of documents, labelled by whether a base pattern lies in them.
+unless it touches a base span. Models are trained from labelled strings: generated keys and
+identifiers, and words of a bounded sample of documents, labelled by whether a base pattern lies in them.
 
 Defined cases: a null text has no spans; equal texts have equal spans; overlapping kinds are all
 reported; an empty table gives an empty result; extra columns pass through, and one called spans
@@ -53,17 +53,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def train(samples: list[tuple[str, int]], smoothing: float = 0.5) -> np.ndarray:
-    """Table of log P(next | last, random) - log P(next | last, ordinary) from (string, 1 if random)."""
+def train(samples: list[tuple[str, int]], weight: float = 20.0) -> np.ndarray:
+    """Table of log P(next | last, random) - log P(next | last, ordinary) from (string, 1 if random).
+
+    Transitions are smoothed by the class's own single characters, counted like `weight` transitions: a
+    character that ordinary strings hardly have stays unlikely after one that they never had.
+    """
     n = len(ALPHABET)
-    counts = np.full((2, n, n), smoothing)
+    counts, single = np.zeros((2, n, n)), np.full((2, n), 0.5)
     for text, label in samples:
         codes = CODE[np.frombuffer(text.encode("ascii"), dtype=np.uint8)]
         np.add.at(counts[label], (codes[:-1], codes[1:]), 1.0)
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+        np.add.at(single[label], codes, 1.0)
+    single /= single.sum(axis=1, keepdims=True)
+    logs = np.log((counts + weight * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + weight))
     return logs[1] - logs[0]
 
 
+#: Words that ordinary identifiers are put together from.
+NAME_WORDS = (
+    "account address application array buffer build byte cache client code column command config connection content context count create data date default delete "
+    "document error event example field file filter final format function get group handler header height image index input item key label layer length level library "
+    "line list load local log main manager map message method model module name node number object option order output page parent path point position process project "
+    "query queue read record report request response result root row sample schema select server service session set size source start state status stream string table "
+    "target task test text time title token total tree type unit update user util value vector version view width window word write"
+).split()
+
+
+def ordinary_names(n: int = 4_000, seed: int = 5) -> list[str]:
+    """Identifiers of the usual shapes: snake, kebab, camel and path, some with numbers and dates."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = rng.choices(NAME_WORDS, k=rng.randint(3, 6))
+        if i % 4 == 0:
+            words = [words[0], *[w.capitalize() for w in words[1:]]]
+        name = ("", "_", "-", "/")[i % 4].join(words)
+        tail = ("", str(rng.randint(1, 99)), f"_{rng.randint(1990, 2035)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"-v{rng.randint(1, 9)}")[i // 4 % 4]
+        out.append(name + tail)
+    return out
+
+
 def random_keys(n: int = 4_000, seed: int = 7) -> list[str]:
     """Keys drawn evenly from the usual alphabets (hex, letters and digits, base64)."""
     rng = random.Random(seed)
@@ -78,7 +108,7 @@ def train_from(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int =
     run = F.explode(F.expr(r"regexp_extract_all(text, '[A-Za-z0-9+/_=-]{8,64}', 0)")).alias("word")
     found = docs.where(F.col("doc_id").isin(ids)).select(run).distinct().orderBy(F.xxhash64("word"), "word").limit(words).collect() if ids else []
     labelled = [(r[0], int(bool(base_spans(r[0])))) for r in found]
-    return train(labelled + [(k, 1) for k in random_keys()])
+    return train(labelled + [(k, 1) for k in random_keys()] + [(k, 0) for k in ordinary_names()])
 
 
 def markov_scores(runs: list[str], table: np.ndarray) -> np.ndarray:

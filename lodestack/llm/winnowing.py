@@ -93,7 +93,8 @@ def with_edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or 2 * parts
-    quantiles = rows.where("doc_id is not null").stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
+    points = [i / ranges for i in range(1, ranges)]
+    quantiles = rows.where("doc_id is not null").stat.approxQuantile("doc_id", points, 0.2 / ranges) if points else []
     bounds = sorted({int(q) for q in quantiles})
     dealt = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(_position(bounds, F.col("doc_id"))).cast("int"))
     # one id for each range that holds rows, null where it holds rows without id: where the range begins
