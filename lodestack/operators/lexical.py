@@ -48,7 +48,8 @@ def bm25_scores(records: DataFrame, queries: DataFrame, config: BM25Config = BM2
     vocabulary = wanted.select("term").distinct()
     found = tokens.select("representation_id", "chunk_id", "document_id", "len", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi")
     postings = found.groupBy("term", "representation_id", "chunk_id", "document_id", "len").agg(F.count("*").cast("double").alias("tf"))
-    df = found.select("term", "representation_id").distinct().groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    # one row of postings for each term and representation: the same exchange feeds both
+    df = postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     scored = postings.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(1 - config.b) + F.when(F.col("avg_len") > 0, F.lit(config.b) * F.col("len") / F.col("avg_len")).otherwise(0.0)
