@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
@@ -90,6 +92,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker waits for further tasks and keeps what it holds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def regroup(batches: Iterable[pa.RecordBatch], rows: int = 4096, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many, and about so many bytes; one row may hold more."""
     held, n, held_size = [], 0, 0
@@ -104,6 +113,8 @@ def regroup(batches: Iterable[pa.RecordBatch], rows: int = 4096, size: int = 4_0
             n, held_size = n + part.num_rows, held_size + part.nbytes
     if held:
         yield _joined_batch(held)
+    held.clear()
+    release()
 
 
 def _joined_batch(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -258,3 +269,5 @@ def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tup
             last = key
     if held:
         yield last, pa.Table.from_batches(held)
+    held.clear()
+    release()
