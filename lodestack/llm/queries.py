@@ -104,5 +104,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+NEAR_DUPS_SQL = f"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM sets UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r)
+SELECT sets.doc_id, cast(len(s) AS bigint) AS n_shingles, min(r) AS component_id, sets.doc_id = min(r) AS kept FROM sets JOIN reach USING (doc_id) GROUP BY sets.doc_id, s"""
+
+
+def _url_sql() -> str:
+    fits = {h + p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in URL_RULES}
+    longest = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {fits[h + p]} THEN '{h}{p}'" for h, p, _ in longest)
+    action = " ".join(f"WHEN rule = '{h}{p}' THEN '{a}'" for h, p, a in longest)
+    return f"""WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+judged AS (SELECT *, CASE {rule} END AS rule FROM parts) SELECT page_id, host, path, rule, CASE {action} ELSE 'allow' END AS verdict FROM judged"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; models, samples and token ids are held against brute force in tests."""
+    return {"op3_near_dups": NEAR_DUPS_SQL, "op6_url_filters": _url_sql()}
