@@ -24,6 +24,9 @@ WORD_RE = re.compile("[^\x20\x09-\x0d]+")
 #: ASCII punctuation without the apostrophe (contractions) and "<" (special strings).
 MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
+MARKS_END = "(?P<marks>[" + re.escape(MARKS) + "]+)$"
+LATIN_END = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
+
 _OWN_FOLDER: list[str] = []
 
 
@@ -133,7 +136,7 @@ class TokenMemo:
     before it is empty or ends in white space: texts with such pieces are encoded whole.
     """
 
-    def __init__(self, vocabulary: str, most: int = 600_000):
+    def __init__(self, vocabulary: str, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -159,65 +162,71 @@ class TokenMemo:
         starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(buf)]
         return [buf[a:b] for a, b in zip(starts, ends, strict=True)]
 
-    def _learn(self, keys: list[str]) -> None:
-        """Marks after a Latin letter always are a pre-token of their own: learn the word without them."""
-        memo, older, cut, plain = self.memo, self.older, [], {}
-        for k in keys:
-            if k in older:
-                memo[k] = older[k]
-                continue
-            core = k.rstrip(MARKS)
-            if len(core) < len(k) and core and core[-1] < "\u0250" and core[-1].isalpha() and "<" not in core:
-                cut.append((k, core, k[len(core) :]))
-                plain[core] = plain[k[len(core) :]] = None
-            elif "<" not in k:
-                plain[k] = None
-        if self.mark is None:
-            cut, plain = [], {}
-        memo.update([(k, older[k]) for k in plain if k in older])
-        todo = [k for k in plain if k and k not in memo]
-        for start in range(0, len(todo), 512):
-            some = todo[start : start + 512]
+    def _unit_ids(self, units: list[str]) -> list[bytes]:
+        """Ids of units from the memo; units that are new to it are encoded, those without "<" many at a time."""
+        if len(self.memo) > self.most // 2:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = list(set(units).difference(memo))
+        if older and new:
+            memo.update([(k, older[k]) for k in new if k in older])
+            new = [k for k in new if k not in memo]
+        plain = [k for k in new if k and "<" not in k] if self.mark is not None else []
+        for start in range(0, len(plain), 512):
+            some = plain[start : start + 512]
             memo.update(zip(some, self._joined(some), strict=True))
-        memo.update([(k, memo[core] + memo[tail]) for k, core, tail in cut])
-        rest = [k for k in keys if k not in memo]
+        rest = new if self.mark is None else [k for k in new if not k or "<" in k]
         memo.update(zip(rest, self.ids(rest), strict=True))
+        return list(map(memo.__getitem__, units))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start (one entry more than texts)."""
-        if len(self.memo) > self.most // 2:
-            self.memo, self.older = {}, self.memo
         if self.drops_blanks:
             for c in "\n\t\r":
                 texts = pc.replace_substring(texts, c, " ")
         cut = pc.split_pattern(texts, " ")
         bounds = np.asarray(cut.offsets, dtype=np.int64) - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        which = np.asarray(coded.indices, dtype=np.int64)
-        pieces = coded.dictionary
+        which, found = np.array(coded.indices, dtype=np.int64), coded.dictionary
         if self.drops_blanks:  # letter case is dropped as well; special strings keep theirs
-            plain = pc.and_(pc.string_is_ascii(pieces), pc.invert(pc.match_substring(pieces, "<")))
-            keys = pc.if_else(plain, pc.ascii_lower(pieces), pieces).to_pylist()
+            plain = pc.and_(pc.string_is_ascii(found), pc.invert(pc.match_substring(found, "<")))
+            pieces = pc.if_else(plain, pc.ascii_lower(found), found)
         else:  # all but a text's first piece take the blank before them
-            n, pieces = len(pieces), pieces.to_pylist()
-            which = which.copy()
-            keys = [" " + p for p in pieces] + [pieces[k] for k in which[bounds[:-1]].tolist()]
-            which[bounds[:-1]] = np.arange(n, len(keys))
-        if new := list(set(keys).difference(self.memo)):
-            self._learn(new)
-        found = list(map(self.memo.__getitem__, keys))
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        flat, starts = gather(np.frombuffer(b"".join(found), dtype="<u4"), np.concatenate([[0], np.cumsum(size)]), which)
+            pieces = pa.concat_arrays([pc.binary_join_element_wise(" ", found, ""), found.take(pa.array(which[bounds[:-1]]))])
+            which[bounds[:-1]] = np.arange(len(found), len(pieces))
+        values, starts = self._piece_ids(pieces)
+        flat, starts = gather(values, starts, which)
         starts = starts[bounds]
         if not self.drops_blanks:
-            trimmed = pc.equal(pc.utf8_rtrim_whitespace(coded.dictionary), coded.dictionary)
-            unsafe = ~np.asarray(pc.and_(trimmed, pc.not_equal(coded.dictionary, "")))
+            trimmed = pc.equal(pc.utf8_rtrim_whitespace(pieces), pieces)
+            unsafe = ~np.asarray(pc.or_(trimmed, pc.equal(pieces, "")))
             if unsafe.any():
-                unsafe = np.concatenate([unsafe, [k[-1:].isspace() for k in keys[n:]]])
                 per_text = np.add.reduceat(unsafe[which].astype(np.int64), bounds[:-1]) > 0
                 return self._whole(texts, flat, starts, np.flatnonzero(per_text).tolist())
         return flat, starts
 
+    def _piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row and where each one's start.
+
+        Marks after a Latin letter always are a pre-token of their own: the word and its marks are two
+        units, each encoded once whatever stands beside it.
+        """
+        core = pc.ascii_rtrim(pieces, characters=MARKS)
+        split = pc.and_(pc.and_(pc.not_equal(core, pieces), pc.match_substring_regex(core, LATIN_END)), pc.invert(pc.match_substring(pieces, "<")))
+        cores = pc.if_else(split, core, pieces).dictionary_encode()
+        tails = pc.struct_field(pc.extract_regex(pieces.filter(split), MARKS_END), "marks").dictionary_encode()
+        units = cores.dictionary.to_pylist()
+        n = len(units)
+        ids = self._unit_ids(units + tails.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        has = np.asarray(split)
+        at = np.arange(len(has)) + np.cumsum(has) - has
+        order = np.empty(len(has) + int(has.sum()), dtype=np.int64)
+        order[at] = np.asarray(cores.indices)
+        order[at[has] + 1] = n + np.asarray(tails.indices, dtype=np.int64)
+        values, starts = gather(np.frombuffer(b"".join(ids), dtype="<u4"), np.concatenate([[0], np.cumsum(size)]), order)
+        return values, np.append(starts[at], starts[-1])
+
     def _whole(self, texts: pa.Array, flat: np.ndarray, starts: np.ndarray, redo: list[int]) -> tuple[np.ndarray, np.ndarray]:
         parts, done = [], 0
         size = np.diff(starts)
@@ -238,14 +247,16 @@ def gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[n
     return values[at], begins
 
 
-_MEMOS: dict[str, TokenMemo] = {}
+_MEMOS: dict[tuple[str, int], TokenMemo] = {}
+#: Pieces that a worker remembers: some 200 bytes each.
+MEMO_PIECES = 800_000
 
 
-def token_memo(vocabulary: str) -> TokenMemo:
-    """One memo for each worker process and vocabulary file."""
-    if vocabulary not in _MEMOS:
-        _MEMOS[vocabulary] = TokenMemo(vocabulary)
-    return _MEMOS[vocabulary]
+def token_memo(vocabulary: str, most: int = MEMO_PIECES) -> TokenMemo:
+    """One memo for each worker process, vocabulary file and size."""
+    if (vocabulary, most) not in _MEMOS:
+        _MEMOS[vocabulary, most] = TokenMemo(vocabulary, most)
+    return _MEMOS[vocabulary, most]
 
 
 def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestack.llm.common import regroup, text_or_empty, token_memo
+from lodestack.llm.common import MEMO_PIECES, regroup, text_or_empty, token_memo
 
 TIERS = (256, 512, 1024, 2048)
 POOL = 2_000_000
@@ -125,15 +125,19 @@ def step_groups(costs: list[int], windows: int = STEP_WINDOWS) -> list[int]:
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, end_id: int = 1, pool: int = POOL) -> DataFrame:
-    """Pieces of all documents. sequence_id is unique over all tasks; a task's number is its upper half."""
+def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, end_id: int = 1, pool: int = POOL, memo_pieces: int = MEMO_PIECES, batch_bytes: int = 12_000_000) -> DataFrame:
+    """Pieces of all documents. sequence_id is unique over all tasks; a task's number is its upper half.
+
+    pool, memo_pieces and batch_bytes bound a worker's memory: ids held for packing, pieces remembered
+    by the tokenizer's memo, and text encoded at once. Only the first has a part in what is packed where.
+    """
 
     def task(batches):
         from pyspark import TaskContext
 
-        memo, base = token_memo(vocabulary), TaskContext.get().partitionId() << 40
+        memo, base = token_memo(vocabulary, memo_pieces), TaskContext.get().partitionId() << 40
         held, held_ids, sequence, group = [], 0, 0, 0
-        for batch in regroup(batches, 8192, 8_000_000):
+        for batch in regroup(batches, 8192, batch_bytes):
             ids, starts = memo.encode(batch.column("text"))
             ids = np.insert(ids, starts[1:], end_id)
             starts = starts + np.arange(len(starts))
