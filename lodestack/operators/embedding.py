@@ -24,9 +24,9 @@ class Embedder(Protocol):
 
 
 def hash_slot(term: Column, dims: int) -> Column:
-    """The dimension of a term: the first 64 bits of its SHA-256, modulo dims."""
-    head = F.conv(F.substring(F.sha2(term, 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    return (head % F.lit(dims).cast("decimal(20,0)")).cast("int")
+    """The dimension of a term: the first 64 bits of its SHA-256, modulo dims, in two halves that a long holds."""
+    half = lambda at: F.conv(F.substring(F.sha2(term, 256), at, 8), 16, 10).cast("long")
+    return (((half(1) % dims) * ((1 << 32) % dims) + half(9)) % dims).cast("int")
 
 
 def hash_sign(term: Column) -> Column:
