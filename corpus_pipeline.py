@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm import mixing, near_dups, packing, quality_rules, secrets
-from lodestack.llm.common import Workspace
+from lodestack.llm.common import Workspace, small_batches
 from lodestack.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' posterior rejects go."""
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
@@ -35,8 +36,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    """Pieces of packed sequences. Workers have served all stages before and share the executor's memory."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), pool=1_000_000, memo_pieces=200_000, batch_bytes=4_000_000)
 
 
 STAGES = [("quality", quality), ("near_dups", dedup), ("secrets", redaction), ("mixing", mixture), ("packing", packed)]
