@@ -49,8 +49,9 @@ class Workspace:
     Spark's committer makes each write all-or-nothing, so a retried task never doubles rows.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, codec: str = "zstd"):
         self.spark = spark
+        self.codec = codec
         small_batches(spark)
         self.root = f"{shared_folder(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
         self._n = 0
@@ -60,9 +61,9 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", self.codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:

@@ -240,7 +240,8 @@ def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, local_links: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept (doc_id = component_id) of each row."""
-    ws = Workspace(docs.sparkSession, "near-dups")
+    # hashes hardly shrink: without a codec its native buffers do not add to the executors' memory
+    ws = Workspace(docs.sparkSession, "near-dups", codec="none")
     lowest = lowest_estimate(percent)
     limit = {} if local_links is None else {"local_links": local_links}
     docs = docs.select(F.col("doc_id").cast("long"), "text")
