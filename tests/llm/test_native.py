@@ -136,3 +136,19 @@ def test_mixing_edge_rows(spark):
     assert mixing.mix(frame(spark, rows).limit(0)).count() == 0
     zero = {"source": spark.createDataFrame([("a", 1.0)], "value string, share double")}
     assert all(r["probability"] == 0 for r in mixing.mix(frame(spark, rows), zero).collect() if r["source"] == "b")
+
+
+def kept_share(rows):
+    return sum(r["tokens"] * r["probability"] for r in rows) / sum(r["tokens"] for r in rows)
+
+
+def test_rare_documents_do_not_set_the_scale(spark):
+    rare = [(9000, "tiny", "en", "rare"), (9001, "word " * 50, "xx", "a")]
+    docs = frame(spark, mixed_corpus() + rare)
+    rows = mixing.mix(docs).collect()
+    assert kept_share(rows) > mixing.LEAST - 1e-6
+    assert {r["probability"] for r in rows if r["doc_id"] in (9000, 9001)} == {1.0}
+    for budget in (0.3, 0.9):
+        rows = mixing.mix(docs, budget=budget).collect()
+        assert kept_share(rows) == pytest.approx(budget, abs=1e-6) and max(r["probability"] for r in rows) <= 1
+    assert {r["probability"] for r in mixing.mix(docs, budget=2.0).collect()} == {1.0}
