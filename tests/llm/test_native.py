@@ -7,6 +7,7 @@ import re
 import pytest
 
 from lodestack.llm import mixing, winnowing
+from lodestack.llm.common import Workspace
 from lodestack.llm.queries import URL_RULES
 from lodestack.llm.url_filters import judge_urls
 
@@ -152,3 +153,40 @@ def test_rare_documents_do_not_set_the_scale(spark):
         rows = mixing.mix(docs, budget=budget).collect()
         assert kept_share(rows) == pytest.approx(budget, abs=1e-6) and max(r["probability"] for r in rows) <= 1
     assert {r["probability"] for r in mixing.mix(docs, budget=2.0).collect()} == {1.0}
+
+
+def blocks(stray):
+    """Sources with a language of their own, but for a share of strays; the first source is hot."""
+    rng, own = random.Random(2), ["en", "de", "fr"]
+    places = [rng.choice([0, 0, 0, 1, 2]) for _ in range(600)]
+    return [(i, "word " * rng.randint(1, 100), own[(k + (rng.random() < stray)) % 3], "abc"[k]) for i, k in enumerate(places)]
+
+
+def shares(rows, column):
+    masses = {}
+    for r in rows:
+        masses[r[column]] = masses.get(r[column], 0) + r["tokens"] * r["weight"]
+    return {k: x / sum(masses.values()) for k, x in masses.items()}
+
+
+@pytest.mark.parametrize("stray", [0.0, 0.02])
+def test_raking_of_blocks(spark, stray):
+    docs = frame(spark, blocks(stray))
+    rows = mixing.mix(docs).collect()
+    tokens = {k: sum(r["tokens"] for r in rows if r["source"] == k) ** 0.7 for k in "abc"}
+    got = shares(rows, "source")
+    assert all(got[k] == pytest.approx(x / sum(tokens.values()), rel=1e-3) for k, x in tokens.items())
+    if not stray:
+        return
+    # the shares of some weights that are no product of factors, so that they can be met together
+    bent = [r.asDict() | {"weight": 1 + (r["source"] == "a" and r["lang"] == "de") * 9 + (r["source"] == "b") * 2} for r in rows]
+    want = {m: shares(bent, m) for m in ("source", "lang")}
+    rows = mixing.mix(docs, {m: spark.createDataFrame(list(x.items()), "value string, share double") for m, x in want.items()}).collect()
+    assert all(shares(rows, m)[k] == pytest.approx(x, rel=1.1e-3) for m in want for k, x in want[m].items())
+
+
+def test_contradicting_targets_are_an_error(spark):
+    cells = spark.createDataFrame([("a", "en", "short", 60, 1.0), ("b", "de", "short", 40, 1.0)], "source string, lang string, topic string, tokens long, weight double")
+    targets = {m: spark.createDataFrame(x, "value string, share double") for m, x in (("source", [("a", 0.5), ("b", 0.5)]), ("lang", [("en", 0.7), ("de", 0.3)]))}
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.rake(cells, targets, Workspace(spark, "test"), sweeps=10)
