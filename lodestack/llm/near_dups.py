@@ -15,7 +15,8 @@ No bucket is expanded into pairs:
    only links that join something new leave the task;
 4. in clusters of several blocks that still have several components, every member outside the
    largest component is confirmed against all members it is apart from.
-The estimate must fall short of the threshold by MARGIN standard deviations to drop a pair.
+To drop a pair, so few minima must be equal that a pair at the threshold has no more with probability
+MISSED at most (exact binomial tail).
 
 Defined cases: a null text, or one without words, has an empty set (0 shingles) and is linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; rows without doc_id
@@ -39,7 +40,7 @@ from lodestack.llm.components import UnionFind, components
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 BLOCK = 512
-MARGIN = 4.5
+MISSED = 3e-6
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LANES = np.uint64(0x1111111111111111)
@@ -125,9 +126,13 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def lowest_estimate(percent: int) -> float:
+    """Half a lane below the least number of equal lanes whose lower tail at the threshold exceeds MISSED."""
     chance = 2.0**-BITS
-    equal = chance + (1 - chance) * percent / 100
-    return percent / 100 - MARGIN * math.sqrt(equal * (1 - equal) / HASHES) / (1 - chance)
+    p = chance + (1 - chance) * percent / 100
+    tail, equal = 0.0, 0
+    while equal < HASHES and (tail := tail + math.comb(HASHES, equal) * p**equal * (1 - p) ** (HASHES - equal)) <= MISSED:
+        equal += 1
+    return ((equal - 0.5) / HASHES - chance) / (1 - chance)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

@@ -1,5 +1,6 @@
 """Near-duplicates against brute force on full sets, with hubs, chains, blocks and edge rows."""
 
+import math
 import random
 import re
 from itertools import combinations
@@ -83,6 +84,14 @@ def test_estimate_follows_similarity():
         assert nd.linked(np.sort(a), np.sort(b), 85) == (share >= 0.85 and n / (2 * len(a) - n) >= 0.85)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_estimate_drops_pairs_at_the_threshold_as_rarely_as_stated(percent):
+    p = 1 / 16 + 15 / 16 * percent / 100
+    lowest = nd.lowest_estimate(percent)
+    dropped = [k for k in range(129) if (k / 128 - 1 / 16) / (15 / 16) < lowest]
+    assert 1e-7 < sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in dropped) <= 3e-6
+
+
 @pytest.mark.parametrize("local", [0, 10_000])
 def test_components_of_chains_and_stars(spark, local):
     links = [(i, i + 1) for i in range(10, 40)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (200, 201), (201, 200)]
