@@ -8,20 +8,27 @@ chance, estimates similarity by bit counts.
 
 No bucket is expanded into pairs:
 1. star: each member of a bucket is estimated against the bucket's smallest id;
-2. buckets whose members are still apart are compared in blocks of bounded size, inside tasks, by
-   signature alone; only links that join something new leave the task;
+2. in buckets whose members are still apart, those outside the bucket's largest component are compared
+   with all others in blocks of bounded size, inside tasks, by signature alone; only links that join
+   something new leave the task;
 3. what hangs together by estimate is a cluster. Only for clusters the texts are read again. Members
    are confirmed on their sets against a hub block of their cluster, again in bounded blocks, and
    only links that join something new leave the task;
-4. in clusters of several blocks that still have several components, every member outside the
-   largest component is confirmed against all members it is apart from.
+4. in clusters of several blocks that still have several components, members outside the largest one are
+   compared with all that they are apart from, by signature alone; only those that are alike to a member
+   of another component are confirmed on their sets.
+Hot buckets and clusters are few and their sizes broadcast, so that no bucket or cluster meets in one
+task; blocks of signatures (SIGNATURES rows) are larger than blocks of sets (BLOCK rows), as rows are
+copied once for each block that they face.
 To drop a pair, so few minima must be equal that a pair at the threshold has no more with probability
 MISSED at most (exact binomial tail).
 
 Defined cases: a null text, or one without words, has an empty set (0 shingles) and is linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; rows without doc_id
-are linked with nothing and have a null component; repeated rows and equal texts are one class; the
-component is its smallest doc_id; an empty table gives an empty result; extra columns are not read.
+are linked with nothing and have a null component; repeated rows and equal texts are one class; rows of
+one doc_id are one document, so different texts under one id are in one component; the component is its
+smallest doc_id; an empty table gives an empty result; extra columns are not read; sets of very long texts
+are whole.
 """
 
 from __future__ import annotations
@@ -31,15 +38,17 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import Workspace, key_runs, regroup
+from lodestack.llm.common import Workspace, key_runs, regroup, spread_join
 from lodestack.llm.components import UnionFind, components
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
+#: Rows of a block of sets, and of a block of signatures (64 bytes each).
 BLOCK = 512
+SIGNATURES = 8_192
 MISSED = 3e-6
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -178,29 +187,55 @@ def _estimated(pairs: DataFrame, classes: DataFrame, lowest: float) -> DataFrame
     return both.mapInArrow(task, both.schema).select("a", "b")
 
 
-def _bucket_blocks(rows: DataFrame, lowest: float) -> DataFrame:
-    """rows: bucket, n (members), rep, component, sig. Links of a spanning forest of what is alike by estimate."""
+def _facing(rows: DataFrame, size: int, main: str, n: str, n_main: str) -> DataFrame:
+    """rows with (i, j, side) for each pair of blocks that they meet in; side is i or j.
+
+    Members of the main component are only compared with those outside it. Blocks of others are
+    0, 1, ..., those of the main component -1, -2, ...
+    """
+    n_other, n_own = (F.ceil(x / size).cast("int") for x in (F.col(n) - F.col(n_main), F.col(n_main)))
+    outside = F.col("component") != F.col(main)
+    at = F.pmod(F.xxhash64("id"), F.when(outside, n_other).otherwise(n_own)).cast("int")
+    facing = F.when(outside, F.sequence(-n_own, n_other - 1)).otherwise(F.sequence(F.lit(0), n_other - 1))
+    dealt = rows.withColumns({"side": F.when(outside, at).otherwise(-1 - at).cast("long"), "other": F.explode(facing.cast("array<long>"))})
+    return dealt.withColumns({"i": F.greatest("side", "other"), "j": F.least("side", "other")}).drop("other")
+
+
+def _main_components(rows: DataFrame, group: str) -> DataFrame:
+    """group, main (the largest component), n_main, n and parts (number of components) of each group. rows: group, component.
+
+    Components of a group are counted map-side; a group is then as many rows as it has components."""
+    counts = rows.groupBy(group, "component").agg(F.count("*").alias("c"))
+    return counts.groupBy(group).agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n"), F.count("*").alias("parts"))
+
+
+def _alike(rows: DataFrame, lowest: float, members: bool) -> DataFrame:
+    """rows: bucket, i, j, side, id, component, sig. Links of a spanning forest of what is alike by estimate
+    across components; or, with members, the ids that are alike to a member of another component."""
 
     def task(batches):
         for (_, i, j), table in key_runs(batches, ["bucket", "i", "j"]):
-            ids, comp, side = (np.asarray(table.column(c)) for c in ("rep", "component", "side"))
+            ids, comp, side = (np.asarray(table.column(c)) for c in ("id", "component", "side"))
             sig = signatures(table.column("sig"))
             left = np.flatnonzero(side == i)
             right = left if i == j else np.flatnonzero(side == j)
-            sets, out = UnionFind(), []
+            facing, beside = sig[right], comp[right]
+            sets, out, met = UnionFind(), [], np.zeros(len(ids), dtype=bool)
             for x in left.tolist():
-                near = np.flatnonzero((estimate(sig[right], sig[x]) >= lowest) & (comp[right] != comp[x]))
-                for y in right[near].tolist():
+                near = np.flatnonzero((beside != comp[x]) & (estimate(facing, sig[x]) >= lowest))
+                if members and len(near):
+                    met[x] = True
+                    met[right[near]] = True
+                for y in [] if members else right[near].tolist():
                     if sets.join(int(comp[x]), int(comp[y])):
                         out.append((int(ids[x]), int(ids[y])))
+            if members:
+                out = [(x, x) for x in ids[met].tolist()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("side", "other").cast("long").alias("i"), F.greatest("side", "other").cast("long").alias("j"), F.col("side").cast("long"), "rep", "component", "sig")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(task, "a long, b long")
+    rows = rows.select("bucket", "i", "j", "side", "id", "component", "sig")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(task, "a long, b long")
 
 
 def _confirmed(rows: DataFrame, percent: int, lowest: float) -> DataFrame:
@@ -258,45 +293,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, local_lin
 
     dealt = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("n")).where("center < last")
-    rows = ws.save(dealt.join(shared.drop("last"), "bucket"), "buckets")
+    shared = ws.save(shared.drop("last"), "shared")
+    rows = ws.save(spread_join(dealt, shared, "bucket", "n").where("center is not null"), "buckets")
 
     pairs = rows.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     alike = ws.save(_estimated(pairs, classes, lowest), "alike")
     soft = components(alike, ws, **limit)
 
-    placed = rows.where("n > 2").join(soft.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    open_rows = placed.join(apart, "bucket", "left_semi").join(classes.select("rep", "sig"), "rep")
-    more = ws.save(_bucket_blocks(open_rows, lowest), "more")
+    placed = rows.where("n > 2").join(soft.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("component"))
+    apart = ws.save(_main_components(placed, "bucket"), "apart")
+    open_rows = spread_join(placed, apart, "bucket", "n").where("parts > 1").join(classes.select(F.col("rep").alias("id"), "sig"), "id")
+    more = ws.save(_alike(_facing(open_rows, SIGNATURES, "main", "n", "n_main"), lowest, members=False), "more")
     if not more.isEmpty():
         alike = alike.union(more)
         soft = components(alike, ws, **limit)
 
     members = soft.select("id", F.col("component").alias("cluster")).join(classes.select(F.col("rep").alias("id"), "set_key", "sig"), "id")
+    sizes = ws.save(members.groupBy("cluster").agg(F.count("*").alias("m")), "sizes")
     sets = ws.save(_with_sets(docs, members, size), "sets")
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = sets.join(sizes, "cluster").withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("long"))
+    placed = spread_join(sets, sizes, "cluster", "m").withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("long"))
     hub = F.when(F.col("side") == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.col("side").cast("int")))
     first = placed.withColumn("component", F.col("id")).withColumn("i", F.lit(0).cast("long")).withColumn("j", F.explode(hub))
     links = ws.save(_confirmed(first.select("cluster", "i", F.col("j").cast("long"), "side", "id", "component", "sig", "set"), percent, lowest), "links")
     hard = components(links, ws, **limit)
 
-    large = sizes.where(F.col("m") > BLOCK).select("cluster")
-    split = sets.join(large, "cluster", "left_semi").select("cluster", "id").join(hard, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
-    counts = split.groupBy("cluster", "component").agg(F.count("*").alias("c"))
-    main = counts.groupBy("cluster").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    if not main.isEmpty():
-        rest = split.join(main, "cluster").join(sets.select("id", "sig", "set"), "id")
-        n_other, n_main = (F.ceil(x / BLOCK).cast("int") for x in (F.col("n") - F.col("n_main"), F.col("n_main")))
-        outside = F.col("component") != F.col("main")
-        at = F.pmod(F.xxhash64("id"), F.when(outside, n_other).otherwise(n_main)).cast("int")
-        # blocks of others are 0, 1, ...; blocks of the largest component are -1, -2, ...
-        side = F.when(outside, at).otherwise(-1 - at)
-        facing = F.when(outside, F.sequence(-n_main, n_other - 1)).otherwise(F.sequence(F.lit(0), n_other - 1))
-        dealt = rest.withColumn("side", side.cast("long")).withColumn("other", F.explode(facing))
-        dealt = dealt.withColumn("i", F.greatest("side", F.col("other").cast("long"))).withColumn("j", F.least("side", F.col("other").cast("long")))
-        late = ws.save(_confirmed(dealt.select("cluster", "i", "j", "side", "id", "component", "sig", "set"), percent, lowest), "late")
+    in_large = spread_join(sets.select("id", "cluster", "sig"), sizes, "cluster", "m").where(F.col("m") > BLOCK)
+    split = in_large.join(hard, "id", "left").select("id", "cluster", "sig", F.coalesce("component", "id").alias("component"))
+    main = ws.save(_main_components(split, "cluster"), "main")
+    if not main.where("parts > 1").isEmpty():
+        rest = ws.save(spread_join(split, main, "cluster", "n").where("parts > 1").drop("parts"), "rest")
+        met = _alike(_facing(rest.withColumnRenamed("cluster", "bucket"), SIGNATURES, "main", "n", "n_main"), lowest, members=True)
+        met = ws.save(rest.select("id", "cluster", "sig", "component").join(met.select(F.col("a").alias("id")).distinct(), "id"), "met")
+        again = ws.save(_main_components(met, "cluster"), "again")
+        open_sets = spread_join(met, again, "cluster", "n").where("parts > 1").join(sets.select("id", "set"), "id")
+        late = ws.save(_confirmed(_facing(open_sets, BLOCK, "main", "n", "n_main").select("cluster", "i", "j", "side", "id", "component", "sig", "set"), percent, lowest), "late")
         if not late.isEmpty():
             hard = components(links.union(late), ws, **limit)
 
@@ -307,7 +338,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, local_lin
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicates, with all its columns; rows without doc_id stay."""
+    """One row of each group of near-duplicates, with all its columns; rows without doc_id stay.
+
+    Rows of one doc_id are one document: the one of the least text stays, nulls last."""
     kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    one = docs.join(kept, "doc_id", "left_semi").withColumn("__place", first).where("__place = 1").drop("__place")
     return one.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
