@@ -1,20 +1,25 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every run of GRAM code points is hashed; of each WINDOW hashes in a row the least is chosen, the
+Every run of GRAM code points is hashed. Hashes roll: each code point is hashed once, and the hash of a run is
+those of its halves, the first one shifted by the length of the second, so that hashes of 2, 4 and 8 code
+points follow from each other at all places of the text at once. Of each WINDOW hashes in a row the least is chosen, the
 rightmost of equal ones, and kept with its position. Two texts that share GRAM + WINDOW - 1 code points
 in a row share a chosen hash, so copied passages of that length cannot be missed; positions say where.
 
-A chosen gram is one long: 36 bits of hash above 28 bits that fall with the position, so that a plain
+A chosen gram is one long: the upper 36 bits of the hash (each depends on the whole run) above 28 bits that fall with the position, so that a plain
 minimum breaks ties to the right. Window minima are found by doubling (of 2, 4, 8, 16 in a row), four
 passes over the array whatever the window holds.
 
 Defined cases: a null text is empty; a text shorter than a gram is one gram; one with fewer grams than a
-window chooses the least of all; equal texts have equal fingerprints; an empty table gives none; extra
-columns pass through, and ones called like results are replaced.
+window chooses the least of all; equal texts have equal fingerprints; an empty table gives none; texts are
+whole however long, and one of more than PLACES (268,435,455) code points is an error; rows without doc_id
+stand outside the order of documents, and the next document of each is itself; rows of one doc_id follow
+each other by text, in one task; extra columns pass through, and ones called like results are replaced.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,11 +36,23 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def rolled(chars: Column) -> Column:
+    """Hashes of all runs of GRAM of an array of single characters."""
+
+    def doubled(a: Column, size: int) -> Column:
+        n = F.size(a) - size
+        return F.zip_with(F.slice(a, 1, n), F.slice(a, size + 1, n), lambda x, y: F.shiftleft(x, size).bitwiseXOR(y))
+
+    single = F.transform(chars, lambda c: F.xxhash64(c))
+    return reduce(lambda a, size: let(a, lambda x: doubled(x, size)), [1 << s for s in range(GRAM.bit_length() - 1)], single)
+
+
 def grams(text: Column, offset: Column | None = None) -> Column:
     """Keys of all grams; offset: position of the text's first code point in a longer text."""
     at = F.lit(0) if offset is None else offset
-    runs = F.when(F.length(text) < GRAM, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))."), 1))
-    return F.transform(runs, lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES).cast("long") - at - i))
+    whole = F.when(F.length(text) > PLACES, F.raise_error(F.lit("a text of more code points than positions can tell")).cast("string")).otherwise(text)
+    keys = F.when(F.length(text) < GRAM, F.array(F.xxhash64(text))).otherwise(rolled(F.split(whole, "")))
+    return F.transform(keys, lambda h, i: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES).cast("long") - at - i))
 
 
 def window_minima(keys: Column) -> Column:
@@ -83,7 +100,8 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and positions
+    (of the fingerprint's hashes) of every row.
 
     The edited text ends in the beginning of the next document by (doc_id, text), the first after the
     last. Rows are dealt into ranges of doc_id, each with a copy of the first row of the range after
@@ -91,25 +109,25 @@ def with_edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or 2 * parts
+    known = rows.where("doc_id is not null")
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = [i / ranges for i in range(1, ranges)]
-    quantiles = rows.where("doc_id is not null").stat.approxQuantile("doc_id", points, 0.2 / ranges) if points else []
+    quantiles = known.stat.approxQuantile("doc_id", points, 0.2 / ranges) if points else []
     bounds = sorted({int(q) for q in quantiles})
-    dealt = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(_position(bounds, F.col("doc_id"))).cast("int"))
-    # one id for each range that holds rows, null where it holds rows without id: where the range begins
-    least = F.when(F.max(F.col("doc_id").isNull()), None).otherwise(F.min("doc_id"))
-    first = sorted((r[0], r[1]) for r in dealt.groupBy("range").agg(least).collect())
-    begins = [(after[1], number, k + 1 == len(first)) for k, (number, _) in enumerate(first) for after in [first[(k + 1) % len(first)]]]
+    dealt = known.withColumn("range", _position(bounds, F.col("doc_id")))
+    # one id for each range that holds rows: where the range begins
+    first = sorted((r[0], r[1]) for r in dealt.groupBy("range").agg(F.min("doc_id")).collect())
+    begins = [{"at": first[(k + 1) % len(first)][1], "range": number, "wraps": k + 1 == len(first)} for k, (number, _) in enumerate(first)]
+    copies = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(begins)), "array<struct<at: bigint, range: int, wraps: boolean>>")))
     own = dealt.withColumns({"wraps": F.lit(False), "own": F.lit(True)})
-    entry = [F.struct(F.lit(i).cast("long").alias("at"), F.lit(r).alias("range"), F.lit(w).alias("wraps")) for i, r, w in begins]
-    copies = spark.range(1 if begins else 0).select(F.inline(F.array(*entry))) if begins else spark.sql("SELECT 0L at, 0 range, false wraps WHERE false")
-    ghost = rows.join(F.broadcast(copies), F.col("doc_id").eqNullSafe(F.col("at"))).select("doc_id", "text", "range", "wraps", F.lit(False).alias("own"))
-    order = [F.col("wraps"), F.col("doc_id").asc_nulls_first(), F.col("text")]
-    sorted_rows = own.unionByName(ghost).repartition(parts, "range").sortWithinPartitions("range", *order)
-    keyed = sorted_rows.withColumn("grams", chosen(F.col("text")))
+    ghost = known.join(F.broadcast(copies), F.col("doc_id") == F.col("at")).select("doc_id", "text", "range", "wraps", F.lit(False).alias("own"))
+    order = [F.col("wraps"), F.col("doc_id"), F.col("text")]
+    keyed = own.unionByName(ghost).repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", *order).withColumn("grams", chosen(F.col("text")))
     after = Window.partitionBy("range").orderBy(*order)
     both = keyed.withColumns({"next_text": F.lead("text").over(after), "next_grams": F.lead("grams").over(after)}).where("own")
+    alone = rows.where("doc_id is null").withColumn("grams", chosen(F.col("text"))).withColumns({"next_text": F.col("text"), "next_grams": F.col("grams")})
+    names = ["doc_id", "text", "grams", "next_text", "next_grams"]
+    both = both.select(*names).unionByName(alone.select(*names))
 
     n = F.length("text")
     cut = n - F.floor(n / 4).cast("int")
@@ -131,17 +149,17 @@ def with_edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         F.array_distinct(hashes(F.col("grams"))).alias("a"),
         F.array_distinct(hashes(F.col("edited_grams"))).alias("b"),
         F.array_distinct(hashes(F.col("next_grams"))).alias("c"),
+        F.transform("grams", place).alias("positions"),
     )
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.round(likeness(F.col("a"), F.col("b")), 6).alias("near_edited"), F.round(likeness(F.col("a"), F.col("c")), 6).alias("near_next"))
+    near = {"near_edited": F.round(likeness(F.col("a"), F.col("b")), 6), "near_next": F.round(likeness(F.col("a"), F.col("c")), 6)}
+    return out.withColumns(near).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions")
 
 
 def _position(bounds: list[int], value: Column) -> Column:
-    """Number of bounds that are at most value: a binary decision over the sorted bounds."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
+    """Number of bounds (sorted) that are at most value, by halving steps over one literal array."""
+    if not bounds:
+        return F.lit(0)
+    sorted_bounds = F.expr(f"array({', '.join(f'{b}L' for b in bounds)})")
+    steps = F.array(*[F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))])
+    moved = lambda at, step: (at + step <= len(bounds)) & (F.try_element_at(sorted_bounds, at + step) <= value)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(moved(at, step), at + step).otherwise(at))
