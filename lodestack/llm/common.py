@@ -91,16 +91,18 @@ def spread_join(rows: DataFrame, values: DataFrame, key: str, n: str) -> DataFra
     """rows, left-joined to values (one row a key) without a hot key meeting in one task.
 
     n: the column of values that says how many rows hold the key. Values of hot keys, fewer than
-    HOT_KEYS whatever the input holds, are broadcast; their rows are then dealt evenly, as lanes that
-    no other value is in, and the rest meet by key as usual.
+    HOT_KEYS whatever the input holds, are broadcast; their rows, and those without key, are then dealt
+    evenly, as lanes that no other value is in, and the rest meet by key as usual.
     """
     names = [c for c in values.columns if c != key]
     lane, hot, cold = "__lane", "__hot", "__cold"
     least = (values.agg(F.sum(n)).first()[0] or 0) / HOT_KEYS
     packed = values.select(key, F.struct(*names).alias("x"), (F.col(n) > least).alias("is_hot"))
     out = rows.join(F.broadcast(packed.where("is_hot").select(key, F.col("x").alias(hot))), key, "left")
-    out = out.withColumn(lane, F.when(F.col(hot).isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 30))).cast("int"))
-    out = out.join(packed.where("not is_hot").select(key, F.col("x").alias(cold), F.lit(0).alias(lane)), [key, lane], "left")
+    out = out.withColumn(lane, F.when(F.col(hot).isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 30))).cast("int"))
+    # a broadcast of the rest would have no bound
+    rest = packed.where("not is_hot").select(key, F.col("x").alias(cold), F.lit(0).alias(lane)).hint("merge")
+    out = out.join(rest, [key, lane], "left")
     found = F.coalesce(hot, cold)
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[found[c].alias(c) for c in names])
 

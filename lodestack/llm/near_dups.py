@@ -18,8 +18,8 @@ No bucket is expanded into pairs:
    compared with all that they are apart from, by signature alone; only those that are alike to a member
    of another component are confirmed on their sets.
 Hot buckets and clusters are few and their sizes broadcast, so that no bucket or cluster meets in one
-task; blocks of signatures (SIGNATURES rows) are larger than blocks of sets (BLOCK rows), as rows are
-copied once for each block that they face.
+task. Rows are copied once for each block that they face, so blocks of signatures grow with their group: up
+to 131,072 members a row is copied sixteen times at most, and above once for every 8,192 members.
 To drop a pair, so few minima must be equal that a pair at the threshold has no more with probability
 MISSED at most (exact binomial tail).
 
@@ -38,7 +38,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import Workspace, key_runs, regroup, spread_join
@@ -46,9 +46,9 @@ from lodestack.llm.components import UnionFind, components
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
-#: Rows of a block of sets, and of a block of signatures (64 bytes each).
+#: Rows of a block of sets; of signatures (64 bytes each) a block holds a sixteenth of its group, within bounds.
 BLOCK = 512
-SIGNATURES = 8_192
+SIGNATURES = (512, 8_192)
 MISSED = 3e-6
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -187,7 +187,11 @@ def _estimated(pairs: DataFrame, classes: DataFrame, lowest: float) -> DataFrame
     return both.mapInArrow(task, both.schema).select("a", "b")
 
 
-def _facing(rows: DataFrame, size: int, main: str, n: str, n_main: str) -> DataFrame:
+def _signature_block() -> Column:
+    return F.least(F.greatest(F.ceil(F.col("n") / 16), F.lit(SIGNATURES[0])), F.lit(SIGNATURES[1]))
+
+
+def _facing(rows: DataFrame, size: Column | int, main: str, n: str, n_main: str) -> DataFrame:
     """rows with (i, j, side) for each pair of blocks that they meet in; side is i or j.
 
     Members of the main component are only compared with those outside it. Blocks of others are
@@ -263,7 +267,7 @@ def _confirmed(rows: DataFrame, percent: int, lowest: float) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """members: id, cluster, set_key, sig. The same with the set, from the texts."""
+    """members: id, cluster, m, set_key, sig. The same with the set in place of its key, from the texts."""
 
     def task(batches):
         for batch in regroup(batches, 256, 2_000_000):
@@ -271,11 +275,11 @@ def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
             data = [s.astype("<u8").tobytes() for s in sets]
             same = pa.array([xxhash.xxh128_digest(s.tobytes()) == k for s, k in zip(sets, batch.column("set_key").to_pylist(), strict=True)])
-            arrays = [batch.column("id"), batch.column("cluster"), batch.column("sig"), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "cluster", "sig", "set"]).filter(same)
+            arrays = [*(batch.column(c) for c in ("id", "cluster", "m", "sig")), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "cluster", "m", "sig", "set"]).filter(same)
 
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id").select("id", "cluster", "set_key", "sig", "text")
-    return found.mapInArrow(task, "id long, cluster long, sig binary, set binary")
+    found = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id").select("id", "cluster", "m", "set_key", "sig", "text")
+    return found.mapInArrow(task, "id long, cluster long, m long, sig binary, set binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, local_links: int | None = None) -> DataFrame:
@@ -288,8 +292,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, local_lin
     signed = ws.save(_signed(docs, size), "signed")
     # one class for each set; the minimum is combined map-side
     some = signed.where("set_key is not null and doc_id is not null")
-    classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x"))
-    classes = ws.save(classes.select("set_key", F.col("x.doc_id").alias("rep"), "x.sig", "x.bands"), "classes")
+    classes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x"), F.count("*").alias("copies"))
+    classes = ws.save(classes.select("set_key", F.col("x.doc_id").alias("rep"), "x.sig", "x.bands", "copies"), "classes")
 
     dealt = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("n")).where("center < last")
@@ -303,27 +307,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, local_lin
     placed = rows.where("n > 2").join(soft.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("component"))
     apart = ws.save(_main_components(placed, "bucket"), "apart")
     open_rows = spread_join(placed, apart, "bucket", "n").where("parts > 1").join(classes.select(F.col("rep").alias("id"), "sig"), "id")
-    more = ws.save(_alike(_facing(open_rows, SIGNATURES, "main", "n", "n_main"), lowest, members=False), "more")
+    more = ws.save(_alike(_facing(open_rows, _signature_block(), "main", "n", "n_main"), lowest, members=False), "more")
     if not more.isEmpty():
         alike = alike.union(more)
         soft = components(alike, ws, **limit)
 
     members = soft.select("id", F.col("component").alias("cluster")).join(classes.select(F.col("rep").alias("id"), "set_key", "sig"), "id")
     sizes = ws.save(members.groupBy("cluster").agg(F.count("*").alias("m")), "sizes")
+    members = ws.save(spread_join(members, sizes, "cluster", "m"), "members")
     sets = ws.save(_with_sets(docs, members, size), "sets")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = spread_join(sets, sizes, "cluster", "m").withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("long"))
+    placed = sets.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("long"))
     hub = F.when(F.col("side") == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.col("side").cast("int")))
     first = placed.withColumn("component", F.col("id")).withColumn("i", F.lit(0).cast("long")).withColumn("j", F.explode(hub))
     links = ws.save(_confirmed(first.select("cluster", "i", F.col("j").cast("long"), "side", "id", "component", "sig", "set"), percent, lowest), "links")
     hard = components(links, ws, **limit)
 
-    in_large = spread_join(sets.select("id", "cluster", "sig"), sizes, "cluster", "m").where(F.col("m") > BLOCK)
+    in_large = members.where(F.col("m") > BLOCK).select("id", "cluster", "sig")
     split = in_large.join(hard, "id", "left").select("id", "cluster", "sig", F.coalesce("component", "id").alias("component"))
     main = ws.save(_main_components(split, "cluster"), "main")
     if not main.where("parts > 1").isEmpty():
         rest = ws.save(spread_join(split, main, "cluster", "n").where("parts > 1").drop("parts"), "rest")
-        met = _alike(_facing(rest.withColumnRenamed("cluster", "bucket"), SIGNATURES, "main", "n", "n_main"), lowest, members=True)
+        met = _alike(_facing(rest.withColumnRenamed("cluster", "bucket"), _signature_block(), "main", "n", "n_main"), lowest, members=True)
         met = ws.save(rest.select("id", "cluster", "sig", "component").join(met.select(F.col("a").alias("id")).distinct(), "id"), "met")
         again = ws.save(_main_components(met, "cluster"), "again")
         open_sets = spread_join(met, again, "cluster", "n").where("parts > 1").join(sets.select("id", "set"), "id")
@@ -331,8 +336,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, local_lin
         if not late.isEmpty():
             hard = components(links.union(late), ws, **limit)
 
-    named = classes.select("set_key", F.col("rep").alias("id")).join(hard, "id", "left").select("set_key", F.coalesce("component", "id").alias("found"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = classes.select("set_key", "copies", F.col("rep").alias("id")).join(hard, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("found"))
+    out = spread_join(signed.select("doc_id", "n_shingles", "set_key"), ws.save(named, "named"), "set_key", "copies")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

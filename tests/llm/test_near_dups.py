@@ -59,7 +59,7 @@ def corpus(seed=5):
 @pytest.mark.parametrize("size,percent,block,local", [(3, 85, 512, None), (5, 80, 16, None), (3, 85, 16, 0)])
 def test_against_brute_force(make, monkeypatch, size, percent, block, local):
     monkeypatch.setattr(nd, "BLOCK", block)
-    monkeypatch.setattr(nd, "SIGNATURES", block)
+    monkeypatch.setattr(nd, "SIGNATURES", (block // 2, block))
     rows = list(enumerate(corpus() + EDGE))
     docs = make(rows + [(None, "no id here at all"), (None, "no id here at all")], clash=("set_key", "kept"))
     got = nd.near_duplicates(docs, size, percent, local_links=local).collect()
