@@ -10,14 +10,16 @@ import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from time import time
+from time import perf_counter, time
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack.functions import text as t
 from lodestack.operators import retrieval as r
-from lodestack.operators.common import ContractError, require
+from lodestack.operators.common import ContractError, require, saved, scratch
 
 STRATEGIES = ("bm25", "vector", "rrf", "rrf-reranked", "multi-query", "hyde")
 FUSED = STRATEGIES[2:]
@@ -102,6 +104,16 @@ def parse_variants(raw: str | None, query: str, n: int) -> tuple[list[str], str
     return (out, None) if len(out) == n else ([], f"{len(out)} distinct usable variants; expected {n}")
 
 
+def _variants(n: int):
+    """parse_variants of each row, as an Arrow function of (output, text)."""
+
+    @F.pandas_udf("variants array<string>, error string")
+    def parse(raw: pd.Series, query: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_variants(x, y, n) for x, y in zip(raw, query, strict=True)], columns=["variants", "error"])
+
+    return parse
+
+
 def _channel(search, queries: DataFrame, k: int, name: str) -> DataFrame:
     return r.collapse(search(queries, k), "chunk").withColumn("channel", F.lit(name))
 
@@ -141,7 +153,7 @@ def retrieve(service: Service, queries: DataFrame, config: Config) -> Retrieved:
         hits = hits.unionByName(_channel(service.vector, by_vector, c.retrieve_k, "vector"))
         if c.strategy == "multi-query":
             n = c.query_variants or VARIANTS
-            parse = F.udf(lambda raw, q: parse_variants(raw, q, n), "variants array<string>, error string")
+            parse = _variants(n)
             variants = service.generate(searched, "multi-query").select("query_id", "output").join(searched, "query_id").select("query_id", parse("output", "text").alias("v")).select("query_id", "v.*")
             for place in range(1, n + 1):
                 more = variants.where(F.size("variants") >= place).select("query_id", F.element_at("variants", place).alias("text"))
@@ -210,7 +222,8 @@ def prepared_problems(prepared: DataFrame, config: Config, citation_style: str =
     return totals.select("query_id", F.explode(tests).alias("problem"))
 
 
-_ANSWER = "answer string, citations array<string>, abstained boolean, failure_category string, failures array<string>"
+_TEXTS = T.ArrayType(T.StringType())
+_ANSWER = T.StructType([T.StructField(k, x) for k, x in (("answer", T.StringType()), ("citations", _TEXTS), ("abstained", T.BooleanType()), ("failure_category", T.StringType()), ("failures", _TEXTS))])
 
 
 def parse_answer(raw: str | None) -> tuple[str, list[str], bool, str | None, list[str]]:
@@ -238,6 +251,12 @@ def parse_answer(raw: str | None) -> tuple[str, list[str], bool, str | None, lis
     return decoded["answer"], decoded["citation_chunk_ids"], decoded["abstained"], None, []
 
 
+@F.pandas_udf(_ANSWER)
+def parsed_answers(raw: pd.Series) -> pd.DataFrame:
+    """parse_answer of each row."""
+    return pd.DataFrame([parse_answer(x) for x in raw], columns=_ANSWER.names)
+
+
 def contract_failures(answer: Column, citations: Column, abstained: Column, allowed: Column) -> Column:
     """What an answer breaks: texts and citations exactly when not abstaining, each citation once and known."""
     twice = F.filter(F.transform(citations, lambda c, i: F.when(F.array_position(citations, c) < i + 1, F.concat(F.lit("duplicate citation "), c))), lambda x: x.isNotNull())
@@ -256,7 +275,7 @@ def interpret(responses: DataFrame, prepared: DataFrame) -> DataFrame:
     responses: query_id and output; labels map to chunk ids; anything invalid becomes an abstention.
     """
     allowed = prepared.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "chunk_id"))).alias("labels"))
-    parsed = responses.withColumn("p", F.udf(parse_answer, _ANSWER)("output")).select("query_id", "p.*").join(allowed, "query_id", "left")
+    parsed = responses.withColumn("p", parsed_answers("output")).select("query_id", "p.*").join(allowed, "query_id", "left")
     labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
     broken = F.when(F.col("failure_category").isNull(), contract_failures(F.col("answer"), F.col("citations"), F.col("abstained"), F.map_keys(labels))).otherwise(F.col("failures"))
     checked = parsed.withColumns({"failures": broken, "labels": labels})
@@ -274,21 +293,35 @@ def interpret(responses: DataFrame, prepared: DataFrame) -> DataFrame:
 
 
 def answer(service: Service, queries: DataFrame, config: Config) -> DataFrame:
-    """Retrieve, pack, generate and check; the generator's raw output is kept beside the contract."""
+    """Retrieve, pack, generate and check; the generator's raw output is kept beside the contract.
+
+    Each stage is run and written to the shared folder before it is noted as completed, with its rows and seconds;
+    a stage that fails is noted as failed. The generator is run once.
+    """
     require(query_problems(queries), "queries")
-    stages: list[dict] = []
+    folder = scratch(queries.sparkSession, "answers")
+    notes = 0
 
-    def note(stage: str, status: str) -> None:
-        stages.append({"sequence": len(stages), "stage": stage, "status": status, "at": time()})
+    def note(stage: str, status: str, **more) -> None:
+        nonlocal notes
         if service.observe is not None:
-            service.observe(stages[-1])
-
-    note("retrieve", "started")
-    found = retrieve(service, queries, config)
-    note("retrieve", "completed")
-    prepared = prepare(found.evidence, config, service.citation_style)
-    note("generate", "started")
+            service.observe({"sequence": notes, "stage": stage, "status": status, "at": time(), **more})
+        notes += 1
+
+    def run(stage: str, make: Callable[[], DataFrame]) -> DataFrame:
+        note(stage, "started")
+        began = perf_counter()
+        try:
+            out = saved(make(), f"{folder}/{stage}")
+            rows = out.count()
+        except Exception as error:
+            note(stage, "failed", error=type(error).__name__, seconds=perf_counter() - began)
+            raise
+        note(stage, "completed", rows=rows, seconds=perf_counter() - began)
+        return out
+
+    evidence = run("retrieve", lambda: retrieve(service, queries, config).evidence)
+    prepared = run("prepare", lambda: prepare(evidence, config, service.citation_style))
     context = prepared.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "text"))), lambda e: F.concat(F.lit("["), e["label"], F.lit("] "), e["text"])), "\n\n").alias("context"))
-    raw = service.generate(queries.join(context, "query_id", "left"), "answer").select("query_id", "output")
-    note("generate", "completed")
-    return interpret(raw, prepared).join(raw, "query_id")
+    raw = run("generate", lambda: service.generate(queries.join(context, "query_id", "left"), "answer").select("query_id", "output"))
+    return run("check", lambda: interpret(raw, prepared).join(raw, "query_id"))

@@ -12,13 +12,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import text as t
-from lodestack.operators.common import ContractError
+from lodestack.operators.common import ContractError, let
 
 CHUNK_COLUMNS = ("id", "document_id", "ordinal", "byte_start", "byte_end", "text", "content_digest", "chunker")
+#: Windows whose bytes are summed up together.
+SUMMED = 256
 _RANGES = "document_id string, ordinal int, byte_start int, byte_end int, text string"
 
 
@@ -42,18 +44,39 @@ class Fixed:
 
     def chunk(self, documents: DataFrame) -> DataFrame:
         check_window(self.size, self.overlap)
-        step = self.size - self.overlap
-        length = F.char_length("text")
-        windows = 1 + F.ceil(F.greatest(length - self.size, F.lit(0)) / step).cast("int")
-        numbered = documents.where(length > 0).select("id", "text", F.explode(F.sequence(F.lit(0), windows - 1)).alias("ordinal"))
-        first = F.col("ordinal") * step
-        cut = numbered.select(
-            F.col("id").alias("document_id"),
-            "ordinal",
-            F.octet_length(F.substring("text", F.lit(1), first)).alias("byte_start"),
-            F.substring(F.col("text"), first + 1, F.lit(self.size)).alias("piece"),
-        )
-        return identified(cut.select("document_id", "ordinal", "byte_start", (F.col("byte_start") + F.octet_length("piece")).alias("byte_end"), F.col("piece").alias("text")), self.name)
+        step, text = self.size - self.overlap, F.col("text")
+        length = F.char_length(text)
+        n = 1 + F.ceil(F.greatest(length - self.size, F.lit(0)) / step).cast("int")
+        ascii_only = F.octet_length(text) == length
+        reach = -(-self.size // step)
+
+        total = lambda sizes, start, count: F.aggregate(F.slice(sizes, start, count), F.lit(0), lambda x, y: x + y)
+
+        def block_starts(sizes: Column) -> Column:
+            sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / SUMMED).cast("int")), lambda b: total(sizes, b * SUMMED + 1, F.lit(SUMMED)))
+            return F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+        def cut(pieces: Column, begin) -> Column:
+            def window(i: Column) -> Column:
+                piece = F.substring(F.array_join(F.slice(pieces, i + 1, F.lit(reach)), ""), 1, self.size)
+                return F.struct(i.alias("ordinal"), begin(i).alias("byte_start"), piece.alias("piece"))
+
+            return F.transform(F.sequence(F.lit(0), n - 1), window)
+
+        def counted(pieces: Column) -> Column:
+            """Windows with the bytes before them: those of whole blocks of pieces, and of the pieces before in its own block."""
+
+            def with_sizes(sizes: Column) -> Column:
+                own = lambda i: F.floor(i / SUMMED).cast("int")
+                return let(block_starts(sizes), lambda sums: cut(pieces, lambda i: F.element_at(sums, own(i) + 1) + total(sizes, own(i) * SUMMED + 1, i % SUMMED)))
+
+            return let(F.transform(pieces, lambda x: F.octet_length(x)), with_sizes)
+
+        # the text is cut into pieces of a step once, and windows are put together from those
+        pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+        whole = let(pieces, lambda p: F.when(ascii_only, cut(p, lambda i: i * step)).otherwise(counted(p)))
+        rows = documents.where(length > 0).select(F.col("id").alias("document_id"), F.inline(whole))
+        return identified(rows.select("document_id", "ordinal", "byte_start", (F.col("byte_start") + F.octet_length("piece")).alias("byte_end"), F.col("piece").alias("text")), self.name)
 
 
 @dataclass(frozen=True)
@@ -134,14 +157,22 @@ def identified(ranges: DataFrame, name: str) -> DataFrame:
 
 def from_ranges(documents: DataFrame, ranges: DataFrame, name: str) -> DataFrame:
     """Chunks at given byte ranges (document_id, byte_start, byte_end), which must be ordered and apart."""
-    w = Window.partitionBy("document_id").orderBy("byte_start", "byte_end")
-    placed = ranges.withColumns({"ordinal": F.row_number().over(w) - 1, "before": F.lag("byte_end").over(w)})
-    joined = placed.join(documents.select(F.col("id").alias("document_id"), F.col("text").alias("whole")), "document_id", "left")
-    size = F.octet_length("whole")
-    broken = F.col("whole").isNull() | (F.col("byte_start") < 0) | (F.col("byte_end") <= F.col("byte_start")) | (F.col("byte_end") > size) | (F.col("before") > F.col("byte_start"))
-    piece = F.substring(F.col("whole").cast("binary"), F.col("byte_start") + 1, F.col("byte_end") - F.col("byte_start"))
-    text = F.when(broken | ~F.is_valid_utf8(piece.cast("string")), F.raise_error(F.concat(F.lit("invalid range in document "), F.col("document_id")))).otherwise(piece.cast("string"))
-    return identified(joined.select("document_id", "ordinal", "byte_start", "byte_end", text.alias("text")), name)
+    listed = ranges.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("byte_start", "byte_end"))).alias("r"))
+    # a document meets all its ranges in one row: its text is neither copied nor read again for each
+    joined = listed.join(documents.select(F.col("id").alias("document_id"), F.col("text").alias("whole")), "document_id", "left")
+    error = lambda: F.raise_error(F.concat(F.lit("invalid range in document "), F.col("document_id")))
+
+    def cut(data: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            start, end = x["byte_start"], x["byte_end"]
+            before = F.when(i > 0, F.try_element_at("r", i)["byte_end"])
+            fits = data.isNotNull() & (start >= 0) & (end > start) & (end <= F.octet_length(data)) & ~F.coalesce(before > start, F.lit(False))
+            text = F.when(fits, F.substring(data, start + 1, end - start).cast("string"))
+            return F.struct(i.alias("ordinal"), start.alias("byte_start"), end.alias("byte_end"), F.when(F.is_valid_utf8(text), text).otherwise(error().cast("string")).alias("text"))
+
+        return F.transform("r", piece)
+
+    return identified(joined.select("document_id", F.inline(let(F.col("whole").cast("binary"), cut))), name)
 
 
 def _by_document(documents: DataFrame, name: str, cut) -> DataFrame:
@@ -239,25 +270,44 @@ def joined_sections(parts: list[tuple[int, int]], least: int) -> list[tuple[int,
     return out
 
 
-def heading_path(text: str, title: str | None, byte_start: int) -> str:
-    """The document's title and the latest heading of each level that governs a byte position."""
-    data = text.encode()
-    start = min(byte_start, len(data))
-    stop = start
-    if start < len(data) and (start == 0 or data[start - 1 : start] == b"\n"):
-        stop = data.find(b"\n", start)
-        stop = len(data) if stop < 0 else stop
-    levels, fences = [""] * 7, Fences()
-    for line in data[:stop].decode("utf-8", "replace").split("\n"):
-        if fences.covers(line):
-            continue
-        found = re.match(r"(#{1,6}) (.*)", line.strip(), re.DOTALL)
-        if found:
+def heading_paths(text: str, title: str | None, byte_starts: list[int]) -> list[str]:
+    """For each byte position the document's title and the latest heading of each level that governs it.
+
+    One pass over the text for all positions: lines that end before a position are read once, and only the
+    line that it lies in is read up to it.
+    """
+    data, head = text.encode(), [title.strip()] if title and title.strip() else []
+    levels, fences, at, out = [""] * 7, Fences(), 0, [""] * len(byte_starts)
+    end = data.find(b"\n")
+
+    def read(line: bytes, levels: list[str], fences: Fences) -> None:
+        line = line.decode("utf-8", "replace")
+        if not fences.covers(line) and (found := re.match(r"(#{1,6}) (.*)", line.strip(), re.DOTALL)):
             level = len(found[1])
             levels[level:] = [found[2].strip(), *[""] * (6 - level)]
-    head = [title.strip()] if title and title.strip() else []
-    rest = [x for n, x in enumerate(levels) if x and not (n == 1 and head and head[-1] == x)]
-    return " > ".join(head + rest) or "(document root)"
+
+    for k in sorted(range(len(byte_starts)), key=byte_starts.__getitem__):
+        start = stop = min(byte_starts[k], len(data))
+        if start < len(data) and (start == 0 or data[start - 1 : start] == b"\n"):
+            stop = data.find(b"\n", start)
+            stop = len(data) if stop < 0 else stop
+        while 0 <= end < stop:
+            read(data[at:end], levels, fences)
+            at = end + 1
+            end = data.find(b"\n", at)
+        own = levels
+        # most lines are neither headings nor fences, and a long one is not read again for each position in it
+        if data[at : min(at + 8, stop)].strip()[:1] in (b"#", b"`", b"~", b""):
+            own, passing = list(levels), Fences()
+            passing.open = fences.open
+            read(data[at:stop], own, passing)
+        rest = [x for n, x in enumerate(own) if x and not (n == 1 and head and head[-1] == x)]
+        out[k] = " > ".join(head + rest) or "(document root)"
+    return out
+
+
+def heading_path(text: str, title: str | None, byte_start: int) -> str:
+    return heading_paths(text, title, [byte_start])[0]
 
 
 def chunk_all(chunker, documents: DataFrame) -> DataFrame:

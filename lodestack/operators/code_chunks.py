@@ -12,14 +12,15 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack.functions import text as t
-from lodestack.operators import chunking
+from lodestack.operators import chunking, representations
 
 EXTRACTOR = "go-declarations-v1"
 RECORD = (
     "document_id string, ordinal int, byte_start int, byte_end int, line_start int, line_end int, text string, kind string, name string, qualified_name string, "
-    "receiver string, signature string, documentation string, exported boolean, test boolean, package_name string, parse_status string"
+    "receiver string, signature string, documentation string, exported boolean, test boolean, package_name string, parse_status string, path string, package_path string"
 )
 MEMBER = re.compile(r"func\s*(\([^)]*\))?\s*([\w]+)?")
 
@@ -62,10 +63,15 @@ def admission(path: Column, size: Column, generated: Column, policy: Policy = Po
     )
 
 
+@F.pandas_udf(T.BooleanType())
+def generated(text: pd.Series) -> pd.Series:
+    """is_generated of each text; a null one is not."""
+    return text.fillna("").map(is_generated).astype(bool)
+
+
 def admit(files: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """files (path, text) with size_bytes, reason and, where admitted, digest."""
-    marked = F.udf(lambda x: is_generated(x or ""), "boolean")("text")
-    out = files.withColumn("size_bytes", F.octet_length("text")).withColumn("reason", admission(F.col("path"), F.col("size_bytes"), marked, policy))
+    out = files.withColumn("size_bytes", F.octet_length("text")).withColumn("reason", admission(F.col("path"), F.col("size_bytes"), generated("text"), policy))
     return out.withColumn("digest", F.when(F.col("reason") == "admitted", t.digest("text")))
 
 
@@ -191,7 +197,7 @@ def extract(documents: DataFrame) -> DataFrame:
                     own = f"({d['receiver']}).{d['name']}" if d["receiver"] else d["name"]
                     qualified = f"{package}.{own}" if package and own else own
                     first = text.count("\n", 0, d["start"]) + 1
-                    rows.append((doc, n, begin, begin + len(piece.encode()), first, first + piece.count("\n"), piece, d["kind"], d["name"], qualified, d["receiver"], d["signature"], d["documentation"], d["exported"], d["test"], d["package_name"], d["parse_status"]))
+                    rows.append((doc, n, begin, begin + len(piece.encode()), first, first + piece.count("\n"), piece, d["kind"], d["name"], qualified, d["receiver"], d["signature"], d["documentation"], d["exported"], d["test"], d["package_name"], d["parse_status"], path, package))
             yield pd.DataFrame(rows, columns=names)
 
     meta = lambda k: F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit(""))
@@ -211,6 +217,6 @@ def fixed_with_lines(documents: DataFrame, size: int, overlap: int) -> DataFrame
 
 
 def symbols(records: DataFrame, repository: str) -> DataFrame:
-    """Symbol representations of declarations."""
-    text = t.symbol_text(F.col("kind"), F.col("name"), F.col("qualified_name"), F.lit(""), F.col("signature"), F.lit(repository), F.coalesce(F.col("path"), F.lit("")), F.col("documentation"))
-    return records.select(F.col("id").alias("chunk_id"), F.lit("symbol").alias("kind"), text.alias("text")).withColumn("content_digest", t.digest("text"))
+    """Symbol representations of what extract returns, with ids like other representations'."""
+    text = t.symbol_text(F.col("kind"), F.col("name"), F.col("qualified_name"), F.col("package_path"), F.col("signature"), F.lit(repository), F.coalesce(F.col("path"), F.lit("")), F.col("documentation"))
+    return representations.derived(records, "symbol", text)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +22,27 @@ class ContractError(ValueError):
     """Data that breaks a stated contract."""
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which driver and executors share; a temporary one on a single machine."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ContractError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lodestack-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """df, computed once and written to path: whatever reads it sees the same rows."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hit_order(score: str = "score") -> list[Column]:
     """Total order of hits: score, then document, chunk and representation."""
     return [F.round(score, SCORE_DECIMALS).desc(), F.col("document_id"), F.col("chunk_id"), F.col("representation_id")]

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack.functions import text as t
 from lodestack.functions import vectors as v
 from lodestack.operators.common import ContractError
 
 
+#: Sums that are held at once, and terms whose hashes a task remembers.
+CELLS = 4_000_000
+KNOWN = 200_000
+
+
 class Embedder(Protocol):
     """Texts in, one row of floats for each out; sent to executors."""
 
@@ -37,16 +45,41 @@ def hash_sign(term: Column) -> Column:
 def hash_embed(texts: DataFrame, dims: int, key: str = "id", text: str = "text") -> DataFrame:
     """key, values (unit length, or zeros without terms) and n_terms of each text.
 
-    Terms are summed by slot before anything is shuffled; a vector then is one small map made dense.
+    A vector follows from one row: distinct terms of an Arrow batch are hashed once, nothing is shuffled.
     """
     if dims < 1:
         raise ContractError("dimensions must be positive")
-    listed = texts.select(key, t.terms(text).alias("terms")).withColumn("n_terms", F.size("terms").cast("long"))
-    slots = listed.select(key, "n_terms", F.explode_outer("terms").alias("term"))
-    sums = slots.groupBy(key, "n_terms", hash_slot(F.col("term"), dims).alias("d")).agg(F.sum(F.when(F.col("term").isNull(), 0.0).otherwise(hash_sign(F.col("term")))).alias("s"))
-    maps = sums.groupBy(key, "n_terms").agg(F.map_from_entries(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "s")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return maps.select(key, "n_terms", dense.alias("sums")).withColumn("norm", v.norm("sums")).select(key, F.transform("sums", lambda x: F.when(F.col("norm") == 0, 0.0).otherwise(x / F.col("norm")).cast("float")).alias("values"), "n_terms")
+    listed = texts.select(key, F.coalesce(t.terms(text), F.array().cast("array<string>")).alias("terms"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        step = max(1, CELLS // dims)
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                terms = batch.column(1)
+                size = np.diff(np.asarray(terms.offsets, dtype=np.int64))
+                coded = terms.flatten().dictionary_encode()
+                if len(known) > KNOWN:
+                    known.clear()
+                hashed = [known.get(x) or known.setdefault(x, hashed_term(x, dims)) for x in coded.dictionary.to_pylist()]
+                slot, sign = np.array([h[0] for h in hashed], dtype=np.int64), np.array([h[1] for h in hashed])
+                which = np.asarray(coded.indices, dtype=np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                sums = np.bincount(row * dims + slot[which], weights=sign[which], minlength=len(size) * dims).astype(np.float64).reshape(len(size), dims)
+                norm = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+                unit = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0).astype(np.float32)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * dims), pa.array(unit.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), values, pa.array(size)], [key, "values", "n_terms"])
+
+    schema = T.StructType([listed.schema[key], T.StructField("values", T.ArrayType(T.FloatType())), T.StructField("n_terms", T.LongType())])
+    return listed.mapInArrow(task, schema)
+
+
+def hashed_term(term: str, dims: int) -> tuple[int, float]:
+    """What hash_slot and hash_sign say of a term."""
+    first = int.from_bytes(hashlib.sha256(term.encode()).digest()[:8], "big")
+    return first % dims, 1.0 if first % 2 == 0 else -1.0
 
 
 def embed_representations(representations: DataFrame, embedder: Embedder, batch: int = 64) -> DataFrame:

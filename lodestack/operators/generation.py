@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from time import perf_counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack import schemas as s
 from lodestack.functions import text as t
-from lodestack.operators.common import wider
+from lodestack.operators.common import saved, scratch, wider
 
 ABSTAIN = "I do not have enough evidence."
 
@@ -83,19 +84,24 @@ def generate(requests: DataFrame, model: Callable[[list[str], list[str]], list[s
 
 
 def observed(call: Callable[[DataFrame], DataFrame], observe: Callable[[dict], None], disclose: bool = False) -> Callable[[DataFrame], DataFrame]:
-    """call, with a note before and after it; texts are part of a note only where they may be disclosed."""
+    """call, with a note before it and one after it has run; texts are part of a note only where they may be disclosed.
+
+    The answers are written to the shared folder before the call counts as completed, so that a failure inside
+    a task is noted as one and nothing is generated again by whatever reads the answers.
+    """
 
     def noted(requests: DataFrame) -> DataFrame:
         note: dict = {"requests": requests.count()}
         if disclose:
             note["inputs"] = [r[0] for r in requests.select("input").limit(10).collect()]
         observe({"status": "started", **note})
+        began = perf_counter()
         try:
-            out = call(requests)
+            out = saved(call(requests), scratch(requests.sparkSession, "observed"))
         except Exception as error:
-            observe({"status": "failed", "error": str(error) if disclose else type(error).__name__, **note})
+            observe({"status": "failed", "error": str(error) if disclose else type(error).__name__, "seconds": perf_counter() - began, **note})
             raise
-        observe({"status": "completed", **note})
+        observe({"status": "completed", "answers": out.count(), "seconds": perf_counter() - began, **note})
         return out
 
     return noted

@@ -14,11 +14,12 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestack import schemas as s
 from lodestack.functions import text as t
-from lodestack.operators.chunking import heading_path
-from lodestack.operators.common import ContractError, require, wider
+from lodestack.operators.chunking import heading_paths
+from lodestack.operators.common import ContractError, require, saved, scratch
 
 COLUMNS = ("id", "chunk_id", "kind", "text", "content_digest", "model", "prompt_digest")
 GROUP_SIZE = 12
@@ -87,17 +88,17 @@ def ensure_raw(representations: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def with_heading_path(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """chunks with path: the headings that govern them. One pass over each document for all its chunks."""
-    schema = wider(chunks, path="string")
+    """chunks with path: the headings that govern them. A document meets all its chunks in one row and is read once."""
     names = chunks.columns
 
-    def task(keys, group: pd.DataFrame) -> pd.DataFrame:
-        text, title = group["__text"].iloc[0], group["__title"].iloc[0]
-        group["path"] = [heading_path(text, title, int(b)) for b in group["byte_start"]]
-        return group[[*names, "path"]]
+    @F.pandas_udf("array<string>")
+    def paths(text: pd.Series, title: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([heading_paths(x, y, list(z)) for x, y, z in zip(text, title, starts, strict=True)])
 
     docs = documents.select(F.col("id").alias("document_id"), F.col("text").alias("__text"), F.col("title").alias("__title"))
-    return chunks.join(docs, "document_id").select(*names, "__text", "__title").groupBy("document_id").applyInPandas(task, schema)
+    listed = chunks.groupBy("document_id").agg(F.collect_list(F.struct(*names)).alias("c")).join(docs, "document_id")
+    placed = listed.select("c", paths("__text", "__title", "c.byte_start").alias("p"))
+    return placed.select(F.explode(F.arrays_zip("c", "p")).alias("x")).select("x.c.*", F.col("x.p").alias("path"))
 
 
 def breadcrumbs(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -188,6 +189,12 @@ def parse_numbered(response: str, n: int) -> dict[int, str]:
     return out
 
 
+@F.pandas_udf(T.MapType(T.IntegerType(), T.StringType()))
+def numbered_texts(response: pd.Series, n: pd.Series) -> pd.Series:
+    """parse_numbered of each response."""
+    return pd.Series([parse_numbered(r or "", int(k)) for r, k in zip(response, n, strict=True)])
+
+
 def call_ceiling(chunks: int) -> int:
     """Most generator calls of a grouped build: a group may miss every chunk, and each is then repaired."""
     return 2 * chunks
@@ -212,26 +219,32 @@ class Prompts:
 Generate = Callable[[DataFrame], DataFrame]  # adds column output to rows with column input
 
 
-def generated(chunks: DataFrame, documents: DataFrame, kind: str, generate: Generate, model: str, prompt: str, prompt_digest: str, group_size: int = 1) -> DataFrame:
+def generated(
+    chunks: DataFrame, documents: DataFrame, kind: str, generate: Generate, model: str, prompt: str, prompt_digest: str, group_size: int = 1, answers: str | None = None
+) -> DataFrame:
     """Model-written representations: in groups first, then each chunk that a group left out on its own.
 
-    generate takes rows with (prompt, input) and returns them with output. Kinds questions and entities
-    give a representation a line, others one a chunk; contextual ones are followed by the chunk.
+    generate takes rows with (prompt, input) and returns them with output. It is run once for each group and
+    once for each missing chunk: what it says is written under the folder `answers` (a new one by default) before
+    it is read, so that the chunks that a group answered and those it left out are told from the same answers.
+    Kinds questions and entities give a representation a line, others one a chunk; contextual ones are
+    followed by the chunk.
     """
+    spark = chunks.sparkSession
+    answers = answers or scratch(spark, "answers")
     paths = with_heading_path(chunks, documents).join(documents.select(F.col("id").alias("document_id"), "title", F.col("text").alias("whole")), "document_id")
-    missing = paths
-    parts: list[DataFrame] = []
+    missing, parts = paths, []
     if group_size > 1:
         inputs = group_inputs(chunks, documents, group_size, with_lead=kind == s.KIND_CONTEXTUAL).withColumn("prompt", F.lit(prompt))
-        answered = generate(inputs)
-        parse = F.udf(lambda r, n: {int(k): v for k, v in parse_numbered(r or "", n).items()}, "map<int,string>")
-        found = answered.select("chunk_ids", parse("output", "n_chunks").alias("texts")).select(F.posexplode("chunk_ids").alias("pos", "id"), "texts")
-        found = found.select("id", F.try_element_at("texts", F.col("pos") + 1).alias("output")).where("output is not null")
-        parts.append(paths.join(found, "id"))
+        answered = saved(generate(inputs).select("chunk_ids", "n_chunks", "output"), f"{answers}/groups")
+        texts = answered.select(F.posexplode("chunk_ids").alias("pos", "id"), numbered_texts(F.col("output"), F.col("n_chunks")).alias("texts"))
+        found = texts.select("id", F.try_element_at("texts", F.col("pos") + 1).alias("output")).where("output is not null")
+        parts.append(found)
         missing = paths.join(found, "id", "left_anti")
     single = missing.withColumns({"prompt": F.lit(prompt), "input": contextual_input(F.col("title"), F.col("path"), F.col("whole"), F.col("text")) if kind == s.KIND_CONTEXTUAL else F.col("text")})
-    parts.append(generate(single).select(*paths.columns, "output"))
-    whole = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    parts.append(saved(generate(single.select("id", "prompt", "input")).select("id", "output"), f"{answers}/chunks"))
+    outputs = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    whole = chunks.join(outputs, "id")
     if kind == s.KIND_QUESTION:
         return exploded(whole, kind, t.question_lines("output"), model, prompt_digest)
     if kind == s.KIND_ENTITIES:

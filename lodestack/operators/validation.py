@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestack import schemas as s
 from lodestack.functions import text as t
-from lodestack.operators.common import ContractError, require
+from lodestack.operators.common import ContractError, let, require
 
 
 def _empty(c: str) -> Column:
@@ -44,10 +44,20 @@ def chunk_problems(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Against their documents: known, in range, exact slices, digests, order."""
     own = {"empty id": _empty("id"), "empty chunker": _empty("chunker"), "negative ordinal": F.col("ordinal") < 0, "text not UTF-8": ~F.is_valid_utf8("text"), "digest differs": F.col("content_digest") != t.digest("text"), "length differs": F.octet_length("text") != F.col("byte_end") - F.col("byte_start")}
     docs = documents.select(F.col("id").alias("document_id"), F.col("text").alias("whole"))
-    placed = chunks.join(docs, "document_id")
-    bounds = (F.col("byte_start") < 0) | (F.col("byte_end") < F.col("byte_start")) | (F.col("byte_end") > F.octet_length("whole"))
-    slice_ = F.substring(F.col("whole").cast("binary"), F.col("byte_start") + 1, F.col("byte_end") - F.col("byte_start"))
-    source = {"range out of bounds": bounds, "not an exact slice": ~bounds & (slice_ != F.col("text").cast("binary"))}
+    listed = chunks.groupBy("document_id").agg(F.collect_list(F.struct("id", "byte_start", "byte_end", "text")).alias("c"))
+
+    def compared(whole: Column) -> Column:
+        """Out of bounds and differing, of each chunk: a document meets all its chunks in one row."""
+
+        def one(x: Column) -> Column:
+            start, end = x["byte_start"], x["byte_end"]
+            outside = (start < 0) | (end < start) | (end > F.octet_length(whole))
+            return F.struct(x["id"].alias("id"), outside.alias("outside"), (~outside & (F.substring(whole, start + 1, end - start) != x["text"].cast("binary"))).alias("differs"))
+
+        return F.transform("c", one)
+
+    placed = listed.join(docs, "document_id").select(F.inline(let(F.col("whole").cast("binary"), compared)))
+    source = {"range out of bounds": F.col("outside"), "not an exact slice": F.col("differs")}
     return union(
         _problems(chunks, "chunk", F.col("id"), own),
         _problems(placed, "chunk", F.col("id"), source),

@@ -1,18 +1,28 @@
-"""Vector search over all queries at once: exact, and by random hyperplanes with exact rescoring."""
+"""Vector search over all queries at once: exact, and by cells around centroids with exact rescoring."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import vectors as v
-from lodestack.operators.common import top_k, wider
+from lodestack.operators.best import BEST, KEYS, Best
+from lodestack.operators.common import top_k
 from lodestack.operators.lexical import as_hits
 
-#: Queries that are sent to every task at once, at most; more are scored in several passes.
+#: Queries that are sent to every task at once, at most; more are dealt into blocks and meet the vectors there.
 QUERY_BLOCK = 4096
+#: Vectors that meet one block of queries in one group, on average and at most about twice.
+INDEX_BLOCK = 50_000
+#: Scores that are held at once: vectors are taken in slices.
+CELLS = 4_000_000
+#: Vectors that centroids are fitted on, at most (those of least hash), and centroids, at most.
+SAMPLE = 40_000
+CENTROIDS = 4_096
 
 
 def entries(vectors: DataFrame, representations: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -21,79 +31,142 @@ def entries(vectors: DataFrame, representations: DataFrame, chunks: DataFrame) -
     return vectors.join(reps, "representation_id").join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
 
 
+def _matrix(values) -> np.ndarray:
+    return np.stack(list(values)).astype(np.float64)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    length = np.sqrt((m**2).sum(axis=1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _add(best: Best, frame: pd.DataFrame, unit: np.ndarray) -> None:
+    """Cosines of a frame's vectors to unit queries, a slice of the frame at a time."""
+    step = max(1, CELLS // max(1, len(unit)))
+    for start in range(0, len(frame), step):
+        part = frame.iloc[start : start + step]
+        best.add(np.round(_unit(_matrix(part["values"])) @ unit.T, 12), part[KEYS])
+
+
+def _ranked(rows: DataFrame, k: int, channel: str) -> DataFrame:
+    order = [F.col("cut").desc(), *[F.col(c) for c in KEYS]]
+    return as_hits(top_k(rows, k, order), channel)
+
+
 def exact(index: DataFrame, queries: DataFrame, k: int, channel: str = "vector") -> DataFrame:
     """The k nearest of each query by cosine, zero and negative scores kept.
 
     index: representation_id, chunk_id, document_id, values; queries: query_id, values. Each task scores
-    its vectors against blocks of queries by one matrix product and keeps its own k best, so what is
-    shuffled is k rows a task and query, whatever the index holds.
+    its vectors against the queries by one matrix product and keeps its own k best, so what is
+    shuffled is k rows a task and query, whatever the index holds. Up to QUERY_BLOCK queries are sent to the
+    tasks; more are dealt into blocks, and each block meets a copy of the index, in groups of bounded size.
     """
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    numbered = queries.select("query_id", "values", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    out = None
-    for b in range(blocks):
-        rows = numbered.where(F.col("block") == b).select("query_id", "values").collect()
-        part = _block(index, [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64), k) if rows else None
-        out = part if out is None else out if part is None else out.unionByName(part)
-    if out is None:
-        out = index.sparkSession.createDataFrame([], "query_id string, representation_id string, chunk_id string, document_id string, score double")
-    return as_hits(top_k(out, k), channel)
-
-
-def _block(index: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataFrame:
-    length = np.sqrt((matrix**2).sum(axis=1))
-    unit = np.divide(matrix, length[:, None], out=np.zeros_like(matrix), where=length[:, None] > 0)
-
-    def task(frames):
-        best = None
+    queries = queries.select("query_id", "values")
+    index = index.select("representation_id", "chunk_id", "document_id", "values")
+    if n > QUERY_BLOCK:
+        blocks, salts = -(-n // QUERY_BLOCK), max(1, -(-index.count() // INDEX_BLOCK))
+        left = index.withColumn("salt", F.pmod(F.xxhash64("representation_id"), F.lit(salts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        return _ranked(_met(left, right, ["block", "salt"], k), k, channel)
+    rows = queries.collect()
+    ids, unit = [r[0] for r in rows], _unit(_matrix([r[1] for r in rows])) if rows else np.zeros((0, 0))
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(ids, k)
         for frame in frames:
-            if not len(frame):
-                continue
-            m = np.stack(frame["values"].to_numpy()).astype(np.float64)
-            norms = np.sqrt((m**2).sum(axis=1))
-            scores = np.round(np.divide(m @ unit.T, norms[:, None], out=np.zeros((len(m), len(ids))), where=norms[:, None] > 0), 12)
-            keys = frame[["document_id", "chunk_id", "representation_id"]]
-            parts = [pd.DataFrame({"query_id": ids[q], "score": scores[:, q], **{c: keys[c].to_numpy() for c in keys}}) for q in range(len(ids))]
-            # a task's own best rows, before anything is shuffled
-            parts = [p.loc[p["score"].nlargest(k, keep="all").index] for p in parts]
-            found = pd.concat(parts if best is None else [best, *parts], ignore_index=True)
-            found["cut"] = found["score"].round(9)
-            found = found.sort_values(["query_id", "cut", "document_id", "chunk_id", "representation_id"], ascending=[True, False, True, True, True])
-            best = found.groupby("query_id", sort=False).head(k).drop(columns="cut")
-        if best is not None:
-            yield best[["query_id", "representation_id", "chunk_id", "document_id", "score"]]
-
-    return index.select("representation_id", "chunk_id", "document_id", "values").mapInPandas(task, "query_id string, representation_id string, chunk_id string, document_id string, score double")
+            if len(frame) and ids:
+                _add(best, frame, unit)
+        if (found := best.rows()) is not None:
+            yield found
+
+    return _ranked(index.mapInPandas(task, BEST), k, channel)
+
+
+def _met(index: DataFrame, queries: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The k best of the index rows and queries that share the columns of by; both sides of a group are bounded."""
+
+    def task(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        best = Best(asked["query_id"].tolist(), k)
+        if len(rows) and len(asked):
+            _add(best, rows, _unit(_matrix(asked["values"])))
+        found = best.rows()
+        return pd.DataFrame(columns=[c.split()[0] for c in BEST.split(", ")]) if found is None else found
+
+    return index.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(task, BEST)
 
 
 def exact_expression(index: DataFrame, queries: DataFrame, k: int, channel: str = "vector") -> DataFrame:
-    """The same without Python, for few queries: their rows are joined to every vector."""
+    """The same without Python, for few queries: each is compared with every vector. More than QUERY_BLOCK are an error."""
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries: use exact")
     pairs = index.join(F.broadcast(queries.select("query_id", F.col("values").alias("q"))), how="cross")
     scored = pairs.select("query_id", "representation_id", "chunk_id", "document_id", v.cosine("values", "q").alias("score"))
     return as_hits(top_k(scored, k), channel)
 
 
-def approximate(index: DataFrame, queries: DataFrame, k: int, dims: int, bits: int = 6, tables: int = 24, seed: int = 1, channel: str = "vector") -> DataFrame:
-    """Approximate neighbours: rows that share a hyperplane bucket with a query in any table, rescored exactly."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims))
-
-    def bucketed(df: DataFrame, key: list[str]) -> DataFrame:
-        def task(frames):
+def centroids(index: DataFrame, n: int, sample: int = SAMPLE, rounds: int = 8) -> np.ndarray:
+    """Unit centroids by spherical k-means over the `sample` vectors of least hash."""
+    rows = index.select("values").orderBy(F.xxhash64("representation_id"), "representation_id").limit(sample).collect()
+    if not rows:
+        return np.zeros((0, 0))
+    m = np.unique(_unit(_matrix([r[0] for r in rows])), axis=0)
+    rng = np.random.default_rng(3)
+    found = m[rng.choice(len(m), min(n, len(m)), replace=False)]
+    for _ in range(rounds):
+        own = _nearest(m, found, 1)[:, 0]
+        sums = np.zeros_like(found)
+        np.add.at(sums, own, m)
+        found = np.where((np.bincount(own, minlength=len(found)) > 0)[:, None], _unit(sums), found)
+    return found
+
+
+def _nearest(m: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the n nearest centroids of each row, nearest first, equal ones by number."""
+    out = []
+    step = max(1, CELLS // len(found))
+    for start in range(0, len(m), step):
+        score = np.round(m[start : start + step] @ found.T, 9)
+        out.append(np.argsort(-score, axis=1, kind="stable")[:, :n])
+    return np.concatenate(out)
+
+
+def approximate(index: DataFrame, queries: DataFrame, k: int, probes: int = 0, cells: int = 0, sample: int = SAMPLE, channel: str = "vector") -> DataFrame:
+    """Approximate neighbours: a vector lies in the cell of its nearest centroid; a query meets the vectors of
+    its `probes` nearest cells and scores those exactly.
+
+    cells: about the square root of the index by default, probes: an eighteenth of the cells. Cells are counted and large ones are
+    dealt into several groups, each of which the queries meet; so are queries beyond QUERY_BLOCK in a cell.
+    """
+    index = index.select("representation_id", "chunk_id", "document_id", "values")
+    queries = queries.select("query_id", "values")
+    size = index.count()
+    cells = cells or max(1, min(CENTROIDS, int(size**0.5)))
+    centers = centroids(index, cells, sample)
+    if not len(centers):
+        return _ranked(index.sparkSession.createDataFrame([], BEST), k, channel)
+    probes = min(len(centers), probes or max(1, -(-len(centers) // 18)))
+
+    def placed(df: DataFrame, n: int) -> DataFrame:
+        def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 if len(frame):
-                    m = np.stack(frame["values"].to_numpy()).astype(np.float64)
-                    code = ((np.einsum("nd,tbd->ntb", m, planes) > 0) << np.arange(bits)).sum(axis=2) + (np.arange(tables) << bits)
-                    frame["buckets"] = list(code.astype(np.int64))
+                    frame["cells"] = list(_nearest(_unit(_matrix(frame["values"])), centers, n).astype(np.int32))
                     yield frame
 
-        return df.select(*key, "values").mapInPandas(task, wider(df.select(*key, "values"), buckets="array<bigint>")).select(*key, "values", F.explode("buckets").alias("bucket"))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", cells array<int>"
+        return df.mapInPandas(task, schema).select(*df.columns, F.explode("cells").alias("cell"))
+
+    def lanes(df: DataFrame, most: int):
+        held = {r[0]: r[1] for r in df.groupBy("cell").count().collect()}
+        return F.element_at(F.array(*[F.lit(max(1, -(-held.get(c, 0) // most))) for c in range(len(centers))]), F.col("cell") + 1)
 
-    left = bucketed(index, ["representation_id", "chunk_id", "document_id"]).select("representation_id", "bucket")
-    right = bucketed(queries, ["query_id"]).select("query_id", "bucket")
-    candidates = left.join(right, "bucket").select("query_id", "representation_id").distinct()
-    scored = candidates.join(index, "representation_id").join(queries.select("query_id", F.col("values").alias("q")), "query_id")
-    return as_hits(top_k(scored.select("query_id", "representation_id", "chunk_id", "document_id", v.cosine("values", "q").alias("score")), k), channel)
+    left, right = placed(index, 1), placed(queries, probes)
+    salts, blocks = lanes(left, INDEX_BLOCK), lanes(right, QUERY_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = left.withColumn("salt", F.pmod(F.xxhash64("representation_id"), salts).cast("int")).withColumn("block", every(blocks))
+    right = right.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).withColumn("salt", every(salts))
+    return _ranked(_met(left, right, ["cell", "salt", "block"], k), k, channel)
 
 
 def identity(vectors: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def exact_cosine_topk(spark, sf):
 
 @query
 def approximate_topk(spark, sf):
-    hits = vector_search.approximate(vector_index(spark, sf), vector_queries(spark, sf), 10, 64, bits=5, tables=40)
+    hits = vector_search.approximate(vector_index(spark, sf), vector_queries(spark, sf), 10)
     return scores(hits).select("query_id", "representation_id", F.col("rank").cast("long"), "score")
 
 

@@ -1,22 +1,25 @@
 """Index bundles: immutable, content-addressed folders of Parquet tables with a manifest.
 
-A bundle is built beside its place and published by writing the manifest last; a bundle of equal content
-has an equal id and is verified and reused. Counts and digests are grouped aggregates over the tables.
+A bundle's tables are written to a folder beside its place and read back; what was written is checked, counted
+and digested, gets its manifest, and is published by one rename. A plan that gives other rows each time it is
+run is so evaluated once, and manifest and files always agree. A bundle of equal content has an equal id
+and is verified and reused. Counts and digests are grouped aggregates over the tables.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators import embedding
 from lodestack.operators import validation as val
-from lodestack.operators.common import ContractError, require
+from lodestack.operators.common import ContractError, require, saved
 from lodestack.sources.corpus import table_digest
 
 VERSION = 1
@@ -57,7 +60,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def _write_json(spark: SparkSession, path: str, value: dict) -> None:
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
     """Written under another name and renamed, so that a reader sees all of it or nothing."""
     fs, part = _fs(spark, path + ".part")
     out = fs.create(part, True)
@@ -67,7 +70,7 @@ def _write_json(spark: SparkSession, path: str, value: dict) -> None:
         raise ContractError(f"{path} exists")
 
 
-def _read_json(spark: SparkSession, path: str) -> dict:
+def read_json(spark: SparkSession, path: str) -> dict:
     rows = spark.read.text(path, wholetext=True).collect()
     return json.loads(rows[0][0])
 
@@ -91,7 +94,7 @@ def _content(tables: dict[str, DataFrame]) -> dict:
 
 
 def bundle_id(identity: dict) -> str:
-    return "rk-" + hashlib.sha256(json.dumps(identity, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:32]
+    return "bundle-" + hashlib.sha256(json.dumps(identity, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:32]
 
 
 def _identity(content: dict, kinds: list[str], chunker: str, model: str, dimensions: int) -> dict:
@@ -106,31 +109,44 @@ def build(x: BuildInput, root: str, stage: Callable[[str], None] | None = None)
     """Validate, write and publish; an identical bundle that exists is verified and returned."""
     note = stage or (lambda _: None)
     spark = x.documents.sparkSession
-    note("validate")
-    check_input(x)
-    tables = {"documents": x.documents, "chunks": x.chunks, "representations": x.representations}
+    part = f"{root.rstrip('/')}/.building-{uuid.uuid4().hex}"
+    given = {"documents": x.documents, "chunks": x.chunks, "representations": x.representations}
     if x.vectors is not None:
-        tables["vectors"] = x.vectors
-    note("digest")
-    content, kinds = _content(tables), kinds_of(x.representations)
-    if x.vectors is not None and content["vectors"]["rows"] != content["representations"]["rows"]:
-        raise ContractError("each representation needs one vector")
-    identity = _identity(content, kinds, x.chunker, x.model, x.dimensions)
-    key = bundle_id(identity)
-    path = f"{root.rstrip('/')}/{key}"
-    if exists(spark, f"{path}/manifest.json"):
-        note("reuse")
-        return verify(spark, path)
-    note("write")
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    note("publish")
-    _write_json(spark, f"{path}/manifest.json", {"id": key, **identity})
+        given["vectors"] = x.vectors
+    try:
+        note("write")
+        tables = {name: saved(df, f"{part}/{name}") for name, df in given.items()}
+        note("validate")
+        check_input(replace(x, **tables))
+        note("digest")
+        content, kinds = _content(tables), kinds_of(tables["representations"])
+        if x.vectors is not None and content["vectors"]["rows"] != content["representations"]["rows"]:
+            raise ContractError("each representation needs one vector")
+        identity = _identity(content, kinds, x.chunker, x.model, x.dimensions)
+        key = bundle_id(identity)
+        path = f"{root.rstrip('/')}/{key}"
+        if exists(spark, f"{path}/manifest.json"):
+            note("reuse")
+            return verify(spark, path)
+        note("publish")
+        write_json(spark, f"{part}/manifest.json", {"id": key, **identity})
+        remove(spark, path)  # what is there without a manifest is no bundle
+        fs, at = _fs(spark, part)
+        if not fs.rename(at, _fs(spark, path)[1]):
+            raise ContractError(f"{path} cannot be published")
+    finally:
+        remove(spark, part)
     return open_bundle(spark, path, check=False)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    if fs.exists(at):
+        fs.delete(at, True)
+
+
 def load_manifest(spark: SparkSession, path: str) -> dict:
-    m = _read_json(spark, f"{path}/manifest.json")
+    m = read_json(spark, f"{path}/manifest.json")
     if m.get("version") != VERSION:
         raise ContractError("unknown manifest version")
     if m.get("id") != bundle_id({k: v for k, v in m.items() if k != "id"}):
@@ -210,8 +226,6 @@ def size_of(spark: SparkSession, path: str) -> int:
 
 def preflight(spark: SparkSession, path: str) -> None:
     """Whether a folder can be written, before a long build."""
-    import uuid
-
     fs, probe = _fs(spark, f"{path.rstrip('/')}/.probe-{uuid.uuid4().hex}")
     fs.create(probe, True).close()
     fs.delete(probe, False)

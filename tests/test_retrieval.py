@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import shutil
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from lodestack.operators import caching, chunking, embedding, generation, lexica
 from lodestack.operators import evaluation as ev
 from lodestack.operators import retrieval as r
 from lodestack.operators import validation as val
+from lodestack.operators.best import Best
 from lodestack.operators.common import ContractError
 
 HIT = "query_id string, representation_id string, chunk_id string, document_id string, channel string, rank int, score double"
@@ -86,11 +89,64 @@ def test_exact_search_agrees_with_expressions(spark, monkeypatch):
     assert vector_search.exact(index, queries.limit(0), 3).count() == 0
 
 
+def test_ties_do_not_depend_on_partitions(spark, monkeypatch):
+    """Scores 1e-10 apart are ties, and the smaller ids win however rows are dealt into tasks, batches and blocks."""
+    rows = [(f"r{i:02}", f"c{i:02}", f"d{i:02}", [1.0, 1e-5 * (i % 3), 0.0]) for i in range(40)] + [("x", "x", "x", [0.0, 0.0, 1.0])] * 3
+    index = spark.createDataFrame(rows, "representation_id string, chunk_id string, document_id string, values array<double>")
+    queries = spark.createDataFrame([("q", [1.0, 0.0, 0.0]), ("p", [2.0, 0.0, 0.0]), ("o", [0.0, 0.0, 1.0])], "query_id string, values array<double>")
+    want = sorted((h["query_id"], h["rank"], h["representation_id"]) for h in vector_search.exact_expression(index, queries, 4).collect())
+    assert [x[2] for x in want if x[0] == "q"] == ["r00", "r01", "r02", "r03"]
+    for parts, block, cells in ((1, 4096, 10**6), (2, 4096, 7), (16, 4096, 10**6), (2, 2, 10**6)):
+        monkeypatch.setattr(vector_search, "QUERY_BLOCK", block)
+        monkeypatch.setattr(vector_search, "CELLS", cells)
+        monkeypatch.setattr(vector_search, "INDEX_BLOCK", 10)
+        got = sorted((h["query_id"], h["rank"], h["representation_id"]) for h in vector_search.exact(index.repartition(parts), queries, 4).collect())
+        assert got == want, (parts, block)
+
+
+def test_best_rows_are_bounded_and_those_of_the_whole_order():
+    rng = np.random.default_rng(2)
+    scores = rng.integers(0, 4, (500, 3)).astype(float)
+    keys = pd.DataFrame({c: [f"{c[0]}{i:03}" for i in rng.permutation(500)] for c in ("document_id", "chunk_id", "representation_id")})
+    found = Best(["a", "b", "c"], 5)
+    for start in range(0, 500, 20):
+        found.add(scores[start : start + 20], keys.iloc[start : start + 20], scores[start : start + 20] > 0)
+        assert sum(len(x) for x in found.held) <= 3 * 5 * (Best.WAITING + 1)
+    got = found.rows()
+    for q, name in enumerate("abc"):
+        whole = keys.assign(score=scores[:, q]).query("score > 0").sort_values(["score", "document_id", "chunk_id", "representation_id"], ascending=[False, True, True, True])
+        assert got[got["query_id"] == name]["document_id"].tolist() == whole["document_id"].tolist()[:5]
+
+
+def test_persisted_index(spark, tmp_path, monkeypatch):
+    texts = {"oak": "Oak trees grow in oak soil", "pine": "Pine trees", "none": "", "soil": "soil soil soil and oak"}
+    rows = records(spark, **texts).withColumn("title", F.lit("oak title"))
+    queries = spark.createDataFrame([("1", "oak soil"), ("2", "trees trees zzz"), ("3", "")], "query_id string, text string")
+    path = str(tmp_path / "index")
+    lexical.build_index(rows, path, {"title": F.col("title"), "text": F.col("text")})
+    with pytest.raises(ContractError):
+        lexical.build_index(rows, path)
+    stored = lexical.open_index(spark, path, check=True)
+    plain = lambda df: sorted((h["query_id"], h["rank"], h["chunk_id"], round(h["score"], 9)) for h in df.collect())
+    for block, cells in ((4096, 10**6), (1, 10**6), (4096, 2)):
+        monkeypatch.setattr(lexical, "QUERY_BLOCK", block)
+        monkeypatch.setattr(lexical, "CELLS", cells)
+        assert plain(lexical.search(stored, queries, 3)) == plain(lexical.search(rows, queries, 3))
+        assert plain(lexical.search_fields(stored, queries, 3)) == plain(lexical.search_fields(rows, queries, 3))
+    for q, query in (("1", "oak soil"), ("2", "trees trees zzz")):
+        assert {h["chunk_id"]: round(h["score"], 9) for h in lexical.search(stored, queries, 9).collect() if h["query_id"] == q} == {k: round(x, 9) for k, x in bm25(texts, query).items()}
+    spark.read.parquet(f"{path}/entries").limit(2).write.parquet(str(tmp_path / "cut"))
+    shutil.rmtree(f"{path}/entries")
+    shutil.move(tmp_path / "cut", f"{path}/entries")
+    with pytest.raises(ContractError):
+        lexical.open_index(spark, path, check=True)
+
+
 def test_approximate_recall(spark):
     index = vectors(spark, 400, 16)
     queries = index.limit(20).select(F.col("representation_id").alias("query_id"), "values")
     exact = {(h["query_id"], h["representation_id"]) for h in vector_search.exact(index, queries, 5).collect()}
-    near = {(h["query_id"], h["representation_id"]) for h in vector_search.approximate(index, queries, 5, 16, bits=4, tables=20).collect()}
+    near = {(h["query_id"], h["representation_id"]) for h in vector_search.approximate(index, queries, 5, probes=8, cells=12).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 
@@ -229,7 +285,7 @@ def test_answer_end_to_end_and_request_checks(spark):
     s = service(spark)
     s.observe = stages.append
     (row,) = ans.answer(s, asked(spark, "oak soil"), ans.Config(evidence_k=2, retrieve_k=3)).collect()
-    assert row["valid"] and row["citations"] == ["a"] and [x["sequence"] for x in stages] == [0, 1, 2, 3]
+    assert row["valid"] and row["citations"] == ["a"] and [(x["sequence"], x["status"]) for x in stages] == list(enumerate(["started", "completed"] * 4))
     bad = [ans.Config("nope"), ans.Config(retrieve_k=0), ans.Config(evidence_k=0), ans.Config(rrf_constant=0.0), ans.Config(rrf_weights={"bm25": 0.0}), ans.Config(rrf_weights={"x": 1.0}), ans.Config("rrf-reranked", rerank_candidates=1), ans.Config(query_variants=-1)]
     for config in bad:
         with pytest.raises(ContractError):
@@ -336,6 +392,18 @@ def test_cached_rerank_and_observed_calls(spark, tmp_path):
     assert notes[-1]["status"] == "failed" and notes[-1]["inputs"] == ["secret"]
 
 
+def test_a_call_that_fails_in_its_tasks_is_noted_as_failed(spark):
+    notes = []
+
+    def broken(prompts, inputs):
+        raise RuntimeError("no model")
+
+    requests = spark.createDataFrame([("p", "x")], "prompt string, input string")
+    with pytest.raises(Exception):
+        generation.observed(lambda df: generation.generate(df, broken), notes.append)(requests)
+    assert [x["status"] for x in notes] == ["started", "failed"]
+
+
 def test_augmented_and_prepared_problems(spark):
     good = evidence(spark, "one", "two")
     chunks = chunk_table(spark, c0="one", c1="two")

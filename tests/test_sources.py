@@ -148,7 +148,7 @@ def test_git_sources_and_symbols(spark, tmp_path):
     records = code_chunks.extract(docs)
     row = records.where("kind = 'method'").first()
     assert row["qualified_name"] == "example.com/oak/pkg.(*Tree).Grow" and row["text"].encode() == GO.encode()[row["byte_start"] : row["byte_end"]] and row["line_start"] == 13
-    lines = code_chunks.symbols(records.withColumn("path", F.lit("pkg/oak.go")), "oak").where("text like '%method%'").first()["text"].split("\n")
+    lines = code_chunks.symbols(records, "oak").where("text like '%method%'").first()["text"].split("\n")
     assert lines[0] == "Go method example.com/oak/pkg.(*Tree).Grow." and "Signature: func(n int) error." in lines
     assert code_chunks.fixed_with_lines(docs, 60, 0).select("package_name").distinct().collect()[0][0] == "oak"
 

@@ -1,7 +1,9 @@
 """Goldens and structure of text functions and chunkers."""
 
 import hashlib
+import random
 import re
+from time import perf_counter
 
 import pytest
 from hypothesis import given, settings
@@ -161,6 +163,72 @@ def test_generated_groups_are_repaired(spark):
     assert rep.parse_numbered('text [1] then [{"chunk":2,"text":"b"}]', 2) == {2: "b"}
 
 
+def test_a_random_generator_is_run_once(spark):
+    """Each chunk comes out once, in the words of the answer that was given for it, whatever the generator leaves out."""
+    d = docs(spark, *["# A\none two. three four.\n# B\nfive six seven.\n# C\neight" * 3] * 4, title="T")
+    chunks = ch.Markdown(12, 0).chunk(d)
+
+    def generate(df):
+        if "chunk_ids" not in df.columns:
+            return df.withColumn("output", F.concat(F.lit("own "), F.uuid()))
+        entry = lambda i: F.when(F.rand() < 0.5, F.concat(F.lit('{"chunk":'), i.cast("string"), F.lit(',"text":"group '), F.uuid(), F.lit('"}')))
+        return df.withColumn("output", F.concat(F.lit("["), F.array_join(F.array_compact(F.transform(F.sequence(F.lit(1), "n_chunks"), entry)), ","), F.lit("]")))
+
+    out = rep.generated(chunks, d, "summary", generate, "m", "p", "pd", group_size=5)
+    first, second = ({r["chunk_id"]: r["text"] for r in out.collect()} for _ in range(2))
+    assert out.count() == chunks.count() == len(first) and first == second
+    assert {x.split()[0] for x in first.values()} == {"own", "group"}
+
+
+def brute_heading_path(text, title, byte_start):
+    """The path from a scan of everything before one position."""
+    data = text.encode()
+    start = stop = min(byte_start, len(data))
+    if start < len(data) and (start == 0 or data[start - 1 : start] == b"\n"):
+        stop = data.find(b"\n", start) if b"\n" in data[start:] else len(data)
+    levels, fences = [""] * 7, ch.Fences()
+    for line in data[:stop].decode("utf-8", "replace").split("\n"):
+        if not fences.covers(line) and (found := re.match(r"(#{1,6}) (.*)", line.strip(), re.DOTALL)):
+            levels[len(found[1]) :] = [found[2].strip(), *[""] * (6 - len(found[1]))]
+    head = [title.strip()] if title and title.strip() else []
+    return " > ".join(head + [x for n, x in enumerate(levels) if x and not (n == 1 and head and head[-1] == x)]) or "(document root)"
+
+
+@given(st.lists(st.sampled_from(["# a", "## b", " ### c", "```", "~~~~", "\n", "\n\n", "text", "é", " ", "#", "   # d "]), max_size=25).map("".join))
+@settings(max_examples=200, deadline=None)
+def test_heading_paths_in_one_pass(text):
+    starts = list(range(len(text.encode()) + 2))
+    random.Random(1).shuffle(starts)
+    assert ch.heading_paths(text, "a", starts) == [brute_heading_path(text, "a", x) for x in starts]
+
+
+@pytest.mark.parametrize("size,overlap", [(1, 0), (5, 0), (5, 2), (7, 6), (3, 1)])
+def test_fixed_windows_by_brute_force(spark, size, overlap):
+    texts = ["", "a", "abcde", "añb日本\U0001f600 cd\n" * 5, "ascii only\n" * 7]
+    want = {}
+    for k, text in enumerate(texts):
+        starts = range(0, 1 + max(0, -(-(len(text) - size) // (size - overlap))) * (size - overlap), size - overlap) if text else []
+        want[f"doc{k}"] = [(n, len(text[:s].encode()), len(text[: s + size].encode()), text[s : s + size]) for n, s in enumerate(starts)]
+    got = {f"doc{k}": [] for k in range(len(texts))}
+    for r in ch.Fixed(size, overlap).chunk(docs(spark, *texts)).orderBy("document_id", "ordinal").collect():
+        got[r["document_id"]].append((r["ordinal"], r["byte_start"], r["byte_end"], r["text"]))
+    assert got == want
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Fixed windows, given ranges and heading paths over 4 M code points take little over twice as long as over 2 M."""
+    took = {}
+    for n in (1, 2, 4):
+        d = docs(spark, "# Heading é\nsome words of a line that goes on\n" * (25_000 * n))
+        chunks = ch.Fixed(1200, 120).chunk(d)
+        ranges = ch.Fixed(300).chunk(d).select("document_id", "byte_start", "byte_end")
+        for what, df in (("fixed", chunks), ("ranges", ch.from_ranges(d, ranges, "r")), ("paths", rep.with_heading_path(chunks, d))):
+            began = perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            took[what, n] = perf_counter() - began
+    assert all(took[what, 4] <= 2.5 * took[what, 2] + 1 for what in ("fixed", "ranges", "paths")), took
+
+
 def test_group_inputs(spark):
     d = docs(spark, "# A\none", title="T")
     row = rep.group_inputs(ch.Markdown(50).chunk(d), d, with_lead=True).first()
