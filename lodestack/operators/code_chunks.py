@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.functions import text as t
-from lodestack.operators import chunking, representations
+from lodestack.operators import chunking, representations, validation
 
 EXTRACTOR = "go-declarations-v1"
 RECORD = (
@@ -206,6 +206,21 @@ def extract(documents: DataFrame) -> DataFrame:
     return found.withColumns({"id": t.truncated_id("chunk-", key), "content_digest": t.digest("text"), "chunker": F.lit(EXTRACTOR)})
 
 
+def record_problems(records: DataFrame, documents: DataFrame) -> DataFrame:
+    """(entity, key, problem) of declaration chunks: what chunks must meet, and their documents' and own metadata."""
+    meta = lambda k: t.trimmed(F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit(""))) == ""
+    blank = lambda c: t.trimmed(F.coalesce(c, F.lit(""))) == ""
+    origin = documents.select(F.col("id").alias("document_id"), (meta("repository") | meta("commit") | meta("path")).alias("no_origin"))
+    tests = {
+        "no repository, commit or path": "no_origin",
+        "bad lines": "line_start < 1 or line_end < line_start",
+    }
+    found = records.join(origin, "document_id").withColumn("unnamed", blank(F.col("kind")) | blank(F.col("package_name")))
+    problems = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(x), F.lit(True)), F.lit(name)) for name, x in tests.items()], F.when(F.col("unnamed"), F.lit("no kind or package"))))
+    own = found.select(F.lit("record").alias("entity"), F.col("id").alias("key"), F.explode(problems).alias("problem"))
+    return validation.chunk_problems(records, documents).unionByName(own)
+
+
 def fixed_with_lines(documents: DataFrame, size: int, overlap: int) -> DataFrame:
     """Fixed chunks of sources with line numbers and package name."""
     chunks = chunking.Fixed(size, overlap).chunk(documents)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from time import perf_counter
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestack import schemas as s
 from lodestack.functions import text as t
-from lodestack.operators.common import saved, scratch, wider
+from lodestack.operators.common import ContractError, saved, scratch, wider
 
 ABSTAIN = "I do not have enough evidence."
 
@@ -147,3 +148,33 @@ def with_retries(call: Callable, attempts: int = 3, classify: Callable[[Exceptio
                     raise
 
     return tried
+
+
+@dataclass(frozen=True)
+class Step:
+    """One step of a flow: call adds output (and usage columns) to rows with prompt and input."""
+
+    name: str
+    call: Callable[[DataFrame], DataFrame]
+    model: str
+    prompt: str
+    adapter_version: str
+    context_policy: str = ""
+
+
+def flow(requests: DataFrame, steps: list[Step], path: str, **options) -> tuple[DataFrame, dict[str, dict]]:
+    """requests (input) through steps, each over the whole batch and through its own cache under path.
+
+    A step's output is the next one's input; the result has the last output, the reports are by step. options: as
+    caching.cached() takes.
+    """
+    from lodestack.operators.caching import cached_generate
+
+    if not steps or len({x.name for x in steps}) < len(steps) or not all(x.name.strip() for x in steps):
+        raise ContractError("a flow needs steps with names of their own")
+    now, reports = requests, {}
+    for step in steps:
+        asked = now.withColumn("prompt", F.lit(step.prompt))
+        found, reports[step.name] = cached_generate(asked, step.call, step.model, f"{path}/{step.name}", step.adapter_version, step.context_policy, step.name, **options)
+        now = found.withColumn("input", F.col("output")).drop("output", "prompt")
+    return now.withColumnRenamed("input", "output"), reports

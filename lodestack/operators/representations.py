@@ -6,6 +6,7 @@ model writes come from a generator (see operators.generation) through the same i
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable
@@ -202,18 +203,28 @@ def call_ceiling(chunks: int) -> int:
 
 @dataclass(frozen=True)
 class Prompts:
-    """Prompts are part of a representation's identity."""
+    """Prompts are part of a representation's identity, as are how a call is put together and what context it gets."""
 
+    adapter_version: str = "1"
+    context_policy: str = "title-path-lead"
     contextual: str = "Situate the chunk within its document in one or two sentences."
     summary: str = "Summarise the text in one or two sentences."
     questions: str = "Write up to three questions that the text answers, one a line."
     entities: str = "List the entities and terms that the text is about, one a line."
     statement: str = "State the text's claims as one short statement."
-
-    def digest(self, name: str) -> str:
-        import hashlib
-
-        return hashlib.sha256(getattr(self, name).encode()).hexdigest()
+    keywords: str = "List the text's key phrases on one line."
+    document_summary: str = "Summarise the document in a short paragraph."
+    cut_points: str = "Name where the document's topic changes by quoting the first words of each part."
+    group_rule: str = 'The input holds numbered chunks. Do this for each and answer with one JSON array of {"chunk": number, "text": string}.'
+
+    def text(self, name: str, grouped: bool = False) -> str:
+        """A prompt by name, as it is put for one text or for a group of chunks."""
+        one = getattr(self, name)
+        return f"{one} {self.group_rule}" if grouped else one
+
+    def digest(self, name: str, grouped: bool = False) -> str:
+        whole = "\x00".join([self.adapter_version, self.context_policy, self.text(name, grouped)])
+        return hashlib.sha256(whole.encode()).hexdigest()
 
 
 Generate = Callable[[DataFrame], DataFrame]  # adds column output to rows with column input

@@ -109,6 +109,21 @@ def flagged(rows: DataFrame, signal: str) -> DataFrame:
     return rows.where(F.array_contains("signals", signal))
 
 
+def count(rows: DataFrame, signal: str) -> int:
+    """Chunks with a signal."""
+    return flagged(rows, signal).count()
+
+
+def document_count(rows: DataFrame, signal: str) -> int:
+    """Documents with a chunk with a signal."""
+    return flagged(rows, signal).select("document_id").distinct().count()
+
+
+def count_by_document(rows: DataFrame) -> DataFrame:
+    """document_id, signal and n: how many chunks of a document carry each signal; none are left out."""
+    return rows.select("document_id", F.explode("signals").alias("signal")).groupBy("document_id", "signal").agg(F.count("*").alias("n"))
+
+
 def check_signal(signal: str) -> None:
     if signal not in SIGNALS:
         raise ContractError(f"unknown signal {signal!r}")
@@ -143,6 +158,11 @@ def document_rollup(chunks: DataFrame, documents: DataFrame | None = None) -> Da
     return out.join(named, "document_id", "left").select(*out.columns, F.coalesce("title", "uri", "document_id").alias("name"))
 
 
+def document_by_id(rollup: DataFrame, document_id: str) -> DataFrame:
+    """The row of document_rollup() of one document."""
+    return rollup.where(F.col("document_id") == document_id)
+
+
 def chunks_of(chunks: DataFrame, document_id: str) -> DataFrame:
     return chunks.where(F.col("document_id") == document_id).orderBy("ordinal")
 

@@ -105,12 +105,14 @@ def exact_expression(index: DataFrame, queries: DataFrame, k: int, channel: str
     return as_hits(top_k(scored, k), channel)
 
 
-def centroids(index: DataFrame, n: int, sample: int = SAMPLE, rounds: int = 8) -> np.ndarray:
-    """Unit centroids by spherical k-means over the `sample` vectors of least hash."""
+def sampled(index: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Unit vectors of the `sample` rows of least hash, each direction once."""
     rows = index.select("values").orderBy(F.xxhash64("representation_id"), "representation_id").limit(sample).collect()
-    if not rows:
-        return np.zeros((0, 0))
-    m = np.unique(_unit(_matrix([r[0] for r in rows])), axis=0)
+    return np.unique(_unit(_matrix([r[0] for r in rows])), axis=0) if rows else np.zeros((0, 0))
+
+
+def centroids(m: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids by spherical k-means over a sample."""
     rng = np.random.default_rng(3)
     found = m[rng.choice(len(m), min(n, len(m)), replace=False)]
     for _ in range(rounds):
@@ -121,6 +123,18 @@ def centroids(index: DataFrame, n: int, sample: int = SAMPLE, rounds: int = 8) -
     return found
 
 
+def probes_for(m: np.ndarray, centers: np.ndarray, k: int, recall: float, tried: int = 200) -> int:
+    """The fewest nearest cells that hold the share `recall` of the k nearest of some of the sample's own vectors.
+
+    Neighbours in a sample lie further apart than in the whole index, so the whole asks for no more cells."""
+    asked = m[np.random.default_rng(5).choice(len(m), min(tried, len(m)), replace=False)]
+    scores = asked @ m.T
+    near = np.argpartition(-scores, min(k, len(m) - 1), axis=1)[:, : k + 1]  # itself and k others
+    order = np.argsort(_nearest(asked, centers, len(centers)), axis=1)  # cell -> how manieth nearest
+    place = np.sort(np.take_along_axis(order, _nearest(m, centers, 1)[:, 0][near], axis=1), axis=None)
+    return int(place[min(len(place) - 1, int(np.ceil(recall * len(place))))]) + 1
+
+
 def _nearest(m: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
     """Numbers of the n nearest centroids of each row, nearest first, equal ones by number."""
     out = []
@@ -131,21 +145,22 @@ def _nearest(m: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def approximate(index: DataFrame, queries: DataFrame, k: int, probes: int = 0, cells: int = 0, sample: int = SAMPLE, channel: str = "vector") -> DataFrame:
+def approximate(index: DataFrame, queries: DataFrame, k: int, recall: float = 0.95, cells: int = 0, sample: int = SAMPLE, channel: str = "vector") -> DataFrame:
     """Approximate neighbours: a vector lies in the cell of its nearest centroid; a query meets the vectors of
-    its `probes` nearest cells and scores those exactly.
+    its nearest cells and scores those exactly.
 
-    cells: about the square root of the index by default, probes: an eighteenth of the cells. Cells are counted and large ones are
+    How many cells a query looks into is measured: as few as give the wanted recall on a bounded sample. Vectors
+    in clusters need few; vectors without any structure need most cells, and exact search is then as cheap.
+    cells: about four times the square root of the index by default. Cells are counted, and large ones are
     dealt into several groups, each of which the queries meet; so are queries beyond QUERY_BLOCK in a cell.
     """
     index = index.select("representation_id", "chunk_id", "document_id", "values")
     queries = queries.select("query_id", "values")
-    size = index.count()
-    cells = cells or max(1, min(CENTROIDS, int(size**0.5)))
-    centers = centroids(index, cells, sample)
-    if not len(centers):
+    m = sampled(index, sample)
+    if not len(m):
         return _ranked(index.sparkSession.createDataFrame([], BEST), k, channel)
-    probes = min(len(centers), probes or max(1, -(-len(centers) // 18)))
+    centers = centroids(m, cells or max(1, min(CENTROIDS, int(4 * index.count() ** 0.5))))
+    probes = probes_for(m, centers, k, recall)
 
     def placed(df: DataFrame, n: int) -> DataFrame:
         def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,8 +11,12 @@ from lodestack.functions import text as t
 from lodestack.functions import vectors as v
 from lodestack.operators import answering, chunking, embedding, evaluation, generation, lexical, reranking, retrieval, statistics, validation, vector_search
 from lodestack.operators import representations as rep
+from lodestack.operators import caching
+from lodestack.operators.common import scratch
 from lodestack.plans import corpora as c
 from lodestack.plans import sql
+from lodestack.sources import bundle, content
+from lodestack.streaming import ingest
 
 LARGE, SMALL = chunking.Fixed(1200, 120), chunking.Fixed(300, 0)
 CUTOFFS = [1, 5, 10]
@@ -475,3 +479,143 @@ def neighbours_in_document(spark, sf):
     chunks = large(spark, sf)
     w = Window.partitionBy("document_id").orderBy("ordinal")
     return chunks.select("id", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
+
+
+# stores, caches and generation ------------------------------------------------------------------
+@query
+def grouped_generation(spark, sf):
+    """A generator of expressions that leaves out every third chunk of a group; those are asked for alone."""
+    docs = c.documents(spark, sf)
+    entry = lambda i: F.when(i % 3 != 0, F.format_string('{"chunk":%d,"text":"group %d"}', i, i))
+
+    def generate(df: DataFrame) -> DataFrame:
+        if "chunk_ids" not in df.columns:
+            return df.withColumn("output", F.lit("own"))
+        return df.withColumn("output", F.concat(F.lit("["), F.array_join(F.array_compact(F.transform(F.sequence(F.lit(1), "n_chunks"), entry)), ","), F.lit("]")))
+
+    prompts = rep.Prompts()
+    return rep.generated(LARGE.chunk(docs), docs, "summary", generate, "expressions", prompts.text("summary", True), prompts.digest("summary", True), rep.GROUP_SIZE).select("chunk_id", "kind", "text")
+
+
+@query
+def tied_vectors(spark, sf):
+    """Vectors of signs: most scores are equal, and ids decide."""
+    signs = F.transform(F.slice("values", 1, 4), lambda x: F.when(x >= 0, 1.0).otherwise(-1.0))
+    index, asked = (df.withColumn("values", signs) for df in (vector_index(spark, sf), vector_queries(spark, sf)))
+    return scores(vector_search.exact(index, asked, 10)).select("query_id", "representation_id", F.col("rank").cast("long"), "score")
+
+
+@query
+def stored_index_topk(spark, sf):
+    index = lexical.build_index(c.records(large(spark, sf)), scratch(spark, "lexical"))
+    return scores(lexical.search(index, c.queries(spark, sf), 10)).select("query_id", "chunk_id", F.col("rank").cast("long"), "score")
+
+
+@query
+def vector_violations(spark, sf):
+    key = F.col("vec_id")
+    rows = c.table(spark, sf, "embeddings")
+    doubled = rows.unionByName(rows.where(key % 97 == 0))
+    values = F.when(key % 50 == 0, F.transform("embedding", lambda x, i: F.when(i == 0, float("nan")).otherwise(x).cast("float"))).otherwise(F.col("embedding"))
+    values = F.when(key % 61 == 0, F.slice(values, 1, F.size("embedding") - 1)).otherwise(values)
+    vectors = doubled.select(key.cast("string").alias("representation_id"), values.alias("values"), F.when(key % 73 == 0, "other").otherwise("given").alias("model"))
+    known = rows.where(key % 89 != 0).select(key.cast("string").alias("id"))
+    return embedding.vector_problems(vectors, known).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query
+def signal_counts(spark, sf):
+    return statistics.count_by_document(statistics.measured(large(spark, sf), OPTIONS))
+
+
+@query
+def uncounted_sizes(spark, sf):
+    return statistics.uncounted(statistics.overlaps(large(spark, sf)), ((0, 99), (200, 1100)))
+
+
+def built(spark, sf) -> bundle.Bundle:
+    docs = c.documents(spark, sf)
+    chunks = LARGE.chunk(docs)
+    reps = rep.raw(chunks)
+    vectors = embedding.hash_embed(reps, 16).select(F.col("id").alias("representation_id"), "values", F.lit("hash-16").alias("model"))
+    return bundle.build(bundle.BuildInput(docs, chunks, reps, LARGE.name, vectors, "hash-16", 16), scratch(spark, "bundles"))
+
+
+@query
+def bundle_inspection(spark, sf):
+    made = built(spark, sf)
+    seen = bundle.inspect(spark, bundle.verify(spark, made.path).path, c.documents(spark, sf))
+    return seen["chunks"].select("document_id", "name", "chunks", F.col("first").cast("long"), F.col("last").cast("long"), F.lit(seen["corpus"]).alias("corpus"))
+
+
+@query
+def ordered_vectors(spark, sf):
+    rows = bundle.vector_entries(built(spark, sf), "hash-16")
+    return rows.select("representation_id", "model", F.size("values").cast("long").alias("dims"))
+
+
+@query
+def content_lookup(spark, sf):
+    docs = c.documents(spark, sf)
+    store = content.build_content(docs, LARGE.chunk(docs), scratch(spark, "content"))
+    found = content.open_content(spark, store.path, store.identity.id).lookup(store.chunks.where("ordinal = 0"))
+    return found.select("id", "document_id", "content_digest")
+
+
+@query
+def staged_bundle(spark, sf):
+    root = scratch(spark, "stage")
+    stager, docs = ingest.Stager(spark, root), c.documents(spark, sf)
+    chunks = LARGE.chunk(docs)
+    stager.add_documents(docs)
+    for half in (0, 1):
+        stager.add_chunks(chunks.where(F.col("ordinal") % 2 == half))
+    stager.add_representations(rep.raw(chunks))
+    made = bundle.build_staged(spark, root, scratch(spark, "bundles"), LARGE.name)
+    counts = [made.tables[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in ("documents", "chunks", "representations")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def report_rows(spark, reports: list[dict]) -> DataFrame:
+    fields = ", ".join(f"{k} long" for k in reports[0])
+    return spark.createDataFrame([tuple(x.values()) for x in reports], fields)
+
+
+@query
+def cached_generation(spark, sf):
+    path = scratch(spark, "generated")
+    asked = c.table(spark, sf, "documents").select(F.lit("p").alias("prompt"), F.concat("source", "lang").alias("input"))
+    call = lambda df: df.withColumns({"output": F.upper("input"), "input_tokens": F.length("input").cast("long")})
+    found = [caching.cached_generate(asked, call, "expressions", path, "1", waves=2)[1] for _ in range(2)]
+    return report_rows(spark, [{"run": n, **{k: x[k] for k in ("rows", "hits", "misses", "writes")}, "input_tokens": x["usage"]["input_tokens"]} for n, x in enumerate(found)])
+
+
+@query
+def embedding_cache(spark, sf):
+    path = scratch(spark, "embedded")
+    turns = c.table(spark, sf, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", t.digest("text").alias("content_digest"))
+    embed = lambda df: embedding.hash_embed(df, 8).withColumnRenamed("id", "representation_id")
+    found = [caching.cached_embeddings(turns, embed, "hash-8", path, waves=2)[1] for _ in range(2)]
+    return report_rows(spark, [{"run": n, **{k: x[k] for k in ("rows", "hits", "writes")}} for n, x in enumerate(found)])
+
+
+@query
+def generation_flow(spark, sf):
+    asked = c.table(spark, sf, "documents").select("doc_id", F.concat_ws("-", "source", "lang").alias("input"))
+    steps = [generation.Step("upper", lambda df: df.withColumn("output", F.upper("input")), "m", "p", "1"), generation.Step("reverse", lambda df: df.withColumn("output", F.reverse("input")), "m", "p", "1")]
+    return generation.flow(asked, steps, scratch(spark, "flow"))[0].select("doc_id", "output")
+
+
+@query
+def scored_rerank(spark, sf):
+    candidates = retrieval.hydrate(retrieval.from_hits(bm25(spark, sf, 20)), large(spark, sf))
+    out = reranking.rerank(candidates, c.queries(spark, sf), lambda _, texts: [float(len(x)) for x in texts], 10)
+    return out.select("query_id", "chunk_id", F.col("rank").cast("long"), F.col("reranker_score").cast("long").alias("n"))
+
+
+@query
+def evidence_violations(spark, sf):
+    chunks, rank = large(spark, sf), F.col("rank")
+    evidence = retrieval.hydrate(retrieval.from_hits(bm25(spark, sf, 3)), chunks)
+    broken = evidence.withColumns({"text": F.when(rank == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "chunk_id": F.when(rank == 2, "none").otherwise(F.col("chunk_id")), "rank": F.when(rank == 3, 0).otherwise(rank)})
+    return answering.augmented_problems(broken, chunks).groupBy("problem").agg(F.count("*").alias("n"))

@@ -199,7 +199,7 @@ SELECT k IN (0, 2) AS valid, k <> 0 AS abstained, CASE WHEN k IN (1, 3) THEN 'co
         + f"SELECT {derived_id('large.id', 'content_digest', 'document-summary', 'sums.text')} AS id, large.id AS chunk_id, 'document-summary' AS kind, sums.text FROM large JOIN sums ON sums.id = large.document_id WHERE ordinal = 0 AND sums.text <> ''",
         "line_functions": f"""WITH turns AS (SELECT * FROM conversations WHERE text IS NOT NULL)
 SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_transform(string_split(text, chr(10)), lambda y: regexp_replace({TRIM.format('y')}, '^[-*• \t]+', '')), lambda z: regexp_replace(z, '^[0-9]+[.)][ \t]*', '')), lambda x: x <> '' AND NOT starts_with(x, '```')), '|') AS questions,
-  coalesce(substring(regexp_replace({TRIM.format("list_filter(string_split(text, chr(10)), lambda y: " + TRIM.format('y') + " <> '')[1]")}, '[\s]+', ' ', 'g'), 1, 80), '') AS excerpt FROM turns""",
+  coalesce(substring(regexp_replace({TRIM.format("list_filter(string_split(text, chr(10)), lambda y: " + TRIM.format('y') + " <> '')[1]")}, '[\\s]+', ' ', 'g'), 1, 80), '') AS excerpt FROM turns""",
         "representation_violations": with_(DOCS, LARGE) + """SELECT 'representation' AS entity, problem, count(*) AS n FROM (SELECT 'digest differs' AS problem FROM large WHERE length(text) % 5 = 1 UNION ALL SELECT 'raw text differs' FROM large WHERE length(text) % 5 = 1 UNION ALL SELECT 'unknown chunk' FROM large WHERE length(text) % 5 = 2) GROUP BY problem""",
         "normalized_vectors": "SELECT vec_id, round(cast(cast(cast(embedding[1] * 3 AS float)::double / sqrt(list_sum(list_transform(embedding, lambda x: cast(x * 3 AS float)::double * cast(x * 3 AS float)::double))) AS float) AS double), 5) AS first, 1e0 AS norm FROM embeddings",
         "document_rollup": with_(DOCS, LARGE) + "SELECT document_id, document_id AS name, count(*) AS chunks, cast(sum(length(text)) AS bigint) AS total_runes, cast(min(length(text)) AS bigint) AS min_runes, cast(max(length(text)) AS bigint) AS max_runes, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal FROM large GROUP BY document_id",
@@ -213,4 +213,24 @@ SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_transform(
   ELSE (CASE WHEN event_id % 6 IN (0, 1, 4) THEN 'transient' ELSE 'fatal' END) END AS class FROM events) GROUP BY class""",
         "query_contract": """SELECT problem, count(*) AS n FROM (SELECT 'blank' AS problem FROM benchmark WHERE item_id % 9 = 0 UNION ALL SELECT 'blank' FROM benchmark WHERE item_id % 10 = 0 AND item_id % 9 = 0 UNION ALL SELECT 'repeated' FROM benchmark WHERE item_id % 10 = 0) GROUP BY problem""",
         "neighbours_in_document": with_(DOCS, LARGE) + "SELECT id, lag(id) OVER w AS before, lead(id) OVER w AS after FROM large WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)",
+        "grouped_generation": with_(DOCS, LARGE) + "SELECT id AS chunk_id, 'summary' AS kind, CASE WHEN (ordinal % 12 + 1) % 3 = 0 THEN 'own' ELSE 'group ' || (ordinal % 12 + 1) END AS text FROM large",
+        "tied_vectors": f"""WITH vec AS (SELECT cast(vec_id AS varchar) AS id, vec_id, list_transform(embedding[1:4], lambda x: CASE WHEN x >= 0 THEN 1e0 ELSE -1e0 END) AS v FROM embeddings),
+pairs AS (SELECT q.id AS query_id, v.id AS representation_id, v.id AS chunk_id, v.id AS document_id, list_dot_product(q.v, v.v) / 4 AS score FROM vec q, vec v WHERE q.vec_id % 100 = 0),
+{top_cte('pairs', 'hits', 10)} SELECT query_id, representation_id, rank, round(score, 6) AS score FROM hits""",
+        "stored_index_topk": f"WITH {hits(10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
+        "vector_violations": """WITH base AS (SELECT vec_id, vec_id % 50 = 0 AS bad, vec_id % 61 = 0 AS short, vec_id % 73 = 0 AS other FROM embeddings), doubled AS (SELECT * FROM base UNION ALL SELECT * FROM base WHERE vec_id % 97 = 0)
+SELECT problem, count(*) AS n FROM (SELECT 'value not finite' AS problem FROM doubled WHERE bad UNION ALL SELECT 'dimensions differ' FROM doubled WHERE short UNION ALL SELECT 'model differs' FROM doubled WHERE other
+  UNION ALL SELECT 'repeated' FROM base WHERE vec_id % 97 = 0 UNION ALL SELECT 'unknown representation' FROM doubled WHERE vec_id % 89 = 0) GROUP BY problem""",
+        "signal_counts": with_(DOCS, LARGE, MEASURED) + "SELECT document_id, signal, count(*) AS n FROM (SELECT document_id, unnest(signals) AS signal FROM measured) GROUP BY ALL",
+        "uncounted_sizes": with_(DOCS, LARGE) + "SELECT count(*) AS uncounted FROM large WHERE NOT (length(text) BETWEEN 0 AND 99 OR length(text) BETWEEN 200 AND 1100)",
+        "bundle_inspection": with_(DOCS, LARGE) + "SELECT document_id, document_id AS name, count(*) AS chunks, min(ordinal) AS first, max(ordinal) AS last, 'matches' AS corpus FROM large GROUP BY document_id",
+        "ordered_vectors": with_(DOCS, LARGE) + f"SELECT {rep_id('id', 'content_digest')} AS representation_id, 'hash-16' AS model, cast(16 AS bigint) AS dims FROM large",
+        "content_lookup": with_(DOCS, LARGE) + "SELECT id, document_id, content_digest FROM large WHERE ordinal = 0",
+        "staged_bundle": with_(DOCS, LARGE) + "SELECT 'documents' AS name, count(*) AS n FROM docs WHERE text IS NOT NULL UNION ALL SELECT 'chunks', count(*) FROM large UNION ALL SELECT 'representations', count(*) FROM large",
+        "cached_generation": """WITH d AS (SELECT source || lang AS x FROM documents)
+SELECT cast(run AS bigint) AS run, n AS rows, CASE WHEN run = 0 THEN 0 ELSE n END AS hits, CASE WHEN run = 0 THEN n ELSE 0 END AS misses, CASE WHEN run = 0 THEN k ELSE 0 END AS writes, CASE WHEN run = 0 THEN (SELECT cast(sum(length(x)) AS bigint) FROM (SELECT DISTINCT x FROM d)) END AS input_tokens FROM (SELECT count(*) AS n, count(DISTINCT x) AS k FROM d), (SELECT unnest([0, 1]) AS run)""",
+        "generation_flow": "SELECT doc_id, reverse(upper(source || '-' || lang)) AS output FROM documents",
+        "scored_rerank": f"WITH {hits(20)}, sized AS (SELECT hits.query_id, hits.chunk_id, rank AS old, length(large.text) AS n FROM hits JOIN large ON large.id = hits.chunk_id) SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, old) AS rank, cast(n AS bigint) AS n FROM sized) WHERE rank <= 10",
+        "evidence_violations": f"""WITH {hits(3)} SELECT problem, count(*) AS n FROM (SELECT 'text differs' AS problem FROM hits WHERE rank = 1 UNION ALL SELECT 'unknown chunk' FROM hits WHERE rank = 2 UNION ALL SELECT 'rank below 1' FROM hits WHERE rank = 3) GROUP BY problem""",
+        "embedding_cache": """WITH t AS (SELECT count(*) AS n, count(DISTINCT text) AS k FROM conversations WHERE text IS NOT NULL) SELECT cast(run AS bigint) AS run, n AS rows, CASE WHEN run = 0 THEN 0 ELSE n END AS hits, CASE WHEN run = 0 THEN k ELSE 0 END AS writes FROM t, (SELECT unnest([0, 1]) AS run)""",
     }

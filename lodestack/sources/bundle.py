@@ -50,23 +50,24 @@ class Bundle:
             raise AttributeError(name) from None
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the cluster's own file API."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _fs(spark, path)
+    fs, at = hadoop_path(spark, path)
     return fs.exists(at)
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
     """Written under another name and renamed, so that a reader sees all of it or nothing."""
-    fs, part = _fs(spark, path + ".part")
+    fs, part = hadoop_path(spark, path + ".part")
     out = fs.create(part, True)
     out.write(json.dumps(value, indent=2, sort_keys=True).encode())
     out.close()
-    if not fs.rename(part, _fs(spark, path)[1]):
+    if not fs.rename(part, hadoop_path(spark, path)[1]):
         raise ContractError(f"{path} exists")
 
 
@@ -109,7 +110,7 @@ def build(x: BuildInput, root: str, stage: Callable[[str], None] | None = None)
     """Validate, write and publish; an identical bundle that exists is verified and returned."""
     note = stage or (lambda _: None)
     spark = x.documents.sparkSession
-    part = f"{root.rstrip('/')}/.building-{uuid.uuid4().hex}"
+    part = f"{root.rstrip('/')}/building-{uuid.uuid4().hex}"
     given = {"documents": x.documents, "chunks": x.chunks, "representations": x.representations}
     if x.vectors is not None:
         given["vectors"] = x.vectors
@@ -131,16 +132,21 @@ def build(x: BuildInput, root: str, stage: Callable[[str], None] | None = None)
         note("publish")
         write_json(spark, f"{part}/manifest.json", {"id": key, **identity})
         remove(spark, path)  # what is there without a manifest is no bundle
-        fs, at = _fs(spark, part)
-        if not fs.rename(at, _fs(spark, path)[1]):
-            raise ContractError(f"{path} cannot be published")
+        publish(spark, part, path)
     finally:
         remove(spark, part)
     return open_bundle(spark, path, check=False)
 
 
+def publish(spark: SparkSession, part: str, path: str) -> None:
+    """Give a finished folder its place, by one rename."""
+    fs, at = hadoop_path(spark, part)
+    if fs.exists(hadoop_path(spark, path)[1]) or not fs.rename(at, hadoop_path(spark, path)[1]):
+        raise ContractError(f"{path} cannot be published")
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    fs, at = _fs(spark, path)
+    fs, at = hadoop_path(spark, path)
     if fs.exists(at):
         fs.delete(at, True)
 
@@ -188,23 +194,38 @@ def verify(spark: SparkSession, path: str, stage: Callable[[str], None] | None =
     return found
 
 
-def inspect(spark: SparkSession, path: str) -> dict:
-    """Manifest and per-document chunk counts, read without texts of documents; says whether the corpus still matches."""
+def inspect(spark: SparkSession, path: str, corpus: DataFrame | None = None) -> dict:
+    """Manifest and per-document chunk counts, read without texts of the bundle's documents, and whether the source corpus
+    (the bundle's own documents where none is given) is still the one that it was built from: matches, differs or absent.
+
+    A corpus that differs still names documents; without one the names are ids.
+    """
     m = load_manifest(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks")
-    if not exists(spark, f"{path}/documents"):
-        state = "absent"
-    else:
-        state = "matches" if table_digest(spark.read.parquet(f"{path}/documents"), "id") == m["content"]["documents"]["digest"] else "differs"
-    return {"manifest": m, "chunks": chunks.groupBy("document_id").agg(F.count("*").alias("chunks"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last")), "corpus": state}
+    if corpus is None and exists(spark, f"{path}/documents"):
+        corpus = spark.read.parquet(f"{path}/documents")
+    state = "absent" if corpus is None else "matches" if table_digest(corpus, "id") == m["content"]["documents"]["digest"] else "differs"
+    rows = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    named = rows.withColumn("name", F.col("document_id"))
+    if corpus is not None:
+        titles = corpus.select(F.col("id").alias("document_id"), F.nullif("title", F.lit("")).alias("title"))
+        named = rows.join(titles, "document_id", "left").select(*rows.columns, F.coalesce("title", "document_id").alias("name"))
+    return {"manifest": m, "chunks": named, "corpus": state}
+
+
+def vector_entries(found: Bundle, model: str | None = None) -> DataFrame:
+    """Stored vectors in order of representation, of one model where it is named."""
+    rows = found.vectors if model is None else found.vectors.where(F.col("model") == model)
+    return rows.orderBy("representation_id")
 
 
-def build_staged(spark: SparkSession, root: str, out: str, chunker: str, stage: Callable[[str], None] | None = None) -> Bundle:
-    """Publish what streaming ingestion has staged under root."""
+def build_staged(spark: SparkSession, root: str, out: str, chunker: str, stage: Callable[[str], None] | None = None, model: str = "", dimensions: int = 0) -> Bundle:
+    """Publish what streaming ingestion, or a Stager, has staged under root; with vectors where a model is named."""
     from lodestack.streaming.ingest import staged
 
     tables = [staged(spark, root, name) for name in ("documents", "chunks", "representations")]
-    return build(BuildInput(*tables, chunker), out, stage)
+    vectors = staged(spark, root, "vectors") if model else None
+    return build(BuildInput(*tables, chunker, vectors, model, dimensions), out, stage)
 
 
 def load_verified_documents(spark: SparkSession, path: str, corpus_root: str, name: str) -> DataFrame:
@@ -220,12 +241,12 @@ def load_verified_documents(spark: SparkSession, path: str, corpus_root: str, na
 
 def size_of(spark: SparkSession, path: str) -> int:
     """Bytes of a folder."""
-    fs, at = _fs(spark, path)
+    fs, at = hadoop_path(spark, path)
     return fs.getContentSummary(at).getLength()
 
 
 def preflight(spark: SparkSession, path: str) -> None:
     """Whether a folder can be written, before a long build."""
-    fs, probe = _fs(spark, f"{path.rstrip('/')}/.probe-{uuid.uuid4().hex}")
+    fs, probe = hadoop_path(spark, f"{path.rstrip('/')}/.probe-{uuid.uuid4().hex}")
     fs.create(probe, True).close()
     fs.delete(probe, False)

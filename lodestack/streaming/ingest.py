@@ -7,13 +7,18 @@ tried again replaces what it wrote and nothing is doubled.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestack import schemas as s
+from lodestack.operators import embedding
 from lodestack.operators import representations as rep
 from lodestack.operators import validation as val
-from lodestack.operators.common import require
+from lodestack.operators.common import ContractError, require, saved
+from lodestack.sources.bundle import exists, hadoop_path, publish, remove
 
 STAGES = ("documents", "chunks", "representations")
 
@@ -46,3 +51,54 @@ def ingest(spark: SparkSession, source: str, chunker, root: str, fmt: str = "par
 
 def staged(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}").drop("batch")
+
+
+class Stager:
+    """Batches of documents, chunks, representations and vectors, in this order of phases, under one folder.
+
+    A batch is checked on its own and against what earlier phases have staged, then written under its number.
+    A phase is closed as soon as a later one has a batch; a batch of more than batch_size rows is an error.
+    """
+
+    PHASES = ("documents", "chunks", "representations", "vectors")
+
+    def __init__(self, spark: SparkSession, root: str, batch_size: int = 1_000_000):
+        self.spark, self.root, self.batch_size = spark, root.rstrip("/"), batch_size
+
+    def _has(self, phase: str) -> bool:
+        return exists(self.spark, f"{self.root}/{phase}")
+
+    def _add(self, phase: str, rows: DataFrame, problems: Callable[[DataFrame], list[DataFrame]]) -> None:
+        at = self.PHASES.index(phase)
+        if later := [p for p in self.PHASES[at + 1 :] if self._has(p)]:
+            raise ContractError(f"{phase} cannot follow {later[0]}")
+        if missing := [p for p in self.PHASES[:at] if not self._has(p)]:
+            raise ContractError(f"{phase} need {missing[0]} first")
+        batch = uuid.uuid4().hex
+        part = f"{self.root}/part-{batch}"
+        try:
+            written = saved(rows, part)
+            if (n := written.count()) > self.batch_size or not n:
+                raise ContractError(f"a batch of {phase} has {n} rows; 1 to {self.batch_size} are due")
+            for found in problems(written):
+                require(found, phase)
+            if self._has(phase):
+                key = "representation_id" if phase == "vectors" else "id"
+                require(written.select(key).join(staged(self.spark, self.root, phase).select(key), key, "left_semi"), f"{phase} that are staged already")
+            fs, at_root = hadoop_path(self.spark, f"{self.root}/{phase}")
+            fs.mkdirs(at_root)
+            publish(self.spark, part, f"{self.root}/{phase}/batch={batch}")
+        finally:
+            remove(self.spark, part)
+
+    def add_documents(self, rows: DataFrame) -> None:
+        self._add("documents", rows, lambda df: [val.document_problems(df)])
+
+    def add_chunks(self, rows: DataFrame) -> None:
+        self._add("chunks", rows, lambda df: [val.chunk_problems(df, staged(self.spark, self.root, "documents"))])
+
+    def add_representations(self, rows: DataFrame) -> None:
+        self._add("representations", rows, lambda df: [val.representation_problems(df, staged(self.spark, self.root, "chunks"))])
+
+    def add_vectors(self, rows: DataFrame) -> None:
+        self._add("vectors", rows, lambda df: [embedding.vector_problems(df, staged(self.spark, self.root, "representations"))])

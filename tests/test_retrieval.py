@@ -146,7 +146,26 @@ def test_approximate_recall(spark):
     index = vectors(spark, 400, 16)
     queries = index.limit(20).select(F.col("representation_id").alias("query_id"), "values")
     exact = {(h["query_id"], h["representation_id"]) for h in vector_search.exact(index, queries, 5).collect()}
-    near = {(h["query_id"], h["representation_id"]) for h in vector_search.approximate(index, queries, 5, probes=8, cells=12).collect()}
+    near = {(h["query_id"], h["representation_id"]) for h in vector_search.approximate(index, queries, 5).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+
+
+def test_approximate_search_of_clusters_scores_little(spark, monkeypatch):
+    """Vectors in clusters: the recall that is asked for, while a query meets less than a tenth of the index."""
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((60, 24))
+    points = centers[rng.integers(0, 60, 6000)] + 0.25 * rng.standard_normal((6000, 24))
+    index = spark.createDataFrame([(f"r{i}", f"c{i}", f"d{i}", [float(x) for x in v]) for i, v in enumerate(points)], "representation_id string, chunk_id string, document_id string, values array<float>")
+    queries = index.limit(100).select(F.col("representation_id").alias("query_id"), "values")
+    m = vector_search.sampled(index)
+    found = vector_search.centroids(m, 300)
+    probes = vector_search.probes_for(m, found, 10, 0.95)
+    size = np.bincount(vector_search._nearest(m, found, 1)[:, 0], minlength=300)
+    share = size[vector_search._nearest(m[:100], found, probes)].sum(axis=1).mean() / len(m)
+    assert share < 0.1
+    exact = {(h["query_id"], h["representation_id"]) for h in vector_search.exact(index, queries, 10).collect()}
+    monkeypatch.setattr(vector_search, "INDEX_BLOCK", 7)
+    near = {(h["query_id"], h["representation_id"]) for h in vector_search.approximate(index, queries, 10, cells=300).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 
@@ -371,6 +390,50 @@ def test_cache(spark, tmp_path):
     assert second == {"rows": 3, "hits": 3, "misses": 0, "writes": 0}
 
 
+def test_cache_waves_budget_and_retries(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), f"t{i % 7}") for i in range(20)], "id string, text string")
+    key, path, calls = caching.generation_key("s", "1", "m", "p"), str(tmp_path / "c"), []
+
+    def work(df):
+        calls.append(1)
+        if len(calls) == 4:  # the first call only tells the schema
+            raise ValueError("status=503")
+        return df.select("key", F.upper("text").alias("big"))
+
+    with pytest.raises(ContractError, match="budget"):
+        caching.cached(rows, key, work, ["big"], path, budget=6)
+    calls.clear()
+    with pytest.raises(ValueError):
+        caching.cached(rows, key, work, ["big"], path, waves=4)
+    kept = spark.read.parquet(path).count()
+    assert 0 < kept < 7  # waves that were written before the failure stay
+    out, report = caching.cached(rows, key, work, ["big"], path, waves=4, attempts=2)
+    assert report["writes"] == 7 - kept and {r["id"]: r["big"] for r in out.collect()} == {str(i): f"T{i % 7}" for i in range(20)}
+
+
+def test_cached_generation_and_flow(spark, tmp_path):
+    asked_ = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "bb")], "prompt string, input string")
+    call = lambda df: df.withColumns({"output": F.upper("input"), "input_tokens": F.length("input").cast("long")})
+    made = [caching.cached_generate(asked_, call, m, str(tmp_path / "g"), v) for m, v in (("m", "1"), ("m", "1"), ("n", "1"), ("m", "2"))]
+    assert [x[1]["writes"] for x in made] == [2, 0, 2, 2] and [x[1]["usage"]["input_tokens"] for x in made] == [3, None, 3, 3]
+    assert made[0][0].columns == ["prompt", "input", "output"] and made[0][1]["usage"]["output_tokens"] is None
+    with pytest.raises(ContractError):
+        caching.cached_generate(asked_, call, "m", str(tmp_path / "g"), " ")
+    steps = [generation.Step("a", call, "m", "p", "1"), generation.Step("b", lambda df: df.withColumn("output", F.concat("input", F.lit("!"))), "m", "p", "1")]
+    out, reports = generation.flow(asked_.select("input"), steps, str(tmp_path / "f"))
+    assert sorted(r["output"] for r in out.collect()) == ["A!", "A!", "BB!"] and [x["writes"] for x in reports.values()] == [2, 2]
+    with pytest.raises(ContractError):
+        generation.flow(asked_, steps[:1] * 2, str(tmp_path / "f"))
+
+
+def test_counts_of_signals(spark):
+    rows = spark.createDataFrame([("d", ["short", "furniture"]), ("d", ["short"]), ("e", ["short"]), ("e", [])], "document_id string, signals array<string>")
+    assert (statistics.count(rows, "short"), statistics.document_count(rows, "short"), statistics.count(rows, "no-overlap")) == (3, 2, 0)
+    assert {(r["document_id"], r["signal"]): r["n"] for r in statistics.count_by_document(rows).collect()} == {("d", "short"): 2, ("d", "furniture"): 1, ("e", "short"): 1}
+    with pytest.raises(ContractError):
+        statistics.count(rows, "other")
+
+
 def test_cached_rerank_and_observed_calls(spark, tmp_path):
     queries, calls = asked(spark, "red oak leaf"), tmp_path / "calls"
     candidates = evidence(spark, "pine", "oak leaf", "red oak leaf leaf")

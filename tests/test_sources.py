@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestack.operators import chunking, code_chunks, embedding
 from lodestack.operators import representations as rep
 from lodestack.operators.common import ContractError
-from lodestack.sources import bundle, corpus, git_sources
+from lodestack.sources import bundle, content, corpus, git_sources
 from lodestack.streaming import ingest
 
 TEXT = "# Oak\nOak trees have lobed leaves."
@@ -77,7 +77,11 @@ def test_bundle_is_built_reused_and_verified(spark, tmp_path):
     with pytest.raises(ContractError):
         bundle.open_bundle(spark, one.path, "other")
     assert bundle.build(build_input(spark, docs), str(tmp_path / "out")).manifest["id"] != one.manifest["id"]
-    assert bundle.inspect(spark, one.path)["corpus"] == "matches"
+    seen = bundle.inspect(spark, one.path, docs)
+    assert seen["corpus"] == "matches" and {r["name"] for r in seen["chunks"].collect()} == {"Oak"}
+    assert bundle.inspect(spark, one.path)["corpus"] == "matches" and bundle.inspect(spark, one.path, docs.limit(1))["corpus"] == "differs"
+    keys = [r["representation_id"] for r in bundle.vector_entries(one, "hash-16").collect()]
+    assert keys == sorted(keys) and len(keys) == one.vectors.count() and bundle.vector_entries(one, "other").count() == 0
     one.chunks.withColumn("text", F.concat("text", F.lit("!"))).write.parquet(str(tmp_path / "tampered"))
     import shutil
 
@@ -87,6 +91,58 @@ def test_bundle_is_built_reused_and_verified(spark, tmp_path):
         bundle.verify(spark, one.path)
 
 
+def test_a_plan_that_differs_each_time_is_evaluated_once(spark, tmp_path):
+    """Texts of a random generator: manifest, files and contracts agree, and nothing is left beside the bundle."""
+    docs = corpus.load_documents(spark, write(tmp_path / "c.json", [doc(), doc("b", "second text")]))
+    chunks = chunking.Fixed(10).chunk(docs)
+    reps = rep.compose(rep.raw(chunks), rep.derived(chunks, "summary", F.concat(F.lit("random "), F.uuid()), "m", "p"))
+    made = bundle.build(bundle.BuildInput(docs, chunks, reps, "fixed-10-0"), str(tmp_path / "out"))
+    assert bundle.verify(spark, made.path).representations.count() == 2 * chunks.count()
+    assert [x.name for x in (tmp_path / "out").iterdir()] == [made.manifest["id"]]
+    with pytest.raises(ContractError):
+        bundle.build(bundle.BuildInput(docs, chunks.withColumn("byte_end", F.lit(99)), reps, "fixed-10-0"), str(tmp_path / "out"))
+    assert [x.name for x in (tmp_path / "out").iterdir()] == [made.manifest["id"]]
+
+
+def test_content_store(spark, tmp_path):
+    docs = corpus.load_documents(spark, write(tmp_path / "c.json", [doc(), doc("b", "second text")]))
+    chunks = chunking.Fixed(10).chunk(docs)
+    store = content.build_content(docs, chunks, str(tmp_path / "store"))
+    again = content.build_content(docs.repartition(3), chunks, str(tmp_path / "other"))
+    assert store.identity == again.identity and content.open_content(spark, store.path, again.identity.id, check=True).chunks.count() == chunks.count()
+    some = chunks.limit(2).select("id")
+    assert {r["id"] for r in store.lookup(some.union(some)).collect()} == {r["id"] for r in some.collect()}
+    for bad in (lambda: content.build_content(docs, chunks, store.path), lambda: content.open_content(spark, store.path, "content-0"), lambda: content.build_content(docs, chunks.limit(0), str(tmp_path / "e"))):
+        with pytest.raises(ContractError):
+            bad()
+    with pytest.raises(Exception, match="unknown chunk"):
+        store.lookup(spark.createDataFrame([("zz",)], "id string")).collect()
+
+
+def test_stager_keeps_the_order_of_phases_and_lineage(spark, tmp_path):
+    docs = corpus.load_documents(spark, write(tmp_path / "c.json", [doc(), doc("b", "second text")]))
+    chunks = chunking.Fixed(10).chunk(docs)
+    reps = rep.raw(chunks)
+    vectors = embedding.hash_embed(reps, 8).select(F.col("id").alias("representation_id"), "values", F.lit("hash-8").alias("model"))
+    stager = ingest.Stager(spark, str(tmp_path / "stage"), 100)
+    fails = lambda f, x: pytest.raises(ContractError, f, x)
+    fails(stager.add_chunks, chunks)
+    stager.add_documents(docs.where("id = 'b'"))
+    fails(stager.add_documents, docs)  # one of them is there already
+    stager.add_documents(docs.where("id <> 'b'"))
+    fails(stager.add_chunks, chunks.withColumn("document_id", F.lit("zz")))
+    fails(stager.add_chunks, chunks.limit(0))
+    stager.add_chunks(chunks)
+    fails(stager.add_documents, docs.withColumn("id", F.concat("id", F.lit("2"))))
+    fails(stager.add_vectors, vectors)
+    stager.add_representations(reps)
+    fails(stager.add_vectors, vectors.withColumn("representation_id", F.lit("zz")))
+    stager.add_vectors(vectors)
+    made = bundle.build_staged(spark, str(tmp_path / "stage"), str(tmp_path / "out"), "fixed-10-0", model="hash-8", dimensions=8)
+    assert made.vectors.count() == made.representations.count() == chunks.count()
+    fails(ingest.Stager(spark, str(tmp_path / "small"), 1).add_documents, docs)
+
+
 def test_bundle_input_contracts(spark, tmp_path):
     docs = corpus.load_documents(spark, write(tmp_path / "c.json", [doc()]))
     x = build_input(spark, docs, 8)
@@ -150,6 +206,11 @@ def test_git_sources_and_symbols(spark, tmp_path):
     assert row["qualified_name"] == "example.com/oak/pkg.(*Tree).Grow" and row["text"].encode() == GO.encode()[row["byte_start"] : row["byte_end"]] and row["line_start"] == 13
     lines = code_chunks.symbols(records, "oak").where("text like '%method%'").first()["text"].split("\n")
     assert lines[0] == "Go method example.com/oak/pkg.(*Tree).Grow." and "Signature: func(n int) error." in lines
+    assert lines[1] == "Package: example.com/oak/pkg." and code_chunks.symbols(records, "oak").select("id").distinct().count() == records.count()
+    assert code_chunks.record_problems(records, docs).count() == 0
+    broken = records.withColumns({"line_end": F.lit(0), "kind": F.lit(" ")})
+    bare = docs.withColumn("metadata", F.create_map().cast("map<string,string>"))
+    assert {r["problem"] for r in code_chunks.record_problems(broken, bare).collect()} == {"no repository, commit or path", "bad lines", "no kind or package"}
     assert code_chunks.fixed_with_lines(docs, 60, 0).select("package_name").distinct().collect()[0][0] == "oak"
 
 
