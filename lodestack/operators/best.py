@@ -13,7 +13,7 @@ BEST = "query_id string, representation_id string, chunk_id string, document_id
 
 
 class Best:
-    """The first k rows of each query by (rounded score, ids), of all rows added so far.
+    """The first k rows of each query by (rounded score, ids), of all rows added so far; by_document: of the best row of each document.
 
     Holds k rows a query, and as many again for each of WAITING batches. A cut never goes by anything but
     the whole order: what stays does not depend on how rows are dealt into batches and tasks.
@@ -21,8 +21,8 @@ class Best:
 
     WAITING = 16
 
-    def __init__(self, ids: list, k: int):
-        self.ids, self.k = np.asarray(ids, dtype=object), k
+    def __init__(self, ids: list, k: int, by_document: bool = False):
+        self.ids, self.k, self.by_document = np.asarray(ids, dtype=object), k, by_document
         self.held: list[pd.DataFrame] = []
 
     def add(self, scores: np.ndarray, keys: pd.DataFrame, present: np.ndarray | None = None) -> None:
@@ -35,11 +35,15 @@ class Best:
             cut = np.where(present, cut, -np.inf)
         place = np.empty(n, dtype=np.int64)
         place[np.lexsort([keys[c].to_numpy().astype(str) for c in reversed(KEYS)])] = np.arange(n)
-        rows, queries = [], []
-        least = np.partition(cut, n - self.k, axis=0)[n - self.k] if n > self.k else np.full(q, -np.inf)
+        # a document may hold many of the best rows: its others are only left out after all are sorted
+        least = np.partition(cut, n - self.k, axis=0)[n - self.k] if n > self.k and not self.by_document else np.full(q, -np.inf)
         at, of = np.nonzero((cut >= least[None, :]) & np.isfinite(cut))
         order = np.lexsort((place[at], -cut[at, of], of))
         at, of = at[order], of[order]
+        if self.by_document:
+            names, number = np.unique(keys["document_id"].to_numpy().astype(str), return_inverse=True)
+            best = np.sort(np.unique(of * len(names) + number[at], return_index=True)[1])
+            at, of = at[best], of[best]
         first = np.searchsorted(of, np.arange(q))
         stays = np.arange(len(of)) - first[of] < self.k
         rows, queries = at[stays], of[stays]
@@ -51,6 +55,8 @@ class Best:
     def _merged(self) -> pd.DataFrame:
         whole = pd.concat(self.held, ignore_index=True)
         whole = whole.sort_values(["query", "cut", *KEYS], ascending=[True, False, True, True, True])
+        if self.by_document:
+            whole = whole.drop_duplicates(["query", "document_id"])
         return whole.groupby("query", sort=False).head(self.k)
 
     def rows(self) -> pd.DataFrame | None:

@@ -162,8 +162,8 @@ class Weights:
         scores += np.bincount(cells, weights=np.repeat(part, held) * self.weights[at], minlength=scores.size).reshape(scores.shape)
 
 
-def search_index(index: Index, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, config: BM25Config = BM25Config(), keep: Column | None = None) -> DataFrame:
-    """The k best hits of each query by the sum of the fields' boosted scores.
+def search_index(index: Index, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, config: BM25Config = BM25Config(), keep: Column | None = None, by_document: bool = False) -> DataFrame:
+    """The k best hits of each query by the sum of the fields' boosted scores; by_document: of the best hit of each document.
 
     keep filters entries before they are scored; statistics stay those of all."""
     boosts = {f: b for f, b in (boosts or {f: 1.0 for f in index.fields}).items() if b > 0}
@@ -171,12 +171,15 @@ def search_index(index: Index, queries: DataFrame, k: int, boosts: dict[str, flo
     numbered = queries.select("query_id", "text").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     out = None
     for b in range(blocks):
-        part = _search_block(index, numbered.where(F.col("block") == b), k, boosts, config, keep)
+        part = _search_block(index, numbered.where(F.col("block") == b), k, boosts, config, keep, by_document)
         out = part if out is None else out.unionByName(part)
-    return as_hits(top_k(out, k, [F.col("cut").desc(), *[F.col(c) for c in KEYS]]), config.channel)
+    order = [F.col("cut").desc(), *[F.col(c) for c in KEYS]]
+    if by_document:
+        out = top_k(out, 1, order, ("query_id", "document_id")).drop("rank")
+    return as_hits(top_k(out, k, order), config.channel)
 
 
-def _search_block(index: Index, queries: DataFrame, k: int, boosts: dict[str, float], config: BM25Config, keep: Column | None) -> DataFrame:
+def _search_block(index: Index, queries: DataFrame, k: int, boosts: dict[str, float], config: BM25Config, keep: Column | None, by_document: bool) -> DataFrame:
     asked = query_terms(queries).collect()
     spark = index.entries.sparkSession
     vocabulary = spark.createDataFrame(pd.DataFrame({"term": pd.Series(sorted({r["term"] for r in asked}), dtype=str)}), "term string")
@@ -191,7 +194,7 @@ def _search_block(index: Index, queries: DataFrame, k: int, boosts: dict[str, fl
     columns = [f"terms_{f}" for f in weights]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(ids, k)
+        best = Best(ids, k, by_document)
         step = max(1, CELLS // max(1, len(ids)))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
@@ -206,9 +209,9 @@ def _search_block(index: Index, queries: DataFrame, k: int, boosts: dict[str, fl
     return entries.select(*KEYS, *columns).mapInArrow(task, BEST)
 
 
-def search(records: DataFrame | Index, queries: DataFrame, k: int, config: BM25Config = BM25Config(), keep: Column | None = None) -> DataFrame:
+def search(records: DataFrame | Index, queries: DataFrame, k: int, config: BM25Config = BM25Config(), keep: Column | None = None, by_document: bool = False) -> DataFrame:
     """The k best hits of each query over the text field. keep filters representations; statistics stay those of all."""
-    return search_index(records if isinstance(records, Index) else analysed(records), queries, k, {"text": 1.0}, config, keep)
+    return search_index(records if isinstance(records, Index) else analysed(records), queries, k, {"text": 1.0}, config, keep, by_document)
 
 
 def search_fields(records: DataFrame | Index, queries: DataFrame, k: int, title_boost: float = 2.0, body_boost: float = 1.0, config: BM25Config = BM25Config(channel="lexical")) -> DataFrame:

@@ -76,7 +76,7 @@ def fixed_chunks(spark, sf):
 @query
 def range_chunks(spark, sf):
     docs = c.documents(spark, sf)
-    ranges = SMALL.chunk(docs).where("ordinal % 2 = 0").select("document_id", "byte_start", "byte_end")
+    ranges = SMALL.chunk(docs).select("document_id", "byte_start", "byte_end")
     return chunking.from_ranges(docs, ranges, "ranges").select("id", "document_id", F.col("ordinal").cast("long"), F.col("byte_start").cast("long"), "content_digest")
 
 
@@ -153,7 +153,7 @@ def hash_embedding(spark, sf):
 # search -----------------------------------------------------------------------------------------
 @query
 def bm25_topk(spark, sf):
-    hits = retrieval.collapse(bm25(spark, sf, 50), "document").where("rank <= 10")
+    hits = lexical.search(c.records(large(spark, sf)), c.queries(spark, sf), 10, by_document=True)
     return scores(hits).select("query_id", "document_id", "chunk_id", F.col("rank").cast("long"), "score")
 
 

@@ -122,7 +122,7 @@ def queries() -> dict[str, str]:
         "content_digest": "SELECT cast(doc_id AS varchar) AS id, sha256(text) AS content_digest FROM documents",
         "text_shapes": f"SELECT doc_id, cast(length(text) AS bigint) AS runes, cast(strlen(text) AS bigint) AS bytes, substring(text, 1, 20) AS lead, sha256(array_to_string({collapse}, '; ')) AS collapsed_sha256 FROM documents",
         "fixed_chunks": with_(DOCS, LARGE) + "SELECT id, document_id, ordinal, byte_start, byte_end, content_digest FROM large",
-        "range_chunks": with_(DOCS, SMALL, "kept AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY byte_start) - 1 AS ordinal, byte_start, byte_end, content_digest FROM small WHERE ordinal % 2 = 0)")
+        "range_chunks": with_(DOCS, SMALL, "kept AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY byte_start) - 1 AS ordinal, byte_start, byte_end, content_digest FROM small)")
         + """SELECT 'chunk-' || substr(sha256('{"document_id":"' || document_id || '","chunker":"ranges","byte_start":' || byte_start || ',"byte_end":' || byte_end || ',"text_digest":"' || content_digest || '"}'), 1, 16) AS id, document_id, ordinal, byte_start, content_digest FROM kept""",
         "raw_representations": with_(DOCS, LARGE) + f"SELECT {rep_id('id', 'content_digest')} AS id, id AS chunk_id, 'raw' AS kind, content_digest FROM large",
         "lead_summaries": with_(DOCS, LARGE, SUMMARIES) + f"SELECT {derived_id('chunk_id', 'content_digest', 'summary', 'text')} AS id, chunk_id, 'summary' AS kind, text FROM summaries",
@@ -134,7 +134,8 @@ def queries() -> dict[str, str]:
         "batch_groups": with_(DOCS, SMALL) + "SELECT id, ordinal // 12 AS group_no, ordinal % 12 + 1 AS place FROM small",
         "hash_embedding": with_(DOCS, embed_cte("docs", "id", "emb", 16), f"ids AS (SELECT id, cast(len({terms('text')}) AS bigint) AS n_terms FROM docs)", "dims AS (SELECT unnest(range(0, 16)) AS d)")
         + "SELECT ids.id, n_terms, dims.d, round(cast(coalesce(x, 0) AS double), 5) AS x FROM ids CROSS JOIN dims LEFT JOIN emb ON emb.key = ids.id AND emb.d = dims.d",
-        "bm25_topk": f"WITH {hits(50)}, {COLLAPSED} SELECT query_id, document_id, chunk_id, rank, round(score, 6) AS score FROM collapsed WHERE rank <= 10",
+        "bm25_topk": f"""WITH {BM25}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY round(score, 9) DESC, chunk_id, representation_id) AS n FROM scored),
+firsts AS (SELECT * FROM best WHERE n = 1), {top_cte('firsts', 'hits', 10)} SELECT query_id, document_id, chunk_id, rank, round(score, 6) AS score FROM hits""",
         "two_field_bm25": f"""WITH {DOCS}, {LARGE}, {RECORDS}, titled AS (SELECT *, substring(text, 1, 60) AS title FROM records), {ASKED}, {bm25_cte('titled', 'title', 'by_title')}, {bm25_cte('titled', 'text', 'by_body')},
 both_f AS (SELECT query_id, representation_id, chunk_id, document_id, sum(score) AS score FROM (SELECT query_id, representation_id, chunk_id, document_id, 2e0 * score AS score FROM by_title UNION ALL SELECT query_id, representation_id, chunk_id, document_id, score FROM by_body) GROUP BY ALL),
 {top_cte('both_f', 'hits', 10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits""",

@@ -118,6 +118,16 @@ def test_best_rows_are_bounded_and_those_of_the_whole_order():
         assert got[got["query_id"] == name]["document_id"].tolist() == whole["document_id"].tolist()[:5]
 
 
+def test_best_documents_are_those_of_all_chunks(spark, monkeypatch):
+    """A document with many good chunks takes one place, and the places after it are filled."""
+    texts = {f"big{i:02}": "oak oak oak" for i in range(40)} | {f"one{i}": "oak " + "filler " * (i + 1) for i in range(5)}
+    rows = records(spark, **texts).withColumn("document_id", F.when(F.startswith("chunk_id", F.lit("big")), "big").otherwise(F.col("chunk_id")))
+    for parts, cells in ((1, 10**6), (5, 10**6), (2, 3)):
+        monkeypatch.setattr(lexical, "CELLS", cells)
+        found = lexical.search(rows.repartition(parts), asked(spark, "oak"), 4, by_document=True).orderBy("rank").collect()
+        assert [(h["document_id"], h["chunk_id"]) for h in found] == [("big", "big00"), ("one0", "one0"), ("one1", "one1"), ("one2", "one2")]
+
+
 def test_persisted_index(spark, tmp_path, monkeypatch):
     texts = {"oak": "Oak trees grow in oak soil", "pine": "Pine trees", "none": "", "soil": "soil soil soil and oak"}
     rows = records(spark, **texts).withColumn("title", F.lit("oak title"))
