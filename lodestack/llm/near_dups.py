@@ -48,7 +48,7 @@ HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 #: Rows of a block of sets; of signatures (64 bytes each) a block holds a sixteenth of its group, within bounds.
 BLOCK = 512
-SIGNATURES = (512, 8_192)
+SIGNATURES = (256, 8_192)
 MISSED = 3e-6
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)

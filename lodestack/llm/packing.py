@@ -9,7 +9,8 @@ window but the last of a task is full. That last one is cut into the powers of t
 length where that pads less. Windows are dealt into step groups of about equal attention cost.
 
 Defined cases: a null text is an empty document (its end id only); repeated rows are packed each for
-itself; null ids stay null; an empty table gives no pieces; extra columns are left out.
+itself; null ids stay null; of pieces of one length the one read last is taken first; a very long
+text is cut into windows of the longest tier and a rest; an empty table gives no pieces; extra columns are left out.
 """
 
 from __future__ import annotations

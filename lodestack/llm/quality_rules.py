@@ -6,8 +6,9 @@ grow with the input), and a two-class model with a vote distribution for each ru
 to the counts. A document's posterior is a sum of weights, computed beside its votes.
 
 Defined cases: a null text has no words (all counts 0, most rules abstain); repeated rows vote each for
-itself; an empty table keeps the starting weights; nulls elsewhere and extra columns pass through,
-columns called like results are replaced.
+itself; documents of one pattern of votes have one posterior, and one of exactly the threshold is kept; an
+empty table keeps the starting weights; nulls elsewhere and extra columns pass through,
+columns called like results are replaced; very long texts are counted whole, in time about linear in them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import WORD_RE, regroup
+from lodestack.llm.common import WORD_RE, Workspace, regroup
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shout_words", "top_word", "n_ended_lines")
@@ -192,8 +193,17 @@ def judge(voted: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that are kept, with their own columns: one pass to fit, one to apply."""
-    names = list(votes())
-    model = fit(with_votes(with_counts(docs, [])), names)
-    judged = judge(with_votes(with_counts(docs.withColumns({f"__own_{c}": F.col(c) for c in COUNTS if c in docs.columns}), [*[c for c in docs.columns if c not in COUNTS], *[f"__own_{c}" for c in COUNTS if c in docs.columns]])), model, threshold)
-    return judged.where("kept").select(*[F.col(f"`__own_{c}`" if c in COUNTS else f"`{c}`").alias(c) for c in docs.columns])
+    """The documents that are kept, with their own columns.
+
+    Texts are counted once: documents are written with their votes, the model is fitted to the votes
+    and applied to them. Votes are digits of one number, so that columns called like counts stay."""
+    names, own = list(votes()), "__votes"
+    # no column of documents may meet a count or a vote of the same name
+    place = {c: "text" if c == "text" else f"__own_{n}" for n, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in place.items()])
+    voted = with_votes(with_counts(renamed, renamed.columns)).select(*renamed.columns, base_failed().alias("__failed"), pattern(names).alias(own))
+    voted = Workspace(docs.sparkSession, "quality").save(voted, "votes")
+    digits = voted.withColumns({f"vote_{k}": F.pmod(F.floor(F.col(own) / 3 ** (len(names) - 1 - j)), F.lit(3)).cast("int") - 1 for j, k in enumerate(names)})
+    model = fit(digits, names)
+    kept = digits.where(~F.col("__failed") & (posterior(model, names) >= threshold))
+    return kept.select(*[F.col(x).alias(c) for c, x in place.items()])

@@ -90,7 +90,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = t.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = t.score_toxicity(docs, model, ["doc_id"])
-    return scored.select("doc_id", t.held_out().alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+    return scored.select("doc_id", t.held_out().alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 Format (version 1): a folder of Parquet files whose names ascend with doc_id. A row is a frame of whole
 documents: shard, frame, doc_ids (int64), lengths (uint32, ids of each document), n_ids, offsets
 (uint32, first word of each block of 128 ids, total at the end), words (uint64 Simple-8b words) and
-words_crc32; all packed little-endian. Frames hold about FRAME_IDS ids, a long document more.
+words_crc32; all packed little-endian. A frame holds at most 2,048 documents or about 4 MB of text, and a longer
+document alone.
 
 Defined cases: a null text is an empty document (its end id only); null ids come first and stay null;
-rows of equal id are ordered by text; an empty table gives no frames; extra columns are not written.
+rows of equal id, or without one, are ordered by text, and dealt over several files by how their texts begin;
+an empty table gives no frames; extra columns are not written; very long texts are one document of one frame.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 from lodestack.llm import simple8b
 from lodestack.llm.common import regroup, text_or_empty, token_memo
 
-FRAME_IDS = 1 << 18
 FRAMES = "shard int, frame int, doc_ids binary, has_id binary, lengths binary, n_ids long, offsets binary, words binary, words_crc32 long"
 
 
@@ -55,7 +56,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -
             )
             frame += 1
 
-    ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, FRAMES).write.option("compression", "none").parquet(path)
 
 

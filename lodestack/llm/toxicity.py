@@ -13,7 +13,9 @@ Scoring reads every word of every text.
 Defined cases: a null text is empty, and an empty text gets the score of a text without toxic words;
 equal texts have equal scores; label rows with null fields are left out, documents labelled more than
 once are toxic if any label says so; with no label of one kind every score is the share of toxic
-labels (0.5 without labels); extra columns pass through, and ones called like results are replaced.
+labels (0.5 without labels); a score of exactly the cut is predicted toxic, and equal words have equal features
+wherever they stand; extra columns pass through, and ones called like results are replaced; texts are
+scored whole, very long ones in time linear in their words.
 """
 
 from __future__ import annotations
