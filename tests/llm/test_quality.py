@@ -65,14 +65,14 @@ def test_verdicts_by_brute_force(spark, make):
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(200)]
 
     def text():
-        out = [rng.choice(words) for _ in range(rng.randint(3, 60))]
-        if rng.random() < 0.3:
+        out = [rng.choice(words) for _ in range(rng.randint(8, 90))]
+        if rng.random() < 0.1:
             out = [w + rng.choice(["***", "", "#"]) for w in out]
-        if rng.random() < 0.2:
+        if rng.random() < 0.1:
             out = [w.upper() for w in out]
-        if rng.random() < 0.2:
+        if rng.random() < 0.1:
             out += out[:12] * 2
-        return rng.choice([" ", " ", "\n"]).join(out) + rng.choice([".", "", "\n"])
+        return rng.choice([" ", " ", " ", "\n"]).join(out) + rng.choice([".", ".", "", "\n"])
 
     docs = make([text() for _ in range(300)] + EDGE)
     names = list(q.votes())
