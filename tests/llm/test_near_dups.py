@@ -7,9 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.llm import near_dups as nd
-from lodestack.llm.common import Workspace
+from lodestack.llm.common import Workspace, spread_join
 from lodestack.llm.components import components
 
 from .conftest import EDGE
@@ -100,3 +101,19 @@ def test_components_of_chains_and_stars(spark, local):
     got = {r["id"]: r["component"] for r in components(df, Workspace(spark, "test"), local).collect()}
     assert got == {i: 10 for i in range(10, 41)} | {i: 100 for i in range(100, 120)} | {200: 200, 201: 200}
     assert components(df.limit(0), Workspace(spark, "test"), local).count() == 0
+
+
+def test_very_long_texts(make):
+    words = [f"w{k}" for k in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-3000])), (3, " ".join(words[:45_000])), (4, " ".join(words[1:] + ["end"]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(make(rows), 3, 85).collect()}
+    assert got == {1: (59_998, 1), 2: (56_998, 1), 3: (44_998, 3), 4: (59_998, 1)}
+
+
+def test_hot_keys_join_as_others_do(spark):
+    rows = [(k, f"r{i}") for i in range(400) for k in ((7 if i % 3 else i), None)]
+    left = spark.createDataFrame(rows, "k long, r string")
+    counts = left.where("k is not null").groupBy("k").count().withColumnRenamed("count", "n").withColumn("v", F.col("k") * 2)
+    got = sorted((r["r"], r["k"] or -1, r["n"] or -1, r["v"] or -1) for r in spread_join(left, counts, "k", "n").collect())
+    held = {r["k"]: r["n"] for r in counts.collect()}
+    assert got == sorted((r, k or -1, held.get(k) or -1, (2 * k if k is not None else None) or -1) for k, r in rows)

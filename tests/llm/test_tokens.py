@@ -120,3 +120,36 @@ def test_step_groups_are_even():
     for g, c in zip(groups, [4] * 40 + [1] * 24):
         cost[g] += c
     assert len(cost) == 4 and max(cost.values()) - min(cost.values()) <= 4
+
+
+def test_very_long_texts(spark, make):
+    texts = ["a few words, " * 60_000, "x" * 300_000, "short"]
+    want = [len(x) for x in plain(NAMES[0], texts)]
+    assert {r["doc_id"]: r["n_tokens"] for r in count_tokens(make(texts), vocabulary(NAMES[0]), blanks_matter=False).collect()} == dict(enumerate(want))
+    path = Workspace(spark, "test").path("long")
+    write_tokens(make(texts), vocabulary(NAMES[0]), path)
+    assert {r["doc_id"]: r["n_tokens"] for r in read_tokens(spark, path).collect()} == {i: n + 1 for i, n in enumerate(want)}
+
+
+def test_equal_ids_lie_in_order_over_files(spark, make):
+    """Rows of one id, or none, are dealt by the beginning of their texts, and keep their order."""
+    rows = [(k, f"{i:03} text") for i in range(200) for k in (None, 4)]
+    path = Workspace(spark, "test").path("ids")
+    write_tokens(make(rows).repartition(3), vocabulary(NAMES[0]), path)
+    got = read_tokens(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 200 + [4] * 200
+    ids = [zlib.crc32(np.array(x + [1], dtype="<u4").tobytes()) for x in plain(NAMES[0], [f"{i:03} text" for i in range(200)])]
+    assert [r["ids_crc32"] for r in got] == ids * 2
+
+
+@given(st.lists(st.integers(1, 5000), min_size=1, max_size=80))
+@settings(max_examples=100, deadline=None)
+def test_windows_begin_with_a_piece_of_their_tier(lengths):
+    """Long documents give whole windows; other windows begin with a piece that no smaller tier holds, or are the powers of two of what is left."""
+    found = packing.pack(lengths)
+    cut = next((k for k, (size, _) in enumerate(found) if size not in packing.TIERS), len(found))
+    below = dict(zip(packing.TIERS, (0, *packing.TIERS)))
+    whole = sum(n // packing.TIERS[-1] for n in lengths)
+    assert all(size == packing.TIERS[-1] and len(window) == 1 for size, window in found[:whole])
+    left = sum(lengths) - sum(size for size, window in found if size in packing.TIERS and below[size] < window[0][2])
+    assert cut == len(found) or left < 2 * packing.TIERS[-1] * len(packing.TIERS)

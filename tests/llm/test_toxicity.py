@@ -62,3 +62,12 @@ def test_held_out_accuracy_and_offsets(spark, make):
     assert t.score_toxicity(docs.limit(0), model).count() == 0
     flat = t.train(docs, labels.limit(0))
     assert {r["score"] for r in t.score_toxicity(docs.limit(5), flat).collect()} == {0.5}
+
+
+def test_very_long_text_is_scored_whole(spark, make):
+    rows = invented(600, 4)
+    docs = make([(i, x) for i, x, _ in rows])
+    model = t.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    text = "plain words here. " * 60_000 + "zzgrom xxlurp zzgrom."
+    (row,) = t.score_toxicity(make([text]), model).collect()
+    assert {text[s["start"] : s["end"]] for s in row["spans"]} <= {"zzgrom", "xxlurp"} and row["spans"][-1]["end"] > 1_080_000
