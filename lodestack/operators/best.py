@@ -35,18 +35,24 @@ class Best:
             cut = np.where(present, cut, -np.inf)
         place = np.empty(n, dtype=np.int64)
         place[np.lexsort([keys[c].to_numpy().astype(str) for c in reversed(KEYS)])] = np.arange(n)
-        # a document may hold many of the best rows: its others are only left out after all are sorted
-        least = np.partition(cut, n - self.k, axis=0)[n - self.k] if n > self.k and not self.by_document else np.full(q, -np.inf)
-        at, of = np.nonzero((cut >= least[None, :]) & np.isfinite(cut))
-        order = np.lexsort((place[at], -cut[at, of], of))
-        at, of = at[order], of[order]
+        table, group = cut, None
         if self.by_document:
-            names, number = np.unique(keys["document_id"].to_numpy().astype(str), return_inverse=True)
-            best = np.sort(np.unique(of * len(names) + number[at], return_index=True)[1])
-            at, of = at[best], of[best]
-        first = np.searchsorted(of, np.arange(q))
-        stays = np.arange(len(of)) - first[of] < self.k
+            # rows in order of ids: a document's are side by side, and its first best one goes first
+            order = np.argsort(place)
+            names = keys["document_id"].to_numpy()[order]
+            group = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+            ordered = cut[order]
+            table, place = np.maximum.reduceat(ordered, group, axis=0), np.arange(len(group))
+        n = len(table)
+        least = np.partition(table, n - self.k, axis=0)[n - self.k] if n > self.k else np.full(q, -np.inf)
+        at, of = np.nonzero((table >= least[None, :]) & np.isfinite(table))
+        sort = np.lexsort((place[at], -table[at, of], of))
+        at, of = at[sort], of[sort]
+        stays = np.arange(len(of)) - np.searchsorted(of, np.arange(q))[of] < self.k
         rows, queries = at[stays], of[stays]
+        if group is not None:
+            ends = np.append(group[1:], len(ordered))
+            rows = order[[group[d] + int(np.argmax(ordered[group[d] : ends[d], x])) for d, x in zip(rows.tolist(), queries.tolist(), strict=True)]] if len(rows) else rows
         found = pd.DataFrame({"query": queries, "score": scores[rows, queries], "cut": cut[rows, queries], **{c: keys[c].to_numpy()[rows] for c in KEYS}})
         self.held.append(found)
         if len(self.held) > self.WAITING:
