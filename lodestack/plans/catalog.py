@@ -80,19 +80,23 @@ def range_chunks(spark, sf):
     return chunking.from_ranges(docs, ranges, "ranges").select("id", "document_id", F.col("ordinal").cast("long"), F.col("byte_start").cast("long"), "content_digest")
 
 
+def placed(chunks: DataFrame) -> DataFrame:
+    return chunks.select("id", "document_id", *[F.col(x).cast("long") for x in ("ordinal", "byte_start", "byte_end")], "content_digest")
+
+
 @query
 def markdown_chunks(spark, sf):
-    return chunking.Markdown(400, 40).chunk(c.conversations(spark, sf)).select("id", "document_id", "ordinal", "byte_start", "byte_end", "content_digest")
+    return placed(chunking.Markdown(400, 40).chunk(c.conversations(spark, sf)))
 
 
 @query
 def markdown_heading_chunks(spark, sf):
-    return chunking.MarkdownHeading(600, 120, 60).chunk(c.conversations(spark, sf)).select("id", "document_id", "ordinal", "byte_start", "byte_end", "content_digest")
+    return placed(chunking.MarkdownHeading(600, 120, 60).chunk(c.conversations(spark, sf)))
 
 
 @query
 def sentence_snap_chunks(spark, sf):
-    return chunking.SnappedFixed(1200, 120, 200).chunk(c.documents(spark, sf)).select("id", "document_id", "ordinal", "byte_start", "byte_end", "content_digest")
+    return placed(chunking.SnappedFixed(1200, 120, 200).chunk(c.documents(spark, sf)))
 
 
 # representations --------------------------------------------------------------------------------

@@ -17,6 +17,33 @@ def chunk_cte(name: str, size: int, overlap: int) -> str:
     document_id, ordinal, byte_start, cast(byte_start + strlen(text) AS bigint) AS byte_end, text, sha256(text) AS content_digest FROM {name}_t)"""
 
 
+def snapped_cte(sections: str, out: str, name: str, size: int, overlap: int, snap: int) -> str:
+    """Windows of each section (document_id, whole, section, begin, stop; code points from 0), one after the other; needs WITH RECURSIVE."""
+    full = f"least(start + {size}, stop)"
+    low = f"greatest({full} - {snap}, start + 1)"
+    # length up to the last sentence end within reach; regexp_extract gives '' where there is none
+    last = f"({low} - 1 + length(regexp_extract(substring(whole, {low}, {full} - {low} + 1), '(?s)^(.*[.!?\\n])', 1)))"
+    end = f"CASE WHEN {full} < stop AND {snap} > 0 AND {last} > {low} - 1 AND {last} > start + {overlap} THEN {last} ELSE {full} END"
+    return f"""{out}_w AS (
+  SELECT document_id, whole, section, stop, 0 AS n, begin AS start, (SELECT {end} FROM (SELECT begin AS start)) AS fin FROM {sections} WHERE begin < stop
+  UNION ALL SELECT document_id, whole, section, stop, n + 1, start, {end} FROM (SELECT document_id, whole, section, stop, n, fin - {overlap} AS start FROM {out}_w WHERE fin < stop)),
+{out}_t AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY section, n) - 1 AS ordinal, cast(strlen(substring(whole, 1, start)) AS bigint) AS byte_start, substring(whole, start + 1, fin - start) AS text FROM {out}_w),
+{out} AS (SELECT 'chunk-' || substr(sha256('{{"document_id":"' || document_id || '","chunker":"{name}","byte_start":' || byte_start || ',"byte_end":' || (byte_start + strlen(text)) || ',"text_digest":"' || sha256(text) || '"}}'), 1, 16) AS id,
+    document_id, ordinal, byte_start, cast(byte_start + strlen(text) AS bigint) AS byte_end, text, sha256(text) AS content_digest FROM {out}_t)"""
+
+
+#: Conversations as documents, and their sections: lines are read one after the other with the fence that is open.
+TALKS = """talks AS (SELECT cast(conv_id AS varchar) AS document_id, '# Conversation ' || conv_id || chr(10) || string_agg('## ' || coalesce(role, '') || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY conv_id),
+split AS (SELECT document_id, whole, string_split(whole, chr(10)) AS lines FROM talks),
+fences AS (SELECT document_id, whole, lines, 0 AS i, 0 AS pos, '' AS open, false AS head FROM split
+  UNION ALL SELECT document_id, whole, lines, i + 1, pos + length(lines[i + 1]) + 1,
+    CASE WHEN open = '' THEN f ELSE CASE WHEN f <> '' AND f[1] = open[1] AND length(f) >= length(open) AND trim(substring(regexp_replace(line, '^ {0,3}', ''), length(f) + 1), ' ' || chr(9)) = '' THEN '' ELSE open END END,
+    open = '' AND f = '' AND pos > 0 AND regexp_matches(line, '^ {0,3}#{1,6}([ \t]|$)')
+  FROM (SELECT *, regexp_extract(line, '^ {0,3}(`{3,}|~{3,})', 1) AS f FROM (SELECT *, regexp_replace(lines[i + 1], '\r$', '') AS line FROM fences WHERE i < len(lines)))),
+starts AS (SELECT document_id, whole, 0 AS begin FROM talks UNION ALL SELECT document_id, whole, pos - length(lines[i]) - 1 FROM fences WHERE head),
+parts AS (SELECT document_id, whole, begin AS section, begin, coalesce(lead(begin) OVER (PARTITION BY document_id ORDER BY begin), length(whole)) AS stop FROM starts)"""
+
+
 LARGE = chunk_cte("large", 1200, 120)
 SMALL = chunk_cte("small", 300, 0)
 TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -234,4 +261,10 @@ SELECT cast(run AS bigint) AS run, n AS rows, CASE WHEN run = 0 THEN 0 ELSE n EN
         "scored_rerank": f"WITH {hits(20)}, sized AS (SELECT hits.query_id, hits.chunk_id, rank AS old, length(large.text) AS n FROM hits JOIN large ON large.id = hits.chunk_id) SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, old) AS rank, cast(n AS bigint) AS n FROM sized) WHERE rank <= 10",
         "evidence_violations": f"""WITH {hits(3)} SELECT problem, count(*) AS n FROM (SELECT 'text differs' AS problem FROM hits WHERE rank = 1 UNION ALL SELECT 'unknown chunk' FROM hits WHERE rank = 2 UNION ALL SELECT 'rank below 1' FROM hits WHERE rank = 3) GROUP BY problem""",
         "embedding_cache": """WITH t AS (SELECT count(*) AS n, count(DISTINCT text) AS k FROM conversations WHERE text IS NOT NULL) SELECT cast(run AS bigint) AS run, n AS rows, CASE WHEN run = 0 THEN 0 ELSE n END AS hits, CASE WHEN run = 0 THEN k ELSE 0 END AS writes FROM t, (SELECT unnest([0, 1]) AS run)""",
+        "sentence_snap_chunks": f"WITH RECURSIVE {DOCS}, whole_docs AS (SELECT id AS document_id, text AS whole, 0 AS section, 0 AS begin, length(text) AS stop FROM docs), {snapped_cte('whole_docs', 'snapped', 'fixed-1200-120', 1200, 120, 200)} SELECT id, document_id, ordinal, byte_start, byte_end, content_digest FROM snapped",
+        "markdown_chunks": f"WITH RECURSIVE {TALKS}, {snapped_cte('parts', 'cut', 'markdown-400-40', 400, 40, 0)} SELECT id, document_id, ordinal, byte_start, byte_end, content_digest FROM cut",
+        "markdown_heading_chunks": f"""WITH RECURSIVE {TALKS}, sized AS (SELECT *, stop - begin >= 120 AS large, count(*) FILTER (stop - begin >= 120) OVER (PARTITION BY document_id) AS n_large FROM parts),
+grouped AS (SELECT *, least(coalesce(count(*) FILTER (large) OVER (PARTITION BY document_id ORDER BY begin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), greatest(n_large - 1, 0)) AS g FROM sized),
+joined AS (SELECT document_id, whole, min(begin) AS section, min(begin) AS begin, max(stop) AS stop FROM grouped GROUP BY document_id, whole, g),
+{snapped_cte('joined', 'cut', 'markdown-heading-600-120-60', 600, 60, 0)} SELECT id, document_id, ordinal, byte_start, byte_end, content_digest FROM cut""",
     }
