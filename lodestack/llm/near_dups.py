@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import Workspace, key_runs, regroup, spread_join
+from lodestack.llm.common import Workspace, key_runs, regroup, release, spread_join
 from lodestack.llm.components import UnionFind, components
 
 HASHES, ROWS, BITS = 128, 4, 4
@@ -56,7 +56,7 @@ _LANES = np.uint64(0x1111111111111111)
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, kept for MOST words at a time."""
+    """word -> 64-bit hash, kept for MOST words at a time, until a task ends: workers wait for other work with what they hold."""
 
     MOST = 150_000
 
@@ -172,6 +172,8 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 sig.append(pack(least))
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "sig", "bands"])
+        _WORDS.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
@@ -277,6 +279,8 @@ def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
             same = pa.array([xxhash.xxh128_digest(s.tobytes()) == k for s, k in zip(sets, batch.column("set_key").to_pylist(), strict=True)])
             arrays = [*(batch.column(c) for c in ("id", "cluster", "m", "sig")), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "cluster", "m", "sig", "set"]).filter(same)
+        _WORDS.clear()
+        release()
 
     found = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id").select("id", "cluster", "m", "set_key", "sig", "text")
     return found.mapInArrow(task, "id long, cluster long, m long, sig binary, set binary")

@@ -202,7 +202,7 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     place = {c: "text" if c == "text" else f"__own_{n}" for n, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in place.items()])
     voted = with_votes(with_counts(renamed, renamed.columns)).select(*renamed.columns, base_failed().alias("__failed"), pattern(names).alias(own))
-    voted = Workspace(docs.sparkSession, "quality").save(voted, "votes")
+    voted = Workspace(docs.sparkSession, "quality", codec="none").save(voted, "votes")
     digits = voted.withColumns({f"vote_{k}": F.pmod(F.floor(F.col(own) / 3 ** (len(names) - 1 - j)), F.lit(3)).cast("int") - 1 for j, k in enumerate(names)})
     model = fit(digits, names)
     kept = digits.where(~F.col("__failed") & (posterior(model, names) >= threshold))
