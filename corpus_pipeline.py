@@ -61,7 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    ws = Workspace(spark, "pipeline")
+    # a codec's native buffers would add to the executors' memory, stage by stage
+    ws = Workspace(spark, "pipeline", codec="none")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = ws.save(stage(spark, docs, sf_dir), name)
