@@ -55,6 +55,7 @@ class Workspace:
         small_batches(spark)
         self.root = f"{shared_folder(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._saved: dict[str, str] = {}
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -64,12 +65,20 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.option("compression", self.codec).parquet(path)
+        self._saved[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Delete the table last saved under that name: what was made from it has been written since."""
+        self._delete(self._saved.pop(name))
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def close(self) -> None:
         try:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(self.root)
         except Exception:  # the session has ended; the folder goes with the cluster's own clean-up
             return
 

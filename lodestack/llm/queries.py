@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import Workspace, documents
+from lodestack.llm.common import Workspace, documents, small_batches
 
 
 def vocabulary(name: str) -> str:
@@ -100,6 +100,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.centroids import cluster
+
+    small_batches(spark)
+    found, _ = cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), k=40, rounds=5, salt="2", keep=["vec_id"])
+    return found.drop("evaluated")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm import alignment as a
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    aligned = a.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), ["doc_id"])
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return a.link_counts(aligned.withColumn("groups", digest), Workspace(spark, "alignment")).withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm import suffix_tree as t
+
+    ws = Workspace(spark, "suffix-tree")
+    docs = documents(spark, sf_dir).select("doc_id", "text", t.held_out().alias("held_out"))
+    tree, counts = t.train(docs.where("not held_out"), ws)
+    return t.score(docs, tree, counts, ws, ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -125,6 +151,21 @@ def _url_sql() -> str:
 judged AS (SELECT *, CASE {rule} END AS rule FROM parts) SELECT page_id, host, path, rule, CASE {action} ELSE 'allow' END AS verdict FROM judged"""
 
 
+def _centroids_sql(k: int = 40, rounds: int = 5) -> str:
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    parts = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: cast(floor(256 * cast(y AS double)) AS bigint)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: isfinite(y))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS j, x FROM v ORDER BY j LIMIT {k})",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT r, arg_min(j, struct_pack(d := d, j := j)) AS j, min(d) AS d FROM (SELECT v.r, c.j, cast({square} AS bigint) AS d FROM v CROSS JOIN c{t} c) GROUP BY r)")
+        if t < rounds:
+            means = f"SELECT j, list(m ORDER BY i) AS x FROM (SELECT a.j, i, cast((sum(v.x[i]) - (((sum(v.x[i]) % count(*)) + count(*)) % count(*))) / count(*) AS bigint) AS m FROM a{t} a JOIN v USING (r) CROSS JOIN range(1, 65) g(i) GROUP BY a.j, i) GROUP BY j"
+            parts.append(f"c{t + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{t} c LEFT JOIN ({means}) m USING (j))")
+    last = f"SELECT v.vec_id, cast(a.j AS integer) AS cluster, a.d AS distance, cast(sum(a.d) OVER (PARTITION BY a.j) AS bigint) AS cluster_inertia, cast(sum(a.d) OVER () AS bigint) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.j = a.j"
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; models, samples and token ids are held against brute force in tests."""
-    return {"op3_near_dups": NEAR_DUPS_SQL, "op6_url_filters": _url_sql()}
+    return {"op3_near_dups": NEAR_DUPS_SQL, "op6_url_filters": _url_sql(), "op11_centroids": _centroids_sql()}

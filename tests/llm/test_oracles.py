@@ -20,6 +20,9 @@ CONTRACT = {
     "op8": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op9": {"doc_id", "held_out", "score", "predicted"},
     "op10": {"doc_id", "weight", "probability", "sampled"},
+    "op11": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
+    "op12": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op13": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 
 
@@ -33,11 +36,12 @@ def test_columns_and_sql(spark, name):
     df = q.queries()[name](spark, SF)
     assert CONTRACT[name.split("_")[0]] <= set(df.columns)
     rows = df.collect()
-    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert len(rows) >= docs if name.startswith("op7") else len(rows) == (spark.read.parquet(f"{SF}/pages.parquet").count() if name.startswith("op6") else docs)
+    table = {"op6": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
+    of = spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert len(rows) >= of if name.startswith("op7") else len(rows) == of
     if name in q.oracle_sql():
         db = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "embeddings"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = db.execute(q.oracle_sql()[name])
         columns = [d[0] for d in want.description]
