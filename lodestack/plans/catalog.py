@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as t
 from lodestack.functions import vectors as v
-from lodestack.operators import answering, chunking, embedding, evaluation, generation, lexical, reranking, retrieval, statistics, validation, vector_search
+from lodestack.operators import answering, chunking, embedding, evaluation, generation, lexical, postings, reranking, retrieval, statistics, validation, vector_search
 from lodestack.operators import representations as rep
 from lodestack.operators import caching
 from lodestack.operators.common import scratch
@@ -511,10 +511,37 @@ def tied_vectors(spark, sf):
 
 @query
 def stored_index_topk(spark, sf):
+    index = postings.build_postings(c.records(large(spark, sf)), scratch(spark, "postings"))
+    return scores(postings.search_postings(index, c.queries(spark, sf), 10)).select("query_id", "chunk_id", F.col("rank").cast("long"), "score")
+
+
+@query
+def forward_index_topk(spark, sf):
     index = lexical.build_index(c.records(large(spark, sf)), scratch(spark, "lexical"))
     return scores(lexical.search(index, c.queries(spark, sf), 10)).select("query_id", "chunk_id", F.col("rank").cast("long"), "score")
 
 
+def keywords(spark, sf) -> DataFrame:
+    """The four longest terms of each passage."""
+    ordered = F.array_sort(F.transform(t.term_set("text"), lambda x: F.concat(F.lpad((1000 - F.length(x)).cast("string"), 4, "0"), x)))
+    return c.queries(spark, sf).select("query_id", F.array_join(F.transform(F.slice(ordered, 1, 4), lambda x: F.substring(x, 5, 1000)), " ").alias("text"))
+
+
+@query
+def keyword_topk(spark, sf):
+    index = postings.build_postings(c.records(large(spark, sf)), scratch(spark, "postings"))
+    return scores(postings.search_postings(index, keywords(spark, sf), 10)).select("query_id", "chunk_id", F.col("rank").cast("long"), "score")
+
+
+@query
+def kind_index_topk(spark, sf):
+    chunks = large(spark, sf)
+    records = lexical.lexical_records(rep.compose(rep.raw(chunks), rep.lead_summaries(chunks)), chunks)
+    index = postings.build_postings(records, scratch(spark, "postings"))
+    hits = postings.search_postings(index, c.queries(spark, sf), 10, kinds=["summary"])
+    return scores(hits).select("query_id", "representation_id", F.col("rank").cast("long"), "score")
+
+
 @query
 def vector_violations(spark, sf):
     key = F.col("vec_id")

@@ -64,6 +64,8 @@ def derived_id(chunk: str, digest: str, kind: str, text: str) -> str:
 RECORDS = f"records AS (SELECT {rep_id('id', 'content_digest')} AS representation_id, id AS chunk_id, document_id, text, content_digest FROM large)"
 ASKED = "asked AS (SELECT cast(item_id AS varchar) AS query_id, text FROM benchmark)"
 
+KEYWORDS = f"asked AS (SELECT cast(item_id AS varchar) AS query_id, array_to_string(list_transform(list_sort(list_transform(list_distinct({terms('text')}), lambda y: lpad(cast(1000 - length(y) AS varchar), 4, '0') || y))[1:4], lambda z: substr(z, 5)), ' ') AS text FROM benchmark)"
+
 
 def bm25_cte(records: str = "records", text: str = "text", out: str = "scored") -> str:
     return f"""{out}_tok AS (SELECT representation_id, chunk_id, document_id, {terms(text)} AS terms FROM {records}),
@@ -141,6 +143,11 @@ def furniture_sql(column: str) -> str:
     return f"{name} AS pattern, cast({n} AS bigint) AS matches"
 
 
+KIND_FILTER = f"""WITH {DOCS}, {LARGE}, {SUMMARIES}, {ASKED},
+records AS (SELECT DISTINCT {rep_id('id', 'content_digest')} AS representation_id, id AS chunk_id, document_id, text, 'raw' AS kind FROM large UNION ALL SELECT DISTINCT {derived_id('chunk_id', 'content_digest', 'summary', 'text')}, chunk_id, document_id, text, 'summary' FROM summaries),
+{bm25_cte()}, kept AS (SELECT scored.* FROM scored JOIN records r USING (representation_id) WHERE r.kind = 'summary'), {top_cte('kept', 'hits', 10)} SELECT query_id, representation_id, rank, round(score, 6) AS score FROM hits"""
+
+
 def queries() -> dict[str, str]:
     with_ = lambda *parts: "WITH " + ", ".join(parts) + " "
     collapse = "list_filter(list_transform(regexp_split_to_array(text, '[\\r\\n]+'), lambda y: " + TRIM.format("y") + "), lambda x: x <> '' AND NOT starts_with(x, '```'))"
@@ -180,9 +187,8 @@ parts AS (SELECT query_id, chunk_id, document_id, 1e0 / (60 + rank) AS value FRO
 fused AS (SELECT query_id, chunk_id, min(document_id) AS document_id, sum(value) AS score, count(*) AS n_channels FROM parts GROUP BY ALL)
 SELECT * FROM (SELECT query_id, chunk_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 15) DESC, chunk_id) AS rank, round(score, 9) AS score, n_channels FROM fused) WHERE rank <= 10""",
         "hydrate": f"WITH {hits(5)} SELECT query_id, hits.chunk_id, rank, large.content_digest FROM hits JOIN large ON large.id = hits.chunk_id",
-        "kind_filter_topk": f"""WITH {DOCS}, {LARGE}, {SUMMARIES}, {ASKED},
-records AS (SELECT DISTINCT {rep_id('id', 'content_digest')} AS representation_id, id AS chunk_id, document_id, text, 'raw' AS kind FROM large UNION ALL SELECT DISTINCT {derived_id('chunk_id', 'content_digest', 'summary', 'text')}, chunk_id, document_id, text, 'summary' FROM summaries),
-{bm25_cte()}, kept AS (SELECT scored.* FROM scored JOIN records r USING (representation_id) WHERE r.kind = 'summary'), {top_cte('kept', 'hits', 10)} SELECT query_id, representation_id, rank, round(score, 6) AS score FROM hits""",
+        "kind_filter_topk": KIND_FILTER,
+        "kind_index_topk": KIND_FILTER,
         "role_filter_topk": f"WITH {hits(50)}, kept AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM hits JOIN docs ON docs.id = hits.document_id WHERE docs.source IN ('src0', 'src1', 'src2')) SELECT * FROM kept WHERE rank <= 5",
         "term_overlap_rerank": f"""WITH {hits(20)}, over AS (SELECT hits.query_id, hits.chunk_id, rank AS old, len(list_intersect(list_distinct({terms('large.text')}), list_distinct({terms('asked.text')}))) AS overlap FROM hits JOIN large ON large.id = hits.chunk_id JOIN asked ON asked.query_id = hits.query_id),
 ranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, old) AS rank, cast(overlap AS bigint) AS overlap FROM over) SELECT * FROM ranked WHERE rank <= 10""",
@@ -246,6 +252,8 @@ SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_transform(
 pairs AS (SELECT q.id AS query_id, v.id AS representation_id, v.id AS chunk_id, v.id AS document_id, list_dot_product(q.v, v.v) / 4 AS score FROM vec q, vec v WHERE q.vec_id % 100 = 0),
 {top_cte('pairs', 'hits', 10)} SELECT query_id, representation_id, rank, round(score, 6) AS score FROM hits""",
         "stored_index_topk": f"WITH {hits(10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
+        "forward_index_topk": f"WITH {hits(10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
+        "keyword_topk": f"WITH {DOCS}, {LARGE}, {RECORDS}, {KEYWORDS}, {bm25_cte()}, {top_cte('scored', 'hits', 10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
         "vector_violations": """WITH base AS (SELECT vec_id, vec_id % 50 = 0 AS bad, vec_id % 61 = 0 AS short, vec_id % 73 = 0 AS other FROM embeddings), doubled AS (SELECT * FROM base UNION ALL SELECT * FROM base WHERE vec_id % 97 = 0)
 SELECT problem, count(*) AS n FROM (SELECT 'value not finite' AS problem FROM doubled WHERE bad UNION ALL SELECT 'dimensions differ' FROM doubled WHERE short UNION ALL SELECT 'model differs' FROM doubled WHERE other
   UNION ALL SELECT 'repeated' FROM base WHERE vec_id % 97 = 0 UNION ALL SELECT 'unknown representation' FROM doubled WHERE vec_id % 89 = 0) GROUP BY problem""",

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestack.operators import embedding
 from lodestack.operators import validation as val
 from lodestack.operators.common import ContractError, require, saved
-from lodestack.sources.corpus import table_digest
+from lodestack.sources.corpus import Tree, table_digest, table_tree
 
 VERSION = 1
 KEYS = {"documents": ("id",), "chunks": ("document_id", "ordinal", "id"), "representations": ("id",), "vectors": ("representation_id",)}
@@ -87,11 +87,9 @@ def check_input(x: BuildInput) -> None:
         require(embedding.vector_problems(x.vectors, x.representations), "vectors")
 
 
-def _content(tables: dict[str, DataFrame]) -> dict:
-    out = {}
-    for name, df in tables.items():
-        out[name] = {"rows": df.count(), "digest": table_digest(df, *KEYS[name])}
-    return out
+def _trees(tables: dict[str, DataFrame]) -> dict[str, Tree]:
+    """Rows and digests of tables, one pass for each."""
+    return {name: table_tree(df, *KEYS[name]) for name, df in tables.items()}
 
 
 def bundle_id(identity: dict) -> str:
@@ -120,7 +118,8 @@ def build(x: BuildInput, root: str, stage: Callable[[str], None] | None = None)
         note("validate")
         check_input(replace(x, **tables))
         note("digest")
-        content, kinds = _content(tables), kinds_of(tables["representations"])
+        trees, kinds = _trees(tables), kinds_of(tables["representations"])
+        content = {name: {"rows": x.rows, "digest": x.root} for name, x in trees.items()}
         if x.vectors is not None and content["vectors"]["rows"] != content["representations"]["rows"]:
             raise ContractError("each representation needs one vector")
         identity = _identity(content, kinds, x.chunker, x.model, x.dimensions)
@@ -130,6 +129,7 @@ def build(x: BuildInput, root: str, stage: Callable[[str], None] | None = None)
             note("reuse")
             return verify(spark, path)
         note("publish")
+        write_json(spark, f"{part}/leaves.json", {name: x.leaves for name, x in trees.items()})
         write_json(spark, f"{part}/manifest.json", {"id": key, **identity})
         remove(spark, path)  # what is there without a manifest is no bundle
         publish(spark, part, path)
@@ -178,12 +178,16 @@ def verify(spark: SparkSession, path: str, stage: Callable[[str], None] | None =
     note("manifest")
     m = load_manifest(spark, path)
     found = Bundle(path, m, {name: spark.read.parquet(f"{path}/{name}") for name in m["content"]})
+    leaves = read_json(spark, f"{path}/leaves.json")
     for name, df in found.tables.items():
         note(name)
-        if df.count() != m["content"][name]["rows"]:
+        want, seen = Tree(m["content"][name]["rows"], leaves.get(name, {})), table_tree(df, *KEYS[name])
+        if want.root != m["content"][name]["digest"]:
+            raise ContractError(f"{name}: the leaves are not those of the manifest")
+        if seen.rows != want.rows:
             raise ContractError(f"{name}: the number of rows differs")
-        if table_digest(df, *KEYS[name]) != m["content"][name]["digest"]:
-            raise ContractError(f"{name}: the content differs")
+        if seen.root != want.root:
+            raise ContractError(f"{name}: the content differs in leaves {', '.join(want.differing(seen)[:5])}")
     note("contracts")
     require(val.corpus_problems(found.documents, found.chunks), "corpus")
     require(val.representation_problems(found.representations, found.chunks), "representations")
@@ -233,8 +237,8 @@ def load_verified_documents(spark: SparkSession, path: str, corpus_root: str, na
     from lodestack.sources.corpus import contained_path, load_documents
 
     docs = load_documents(spark, str(contained_path(corpus_root, name)))
-    want = load_manifest(spark, path)["content"]["documents"]
-    if docs.count() != want["rows"] or table_digest(docs, *KEYS["documents"]) != want["digest"]:
+    want, seen = load_manifest(spark, path)["content"]["documents"], table_tree(docs, *KEYS["documents"])
+    if seen.rows != want["rows"] or seen.root != want["digest"]:
         raise ContractError("the corpus is not the one that the bundle was built from")
     return docs
 

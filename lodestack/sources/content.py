@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestack.operators import validation as val
 from lodestack.operators.common import ContractError, require, saved
 from lodestack.sources.bundle import exists, publish, read_json, remove, write_json
-from lodestack.sources.corpus import table_digest
+from lodestack.sources.corpus import table_tree
 
 VERSION = 1
 
@@ -49,7 +49,8 @@ class Content:
 
 
 def identity_of(documents: DataFrame, chunks: DataFrame) -> Identity:
-    return Identity(table_digest(documents, "id"), table_digest(chunks, "id"), documents.count(), chunks.count())
+    docs, cut = table_tree(documents, "id"), table_tree(chunks, "id")
+    return Identity(docs.root, cut.root, docs.rows, cut.rows)
 
 
 def build_content(documents: DataFrame, chunks: DataFrame, path: str) -> Content:

@@ -257,3 +257,16 @@ assert "bm25_topk" in e.queries() and not any(k.startswith("op") for k in e.quer
 def test_library_does_not_import_the_optional_part():
     code = "import sys, lodestack.plans.catalog, lodestack.sources.bundle, lodestack.streaming.ingest; assert not any(m.startswith('lodestack.llm') for m in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/", 2)[0]).returncode == 0
+
+
+def test_digest_trees(spark):
+    rows = spark.createDataFrame([(str(i), i % 7, None if i % 5 == 0 else f"t{i}") for i in range(3000)], "id string, n int, text string")
+    tree = corpus.table_tree(rows, "id")
+    assert tree.rows == 3000 and len(tree.leaves) == 256
+    assert corpus.table_tree(rows.repartition(7).orderBy(F.desc("id")), "id") == tree
+    changed = rows.withColumn("text", F.when(F.col("id") == "1234", "other").otherwise(F.col("text")))
+    (leaf,) = tree.differing(corpus.table_tree(changed, "id"))
+    assert [r["id"] for r in corpus.leaf_rows(changed, [leaf], "id").exceptAll(corpus.leaf_rows(rows, [leaf], "id")).collect()] == ["1234"]
+    twice = corpus.table_tree(rows.unionByName(rows.limit(1)), "id")
+    assert twice.rows == 3001 and len(tree.differing(twice)) == 1 and twice.root != tree.root
+    assert corpus.table_tree(rows.limit(0), "id") == corpus.Tree(0, {}) and corpus.table_digest(rows.limit(0), "id") == ""
