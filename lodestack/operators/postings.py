@@ -7,10 +7,9 @@ term, so that a search reads the slots of its queries' terms and nothing of othe
 
 A search weighs the queries' terms and brings their blocks together by shard. There the sum of a window's largest
 impacts bounds what a row of it can score. In a first pass each shard scores a few windows of the highest bounds; the
-k-th best score of all shards is then a threshold for all of them (or what k rows of one term score at least, which
-the term's table tells, where that is more). In the second pass windows are scored from the highest bound down, until no
-bound reaches the threshold, which rises with what is found. A shard sends its k best rows, and all that tie
-with the last of them: ids decide then, by the one total order of hits. The result is that of scoring every row.
+k-th best score of all shards is then a threshold for all of them. In the second pass windows are scored from the highest
+bound down, until no bound reaches the threshold, which rises with what is found. A shard sends its k best rows, and
+all that tie with the last of them: ids decide then, by the one total order of hits. The result is that of scoring every row.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators.common import SCORE_DECIMALS, ContractError, saved, top_k
@@ -32,21 +31,19 @@ VERSION = 1
 #: Rows of a window and of a shard, as powers of two: numbers of rows are cut by shifts.
 WINDOW_BITS, SHARD_BITS = 6, 13
 #: Folders of blocks, by hash of the term.
-SLOTS = 64
+SLOTS = 32
 #: Windows that a shard scores first, for each query.
 PROBED = 4
-#: Ranks at which a term's largest impacts are stored.
-RANKS = (1, 10, 100)
 BLOCK = "field string, kind string, term string, window long, n int, most double, places array<int>, counts array<int>, sizes array<int>"
 STORED = f"{BLOCK}, slot int"
-TERM = "field string, term string, df long, tops array<double>"
+TERM = "field string, term string, df long, blocks long"
 FOUND = "query_id string, row long, score double, cut double, blocks long, read long"
 KEYS = ["document_id", "chunk_id", "representation_id"]
 
 
 @dataclass
 class Postings:
-    """rows: row, ids, kind and n_<field>; blocks and terms (field, term, df, tops): as stored."""
+    """rows: row, ids, kind and n_<field>; blocks and terms (field, term, df, blocks): as stored."""
 
     path: str
     rows: DataFrame
@@ -118,8 +115,9 @@ def build_postings(records: DataFrame, path: str, fields: dict[str, Column] | No
     dealt = blocks.withColumn("slot", slot_of(F.col("term"))).repartitionByRange("slot", "field", "term", "window").sortWithinPartitions("slot", "field", "term", "window")
     dealt.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/blocks")
     blocks = spark.read.schema(STORED).parquet(f"{path}/blocks")
-    _terms(blocks).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
-    held = blocks.groupBy("field").agg(F.count("*").alias("blocks"), F.sum("n").alias("postings")).collect()
+    counted = blocks.groupBy("field", "term").agg(F.sum("n").alias("df"), F.count("*").alias("blocks"))
+    terms = saved(counted.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), f"{path}/terms")
+    held = terms.groupBy("field").agg(F.sum("blocks").alias("blocks"), F.sum("df").alias("postings")).collect()
     manifest = {
         "version": VERSION,
         "fields": list(made.fields),
@@ -134,16 +132,6 @@ def build_postings(records: DataFrame, path: str, fields: dict[str, Column] | No
     return open_postings(spark, path)
 
 
-def _terms(blocks: DataFrame) -> DataFrame:
-    """Of each term: how many rows hold it, and at each of RANKS the impact of that manieth best block (0: there are fewer).
-
-    The best postings of different blocks are different rows, so that many rows have at least that impact."""
-    best = Window.partitionBy("field", "term").orderBy(F.desc("most"))
-    ranked = blocks.select("field", "term", "most").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max(RANKS))
-    tops = ranked.groupBy("field", "term").agg(F.array(*[F.coalesce(F.max(F.when(F.col("rank") == r, F.col("most"))), F.lit(0.0)) for r in RANKS]).alias("tops"))
-    return blocks.groupBy("field", "term").agg(F.sum("n").alias("df")).join(tops, ["field", "term"])
-
-
 def open_postings(spark: SparkSession, path: str, check: bool = False) -> Postings:
     """The index under path; its content is only read and digested with check."""
     from lodestack.sources.bundle import read_json
@@ -162,9 +150,9 @@ def open_postings(spark: SparkSession, path: str, check: bool = False) -> Postin
 
 
 class _Asked:
-    """Queries as arrays: for each one its terms (numbers of `known`) with their weights, and its first threshold."""
+    """Queries as arrays: for each one its terms (numbers of `known`) with their weights."""
 
-    def __init__(self, index: Postings, asked: list, boosts: dict[str, float], k: int, seeded: bool):
+    def __init__(self, index: Postings, asked: list, boosts: dict[str, float]):
         spark = index.rows.sparkSession
         self.ids = sorted({r["query_id"] for r in asked})
         vocabulary = sorted({r["term"] for r in asked})
@@ -172,21 +160,14 @@ class _Asked:
         rows = index.terms.where(F.col("field").isin(list(boosts))).join(F.broadcast(self.wanted), "term", "left_semi").collect()
         self.known = sorted((r["field"], r["term"]) for r in rows)
         number = {x: i for i, x in enumerate(self.known)}
-        own, rank = defaultdict(list), next((i for i, r in enumerate(RANKS) if r >= k), None)
-        totals = index.manifest["totals"]
-        first = dict.fromkeys(self.ids, 0.0)
+        own, totals = defaultdict(list), index.manifest["totals"]
         idf = {(r["field"], r["term"]): float(np.log(1 + (totals[r["field"]][0] - r["df"] + 0.5) / (r["df"] + 0.5))) for r in rows}
-        tops = {(r["field"], r["term"]): r["tops"] for r in rows}
         for r in sorted(asked, key=lambda r: r["term"]):
             for f, boost in boosts.items():
                 if (f, r["term"]) in number:
-                    weight = boost * r["qtf"] * idf[f, r["term"]]
-                    own[r["query_id"]].append((number[f, r["term"]], weight))
-                    if seeded and rank is not None:
-                        first[r["query_id"]] = max(first[r["query_id"]], weight * tops[f, r["term"]][rank])
+                    own[r["query_id"]].append((number[f, r["term"]], boost * r["qtf"] * idf[f, r["term"]]))
         self.terms = [np.array([n for n, _ in own[q]], dtype=np.int64) for q in self.ids]
         self.weights = [np.array([w for _, w in own[q]]) for q in self.ids]
-        self.first = [first[q] for q in self.ids]
 
 
 class _Shard:
@@ -252,7 +233,7 @@ class _Shard:
 
 def _found(index: Postings, queries: DataFrame, k: int, boosts: dict[str, float], kinds: list[str] | None, told: bool) -> DataFrame:
     """What every shard finds for at most QUERY_BLOCK queries; told: instead, how many blocks it has and scores for each."""
-    asked = _Asked(index, query_terms(queries).collect(), boosts, k, seeded=kinds is None)
+    asked = _Asked(index, query_terms(queries).collect(), boosts)
     spark = index.rows.sparkSession
     if not asked.known:
         return spark.createDataFrame([], FOUND)
@@ -264,14 +245,14 @@ def _found(index: Postings, queries: DataFrame, k: int, boosts: dict[str, float]
     means, config = {f: t[1] for f, t in index.manifest["totals"].items()}, index.config
     known = asked.known
 
-    def searched(first: list[float], probe: bool) -> DataFrame:
-        each = list(zip(asked.ids, asked.terms, asked.weights, first, strict=True))
+    def searched(least: dict[str, float], probe: bool) -> DataFrame:
+        each = [(q, terms, weights, least.get(q, 0.0)) for q, terms, weights in zip(asked.ids, asked.terms, asked.weights, strict=True)]
         return grouped.applyInArrow(_task(known, each, means, config, k, probe, told and not probe), FOUND)
 
     grouped = blocks.select("shard", "field", "term", "window", "most", "places", "counts", "sizes").groupBy("shard")
     # one row a query
-    least = {r[0]: r[1] for r in top_k(searched(asked.first, True), k, [F.col("score").desc()]).where(F.col("rank") == k).select("query_id", "score").collect()}
-    return searched([max(f, least.get(q, 0.0)) for q, f in zip(asked.ids, asked.first, strict=True)], False)
+    least = {r[0]: r[1] for r in top_k(searched({}, True), k, [F.col("score").desc()]).where(F.col("rank") == k).select("query_id", "score").collect()}
+    return searched(least, False)
 
 
 def _task(known, each, means, config, k, probe, told):

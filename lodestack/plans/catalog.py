@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as t
 from lodestack.functions import vectors as v
-from lodestack.operators import answering, chunking, embedding, evaluation, generation, lexical, postings, reranking, retrieval, statistics, validation, vector_search
+from lodestack.operators import answering, cells, chunking, embedding, evaluation, generation, lexical, postings, reranking, retrieval, statistics, validation, vector_search
 from lodestack.operators import representations as rep
 from lodestack.operators import caching
 from lodestack.operators.common import scratch
@@ -190,6 +190,13 @@ def approximate_topk(spark, sf):
     return scores(hits).select("query_id", "representation_id", F.col("rank").cast("long"), "score")
 
 
+@query
+def stored_cells_topk(spark, sf):
+    index = cells.build_cells(vector_index(spark, sf), scratch(spark, "cells"), "given")
+    hits = cells.search_cells(index, vector_queries(spark, sf), 10, "given")
+    return scores(hits).select("query_id", "representation_id", F.col("rank").cast("long"), "score")
+
+
 @query
 def vector_identity(spark, sf):
     vectors = c.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("representation_id"), F.col("embedding").alias("values"), F.lit("given").alias("model"))

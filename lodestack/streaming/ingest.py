@@ -2,7 +2,8 @@
 
 The library has no event-time semantics; a stream here is an unbounded list of documents. Each micro-batch is
 checked, cut and appended to the stage tables under its own batch number, so a batch that is
-tried again replaces what it wrote and nothing is doubled.
+tried again replaces what it wrote and nothing is doubled. `ingest` takes documents as they come; `ingest_once` keeps the
+digest of every id as state, so that documents that come again are dropped and those that differ are set aside.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from lodestack import schemas as s
 from lodestack.operators import embedding
@@ -31,7 +34,7 @@ def stage_batch(documents: DataFrame, batch: int, chunker, root: str) -> None:
         chunks = chunker.chunk(documents).persist()
         try:
             for name, df in zip(STAGES, (documents, chunks, rep.raw(chunks)), strict=True):
-                df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+                df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}/piece=0")
         finally:
             chunks.unpersist()
     finally:
@@ -50,14 +53,105 @@ def ingest(spark: SparkSession, source: str, chunker, root: str, fmt: str = "par
 
 
 def staged(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}").drop("batch")
+    return spark.read.parquet(f"{root}/{name}").drop("batch", "piece")
+
+
+#: What became of the rows of one id: the first content, the same again, or another.
+NEW, REPEAT, CONFLICT = "new", "repeat", "conflict"
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class FirstContent(StatefulProcessor):
+    """Of each id, the digest that was met first is state; one row of the id is held at a time.
+
+    Among rows that one micro-batch brings of an id that is not known yet, the one with the least digest is first. Rows
+    that differ from it are conflicts, with how many there were in a row; rows that agree are counted as repeats."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle) -> None:
+        self.first = handle.getValueState("first", "digest string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.first.get()[0] if self.first.exists() else None
+        held, n, repeats = None, 0, 0
+        for frame in rows:
+            for (digest,), part in frame.groupby(["content_digest"], sort=True, dropna=False):
+                row, size = part.head(1), len(part)
+                if digest == known:
+                    repeats += size
+                elif known is not None:
+                    yield self._told(row, CONFLICT, size)
+                elif held is None or digest == held["content_digest"].iloc[0]:
+                    held, n = row if held is None else held, n + size
+                elif digest < held["content_digest"].iloc[0]:
+                    yield self._told(held, CONFLICT, n)
+                    held, n = row, size
+                else:
+                    yield self._told(row, CONFLICT, size)
+        if held is not None:
+            self.first.update((held["content_digest"].iloc[0],))
+            yield self._told(held, NEW, 1)
+            repeats = n - 1
+        if repeats:
+            none = pd.DataFrame({c: [None] for c in self.columns}, dtype=object)
+            none["id"] = key[0]
+            yield self._told(none, REPEAT, repeats)
+
+    def _told(self, row: pd.DataFrame, outcome: str, n: int) -> pd.DataFrame:
+        return row[self.columns].assign(outcome=outcome, n=n)
+
+    def close(self) -> None:
+        return
+
+
+def outcomes(documents: DataFrame) -> DataFrame:
+    """A stream of documents with outcome and n, by the content that was met first under each id."""
+    columns = documents.columns
+    # a map cannot be state's neighbour in pandas as it is: it travels as JSON
+    plain = documents.withColumn("metadata", F.to_json("metadata"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", outcome string, n long"
+    told = plain.groupBy("id").transformWithStateInPandas(FirstContent(columns), schema, "Append", "None")
+    return told.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+
+
+def ingest_once(spark: SparkSession, source: str, chunker, root: str, fmt: str = "parquet", **options) -> StreamingQuery:
+    """Like ingest, but each id is staged once, whatever the stream brings again, over micro-batches and restarts.
+
+    Besides the stage tables there are `conflicts` (documents of a known id with other content, and n) and `repeats` (id, n). Rows
+    without id are an error of the batch, as in ingest. The ids' digests are state under root/_progress."""
+    before = spark.conf.get(_PROVIDER[0], None)
+    spark.conf.set(*_PROVIDER)
+    try:
+        stream = spark.readStream.format(fmt).schema(s.DOCUMENT_DDL).options(**options).load(source)
+        query = outcomes(stream).writeStream.foreachBatch(lambda df, n: _stage_outcomes(df, n, chunker, root))
+        return query.option("checkpointLocation", f"{root}/_progress").trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER[0])
+        else:
+            spark.conf.set(_PROVIDER[0], before)
+
+
+def _stage_outcomes(told: DataFrame, batch: int, chunker, root: str) -> None:
+    """Write a batch's outcomes once: what is staged and what is set aside are of the same rows."""
+    part = f"{root}/_arrived/batch={batch}"
+    try:
+        rows = saved(told, part)
+        stage_batch(rows.where(F.col("outcome") == NEW).drop("outcome", "n"), batch, chunker, root)
+        rows.where(F.col("outcome") == CONFLICT).drop("outcome").write.mode("overwrite").parquet(f"{root}/conflicts/batch={batch}/piece=0")
+        rows.where(F.col("outcome") == REPEAT).select("id", "n").write.mode("overwrite").parquet(f"{root}/repeats/batch={batch}/piece=0")
+    finally:
+        remove(told.sparkSession, part)
 
 
 class Stager:
     """Batches of documents, chunks, representations and vectors, in this order of phases, under one folder.
 
-    A batch is checked on its own and against what earlier phases have staged, then written under its number.
-    A phase is closed as soon as a later one has a batch; a batch of more than batch_size rows is an error.
+    What is added is checked as a whole and against what earlier phases have staged, then published under one number, by one
+    rename; more than batch_size rows are dealt by their key into pieces of about that many. A phase is closed as soon as
+    a later one has a batch; nothing to add is an error.
     """
 
     PHASES = ("documents", "chunks", "representations", "vectors")
@@ -74,22 +168,29 @@ class Stager:
             raise ContractError(f"{phase} cannot follow {later[0]}")
         if missing := [p for p in self.PHASES[:at] if not self._has(p)]:
             raise ContractError(f"{phase} need {missing[0]} first")
-        batch = uuid.uuid4().hex
-        part = f"{self.root}/part-{batch}"
+        batch, key = uuid.uuid4().hex, "representation_id" if phase == "vectors" else "id"
+        part, given = f"{self.root}/part-{batch}", f"{self.root}/given-{batch}"
         try:
-            written = saved(rows, part)
-            if (n := written.count()) > self.batch_size or not n:
-                raise ContractError(f"a batch of {phase} has {n} rows; 1 to {self.batch_size} are due")
+            written = saved(rows, f"{part}/piece=0")
+            if not (n := written.count()):
+                raise ContractError(f"there are no {phase} to stage")
             for found in problems(written):
                 require(found, phase)
+            if n > self.batch_size:
+                pieces = -(-n // self.batch_size)
+                publish(self.spark, part, given)
+                whole = self.spark.read.schema(written.schema).parquet(f"{given}/piece=0")
+                dealt = whole.withColumn("piece", F.pmod(F.xxhash64(key), F.lit(pieces)).cast("int"))
+                dealt.repartitionByRange("piece", F.xxhash64(key)).write.partitionBy("piece").parquet(part)
+                written = whole
             if self._has(phase):
-                key = "representation_id" if phase == "vectors" else "id"
                 require(written.select(key).join(staged(self.spark, self.root, phase).select(key), key, "left_semi"), f"{phase} that are staged already")
             fs, at_root = hadoop_path(self.spark, f"{self.root}/{phase}")
             fs.mkdirs(at_root)
             publish(self.spark, part, f"{self.root}/{phase}/batch={batch}")
         finally:
             remove(self.spark, part)
+            remove(self.spark, given)
 
     def add_documents(self, rows: DataFrame) -> None:
         self._add("documents", rows, lambda df: [val.document_problems(df)])

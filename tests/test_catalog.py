@@ -44,7 +44,8 @@ def test_query(spark, duck, name):
     assert got == want
 
 
-def test_approximate_recall_on_the_tables(spark):
-    pair = lambda name: {(r["query_id"], r["representation_id"]) for r in catalog.queries()[name](spark, SF).collect()}
-    exact, near = pair("exact_cosine_topk"), pair("approximate_topk")
+@pytest.mark.parametrize("name", ["approximate_topk", "stored_cells_topk"])
+def test_approximate_recall_on_the_tables(spark, name):
+    pair = lambda of: {(r["query_id"], r["representation_id"]) for r in catalog.queries()[of](spark, SF).collect()}
+    exact, near = pair("exact_cosine_topk"), pair(name)
     assert len(exact & near) / len(exact) >= 0.9

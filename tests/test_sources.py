@@ -140,7 +140,26 @@ def test_stager_keeps_the_order_of_phases_and_lineage(spark, tmp_path):
     stager.add_vectors(vectors)
     made = bundle.build_staged(spark, str(tmp_path / "stage"), str(tmp_path / "out"), "fixed-10-0", model="hash-8", dimensions=8)
     assert made.vectors.count() == made.representations.count() == chunks.count()
-    fails(ingest.Stager(spark, str(tmp_path / "small"), 1).add_documents, docs)
+
+
+def test_stager_deals_large_phases_into_pieces(spark, tmp_path):
+    """Any number of rows is one batch: what was an error beyond batch_size is dealt into pieces by key."""
+    texts = [f"Document {i} has a text of its own. " * 3 for i in range(1000)]
+    docs = spark.createDataFrame([(f"d{i}", "u", "", x, hashlib.sha256(x.encode()).hexdigest(), {}) for i, x in enumerate(texts)], "id string, source_uri string, title string, text string, content_digest string, metadata map<string,string>")
+    chunks, root = chunking.Fixed(40).chunk(docs), str(tmp_path / "stage")
+    stager = ingest.Stager(spark, root, 100)
+    stager.add_documents(docs)
+    stager.add_chunks(chunks)
+    stager.add_representations(rep.raw(chunks))
+    held = spark.read.parquet(f"{root}/documents").groupBy("piece").count().collect()
+    assert len(held) == 10 and sum(r["count"] for r in held) == 1000 and max(r["count"] for r in held) < 200
+    assert not [p.name for p in (tmp_path / "stage").iterdir() if p.name.startswith(("part-", "given-"))]
+    other = ingest.Stager(spark, str(tmp_path / "again"), 100)
+    other.add_documents(docs)
+    with pytest.raises(ContractError, match="staged already"):
+        other.add_documents(docs.where("id = 'd7'"))
+    made = bundle.build_staged(spark, root, str(tmp_path / "out"), "fixed-40-0")
+    assert made.documents.count() == 1000 and made.chunks.count() == chunks.count()
 
 
 def test_bundle_input_contracts(spark, tmp_path):
@@ -226,6 +245,36 @@ def test_streaming_ingest(spark, tmp_path):
     assert staged["chunks"].count() == staged["representations"].count() == chunking.Fixed(10).chunk(staged["documents"]).count()
 
 
+def test_stateful_ingestion_equals_the_batch(spark, tmp_path):
+    """Three runs with repeats, conflicts and a replay: what is staged is what the first contents alone would give."""
+    source, root = tmp_path / "in", str(tmp_path / "stage")
+    runs = [
+        [("a", "first a"), ("b", "first b"), ("a", "first a")],
+        [("b", "other b"), ("c", "first c"), ("b", "first b"), ("d", "one of two"), ("d", "one of 2"), ("d", "one of two")],
+        [("a", "first a"), ("b", "first b"), ("c", "later c"), ("c", "later c"), ("e", "first e")],
+    ]
+    for rows in runs:
+        whole = [(i, "u", "", x, hashlib.sha256(x.encode()).hexdigest(), {"k": i}) for i, x in rows]
+        spark.createDataFrame(whole, "id string, source_uri string, title string, text string, content_digest string, metadata map<string,string>").write.mode("append").parquet(str(source))
+        ingest.ingest_once(spark, str(source), chunking.Fixed(6), root).awaitTermination()
+    got = {r["id"]: (r["text"], r["metadata"]) for r in ingest.staged(spark, root, "documents").collect()}
+    pair = sorted(("one of two", "one of 2"), key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    first = {"a": "first a", "b": "first b", "c": "first c", "d": pair[0], "e": "first e"}
+    assert got == {i: (x, {"k": i}) for i, x in first.items()}
+    conflicts = sorted((r["id"], r["text"], r["n"]) for r in ingest.staged(spark, root, "conflicts").collect())
+    assert conflicts == sorted([("b", "other b", 1), ("c", "later c", 2), ("d", pair[1], 2 if pair[1] == "one of two" else 1)])
+    repeats = {r["id"]: r["n"] for r in ingest.staged(spark, root, "repeats").groupBy("id").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert repeats == {"a": 2, "b": 2} | ({"d": 1} if pair[0] == "one of two" else {})
+    want = chunking.Fixed(6).chunk(ingest.staged(spark, root, "documents"))
+    assert sorted(r["id"] for r in ingest.staged(spark, root, "chunks").collect()) == sorted(r["id"] for r in want.collect())
+    # a replayed batch replaces what it wrote
+    ingest._stage_outcomes(ingest.staged(spark, root, "documents").where("id = 'e'").selectExpr("*", "'new' AS outcome", "1L AS n"), 2, chunking.Fixed(6), root)
+    assert ingest.staged(spark, root, "documents").count() == 5
+    made = bundle.build_staged(spark, root, str(tmp_path / "out"), "fixed-6-0")
+    assert made.documents.count() == 5
+    assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass") or "")
+
+
 def test_staged_build_and_verified_corpus(spark, tmp_path):
     docs = corpus.load_documents(spark, write(tmp_path / "c.json", [doc(), doc("b", "second text")]))
     docs.write.parquet(str(tmp_path / "in"))
