@@ -125,19 +125,20 @@ def error_class(message: Column, status: Column | None = None, data_error: Colum
     return out if data_error is None else F.when(data_error, "data").otherwise(out)
 
 
-def with_retries(call: Callable, attempts: int = 3, classify: Callable[[Exception], str] | None = None) -> Callable:
-    """call, tried again after failures that are transient; the caller's own classifier goes first."""
+def failure_kind(error: Exception) -> str:
+    """'transient' or 'fatal': a status decides where there is one, else the message."""
+    status = getattr(error, "status", None)
+    if status is not None:
+        return "transient" if status in (429, 408) or 500 <= status < 600 else "fatal"
+    text = str(error)
+    if any(m in text for m in ENDED_MARKERS):
+        return "fatal"
+    return "transient" if any(m in text for m in TRANSIENT_MARKERS) else "fatal"
 
-    def default(error: Exception) -> str:
-        status = getattr(error, "status", None)
-        if status is not None:
-            return "transient" if status in (429, 408) or 500 <= status < 600 else "fatal"
-        text = str(error)
-        if any(m in text for m in ENDED_MARKERS):
-            return "fatal"
-        return "transient" if any(m in text for m in TRANSIENT_MARKERS) else "fatal"
 
-    kind = classify or default
+def with_retries(call: Callable, attempts: int = 3, classify: Callable[[Exception], str] | None = None) -> Callable:
+    """call, tried again after failures that are transient; the caller's own classifier goes first."""
+    kind = classify or failure_kind
 
     def tried(*args, **kwargs):
         for n in range(attempts):

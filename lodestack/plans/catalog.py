@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as t
 from lodestack.functions import vectors as v
-from lodestack.operators import answering, cells, chunking, embedding, evaluation, generation, lexical, postings, reranking, retrieval, statistics, validation, vector_search
+from lodestack.operators import answering, calls, cells, chunking, embedding, evaluation, generation, lexical, postings, reranking, retrieval, statistics, validation, vector_search
 from lodestack.operators import representations as rep
 from lodestack.operators import caching
-from lodestack.operators.common import scratch
+from lodestack.operators.common import ContractError, scratch
 from lodestack.plans import corpora as c
 from lodestack.plans import sql
 from lodestack.sources import bundle, content
@@ -644,6 +645,48 @@ def generation_flow(spark, sf):
     return generation.flow(asked, steps, scratch(spark, "flow"))[0].select("doc_id", "output")
 
 
+def told_apart(items: list[dict]) -> list[dict]:
+    """A stand-in for a model: the text's digest; texts whose digest begins with 0 are refused, as are the calls that hold them."""
+    digests = [hashlib.sha256(i["text"].encode()).hexdigest() for i in items]
+    if any(x.startswith("0") for x in digests):
+        raise ContractError("refused")
+    return [{"output": x, "input_tokens": len(i["text"])} for i, x in zip(items, digests, strict=True)]
+
+
+@query
+def called_generation(spark, sf):
+    """Every text by calls of 16 items; the second run finds what the first has stored and given up."""
+    docs, path = c.table(spark, sf, "documents").where("text is not null").select("doc_id", "text"), scratch(spark, "calls")
+    policy = calls.Policy(batch=16, attempts=1)
+    calls.called(docs, t.digest("text"), told_apart, path, policy)
+    out, report = calls.called(docs, t.digest("text"), told_apart, path, policy)
+    return out.select("doc_id", "output", "failure_class", F.lit(report["called"]).cast("long").alias("called_again"))
+
+
+@query
+def called_rerank(spark, sf):
+    candidates = retrieval.hydrate(retrieval.from_hits(bm25(spark, sf, 20)), large(spark, sf))
+    call = lambda _, texts: {"results": [{"index": i, "score": float(len(x))} for i, x in reversed(list(enumerate(texts)))]}
+    out, _ = reranking.rerank_items(candidates, c.queries(spark, sf), call, "length", 10, scratch(spark, "reranked"))
+    return out.select("query_id", "chunk_id", F.col("rank").cast("long"), F.col("reranker_score").cast("long").alias("n"))
+
+
+@query
+def ingested_documents(spark, sf):
+    """Four runs of a stream: three thirds of the documents, each with some that came before, then others under known ids."""
+    source, root, fixed = scratch(spark, "arriving"), scratch(spark, "ingested"), chunking.Fixed(1200, 120)
+    docs, key = c.documents(spark, sf).where("text is not null"), F.col("id").cast("long")
+    changed = docs.where(key % 7 == 0).withColumn("text", F.concat("text", F.lit("!"))).withColumn("content_digest", t.digest("text"))
+    runs = [docs.where((key % 3 == n) | ((key % 5 == 0) & (key % 3 < n))) for n in range(3)] + [changed]
+    for rows in runs:
+        rows.write.mode("append").parquet(source)
+        ingest.ingest_once(spark, source, fixed, root).awaitTermination()
+    staged = lambda name: ingest.staged(spark, root, name)
+    counts = {name: staged(name).agg(F.count("*").alias("n")) for name in ("documents", "chunks")} | {name: staged(name).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")) for name in ("conflicts", "repeats")}
+    parts = [df.select(F.lit(name).alias("name"), "n") for name, df in counts.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query
 def scored_rerank(spark, sf):
     candidates = retrieval.hydrate(retrieval.from_hits(bm25(spark, sf, 20)), large(spark, sf))

@@ -148,6 +148,9 @@ records AS (SELECT DISTINCT {rep_id('id', 'content_digest')} AS representation_i
 {bm25_cte()}, kept AS (SELECT scored.* FROM scored JOIN records r USING (representation_id) WHERE r.kind = 'summary'), {top_cte('kept', 'hits', 10)} SELECT query_id, representation_id, rank, round(score, 6) AS score FROM hits"""
 
 
+SCORED_RERANK = f"WITH {hits(20)}, sized AS (SELECT hits.query_id, hits.chunk_id, rank AS old, length(large.text) AS n FROM hits JOIN large ON large.id = hits.chunk_id) SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, old) AS rank, cast(n AS bigint) AS n FROM sized) WHERE rank <= 10"
+
+
 def queries() -> dict[str, str]:
     with_ = lambda *parts: "WITH " + ", ".join(parts) + " "
     collapse = "list_filter(list_transform(regexp_split_to_array(text, '[\\r\\n]+'), lambda y: " + TRIM.format("y") + "), lambda x: x <> '' AND NOT starts_with(x, '```'))"
@@ -266,7 +269,12 @@ SELECT problem, count(*) AS n FROM (SELECT 'value not finite' AS problem FROM do
         "cached_generation": """WITH d AS (SELECT source || lang AS x FROM documents)
 SELECT cast(run AS bigint) AS run, n AS rows, CASE WHEN run = 0 THEN 0 ELSE n END AS hits, CASE WHEN run = 0 THEN n ELSE 0 END AS misses, CASE WHEN run = 0 THEN k ELSE 0 END AS writes, CASE WHEN run = 0 THEN (SELECT cast(sum(length(x)) AS bigint) FROM (SELECT DISTINCT x FROM d)) END AS input_tokens FROM (SELECT count(*) AS n, count(DISTINCT x) AS k FROM d), (SELECT unnest([0, 1]) AS run)""",
         "generation_flow": "SELECT doc_id, reverse(upper(source || '-' || lang)) AS output FROM documents",
-        "scored_rerank": f"WITH {hits(20)}, sized AS (SELECT hits.query_id, hits.chunk_id, rank AS old, length(large.text) AS n FROM hits JOIN large ON large.id = hits.chunk_id) SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, old) AS rank, cast(n AS bigint) AS n FROM sized) WHERE rank <= 10",
+        "scored_rerank": SCORED_RERANK,
+        "called_rerank": SCORED_RERANK,
+        "called_generation": "SELECT doc_id, CASE WHEN NOT starts_with(sha256(text), '0') THEN sha256(text) END AS output, CASE WHEN starts_with(sha256(text), '0') THEN 'fatal' END AS failure_class, cast(0 AS bigint) AS called_again FROM documents WHERE text IS NOT NULL",
+        "ingested_documents": with_(DOCS, LARGE) + """SELECT 'documents' AS name, count(*) AS n FROM docs WHERE text IS NOT NULL UNION ALL SELECT 'chunks', count(*) FROM large
+UNION ALL SELECT 'conflicts', count(*) FROM docs WHERE text IS NOT NULL AND doc_id % 7 = 0
+UNION ALL SELECT 'repeats', cast(coalesce(sum(2 - doc_id % 3), 0) AS bigint) FROM docs WHERE text IS NOT NULL AND doc_id % 5 = 0""",
         "evidence_violations": f"""WITH {hits(3)} SELECT problem, count(*) AS n FROM (SELECT 'text differs' AS problem FROM hits WHERE rank = 1 UNION ALL SELECT 'unknown chunk' FROM hits WHERE rank = 2 UNION ALL SELECT 'rank below 1' FROM hits WHERE rank = 3) GROUP BY problem""",
         "embedding_cache": """WITH t AS (SELECT count(*) AS n, count(DISTINCT text) AS k FROM conversations WHERE text IS NOT NULL) SELECT cast(run AS bigint) AS run, n AS rows, CASE WHEN run = 0 THEN 0 ELSE n END AS hits, CASE WHEN run = 0 THEN k ELSE 0 END AS writes FROM t, (SELECT unnest([0, 1]) AS run)""",
         "sentence_snap_chunks": f"WITH RECURSIVE {DOCS}, whole_docs AS (SELECT id AS document_id, text AS whole, 0 AS section, 0 AS begin, length(text) AS stop FROM docs), {snapped_cte('whole_docs', 'snapped', 'fixed-1200-120', 1200, 120, 200)} SELECT id, document_id, ordinal, byte_start, byte_end, content_digest FROM snapped",
