@@ -9,6 +9,10 @@ overlap: a link. Transitions are remembered by state and token, and texts repeat
 How many documents hold a pair of ids linked, and which of its partners an id of the first side is linked to in most
 documents, are counted over all documents: batches list their distinct pairs once (`batch_values`).
 
+A text is cut at single blanks between characters that are none. Both tokenizers always end a token there (the vocabulary's
+pattern takes such a blank with what follows, and the model has no piece with a blank after another character), so
+that groups end there too. Segments repeat as words do: each is encoded and aligned once while it is remembered.
+
 Defined cases: a null or empty text, or one whose tokens do not spell blank + text on both sides (the mark that stands for
 blanks, standing in the text itself), has no tokens: zeros, no groups; equal texts get equal rows; null ids are
 documents like others; columns called like results are replaced, others pass through; an empty table gives an
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +35,11 @@ from pyspark.sql import types as T
 from lodestack.llm import batch_values as bv
 from lodestack.llm.common import Workspace, regroup
 
-#: Characters of a part of a text; characters that are encoded in one call.
-PART, CALL = 200_000, 1_000_000
-SAFE_BLANK = re.compile("(?<=[A-Za-z0-9.,]) (?=[A-Za-z0-9])")
+#: Segments that a worker remembers, in two halves: some 300 bytes each, as longer ones than REMEMBERED characters are not.
+SEGMENTS, REMEMBERED = 400_000, 64
+#: Characters that are encoded in one call.
+CALL = 500_000
+SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 SHIFT = 20
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum")
 
@@ -155,66 +162,74 @@ def groups_text(a: list[str], b: list[str], ends: list[tuple[int, int]]) -> str:
     return ";".join(out)
 
 
-def parts_of(text: str, cuts: bool, most: int = PART) -> list[str]:
-    """The text in parts; the blank at which it is cut is the one that goes before the next part anyway."""
-    if len(text) <= most or not cuts:
-        return [text]
-    out, at = [], 0
-    while len(text) - at > most:
-        found = SAFE_BLANK.search(text, at + most // 2)
-        if not found:
-            break
-        out.append(text[at : found.start()])
-        at = found.end()
-    return [*out, text[at:]]
+#: What a segment gives: tokens of A, of B, groups, groups as text, links as 64-bit integers in a row. None: the sides spell other bytes.
+Aligned = tuple[int, int, int, str, bytes]
 
 
 class Aligner:
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, most: int = SEGMENTS):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         self.cuts = self.a.cuts and self.b.cuts
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
         self.a_names, self.b_names = ([str(i) for i in range(len(x.bytes))] for x in (self.a, self.b))
+        self.most = most
+        self.newer: dict[str, Aligned | None] = {}
+        self.older: dict[str, Aligned | None] = {}
 
     def texts(self, texts: list[str | None]):
-        """For each text: ids counted on both sides, groups as text, how many, and its links."""
+        """What each text gives, a bounded part of the texts at a time."""
         waiting, size = [], 0
         for text in texts:
-            parts = parts_of(text, self.cuts) if text else []
-            waiting.append((text, parts))
+            waiting.append((SAFE_BLANK.split(text) if self.cuts else [text]) if text else [])
             size += len(text or "")
             if size >= CALL:
                 yield from self._some(waiting)
                 waiting, size = [], 0
         yield from self._some(waiting)
 
-    def _some(self, waiting):
-        flat = [p for _, parts in waiting for p in parts]
-        coded, at = [], 0
-        while at < len(flat):  # one long text does not go in one call
+    def _some(self, waiting: list[list[str]]):
+        found = self._segments({s for segments in waiting for s in segments})
+        for segments in waiting:
+            own = list(map(found.__getitem__, segments))
+            if not own or None in own:
+                yield 0, 0, 0, "", b""
+            else:
+                n_a, n_b, n_groups, groups, links = zip(*own, strict=True)
+                yield sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links)
+
+    def _segments(self, wanted: set[str]) -> dict[str, Aligned | None]:
+        """Segments from what is remembered; the others are encoded. What is met moves to the newer half."""
+        if len(self.newer) > self.most // 2:
+            self.newer, self.older = {}, self.newer
+        newer, older = self.newer, self.older
+        out, new = {}, []
+        for s in wanted:
+            if s in newer:
+                out[s] = newer[s]
+            elif s in older:
+                out[s] = newer[s] = older[s]
+            else:
+                new.append(s)
+        at = 0
+        while at < len(new):  # one long segment does not go in one call with others
             end, size = at, 0
-            while end < len(flat) and (end == at or size + len(flat[end]) <= CALL):
-                size, end = size + len(flat[end]), end + 1
-            coded += zip(self.a.encode(flat[at:end]), self.b.encode(flat[at:end]), strict=True)
+            while end < len(new) and (end == at or size + len(new[end]) <= CALL):
+                size, end = size + len(new[end]), end + 1
+            some = new[at:end]
+            for s, a, b in zip(some, self.a.encode(some), self.b.encode(some), strict=True):
+                out[s] = self._one(s, a, b)
+                if len(s) <= REMEMBERED:
+                    newer[s] = out[s]
             at = end
-        at = 0
-        for _text, parts in waiting:
-            own, at = coded[at : at + len(parts)], at + len(parts)
-            yield self._one(parts, own)
-
-    def _one(self, parts, own):
-        for part, (a, b) in zip(parts, own, strict=True):
-            want = b" " + part.encode()
-            if b"".join(map(self.a.bytes.__getitem__, a)) != want or b"".join(map(self.b.bytes.__getitem__, b)) != want:
-                return 0, 0, 0, "", []
-        n_a = n_b = n_groups = 0
-        groups, links = [], []
-        for a, b in own:
-            found, ends = self.transducer.align(a, b)
-            links += found
-            groups.append(groups_text([self.a_names[x] for x in a], [self.b_names[x] for x in b], ends))
-            n_a, n_b, n_groups = n_a + len(a), n_b + len(b), n_groups + len(ends)
-        return n_a, n_b, n_groups, ";".join(groups), links
+        return out
+
+    def _one(self, segment: str, a: list[int], b: list[int]) -> Aligned | None:
+        want = b" " + segment.encode()
+        if b"".join(map(self.a.bytes.__getitem__, a)) != want or b"".join(map(self.b.bytes.__getitem__, b)) != want:
+            return None
+        links, ends = self.transducer.align(a, b)
+        text = groups_text([self.a_names[x] for x in a], [self.b_names[x] for x in b], ends)
+        return len(a), len(b), len(ends), text, array("q", links).tobytes()
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -242,10 +257,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: list[str] | None = No
         for number, batch in zip(bv.batch_ids(), regroup(batches, bv.ROWS, bv.BYTES)):
             n_a, n_b, n_groups, n_links, groups, pairs, times = [], [], [], [], [], [], []
             for a, b, g, text, links in aligner.texts(batch.column(batch.num_columns - 1).to_pylist()):
-                found, often = np.unique(np.array(links, dtype=np.int64), return_counts=True)
+                linked = np.frombuffer(links, dtype=np.int64)
+                found, often = np.unique(linked, return_counts=True)
                 pairs.append(found)
                 times.append(often)
-                for column, value in ((n_a, a), (n_b, b), (n_groups, g), (n_links, len(links)), (groups, text)):
+                for column, value in ((n_a, a), (n_b, b), (n_groups, g), (n_links, len(linked)), (groups, text)):
                     column.append(value)
             listed, where, many = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
             ends = np.cumsum([len(p) for p in pairs])

@@ -60,17 +60,23 @@ def test_equals_offsets(spark, make, paths):
     assert al.link_counts(al.align(docs.limit(0), *paths), Workspace(spark, "test")).count() == 0
 
 
-def test_parts_are_the_whole(paths):
+def test_segments_are_the_whole(paths):
     rng = random.Random(6)
-    words = ["the", "Thlyouble", "of.", "x1", "ürde", "naïve,", "12", "(see", "a)", "end.\nNext", "  two"]
-    text = " ".join(rng.choices(words, k=3000))
+    words = ["the", "Thlyouble", "of.", "x1", "ürde", "naïve,", "12", "(see", "a)", "end.\nNext", "  two", "tab\tbed", "'s", "n't", "日本", "\u3000wide", "\xa0", "\x1c", "<s>", "<|endoftext|>", "e\u0301", "-", "'"]
+    text = " ".join(rng.choices(words, k=5000))
     aligner = al.Aligner(*paths)
     assert aligner.cuts
-    parts = al.parts_of(text, True, 500)
-    assert len(parts) > 10 and " ".join(parts) == text
+    segments = al.SAFE_BLANK.split(text)
+    assert len(segments) > 2000 and " ".join(segments) == text
     for side in (aligner.a, aligner.b):
-        assert [i for p in side.encode(parts) for i in p] == side.encode([text])[0]
-    assert al.parts_of("x" * 5000, True, 500) == ["x" * 5000]
+        assert [i for p in side.encode(segments) for i in p] == side.encode([text])[0]
+
+
+def test_segments_are_forgotten(paths):
+    texts = ["one two three", "two three four", "x" * 100, "one two three", None, "five six seven eight nine"] * 3
+    small, large = al.Aligner(*paths, most=4), al.Aligner(*paths)
+    assert list(small.texts(texts)) == list(large.texts(texts))
+    assert len(small.newer) + len(small.older) < 14 and "x" * 100 not in large.newer
 
 
 def test_very_long_text(spark, make, paths):
