@@ -122,8 +122,9 @@ def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ws = Workspace(spark, "suffix-tree")
     docs = documents(spark, sf_dir).select("doc_id", "text", t.held_out().alias("held_out"))
-    tree, counts = t.train(docs.where("not held_out"), ws)
-    return t.score(docs, tree, counts, ws, ["doc_id", "held_out"])
+    tree, counts = t.words_of(docs.where("not held_out"), ws)
+    coded = t.code(docs, tree, ws, ["doc_id", "held_out"])
+    return t.score(coded, t.grow(tree, coded.where("not held_out")), counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
