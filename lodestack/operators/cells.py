@@ -34,6 +34,7 @@ SHORTLIST, LEAST_SHORTLIST = 10, 100
 
 #: Stored tables.
 QUANTISER = "kind string, number int, word int, values array<double>"
+FITTED = ("kind", "number", "word")
 ROW = "document_id string, chunk_id string, representation_id string, values array<double>, codes binary, cell int"
 
 
@@ -110,9 +111,9 @@ def build_cells(vectors: DataFrame, path: str, model: str, parts: int = 16, cell
     # by range: a cell that holds a large share of the rows is dealt over several tasks
     placed.repartitionByRange("cell", F.xxhash64("representation_id")).sortWithinPartitions("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
     quantiser = [("center", i, 0, x.tolist()) for i, x in enumerate(centers)] + [("word", i, j, x.tolist()) for i, words in enumerate(books) for j, x in enumerate(words)]
-    saved(spark.createDataFrame(quantiser, QUANTISER).coalesce(1), f"{path}/quantiser")
+    fitted = table_tree(saved(spark.createDataFrame(quantiser, QUANTISER).coalesce(1), f"{path}/quantiser"), *FITTED)
     tree = table_tree(spark.read.schema(ROW).parquet(f"{path}/rows"), "representation_id")
-    manifest = {"version": VERSION, "model": model, "dimensions": dims, "cells": len(centers), "parts": parts, "probes": probes, "recall": recall, "rows": tree.rows, "digest": tree.root}
+    manifest = {"version": VERSION, "model": model, "dimensions": dims, "cells": len(centers), "parts": parts, "probes": probes, "recall": recall, "rows": tree.rows, "digest": tree.root, "quantiser": fitted.root}
     write_json(spark, f"{path}/manifest.json", manifest)
     return open_cells(spark, path, model, dims if lengths else None)
 
@@ -134,10 +135,11 @@ def open_cells(spark: SparkSession, path: str, model: str, dimensions: int | Non
     if dimensions is not None and m["dimensions"] != dimensions:
         raise ContractError(f"the index has {m['dimensions']} dimensions, not {dimensions}")
     rows = spark.read.schema(ROW).parquet(f"{path}/rows")
-    if check and table_tree(rows, "representation_id").root != m["digest"]:
+    quantiser = spark.read.schema(QUANTISER).parquet(f"{path}/quantiser")
+    if check and (table_tree(rows, "representation_id").root != m["digest"] or table_tree(quantiser, *FITTED).root != m["quantiser"]):
         raise ContractError("the index differs from its digest")
     # at most CENTROIDS centers and CODEWORDS words a part
-    read = spark.read.schema(QUANTISER).parquet(f"{path}/quantiser").collect()
+    read = quantiser.collect()
     centers = np.array([r["values"] for r in sorted((r for r in read if r["kind"] == "center"), key=lambda r: r["number"])])
     words = sorted((r for r in read if r["kind"] == "word"), key=lambda r: (r["number"], r["word"]))
     books = np.array([r["values"] for r in words]).reshape(m["parts"], -1, m["dimensions"] // m["parts"])

@@ -126,12 +126,18 @@ def build_postings(records: DataFrame, path: str, fields: dict[str, Column] | No
         "totals": {f: [float(totals["n"]), totals[f]] for f in made.fields},
         "blocks": {r["field"]: r["blocks"] for r in held},
         "postings": {r["field"]: r["postings"] for r in held},
-        "digest": {"rows": table_digest(rows.drop(*[f"terms_{f}" for f in made.fields]), "row"), "blocks": table_digest(blocks, "field", "term", "window", "kind")},
     }
+    manifest["digest"] = {name: table_digest(df, *key) for name, df, key in _tables(rows, blocks, terms)}
     write_json(spark, f"{path}/manifest.json", manifest)
     return open_postings(spark, path)
 
 
+def _tables(rows: DataFrame, blocks: DataFrame, terms: DataFrame) -> list[tuple[str, DataFrame, tuple[str, ...]]]:
+    """What an index's digest covers: the terms of rows are in the blocks."""
+    numbered = rows.select(*[c for c in rows.columns if not c.startswith("terms_")])
+    return [("rows", numbered, ("row",)), ("blocks", blocks, ("field", "term", "window", "kind")), ("terms", terms, ("field", "term"))]
+
+
 def open_postings(spark: SparkSession, path: str, check: bool = False) -> Postings:
     """The index under path; its content is only read and digested with check."""
     from lodestack.sources.bundle import read_json
@@ -141,11 +147,9 @@ def open_postings(spark: SparkSession, path: str, check: bool = False) -> Postin
     if m.get("version") != VERSION:
         raise ContractError("unknown index version")
     found = Postings(path, spark.read.parquet(f"{path}/analysed"), spark.read.schema(STORED).parquet(f"{path}/blocks"), spark.read.schema(TERM).parquet(f"{path}/terms"), m)
-    if check:
-        rows = found.rows.drop(*[f"terms_{f}" for f in m["fields"]])
-        for name, df, key in (("rows", rows, ("row",)), ("blocks", found.blocks, ("field", "term", "window", "kind"))):
-            if table_digest(df, *key) != m["digest"][name]:
-                raise ContractError(f"{name} of the index differ from their digest")
+    for name, df, key in _tables(found.rows, found.blocks, found.terms) if check else ():
+        if table_digest(df, *key) != m["digest"][name]:
+            raise ContractError(f"{name} of the index differ from their digest")
     return found
 
 

@@ -16,7 +16,7 @@ from lodestack.operators import caching
 from lodestack.operators.common import ContractError, scratch
 from lodestack.plans import corpora as c
 from lodestack.plans import sql
-from lodestack.sources import bundle, content
+from lodestack.sources import bundle, content, search_bundle
 from lodestack.streaming import ingest
 
 LARGE, SMALL = chunking.Fixed(1200, 120), chunking.Fixed(300, 0)
@@ -587,6 +587,16 @@ def bundle_inspection(spark, sf):
     return seen["chunks"].select("document_id", "name", "chunks", F.col("first").cast("long"), F.col("last").cast("long"), F.lit(seen["corpus"]).alias("corpus"))
 
 
+@query
+def search_bundle_topk(spark, sf):
+    """Keywords through the lexical index of a search bundle, hydrated from its content store."""
+    docs = c.documents(spark, sf)
+    chunks = LARGE.chunk(docs)
+    found = search_bundle.build_search(bundle.BuildInput(docs, chunks, rep.raw(chunks), LARGE.name), scratch(spark, "search"))
+    hits = found.hydrate(found.search_text(keywords(spark, sf), 10))
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long"), "content_digest")
+
+
 @query
 def ordered_vectors(spark, sf):
     rows = bundle.vector_entries(built(spark, sf), "hash-16")

@@ -256,6 +256,7 @@ pairs AS (SELECT q.id AS query_id, v.id AS representation_id, v.id AS chunk_id,
 {top_cte('pairs', 'hits', 10)} SELECT query_id, representation_id, rank, round(score, 6) AS score FROM hits""",
         "stored_index_topk": f"WITH {hits(10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
         "forward_index_topk": f"WITH {hits(10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
+        "search_bundle_topk": f"WITH {DOCS}, {LARGE}, {RECORDS}, {KEYWORDS}, {bm25_cte()}, {top_cte('scored', 'hits', 10)} SELECT query_id, hits.chunk_id, rank, content_digest FROM hits JOIN large ON large.id = hits.chunk_id",
         "keyword_topk": f"WITH {DOCS}, {LARGE}, {RECORDS}, {KEYWORDS}, {bm25_cte()}, {top_cte('scored', 'hits', 10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
         "vector_violations": """WITH base AS (SELECT vec_id, vec_id % 50 = 0 AS bad, vec_id % 61 = 0 AS short, vec_id % 73 = 0 AS other FROM embeddings), doubled AS (SELECT * FROM base UNION ALL SELECT * FROM base WHERE vec_id % 97 = 0)
 SELECT problem, count(*) AS n FROM (SELECT 'value not finite' AS problem FROM doubled WHERE bad UNION ALL SELECT 'dimensions differ' FROM doubled WHERE short UNION ALL SELECT 'model differs' FROM doubled WHERE other

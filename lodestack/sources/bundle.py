@@ -23,7 +23,7 @@ from lodestack.operators.common import ContractError, require, saved
 from lodestack.sources.corpus import Tree, table_digest, table_tree
 
 VERSION = 1
-KEYS = {"documents": ("id",), "chunks": ("document_id", "ordinal", "id"), "representations": ("id",), "vectors": ("representation_id",)}
+KEYS = {"documents": ("id",), "chunks": ("id",), "representations": ("id",), "vectors": ("representation_id",)}
 
 
 @dataclass(frozen=True)
