@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import text as t
 from lodestack.functions import vectors as v
-from lodestack.operators import answering, calls, cells, chunking, embedding, evaluation, generation, lexical, postings, reranking, retrieval, statistics, validation, vector_search
+from lodestack.operators import answering, calls, cells, chunking, embedding, evaluation, generation, lexical, markers, postings, reranking, retrieval, statistics, validation, vector_search
 from lodestack.operators import representations as rep
 from lodestack.operators import caching
 from lodestack.operators.common import ContractError, scratch
@@ -81,6 +81,20 @@ def range_chunks(spark, sf):
     return chunking.from_ranges(docs, ranges, "ranges").select("id", "document_id", F.col("ordinal").cast("long"), F.col("byte_start").cast("long"), "content_digest")
 
 
+@query
+def quoted_cuts(spark, sf):
+    """A stand-in for a model's answer: 24 characters at every 500th, and a quote of nothing after each third of them."""
+    docs = c.documents(spark, sf).where("text is not null")
+    steps = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 500).cast("int"))
+    quotes = docs.where("text <> ''").select(F.col("id").alias("document_id"), "text", F.explode(steps).alias("i"))
+    both = F.array(F.struct((2 * F.col("i")).alias("n"), F.substr("text", 500 * F.col("i") + 1, F.lit(24)).alias("marker")), F.struct((2 * F.col("i") + 1).alias("n"), F.when(F.col("i") % 3 == 2, "~ not a quote ~").alias("marker")))
+    asked = quotes.select("document_id", F.inline(both)).where("marker is not null")
+    found = markers.align_markers(docs, asked)
+    cuts = markers.marker_chunks(docs, found).groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum("byte_end").alias("ends"))
+    seen = found.groupBy("document_id").agg(F.count("*").alias("quotes"), F.count("match").alias("matched"))
+    return seen.join(cuts, "document_id").select("document_id", "quotes", "matched", "chunks", "ends")
+
+
 def placed(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "document_id", *[F.col(x).cast("long") for x in ("ordinal", "byte_start", "byte_end")], "content_digest")
 

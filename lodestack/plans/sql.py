@@ -257,6 +257,13 @@ pairs AS (SELECT q.id AS query_id, v.id AS representation_id, v.id AS chunk_id,
         "stored_index_topk": f"WITH {hits(10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
         "forward_index_topk": f"WITH {hits(10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
         "search_bundle_topk": f"WITH {DOCS}, {LARGE}, {RECORDS}, {KEYWORDS}, {bm25_cte()}, {top_cte('scored', 'hits', 10)} SELECT query_id, hits.chunk_id, rank, content_digest FROM hits JOIN large ON large.id = hits.chunk_id",
+        # each quote at its first occurrence behind the last one's; blank quotes and those of nothing match nothing
+        "quoted_cuts": f"""WITH RECURSIVE {DOCS}, base AS (SELECT id, text, cast((length(text) - 1) // 500 AS bigint) AS last FROM docs WHERE text IS NOT NULL AND text <> ''),
+walk AS (SELECT id, text, last, cast(0 AS bigint) AS i, cast(0 AS bigint) AS pos, false AS hit FROM base
+  UNION ALL SELECT id, text, last, i + 1, CASE WHEN p > 0 THEN pos + p ELSE pos END, p > 0 FROM (SELECT *, CASE WHEN regexp_full_match(m, '\\s*') THEN 0 ELSE strpos(substring(text, pos + 1), m) END AS p FROM (SELECT *, substring(text, i * 500 + 1, 24) AS m FROM walk WHERE i <= last))),
+cuts AS (SELECT DISTINCT id, strlen(substring(text, 1, pos - 1)) AS cut FROM walk WHERE hit),
+ends AS (SELECT id, count(*) FILTER (cut > 0) + 1 AS chunks, coalesce(sum(cut) FILTER (cut > 0), 0) AS ends FROM cuts GROUP BY id)
+SELECT id AS document_id, last + 1 + (last + 1) // 3 AS quotes, (SELECT count(*) FROM walk w WHERE w.id = base.id AND hit) AS matched, coalesce(chunks, 1) AS chunks, cast(coalesce(ends, 0) + strlen(text) AS bigint) AS ends FROM base LEFT JOIN ends USING (id)""",
         "keyword_topk": f"WITH {DOCS}, {LARGE}, {RECORDS}, {KEYWORDS}, {bm25_cte()}, {top_cte('scored', 'hits', 10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
         "vector_violations": """WITH base AS (SELECT vec_id, vec_id % 50 = 0 AS bad, vec_id % 61 = 0 AS short, vec_id % 73 = 0 AS other FROM embeddings), doubled AS (SELECT * FROM base UNION ALL SELECT * FROM base WHERE vec_id % 97 = 0)
 SELECT problem, count(*) AS n FROM (SELECT 'value not finite' AS problem FROM doubled WHERE bad UNION ALL SELECT 'dimensions differ' FROM doubled WHERE short UNION ALL SELECT 'model differs' FROM doubled WHERE other
