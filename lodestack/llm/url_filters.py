@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.llm.common import Workspace
+
 SPLITTERS = 64
 RESULTS = ("host", "path", "rule", "verdict")
 OPENS, POINT, CLOSES = 0, 1, 2
@@ -117,6 +119,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     in_hosts = enclosing(parsed.withColumn("key", host_key(F.col("host"))), hosts, all_levels=True, salts=salts)
     # one of a url's rows carries what is not needed to judge it
     placed = in_hosts.select("id", F.when(F.col("is_top"), F.col("row")).alias("row"), "host", "path", F.coalesce(place(F.col("found")), F.lit("")).alias("key"))
-    in_paths = enclosing(placed, paths, all_levels=False, salts=salts)
+    # written: the second sweep counts its ranges before it runs, and would run the first one for that
+    in_paths = enclosing(Workspace(pages.sparkSession, "url-filters").save(placed, "placed"), paths, all_levels=False, salts=salts)
     won = in_paths.groupBy("id").agg(F.max("found").alias("won"), F.first("row", ignorenulls=True).alias("row"), F.first("host").alias("host"), F.first("path").alias("path"))
     return won.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.action", F.lit(default)).alias("verdict"))
