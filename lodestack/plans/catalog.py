@@ -246,6 +246,53 @@ def rrf_fusion(spark, sf):
     return scores(fused.where("rank <= 10"), 9).select("query_id", "chunk_id", "document_id", F.col("rank").cast("long"), "score", F.size("contributions").cast("long").alias("n_channels"))
 
 
+def asking_service(spark, sf, generate) -> answering.Service:
+    """Both channels over all chunks, and a generator of expressions in place of a model."""
+    chunks = large(spark, sf)
+    records = c.records(chunks)
+    index = records.drop("text").join(embedding.hash_embed(chunks, 64).select(F.col("id").alias("chunk_id"), "values"), "chunk_id")
+    near = lambda asked, k: vector_search.exact(index, embedding.hash_embed(asked, 64, key="query_id").select("query_id", "values"), k)
+    return answering.Service(chunks, lambda asked, k: lexical.search(records, asked, k), near, generate=lambda asked, _: asked.select("query_id", generate.alias("output")))
+
+
+def asked_with(spark, sf, strategy: str, generate) -> DataFrame:
+    config = answering.Config(strategy, retrieve_k=20, evidence_k=10, rrf_weights={"bm25": 1.0, "vector": 0.5}, query_variants=2)
+    evidence = answering.retrieve(asking_service(spark, sf, generate), c.queries(spark, sf), config).evidence
+    return scores(evidence, 9).select("query_id", "chunk_id", "document_id", F.col("rank").cast("long"), "score")
+
+
+@query
+def hyde_topk(spark, sf):
+    """The written answer is the passage twice: its vector has the passage's direction."""
+    return asked_with(spark, sf, "hyde", F.concat("text", F.lit("\n"), "text"))
+
+
+@query
+def multi_query_topk(spark, sf):
+    """Two variants of each passage, which differ from it in marks only: each channel counts three times."""
+    variants = F.array(F.concat("text", F.lit(" .")), F.concat("text", F.lit(" ;")))
+    return asked_with(spark, sf, "multi-query", F.to_json(F.struct(variants.alias("variants"))))
+
+
+@query
+def written_representations(spark, sf):
+    """Representations of every kind that a model writes, by a generator of expressions that answers from the chunk's length and digest."""
+    docs = c.documents(spark, sf)
+    chunks = LARGE.chunk(docs)
+    about = F.substring(F.sha2("input", 256), 1, 6)
+    says = {
+        "question": F.concat(F.lit("- What of "), about, F.lit("?\n2. Why "), about, F.lit("?\n\n- What of "), about, F.lit("?")),
+        "entities": F.concat(about, F.lit("\n "), F.reverse(about), F.lit(" \n"), about),
+        "statement": F.concat(F.lit("```\n"), about, F.lit(" is so.\n\n and so on \n```")),
+        "contextual": F.lit("Part of it."),
+    }
+    sets = []
+    for kind, output in says.items():
+        write = lambda df, output=output: df.withColumn("output", output)
+        sets.append(rep.generated(chunks, docs, kind, write, "expressions", "p", "d").select("chunk_id", "kind", F.sha2("text", 256).alias("text_sha256")))
+    return sets[0].unionByName(sets[1]).unionByName(sets[2]).unionByName(sets[3])
+
+
 @query
 def hydrate(spark, sf):
     fused = retrieval.from_hits(bm25(spark, sf, 10))

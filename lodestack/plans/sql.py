@@ -151,6 +151,22 @@ records AS (SELECT DISTINCT {rep_id('id', 'content_digest')} AS representation_i
 SCORED_RERANK = f"WITH {hits(20)}, sized AS (SELECT hits.query_id, hits.chunk_id, rank AS old, length(large.text) AS n FROM hits JOIN large ON large.id = hits.chunk_id) SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, old) AS rank, cast(n AS bigint) AS n FROM sized) WHERE rank <= 10"
 
 
+#: The first 20 hits of both channels: hits and vhits.
+BOTH = f"""{hits(20)}, {embed_cte('large', 'id', 'ce', 64)}, {embed_cte('asked', 'query_id', 'qe', 64)},
+cn AS (SELECT key, sqrt(sum(x::double * x::double)) AS n FROM ce GROUP BY key), qn AS (SELECT key, sqrt(sum(x::double * x::double)) AS n FROM qe GROUP BY key),
+dots AS (SELECT qe.key AS query_id, ce.key AS chunk_id, sum(qe.x::double * ce.x::double) AS s FROM qe JOIN ce USING (d) GROUP BY ALL),
+vec_scored AS (SELECT a.query_id, r.representation_id, r.chunk_id, r.document_id, coalesce(CASE WHEN qn.n * cn.n = 0 THEN 0 ELSE dots.s / (qn.n * cn.n) END, 0) AS score
+  FROM asked a CROSS JOIN records r LEFT JOIN dots ON dots.query_id = a.query_id AND dots.chunk_id = r.chunk_id LEFT JOIN qn ON qn.key = a.query_id LEFT JOIN cn ON cn.key = r.chunk_id),
+{top_cte('vec_scored', 'vhits', 20)}"""
+
+
+def fused_sql(times: int) -> str:
+    """Fusion of both channels, each of which is listed so many times."""
+    return f"""WITH {BOTH}, parts AS (SELECT query_id, chunk_id, document_id, 1e0 / (60 + rank) AS value FROM hits, range({times}) UNION ALL SELECT query_id, chunk_id, document_id, 5e-1 / (60 + rank) FROM vhits, range({times})),
+fused AS (SELECT query_id, chunk_id, min(document_id) AS document_id, sum(value) AS score FROM parts GROUP BY ALL)
+SELECT * FROM (SELECT query_id, chunk_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 15) DESC, chunk_id) AS rank, round(score, 9) AS score FROM fused) WHERE rank <= 10"""
+
+
 def queries() -> dict[str, str]:
     with_ = lambda *parts: "WITH " + ", ".join(parts) + " "
     collapse = "list_filter(list_transform(regexp_split_to_array(text, '[\\r\\n]+'), lambda y: " + TRIM.format("y") + "), lambda x: x <> '' AND NOT starts_with(x, '```'))"
@@ -180,15 +196,16 @@ both_f AS (SELECT query_id, representation_id, chunk_id, document_id, sum(score)
         "vector_identity": "SELECT 'given' AS model, cast(len(embedding) AS bigint) AS dims, count(*) AS n FROM embeddings GROUP BY ALL",
         "vector_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) AS norm, true AS finite FROM embeddings",
         "collapse_document": f"WITH {hits(30)}, {COLLAPSED} SELECT query_id, document_id, chunk_id, rank FROM collapsed",
-        "rrf_fusion": f"""WITH {hits(20)}, {embed_cte('large', 'id', 'ce', 64)}, {embed_cte('asked', 'query_id', 'qe', 64)},
-cn AS (SELECT key, sqrt(sum(x::double * x::double)) AS n FROM ce GROUP BY key), qn AS (SELECT key, sqrt(sum(x::double * x::double)) AS n FROM qe GROUP BY key),
-dots AS (SELECT qe.key AS query_id, ce.key AS chunk_id, sum(qe.x::double * ce.x::double) AS s FROM qe JOIN ce USING (d) GROUP BY ALL),
-vec_scored AS (SELECT a.query_id, r.representation_id, r.chunk_id, r.document_id, coalesce(CASE WHEN qn.n * cn.n = 0 THEN 0 ELSE dots.s / (qn.n * cn.n) END, 0) AS score
-  FROM asked a CROSS JOIN records r LEFT JOIN dots ON dots.query_id = a.query_id AND dots.chunk_id = r.chunk_id LEFT JOIN qn ON qn.key = a.query_id LEFT JOIN cn ON cn.key = r.chunk_id),
-{top_cte('vec_scored', 'vhits', 20)},
-parts AS (SELECT query_id, chunk_id, document_id, 1e0 / (60 + rank) AS value FROM hits UNION ALL SELECT query_id, chunk_id, document_id, 5e-1 / (60 + rank) FROM vhits),
+        "rrf_fusion": f"""WITH {BOTH}, parts AS (SELECT query_id, chunk_id, document_id, 1e0 / (60 + rank) AS value FROM hits UNION ALL SELECT query_id, chunk_id, document_id, 5e-1 / (60 + rank) FROM vhits),
 fused AS (SELECT query_id, chunk_id, min(document_id) AS document_id, sum(value) AS score, count(*) AS n_channels FROM parts GROUP BY ALL)
 SELECT * FROM (SELECT query_id, chunk_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 15) DESC, chunk_id) AS rank, round(score, 9) AS score, n_channels FROM fused) WHERE rank <= 10""",
+        "hyde_topk": fused_sql(1),
+        "multi_query_topk": fused_sql(3),
+        "written_representations": with_(DOCS, LARGE, "told AS (SELECT id, text, substr(content_digest, 1, 6) AS x FROM large)")
+        + """SELECT id AS chunk_id, 'question' AS kind, sha256(unnest(['What of ' || x || '?', 'Why ' || x || '?'])) AS text_sha256 FROM told
+UNION ALL SELECT id, 'entities', sha256(unnest(list_distinct([x, reverse(x)]))) FROM told
+UNION ALL SELECT id, 'statement', sha256(x || ' is so.; and so on') FROM told
+UNION ALL SELECT id, 'contextual', sha256({0}) FROM told""".format(TRIM.format("'Part of it.' || chr(10) || text")),
         "hydrate": f"WITH {hits(5)} SELECT query_id, hits.chunk_id, rank, large.content_digest FROM hits JOIN large ON large.id = hits.chunk_id",
         "kind_filter_topk": KIND_FILTER,
         "kind_index_topk": KIND_FILTER,
