@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import vector_search as vs
 from lodestack.operators.best import BEST, KEYS, Best
-from lodestack.operators.common import ContractError, saved, top_k
+from lodestack.operators.common import ContractError, saved, scratch, top_k
 from lodestack.operators.lexical import as_hits
 
 VERSION = 1
@@ -203,7 +203,9 @@ def _search_block(index: Cells, asked: list, probes: int, shortlist: int) -> Dat
             yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     codes = index.rows.where(F.col("cell").isin(wanted)).select(*KEYS, "codes", "cell")
-    listed = top_k(codes.mapInArrow(coarse, BEST), shortlist, [F.col("cut").desc(), *[F.col(c) for c in KEYS]]).select("query_id", *KEYS)
+    best = top_k(codes.mapInArrow(coarse, BEST), shortlist, [F.col("cut").desc(), *[F.col(c) for c in KEYS]]).select("query_id", *KEYS)
+    # written, so that the planner knows its size: vectors are shuffled only where the shortlists are large too
+    listed = saved(best, scratch(spark, "shortlist"))
     number = {q: i for i, q in enumerate(ids)}
 
     def exact(frames):

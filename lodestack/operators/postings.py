@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators.common import SCORE_DECIMALS, ContractError, saved, top_k
+from lodestack.operators.common import SCORE_DECIMALS, ContractError, saved, scratch, top_k
 from lodestack.operators.lexical import QUERY_BLOCK, BM25Config, analysed, as_hits, query_terms
 
 VERSION = 1
@@ -290,8 +290,9 @@ def _each_block(index: Postings, queries: DataFrame, k: int, boosts: dict[str, f
 
 def search_postings(index: Postings, queries: DataFrame, k: int, boosts: dict[str, float] | None = None, kinds: list[str] | None = None) -> DataFrame:
     """The k best hits of each query by the sum of the fields' boosted scores; kinds: of rows of these kinds only."""
-    found = _each_block(index, queries, k, boosts, kinds)
-    hits = found.drop("blocks", "read").join(index.rows.select("row", *KEYS), "row")
+    # written, so that the planner knows its size: ids of all rows are shuffled only where what was found is large too
+    found = saved(_each_block(index, queries, k, boosts, kinds).drop("blocks", "read"), scratch(queries.sparkSession, "found"))
+    hits = found.join(index.rows.select("row", *KEYS), "row")
     return as_hits(top_k(hits, k, [F.col("cut").desc(), *[F.col(c) for c in KEYS]]), index.config.channel)
 
 
