@@ -65,11 +65,32 @@ def impact(counts: np.ndarray, sizes: np.ndarray, mean: float, config: BM25Confi
     return counts * (config.k1 + 1) / (counts + config.k1 * norm)
 
 
+def _whole_windows(batches):
+    """The same rows in batches that end with a window; rows come in the order of their numbers, file by file."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        window = np.asarray(batch.column(0)) >> WINDOW_BITS
+        other = np.flatnonzero(window != window[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if waiting and int(window[0]) != waiting[-1].column(0)[-1].as_py() >> WINDOW_BITS:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting = []
+        if cut:
+            waiting.append(batch.slice(0, cut))
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting = []
+        waiting.append(batch.slice(cut))
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
 def _blocks(rows: DataFrame, name: str, mean: float, config: BM25Config) -> DataFrame:
-    """Blocks of one field. A window that two batches share gives two blocks of a term: bounds stay bounds."""
+    """Blocks of one field. A window that two tasks share gives two blocks of a term; a search takes the larger impact of both."""
 
     def task(batches):
-        for batch in batches:
+        for batch in _whole_windows(batches):
             row, kind = np.asarray(batch.column(0)), batch.column(1).dictionary_encode()
             terms = batch.column(2)
             size = np.diff(np.asarray(terms.offsets, dtype=np.int64))
@@ -185,7 +206,10 @@ class _Shard:
         table, number = table.take(pa.array(order)), number[order]
         self.starts, self.ends = (np.searchsorted(number, np.arange(len(known)), side=s) for s in ("left", "right"))
         windows, self.window = np.unique(np.asarray(table.column("window")), return_inverse=True)
-        self.windows, self.most = windows, np.asarray(table.column("most"))
+        # of blocks of one term in one window, the first has the largest impact of all, the others none
+        first = np.concatenate([[True], (number[1:] != number[:-1]) | (self.window[1:] != self.window[:-1])])
+        self.windows, self.most = windows, np.zeros(len(number))
+        self.most[first] = np.maximum.reduceat(np.asarray(table.column("most")), np.flatnonzero(first))
         lists = [table.column(c).combine_chunks() for c in ("places", "counts", "sizes")]
         offsets = np.asarray(lists[0].offsets, dtype=np.int64)
         self.at, self.n = offsets[:-1] - offsets[0], np.diff(offsets)
