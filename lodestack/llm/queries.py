@@ -97,7 +97,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.llm.mixing import mix
 
     mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
-    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "capped", "sampled")
 
 
 def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,8 @@ def test_rare_documents_do_not_set_the_scale(spark):
     rows = mixing.mix(docs).collect()
     assert kept_share(rows) > mixing.LEAST - 1e-6
     assert {r["probability"] for r in rows if r["doc_id"] in (9000, 9001)} == {1.0}
+    assert all(r["capped"] for r in rows if r["doc_id"] in (9000, 9001)) and not all(r["capped"] for r in rows)
+    assert all(r["probability"] == 1 for r in rows if r["capped"])
     for budget in (0.3, 0.9):
         rows = mixing.mix(docs, budget=budget).collect()
         assert kept_share(rows) == pytest.approx(budget, abs=1e-6) and max(r["probability"] for r in rows) <= 1
@@ -283,6 +285,7 @@ def test_against_ipf_and_sampling_by_hand(spark, budget):
     for _ in range(200):
         low, high = ((low + high) / 2, high) if kept((low + high) / 2) < want else (low, (low + high) / 2)
     assert all(r["probability"] == pytest.approx(min(1, got[cell(r)] * high), rel=1e-6) for r in rows)
+    assert all(r["capped"] == (got[cell(r)] * high > 1 + 1e-6) for r in rows if abs(got[cell(r)] * high - 1) > 1e-5)
     assert kept_share(rows) == pytest.approx(want, rel=1e-3)
     hashed = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(11), F.col("doc_id").cast("string")).alias("h")).collect()}
     assert all(r["sampled"] == (((hashed[r["doc_id"]] & (2**64 - 1)) >> 11) / 2**53 < r["probability"]) for r in rows)
