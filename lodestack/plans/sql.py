@@ -303,6 +303,15 @@ UNION ALL SELECT 'repeats', cast(coalesce(sum(2 - doc_id % 3), 0) AS bigint) FRO
         "evidence_violations": f"""WITH {hits(3)} SELECT problem, count(*) AS n FROM (SELECT 'text differs' AS problem FROM hits WHERE rank = 1 UNION ALL SELECT 'unknown chunk' FROM hits WHERE rank = 2 UNION ALL SELECT 'rank below 1' FROM hits WHERE rank = 3) GROUP BY problem""",
         "embedding_cache": """WITH t AS (SELECT count(*) AS n, count(DISTINCT text) AS k FROM conversations WHERE text IS NOT NULL) SELECT cast(run AS bigint) AS run, n AS rows, CASE WHEN run = 0 THEN 0 ELSE n END AS hits, CASE WHEN run = 0 THEN k ELSE 0 END AS writes FROM t, (SELECT unnest([0, 1]) AS run)""",
         "sentence_snap_chunks": f"WITH RECURSIVE {DOCS}, whole_docs AS (SELECT id AS document_id, text AS whole, 0 AS section, 0 AS begin, length(text) AS stop FROM docs), {snapped_cte('whole_docs', 'snapped', 'fixed-1200-120', 1200, 120, 200)} SELECT id, document_id, ordinal, byte_start, byte_end, content_digest FROM snapped",
+        # a heading governs until the next one of its level or a lesser one; the first level is left out where it is the title
+        "breadcrumbs": f"""WITH RECURSIVE {TALKS}, {snapped_cte('parts', 'cut', 'markdown-400-40', 400, 40, 0)},
+heads AS (SELECT a.document_id, strlen(substring(a.whole, 1, a.pos - length(a.lines[a.i]) - 1)) AS at_byte, length(regexp_extract(trim(a.lines[a.i]), '^(#{{1,6}}) ', 1)) AS level, trim(regexp_extract(trim(a.lines[a.i]), '(?s)^#{{1,6}} (.*)$', 1)) AS heading
+  FROM fences a JOIN fences b ON b.document_id = a.document_id AND b.i = a.i - 1 WHERE b.open = '' AND NOT regexp_matches(a.lines[a.i], '^ {{0,3}}(`{{3}}|~{{3}})') AND regexp_matches(trim(a.lines[a.i]), '^#{{1,6}} ')),
+governs AS (SELECT cut.id, h.level, h.heading FROM cut JOIN heads h ON h.document_id = cut.document_id AND h.at_byte <= cut.byte_start
+  WHERE NOT EXISTS (SELECT 1 FROM heads o WHERE o.document_id = h.document_id AND o.at_byte > h.at_byte AND o.at_byte <= cut.byte_start AND o.level <= h.level)),
+paths AS (SELECT cut.id, 'Conversation ' || cut.document_id || coalesce(string_agg(' > ' || heading, '' ORDER BY level) FILTER (heading <> '' AND NOT (level = 1 AND heading = 'Conversation ' || cut.document_id)), '') AS path FROM cut LEFT JOIN governs ON governs.id = cut.id GROUP BY cut.id, cut.document_id),
+crumbs AS (SELECT cut.id AS chunk_id, content_digest, {TRIM.format("path || chr(10) || text")} AS text FROM cut JOIN paths ON paths.id = cut.id)
+SELECT {derived_id('chunk_id', 'content_digest', 'breadcrumb', 'text')} AS id, chunk_id, 'breadcrumb' AS kind, text FROM crumbs""",
         "markdown_chunks": f"WITH RECURSIVE {TALKS}, {snapped_cte('parts', 'cut', 'markdown-400-40', 400, 40, 0)} SELECT id, document_id, ordinal, byte_start, byte_end, content_digest FROM cut",
         "markdown_heading_chunks": f"""WITH RECURSIVE {TALKS}, sized AS (SELECT *, stop - begin >= 120 AS large, count(*) FILTER (stop - begin >= 120) OVER (PARTITION BY document_id) AS n_large FROM parts),
 grouped AS (SELECT *, least(coalesce(count(*) FILTER (large) OVER (PARTITION BY document_id ORDER BY begin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), greatest(n_large - 1, 0)) AS g FROM sized),
