@@ -771,3 +771,44 @@ def evidence_violations(spark, sf):
     evidence = retrieval.hydrate(retrieval.from_hits(bm25(spark, sf, 3)), chunks)
     broken = evidence.withColumns({"text": F.when(rank == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "chunk_id": F.when(rank == 2, "none").otherwise(F.col("chunk_id")), "rank": F.when(rank == 3, 0).otherwise(rank)})
     return answering.augmented_problems(broken, chunks).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def by_problem(df: DataFrame) -> DataFrame:
+    return df.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query
+def hit_violations(spark, sf):
+    """Of three hits a query the first gets rank 0, the second a score that is no number, the third no chunk."""
+    rank = F.col("rank")
+    broken = bm25(spark, sf, 3).withColumns({"score": F.when(rank == 2, float("nan")).otherwise(F.col("score")), "chunk_id": F.when(rank == 3, "").otherwise(F.col("chunk_id")), "rank": F.when(rank == 1, 0).otherwise(rank)})
+    return by_problem(retrieval.hit_problems(broken))
+
+
+@query
+def rerank_violations(spark, sf):
+    """The first result of a query is missing, of another chunk or without a finite score, in turn."""
+    hits = bm25(spark, sf, 5)
+    candidates = retrieval.hydrate(retrieval.from_hits(hits), large(spark, sf))
+    done = reranking.term_overlap(candidates, c.queries(spark, sf), 3)
+    turn, first = F.col("query_id").cast("long") % 3, F.col("rank") == 1
+    broken = done.where(~(first & (turn == 0))).withColumns({"chunk_id": F.when(first & (turn == 1), "none").otherwise(F.col("chunk_id")), "reranker_score": F.when(first & (turn == 2), float("inf")).otherwise(F.col("reranker_score"))})
+    return by_problem(reranking.rerank_problems(candidates, broken, 3))
+
+
+@query
+def prepared_violations(spark, sf):
+    """Ten texts a query, prepared for ten and checked for five of 3,000 code points; labels are another's or one for all, in turn."""
+    evidence = retrieval.hydrate(retrieval.from_hits(bm25(spark, sf, 10)), large(spark, sf))
+    made = answering.prepare(evidence, answering.Config(evidence_k=10, maximum_context_runes=1_000_000))
+    turn = F.col("query_id").cast("long") % 4
+    least = F.min("chunk_id").over(Window.partitionBy("query_id"))
+    broken = made.withColumn("label", F.when((turn == 0) & (F.col("rank") == 1), "E1").when(turn == 1, least).otherwise(F.col("label")))
+    return by_problem(answering.prepared_problems(broken, answering.Config(evidence_k=5, maximum_context_runes=3000)))
+
+
+@query
+def judgment_targets(spark, sf):
+    key = F.col("item_id")
+    judged = c.table(spark, sf, "benchmark").select(key.cast("string").alias("query_id"), F.when(key % 5 == 0, "page").when(key % 7 == 0, None).otherwise("chunk").alias("target"), F.lit("x").alias("target_id"), F.lit(1.0).alias("grade"))
+    return evaluation.judgment_target_problems(judged).select("query_id", "target")

@@ -303,6 +303,12 @@ UNION ALL SELECT 'repeats', cast(coalesce(sum(2 - doc_id % 3), 0) AS bigint) FRO
         "evidence_violations": f"""WITH {hits(3)} SELECT problem, count(*) AS n FROM (SELECT 'text differs' AS problem FROM hits WHERE rank = 1 UNION ALL SELECT 'unknown chunk' FROM hits WHERE rank = 2 UNION ALL SELECT 'rank below 1' FROM hits WHERE rank = 3) GROUP BY problem""",
         "embedding_cache": """WITH t AS (SELECT count(*) AS n, count(DISTINCT text) AS k FROM conversations WHERE text IS NOT NULL) SELECT cast(run AS bigint) AS run, n AS rows, CASE WHEN run = 0 THEN 0 ELSE n END AS hits, CASE WHEN run = 0 THEN k ELSE 0 END AS writes FROM t, (SELECT unnest([0, 1]) AS run)""",
         "sentence_snap_chunks": f"WITH RECURSIVE {DOCS}, whole_docs AS (SELECT id AS document_id, text AS whole, 0 AS section, 0 AS begin, length(text) AS stop FROM docs), {snapped_cte('whole_docs', 'snapped', 'fixed-1200-120', 1200, 120, 200)} SELECT id, document_id, ordinal, byte_start, byte_end, content_digest FROM snapped",
+        "hit_violations": f"WITH {hits(3)} SELECT CASE rank WHEN 1 THEN 'rank below 1' WHEN 2 THEN 'score not finite' ELSE 'empty id' END AS problem, count(*) AS n FROM hits GROUP BY 1",
+        "rerank_violations": f"WITH {hits(5)} SELECT CASE cast(query_id AS bigint) % 3 WHEN 0 THEN 'count differs' WHEN 1 THEN 'foreign chunk' ELSE 'score not finite' END AS problem, count(DISTINCT query_id) AS n FROM hits GROUP BY 1",
+        "prepared_violations": f"""WITH {hits(10)}, sized AS (SELECT query_id, cast(query_id AS bigint) % 4 AS turn, count(*) AS n, sum(length(text)) AS runes FROM hits JOIN large ON large.id = hits.chunk_id GROUP BY ALL),
+told AS (SELECT unnest(list_filter([CASE WHEN n > 5 THEN 'too many texts' END, CASE WHEN runes > 3000 THEN 'too many code points' END, CASE WHEN turn = 1 AND n > 1 THEN 'repeated label' END, CASE WHEN turn = 0 THEN 'label of another style' END], lambda x: x IS NOT NULL)) AS problem FROM sized)
+SELECT problem, count(*) AS n FROM told GROUP BY problem""",
+        "judgment_targets": "SELECT cast(item_id AS varchar) AS query_id, CASE WHEN item_id % 5 = 0 THEN 'page' END AS target FROM benchmark WHERE item_id % 5 = 0 OR item_id % 7 = 0",
         # a heading governs until the next one of its level or a lesser one; the first level is left out where it is the title
         "breadcrumbs": f"""WITH RECURSIVE {TALKS}, {snapped_cte('parts', 'cut', 'markdown-400-40', 400, 40, 0)},
 heads AS (SELECT a.document_id, strlen(substring(a.whole, 1, a.pos - length(a.lines[a.i]) - 1)) AS at_byte, length(regexp_extract(trim(a.lines[a.i]), '^(#{{1,6}}) ', 1)) AS level, trim(regexp_extract(trim(a.lines[a.i]), '(?s)^#{{1,6}} (.*)$', 1)) AS heading
