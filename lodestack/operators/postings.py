@@ -1,9 +1,10 @@
 """A block-max inverted index: postings by term in blocks, searched by upper bounds.
 
-Rows are numbered as they are written; WINDOW rows in a row are a window and SHARD rows a shard. A block is one
-term's postings in one window of one kind: places in the window, counts, sizes of the rows, and the block's largest
-impact (the BM25 factor of its best posting). Blocks lie in Parquet by slot, a hash of the term, sorted by
-term, so that a search reads the slots of its queries' terms and nothing of other terms goes further.
+Rows are numbered as they are written; 64 rows in a row are a window and 8,192 a shard. A block is one term's
+postings in one window of one kind: places in the window, counts, and the block's largest impact (the BM25 factor of its
+best posting, rounded up). The blocks of a term in a shard are one row, packed; the empty term's row holds the sizes of the
+rows instead of counts. A task writes the rows of its shards as they are made, in folders by slot, a hash of the
+term: no posting is shuffled to build an index, and a search reads the slots of its queries' terms, of which nothing else goes further.
 
 A search weighs the queries' terms and brings their blocks together by shard. There the sum of a window's largest
 impacts bounds what a row of it can score. In a first pass each shard scores a few windows of the highest bounds; the
@@ -31,11 +32,13 @@ VERSION = 1
 #: Rows of a window and of a shard, as powers of two: numbers of rows are cut by shifts.
 WINDOW_BITS, SHARD_BITS = 6, 13
 #: Folders of blocks, by hash of the term.
-SLOTS = 32
+SLOTS = 16
 #: Windows that a shard scores first, for each query.
 PROBED = 4
-BLOCK = "field string, kind string, term string, window long, n int, most double, places array<int>, counts array<int>, sizes array<int>"
+BLOCK = "field string, kind string, term string, shard long, n int, n_blocks int, blocks binary, places binary, counts binary"
 STORED = f"{BLOCK}, slot int"
+#: A packed block: its window in the shard, how many postings it has, and its largest impact.
+PACKED = np.dtype([("window", "u1"), ("n", "u1"), ("most", "<f4")])
 TERM = "field string, term string, df long, blocks long"
 FOUND = "query_id string, row long, score double, cut double, blocks long, read long"
 KEYS = ["document_id", "chunk_id", "representation_id"]
@@ -65,53 +68,67 @@ def impact(counts: np.ndarray, sizes: np.ndarray, mean: float, config: BM25Confi
     return counts * (config.k1 + 1) / (counts + config.k1 * norm)
 
 
-def _whole_windows(batches):
-    """The same rows in batches that end with a window; rows come in the order of their numbers, file by file."""
+def _whole_shards(batches):
+    """The same rows in batches that end with a shard; rows come in the order of their numbers, file by file."""
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        window = np.asarray(batch.column(0)) >> WINDOW_BITS
-        other = np.flatnonzero(window != window[-1])
+        shard = np.asarray(batch.column(0)) >> SHARD_BITS
+        other = np.flatnonzero(shard != shard[-1])
         cut = int(other[-1]) + 1 if len(other) else 0
-        if waiting and int(window[0]) != waiting[-1].column(0)[-1].as_py() >> WINDOW_BITS:
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+        if waiting and int(shard[0]) != waiting[-1].column(0)[-1].as_py() >> SHARD_BITS:
+            yield _one(waiting)
             waiting = []
         if cut:
-            waiting.append(batch.slice(0, cut))
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            yield _one([*waiting, batch.slice(0, cut)])
             waiting = []
         waiting.append(batch.slice(cut))
     if waiting:
-        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+        yield _one(waiting)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
 def _blocks(rows: DataFrame, name: str, mean: float, config: BM25Config) -> DataFrame:
-    """Blocks of one field. A window that two tasks share gives two blocks of a term; a search takes the larger impact of both."""
+    """Rows of blocks of one field. A window that two tasks share gives two blocks of a term; a search takes the larger impact of both."""
 
     def task(batches):
-        for batch in _whole_windows(batches):
+        for batch in _whole_shards(batches):
             row, kind = np.asarray(batch.column(0)), batch.column(1).dictionary_encode()
             terms = batch.column(2)
             size = np.diff(np.asarray(terms.offsets, dtype=np.int64))
             coded = terms.flatten().dictionary_encode()
-            if not len(coded):
+            words = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([""])])
+            n = len(words)
+            key, tf = np.unique(np.repeat(np.arange(len(row)), size) * n + np.asarray(coded.indices, dtype=np.int64), return_counts=True)
+            # the last term is the empty one, which every row with terms holds as often as it has terms
+            held = np.flatnonzero(size)
+            at, term, tf = np.concatenate([key // n, held]), np.concatenate([key % n, np.full(len(held), n - 1)]), np.concatenate([tf, size[held]])
+            if not len(at):
                 continue
-            n = len(coded.dictionary)
-            key, tf = np.unique(np.repeat(np.arange(len(row)), size) * n + np.asarray(coded.indices), return_counts=True)
-            at, term = key // n, key % n
             kinds = np.asarray(kind.indices)[at]
-            order = np.lexsort((row[at], row[at] >> WINDOW_BITS, kinds, term))
+            order = np.lexsort((row[at], kinds, term, row[at] >> SHARD_BITS))
             at, term, tf, kinds = at[order], term[order], tf[order], kinds[order]
-            window = row[at] >> WINDOW_BITS
-            starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (kinds[1:] != kinds[:-1]) | (window[1:] != window[:-1])]))
-            ends = np.append(starts[1:], len(term))
-            offsets = pa.array(np.append(starts, len(term)), pa.int32())
-            listed = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32()))  # noqa: E731, B023
-            most = np.maximum.reduceat(impact(tf, size[at], mean, config), starts)
-            columns = [pa.array([name] * len(starts)), kind.dictionary.take(pa.array(kinds[starts])), coded.dictionary.take(pa.array(term[starts])), pa.array(window[starts]), pa.array(ends - starts, pa.int32()), pa.array(most)]
-            places = (row[at] & ((1 << WINDOW_BITS) - 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*columns, listed(places), listed(tf), listed(size[at])], [c.split()[0] for c in BLOCK.split(", ")])
+            shard, window = row[at] >> SHARD_BITS, row[at] >> WINDOW_BITS
+            new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (term[1:] != term[:-1]) | (kinds[1:] != kinds[:-1])])
+            cut = new | np.concatenate([[True], window[1:] != window[:-1]])
+            starts, firsts = np.flatnonzero(new), np.flatnonzero(cut)
+            most = np.maximum.reduceat(impact(tf, size[at], mean, config), firsts)
+            packed = np.zeros(len(firsts), dtype=PACKED)
+            packed["window"] = window[firsts] & ((1 << (SHARD_BITS - WINDOW_BITS)) - 1)
+            packed["n"] = np.diff(np.append(firsts, len(at)))
+            low = most.astype("<f4")
+            packed["most"] = np.where(low < most, np.nextafter(low, np.float32(np.inf)), low)
+            ends, where = np.append(starts[1:], len(at)), np.searchsorted(firsts, np.append(starts, len(at)))
+            places = (row[at] & ((1 << WINDOW_BITS) - 1)).astype("u1")
+            binary = lambda x, edges: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+            edges = np.append(starts, len(at))
+            columns = [pa.array([name] * len(starts)), kind.dictionary.take(pa.array(kinds[starts])), words.take(pa.array(term[starts])), pa.array(shard[starts])]
+            columns += [pa.array(ends - starts, pa.int32()), pa.array(np.diff(where), pa.int32()), binary(packed, where), binary(places, edges), binary(tf.astype("<u4"), edges)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCK.split(", ")])
 
     return rows.select("row", "kind", f"terms_{name}").mapInArrow(task, BLOCK)
 
@@ -127,16 +144,17 @@ def build_postings(records: DataFrame, path: str, fields: dict[str, Column] | No
     made = analysed(records, fields)
     kind = F.coalesce("kind", F.lit("")) if "kind" in records.columns else F.lit("")
     kept = made.entries.select(F.monotonically_increasing_id().alias("row"), *KEYS, kind.alias("kind"), *[F.size(f"terms_{f}").alias(f"n_{f}") for f in made.fields], *[f"terms_{f}" for f in made.fields])
-    rows = saved(kept, f"{path}/analysed")
+    kept.write.option("compression", "zstd").parquet(f"{path}/analysed")
+    rows = spark.read.schema(kept.schema).parquet(f"{path}/analysed")
     totals = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.avg(f"n_{f}"), F.lit(0.0)).alias(f) for f in made.fields]).first()
     blocks = None
     for f in made.fields:
         part = _blocks(rows, f, totals[f], config)
         blocks = part if blocks is None else blocks.unionByName(part)
-    dealt = blocks.withColumn("slot", slot_of(F.col("term"))).repartitionByRange("slot", "field", "term", "window").sortWithinPartitions("slot", "field", "term", "window")
-    dealt.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/blocks")
+    dealt = blocks.withColumn("slot", slot_of(F.col("term"))).sortWithinPartitions("slot", "field", "term", "shard")
+    dealt.write.option("compression", "zstd").partitionBy("slot").parquet(f"{path}/blocks")
     blocks = spark.read.schema(STORED).parquet(f"{path}/blocks")
-    counted = blocks.groupBy("field", "term").agg(F.sum("n").alias("df"), F.count("*").alias("blocks"))
+    counted = blocks.where("term <> ''").groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("n_blocks").alias("blocks"))
     terms = saved(counted.repartitionByRange("field", "term").sortWithinPartitions("field", "term"), f"{path}/terms")
     held = terms.groupBy("field").agg(F.sum("blocks").alias("blocks"), F.sum("df").alias("postings")).collect()
     manifest = {
@@ -156,7 +174,7 @@ def build_postings(records: DataFrame, path: str, fields: dict[str, Column] | No
 def _tables(rows: DataFrame, blocks: DataFrame, terms: DataFrame) -> list[tuple[str, DataFrame, tuple[str, ...]]]:
     """What an index's digest covers: the terms of rows are in the blocks."""
     numbered = rows.select(*[c for c in rows.columns if not c.startswith("terms_")])
-    return [("rows", numbered, ("row",)), ("blocks", blocks, ("field", "term", "window", "kind")), ("terms", terms, ("field", "term"))]
+    return [("rows", numbered, ("row",)), ("blocks", blocks, ("field", "term", "shard", "kind")), ("terms", terms, ("field", "term"))]
 
 
 def open_postings(spark: SparkSession, path: str, check: bool = False) -> Postings:
@@ -181,7 +199,7 @@ class _Asked:
         spark = index.rows.sparkSession
         self.ids = sorted({r["query_id"] for r in asked})
         vocabulary = sorted({r["term"] for r in asked})
-        self.wanted = spark.createDataFrame(pd.DataFrame({"term": pd.Series(vocabulary, dtype=str)}), "term string")
+        self.wanted = spark.createDataFrame(pd.DataFrame({"term": pd.Series([*vocabulary, ""], dtype=str)}), "term string")
         rows = index.terms.where(F.col("field").isin(list(boosts))).join(F.broadcast(self.wanted), "term", "left_semi").collect()
         self.known = sorted((r["field"], r["term"]) for r in rows)
         number = {x: i for i, x in enumerate(self.known)}
@@ -200,31 +218,39 @@ class _Shard:
 
     def __init__(self, table: pa.Table, known: list[tuple[str, str]], means: dict[str, float], config: BM25Config):
         table = table.combine_chunks()
+        fields = list(means)
         names = pc.binary_join_element_wise(table.column("field"), table.column("term"), "\n")
-        number = np.asarray(pc.index_in(names, pa.array([f"{f}\n{t}" for f, t in known], pa.string())).fill_null(-1).combine_chunks())
-        order = np.lexsort((np.asarray(table.column("window")), number))
-        table, number = table.take(pa.array(order)), number[order]
+        every = [f"{f}\n{t}" for f, t in known] + [f"{f}\n" for f in fields]
+        number = np.asarray(pc.index_in(names, pa.array(every, pa.string())).fill_null(-1).combine_chunks(), dtype=np.int64)
+        packed = np.frombuffer(b"".join(table.column("blocks").to_pylist()), dtype=PACKED)
+        places = np.frombuffer(b"".join(table.column("places").to_pylist()), dtype="u1").astype(np.int64)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype="<u4").astype(np.int64)
+        number = np.repeat(number, np.asarray(table.column("n_blocks").combine_chunks()))
+        window, n = packed["window"].astype(np.int64), packed["n"].astype(np.int64)
+        at = np.cumsum(n) - n
+        place, of = np.repeat(window << WINDOW_BITS, n) + places, np.repeat(number, n)
+        self.impact = np.zeros(len(place))
+        for i, f in enumerate(fields):
+            own = of == len(known) + i
+            size = np.zeros(1 << SHARD_BITS)
+            size[place[own]] = counts[own]
+            mine = np.isin(of, [j for j, (g, _) in enumerate(known) if g == f])
+            self.impact[mine] = impact(counts[mine], size[place[mine]], means[f], config)
+        order = np.lexsort((window, number))
+        number, self.window, self.n, self.at = number[order], window[order], n[order], at[order]
+        self.place, self.base = place, (table.column("shard")[0].as_py() << SHARD_BITS) if table.num_rows else 0
         self.starts, self.ends = (np.searchsorted(number, np.arange(len(known)), side=s) for s in ("left", "right"))
-        windows, self.window = np.unique(np.asarray(table.column("window")), return_inverse=True)
         # of blocks of one term in one window, the first has the largest impact of all, the others none
         first = np.concatenate([[True], (number[1:] != number[:-1]) | (self.window[1:] != self.window[:-1])])
-        self.windows, self.most = windows, np.zeros(len(number))
-        self.most[first] = np.maximum.reduceat(np.asarray(table.column("most")), np.flatnonzero(first))
-        lists = [table.column(c).combine_chunks() for c in ("places", "counts", "sizes")]
-        offsets = np.asarray(lists[0].offsets, dtype=np.int64)
-        self.at, self.n = offsets[:-1] - offsets[0], np.diff(offsets)
-        places, counts, sizes = (np.asarray(x.flatten(), dtype=np.int64) for x in lists)
-        mean = np.repeat(np.array([means[f] for f in table.column("field").to_pylist()]), self.n)
-        norm = (1 - config.b) + np.divide(config.b * sizes, mean, out=np.zeros(len(mean)), where=mean > 0)
-        self.impact = counts * (config.k1 + 1) / (counts + config.k1 * norm)
-        self.place = np.repeat(self.window, self.n) * (1 << WINDOW_BITS) + places
+        self.windows, self.most = 1 << (SHARD_BITS - WINDOW_BITS), np.zeros(len(number))
+        self.most[first] = np.maximum.reduceat(packed["most"].astype(float)[order], np.flatnonzero(first))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, first: float, k: int, probe: bool = False):
         """Rows, scores, and how many blocks the query's terms have here and were scored; probe: of PROBED windows only."""
         held = self.ends[terms] - self.starts[terms]
         blocks = np.repeat(self.starts[terms] - np.concatenate([[0], np.cumsum(held)[:-1]]), held) + np.arange(held.sum())
         weight, window = np.repeat(weights, held), self.window[blocks]
-        bound = np.bincount(window, weights=weight * self.most[blocks], minlength=len(self.windows))
+        bound = np.bincount(window, weights=weight * self.most[blocks], minlength=self.windows)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         order = order[:PROBED] if probe else order
@@ -237,7 +263,7 @@ class _Shard:
             if not len(some):
                 break
             done, step = done + step, step * 2
-            chosen = np.zeros(len(self.windows), dtype=bool)
+            chosen = np.zeros(self.windows, dtype=bool)
             chosen[some] = True
             mine = chosen[window]
             ours, n = blocks[mine], self.n[blocks[mine]]
@@ -255,8 +281,7 @@ class _Shard:
         if len(rows):
             stays = scores >= threshold - 2e-9 * max(1.0, threshold)
             rows, scores = rows[stays], scores[stays]
-        number = (self.windows[rows >> WINDOW_BITS] << WINDOW_BITS) + (rows & ((1 << WINDOW_BITS) - 1))
-        return number, scores, len(blocks), read
+        return self.base + rows, scores, len(blocks), read
 
 
 def _found(index: Postings, queries: DataFrame, k: int, boosts: dict[str, float], kinds: list[str] | None, told: bool) -> DataFrame:
@@ -269,15 +294,15 @@ def _found(index: Postings, queries: DataFrame, k: int, boosts: dict[str, float]
     blocks = index.blocks.where(F.col("slot").isin(slots) & F.col("field").isin(list(boosts)))
     if kinds is not None:
         blocks = blocks.where(F.col("kind").isin(kinds))
-    blocks = blocks.join(F.broadcast(asked.wanted), "term", "left_semi").withColumn("shard", F.shiftright("window", SHARD_BITS - WINDOW_BITS))
-    means, config = {f: t[1] for f, t in index.manifest["totals"].items()}, index.config
+    blocks = blocks.join(F.broadcast(asked.wanted), "term", "left_semi")
+    means, config = {f: t[1] for f, t in index.manifest["totals"].items() if f in boosts}, index.config
     known = asked.known
 
     def searched(least: dict[str, float], probe: bool) -> DataFrame:
         each = [(q, terms, weights, least.get(q, 0.0)) for q, terms, weights in zip(asked.ids, asked.terms, asked.weights, strict=True)]
         return grouped.applyInArrow(_task(known, each, means, config, k, probe, told and not probe), FOUND)
 
-    grouped = blocks.select("shard", "field", "term", "window", "most", "places", "counts", "sizes").groupBy("shard")
+    grouped = blocks.select("shard", "field", "term", "n_blocks", "blocks", "places", "counts").groupBy("shard")
     # one row a query
     least = {r[0]: r[1] for r in top_k(searched({}, True), k, [F.col("score").desc()]).where(F.col("rank") == k).select("query_id", "score").collect()}
     return searched(least, False)

@@ -90,12 +90,13 @@ def _left_out(spark, tmp_path):
     assert rows(postings.search_postings(index, queries, 10)) == rows(lexical.search(records, queries, 10))
 
 
-def test_windows_are_not_cut_by_batches():
-    rows = np.concatenate([np.arange(0, 300), np.arange(1 << 33, (1 << 33) + 130), [(1 << 33) + 130]])
-    batches = [pa.RecordBatch.from_arrays([pa.array(part)], ["row"]) for part in np.array_split(rows, 9)]
-    got = [np.asarray(b.column(0)) for b in postings._whole_windows(iter(batches))]
+def test_shards_are_not_cut_by_batches():
+    bits = postings.SHARD_BITS
+    rows = np.concatenate([np.arange(0, 20_000), np.arange(1 << 33, (1 << 33) + 9000)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(part)], ["row"]) for part in np.array_split(rows, 13)]
+    got = [np.asarray(b.column(0)) for b in postings._whole_shards(iter(batches))]
     assert np.concatenate(got).tolist() == rows.tolist()
-    seen = [w for b in got for w in np.unique(b >> postings.WINDOW_BITS).tolist()]
+    seen = [w for b in got for w in np.unique(b >> bits).tolist()]
     assert len(seen) == len(set(seen))
 
 
@@ -119,6 +120,6 @@ def test_empty_index_and_changed_content(spark, records, tmp_path):
     with pytest.raises(ContractError, match="holds an index"):
         postings.build_postings(records, path)
     assert postings.open_postings(spark, path, check=True).manifest == made.manifest
-    spark.read.parquet(f"{path}/blocks").limit(1).write.mode("append").partitionBy("slot").parquet(f"{path}/blocks")
+    spark.read.schema(postings.STORED).parquet(f"{path}/blocks").limit(1).write.mode("append").partitionBy("slot").parquet(f"{path}/blocks")
     with pytest.raises(ContractError, match="blocks of the index differ"):
         postings.open_postings(spark, path, check=True)
