@@ -107,8 +107,9 @@ def exact_expression(index: DataFrame, queries: DataFrame, k: int, channel: str
 
 def sampled(index: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Unit vectors of the `sample` rows of least hash, each direction once."""
-    rows = index.select("values").orderBy(F.xxhash64("representation_id"), "representation_id").limit(sample).collect()
-    return np.unique(_unit(_matrix([r[0] for r in rows])), axis=0) if rows else np.zeros((0, 0))
+    # as Arrow: rows of Python numbers would hold many times the driver's memory
+    rows = index.select("values").orderBy(F.xxhash64("representation_id"), "representation_id").limit(sample).toArrow().column(0).combine_chunks()
+    return np.unique(_unit(np.asarray(rows.flatten(), dtype=np.float64).reshape(len(rows), -1)), axis=0) if len(rows) else np.zeros((0, 0))
 
 
 def centroids(m: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
