@@ -136,7 +136,7 @@ def _blocks(rows: DataFrame, name: str, mean: float, config: BM25Config) -> Data
 def build_postings(records: DataFrame, path: str, fields: dict[str, Column] | None = None, config: BM25Config = BM25Config()) -> Postings:
     """Write an index of records (representation_id, chunk_id, document_id, what fields are made of; kind, if there is one)."""
     from lodestack.sources.bundle import exists, write_json
-    from lodestack.sources.corpus import table_digest
+    from lodestack.sources.corpus import checksum_tree
 
     spark = records.sparkSession
     if exists(spark, f"{path}/manifest.json"):
@@ -166,7 +166,7 @@ def build_postings(records: DataFrame, path: str, fields: dict[str, Column] | No
         "blocks": {r["field"]: r["blocks"] for r in held},
         "postings": {r["field"]: r["postings"] for r in held},
     }
-    manifest["digest"] = {name: table_digest(df, *key) for name, df, key in _tables(rows, blocks, terms)}
+    manifest["digest"] = {name: checksum_tree(df, *key).root for name, df, key in _tables(rows, blocks, terms)}
     write_json(spark, f"{path}/manifest.json", manifest)
     return open_postings(spark, path)
 
@@ -180,14 +180,14 @@ def _tables(rows: DataFrame, blocks: DataFrame, terms: DataFrame) -> list[tuple[
 def open_postings(spark: SparkSession, path: str, check: bool = False) -> Postings:
     """The index under path; its content is only read and digested with check."""
     from lodestack.sources.bundle import read_json
-    from lodestack.sources.corpus import table_digest
+    from lodestack.sources.corpus import checksum_tree
 
     m = read_json(spark, f"{path}/manifest.json")
     if m.get("version") != VERSION:
         raise ContractError("unknown index version")
     found = Postings(path, spark.read.parquet(f"{path}/analysed"), spark.read.schema(STORED).parquet(f"{path}/blocks"), spark.read.schema(TERM).parquet(f"{path}/terms"), m)
     for name, df, key in _tables(found.rows, found.blocks, found.terms) if check else ():
-        if table_digest(df, *key) != m["digest"][name]:
+        if checksum_tree(df, *key).root != m["digest"][name]:
             raise ContractError(f"{name} of the index differ from their digest")
     return found
 

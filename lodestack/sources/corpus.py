@@ -66,6 +66,22 @@ class Tree:
         return sorted(k for k in self.leaves.keys() | other.leaves.keys() if self.leaves.get(k) != other.leaves.get(k))
 
 
+def checksum_tree(rows: DataFrame, *order: str) -> Tree:
+    """Like table_tree for tables that are derived from digested ones: rows have two 64-bit hashes, which tell changes that
+    happen but withstand no one who makes them on purpose, at a tenth of the cost."""
+    columns = [F.col(c) for c in sorted(rows.columns)]
+    hashes = [F.xxhash64(F.lit(seed), *columns).alias(f"h{seed}") for seed in (0, 1)]
+    leaf = F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(16**LEAF_DIGITS)))), LEAF_DIGITS, "0").alias("leaf")
+    words = [w.alias(f"w{2 * i + j}") for i, h in enumerate(("h0", "h1")) for j, w in enumerate((F.shiftrightunsigned(h, 32), F.col(h).bitwiseAND(F.lit(0xFFFFFFFF))))]
+    return _summed(rows.select(leaf, *hashes).select("leaf", *words), len(words))
+
+
+def _summed(words: DataFrame, n: int) -> Tree:
+    sums = words.groupBy("leaf").agg(F.count("*").alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(n)])
+    leaves = {r["leaf"]: (r["n"], hashlib.sha256(",".join(str(x) for x in r[1:]).encode()).hexdigest()) for r in sums.collect()}
+    return Tree(sum(n for n, _ in leaves.values()), {k: h for k, (_, h) in leaves.items()})
+
+
 def _leaf(order: tuple[str, ...]):
     key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in order])
     return F.substring(F.sha2(key, 256), 1, LEAF_DIGITS)
@@ -79,9 +95,8 @@ def table_tree(rows: DataFrame, *order: str) -> Tree:
     """
     row = t.json_digest(F.struct(*[F.col(c) for c in sorted(rows.columns)]))
     word = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")
-    sums = rows.select(_leaf(order).alias("leaf"), row.alias("h")).groupBy("leaf").agg(F.count("*").alias("n"), *[F.sum(word(i)).alias(f"w{i}") for i in range(8)])
-    leaves = {r["leaf"]: (r["n"], hashlib.sha256(",".join(str(x) for x in r[1:]).encode()).hexdigest()) for r in sums.collect()}
-    return Tree(sum(n for n, _ in leaves.values()), {k: h for k, (_, h) in leaves.items()})
+    digests = rows.select(_leaf(order).alias("leaf"), row.alias("h"))
+    return _summed(digests.select("leaf", *[word(i).alias(f"w{i}") for i in range(8)]), 8)
 
 
 def leaf_rows(rows: DataFrame, leaves: list[str], *order: str) -> DataFrame:

@@ -310,6 +310,10 @@ def test_library_does_not_import_the_optional_part():
 
 def test_digest_trees(spark):
     rows = spark.createDataFrame([(str(i), i % 7, None if i % 5 == 0 else f"t{i}") for i in range(3000)], "id string, n int, text string")
+    sums = corpus.checksum_tree(rows, "id")
+    assert sums.rows == 3000 and len(sums.leaves) == 256 and corpus.checksum_tree(rows.repartition(5), "id") == sums
+    assert len(sums.differing(corpus.checksum_tree(rows.withColumn("n", F.when(F.col("id") == "7", 9).otherwise(F.col("n"))), "id"))) == 1
+    assert corpus.checksum_tree(rows.limit(0), "id") == corpus.Tree(0, {})
     tree = corpus.table_tree(rows, "id")
     assert tree.rows == 3000 and len(tree.leaves) == 256
     assert corpus.table_tree(rows.repartition(7).orderBy(F.desc("id")), "id") == tree
