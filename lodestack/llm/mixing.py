@@ -3,17 +3,19 @@
 Token counts are summed by cell (source, language, topic). Each margin's factor is set in turn so that
 the margin's share of the reweighted tokens is its target share, until no share is further off than
 the tolerance (of itself); targets that are not met in SWEEPS sweeps, as they contradict each other,
-are an error that gives the deviation. A document's weight is the product of its three factors; documents are then sampled
+are an error that gives the deviation. Where sweeps get on slowly (sources that nearly have a language of their
+own), every few of them are extrapolated, which stays among products of factors. A document's weight is the product of its three factors; documents are then sampled
 with probabilities proportional to their weights as far as 1, by a hash of their id: the same rows
 are drawn whatever the partitioning. The scale is solved for a token budget: cells at 1 stay there and
 the others make up the rest. Without a budget the largest probability is 1, but at least the share
 LEAST of the tokens is kept in expectation: rare cells are then kept whole and fall short of their
 targets, instead of deciding how much of everything else survives.
 
-Default targets are margins of one table, so that they can be met together: cells are reweighted by
-the tempering factors of the margins without targets, then raked to the given targets, or, where none
-are given, to the tempered shares of the sources. Languages and topics so follow the sources where a
-source has a language of its own.
+Default targets are margins of one table, so that they can be met together: shares of sources, of the languages
+of a source, and of the topics of a language of a source are tempered, each by its power, and the table is
+raked to the given targets, if there are any. It is no product of factors by margin: raking starts from the tokens as they
+are and finds the three factors that meet its margins. Languages and topics so follow the sources where a source has
+a language of its own.
 
 Cells stay DataFrames, written to the shared folder every few sweeps: their number follows the number
 of sources, not of documents, and nothing of them is collected but one row of sums at a time.
@@ -42,6 +44,8 @@ SWEEPS = 1000
 #: Sweeps in one written table, at most; the first tables have fewer.
 BATCH = 4
 TOLERANCE = 1e-3
+#: Logarithm of the factor that an extrapolation of two sweeps moves a weight by, roughly, at most.
+FARTHEST = 5.0
 #: Share of the tokens of positive weight that a mixture without a budget keeps at least, in expectation.
 LEAST = 0.8
 RESULTS = ("topic", "tokens", "weight", "probability", "capped", "sampled")
@@ -61,21 +65,18 @@ def tokens_of(text: Column) -> Column:
     return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4).cast("long")
 
 
-def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
-    """Targets (value, share) proportional to the observed shares to a power: below 1 evens them out."""
-    seen = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").cast("double").alias("x")).where("x > 0")
-    return seen.select("value", F.pow("x", F.lit(power)).alias("share"))
-
-
-def evened(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
-    """cells with weight: for each margin, the factor that tempers its shares by its power."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
-    out = cells.crossJoin(F.broadcast(total)).withColumn("weight", F.lit(1.0))
-    for m, power in powers.items():
+def tempered(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
+    """cells with weight: a margin's shares inside the margins before it go by its power; below 1 evens them out."""
+    out, above = cells.withColumn("weight", F.lit(1.0)), []
+    for m in MARGINS:
+        power, group = powers.get(m, 1.0), [*above, m]
         if power != 1:
-            seen = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("x"))
-            factor = F.when(F.col("x") > 0, F.pow(F.col("x") / F.col("all_tokens"), F.lit(power - 1))).otherwise(1.0)
-            out = out.join(seen, m).withColumn("weight", F.col("weight") * factor).drop("x")
+            seen = cells.where("tokens > 0").groupBy(*group).agg(F.sum("tokens").cast("double").alias("x")).withColumn("y", F.pow("x", F.lit(power)))
+            whole = seen.groupBy(*above).agg(F.sum("x").alias("all_x"), F.sum("y").alias("all_y"))
+            both = seen.join(whole, above) if above else seen.crossJoin(F.broadcast(whole))
+            factor = both.select(*group, (F.col("y") / F.col("x") * F.col("all_x") / F.col("all_y")).alias("factor"))
+            out = out.join(factor, group, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+        above = group
     return out.select(*MARGINS, "tokens", "weight")
 
 
@@ -93,8 +94,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], ws: Workspace, sweeps:
     done, worst = 0, None
     while done < sweeps:
         swept, batch = now, min(done + 1, BATCH, sweeps - done)
-        for _ in range(batch):
-            swept = swept.withColumn("off", F.lit(0.0))
+        for k in range(batch):
+            swept = swept.withColumn("off", F.lit(0.0)).withColumn(f"log{batch - k}", F.log("weight"))
             for m in targets:
                 # sums over cells, not over documents: a window keeps the plan as long as the sweeps are many
                 swept = swept.withColumn("mass", F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(m)))
@@ -104,23 +105,43 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], ws: Workspace, sweeps:
                 swept = swept.withColumns({"off": F.greatest("off", off), "weight": F.col("weight") * factor}).drop("mass")
         now = ws.save(swept, "swept")
         done += batch
-        worst = now.agg(F.max("off")).first()[0]
-        now = now.drop("off")
+        first, last, sums = None, None, [F.max("off").alias("worst")]
+        if batch == BATCH:
+            first = F.col("log1") - F.col("log2")
+            last = F.log("weight") - F.col("log1") - first
+            live = F.when((F.col("tokens") > 0) & (F.col("weight") > 0), F.col("tokens"))
+            sums += [F.sum(live * first * first).alias("moved"), F.sum(live * last * last).alias("bent"), F.max(F.when(live.isNotNull(), F.abs(first))).alias("most")]
+        found = now.agg(*sums).first()
+        worst = found["worst"]
         # what later margins of a sweep move is as much again, at most
         if worst is None or worst <= tolerance / 2:
             return now.select(*MARGINS, "tokens", "weight")
         if worst == float("inf"):
             break
+        if batch == BATCH and found["bent"]:
+            # a step along the last two sweeps, in logarithms: weights stay products of factors, and slow fits end
+            step = min((found["moved"] / found["bent"]) ** 0.5, FARTHEST / found["most"])
+            if step > 1:
+                ahead = F.exp(F.col("log2") + 2 * step * first + step * step * last)
+                now = now.withColumn("weight", F.when(F.col("weight") > 0, ahead).otherwise(0.0))
+        now = now.drop("off", *[f"log{k + 1}" for k in range(batch)])
     raise ValueError(f"targets of {', '.join(targets)} contradict each other: a share is off by {worst:.3g} of itself after {done} sweeps")
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame], powers: dict[str, float], ws: Workspace) -> DataFrame:
     """cells with weights that meet the targets, and for margins without targets those that the docstring derives."""
-    lead = targets or {MARGINS[0]: tempered(cells, MARGINS[0], powers[MARGINS[0]])}
-    weighed = rake(evened(cells, {m: powers[m] for m in MARGINS if m not in lead}), lead, ws)
+    plain, free = cells.withColumn("weight", F.lit(1.0)), [m for m in MARGINS if m not in targets]
+    if not free:
+        return rake(plain, targets, ws)
+    model, tolerance = tempered(cells, {m: powers[m] for m in free}), TOLERANCE
+    if targets:
+        # both rakes share the tolerance; goals are the model's own margins, as given ones with derived ones could contradict by a trifle
+        tolerance = TOLERANCE / 2
+        model = rake(model, targets, ws, tolerance=tolerance)
+    model = ws.save(model, "model")
     mass = F.sum(F.col("tokens") * F.col("weight")).alias("share")
-    derived = {m: ws.save(weighed.groupBy(F.col(m).alias("value")).agg(mass), "derived") for m in MARGINS if m not in lead}
-    return rake(weighed, lead | derived, ws)
+    goals = {m: ws.save(model.groupBy(F.col(m).alias("value")).agg(mass), "derived") for m in MARGINS}
+    return rake(plain, goals, ws, tolerance=tolerance)
 
 
 def scale_for(weighed: DataFrame, wanted: float) -> float:

@@ -251,6 +251,74 @@ def test_raking_of_blocks(spark, stray):
     assert all(shares(rows, m)[k] == pytest.approx(x, rel=1.1e-3) for m in want for k, x in want[m].items())
 
 
+def tangled():
+    """Sources, languages and topics that depend on each other."""
+    rng = random.Random(9)
+    out = []
+    for i in range(900):
+        source = rng.choice("aaab" if i % 3 else "bcc")
+        lang = rng.choice({"a": ["en"] * 8 + ["de"], "b": ["de"] * 5 + ["en", "fr"], "c": ["fr", "fr", "en"]}[source])
+        size = rng.choice({"en": [8, 60, 90], "de": [8, 8, 70], "fr": [8, 200, 300]}[lang])
+        out.append((i, "word " * size, lang, source))
+    return out
+
+
+def test_default_weights_by_hand(spark):
+    """Tempered shares inside source and language give the goals; numpy's fitting from the tokens as they are, the weights."""
+    rows = mixing.mix(frame(spark, tangled())).collect()
+    names = {m: sorted({r[m] for r in rows}) for m in mixing.MARGINS}
+    cell = lambda r: tuple(names[m].index(r[m]) for m in mixing.MARGINS)
+    table = np.zeros([len(x) for x in names.values()])
+    got = np.zeros_like(table)
+    for r in rows:
+        table[cell(r)] += r["tokens"]
+        got[cell(r)] = r["weight"]
+    source, lang = table.sum((1, 2)) ** 0.7, table.sum(2) ** 0.85
+    model = (source / source.sum() * table.sum())[:, None, None] * (lang / lang.sum(1, keepdims=True))[:, :, None] * table / np.maximum(table.sum(2, keepdims=True), 1)
+    weight = np.ones_like(table)
+    for _ in range(2000):
+        for axis in range(3):
+            others = tuple(k for k in range(3) if k != axis)
+            weight *= (model.sum(others) / (table * weight).sum(others)).reshape([-1 if k == axis else 1 for k in range(3)])
+    here = table > 0
+    assert np.allclose(got[here], weight[here], rtol=5e-3)
+
+
+@pytest.mark.parametrize("given", [(), ("lang",), mixing.MARGINS])
+def test_no_rake_is_idle(spark, monkeypatch, given):
+    """Every fit moves weights, by far more than its tolerance, and given targets are met."""
+    moved, rake = [], mixing.rake
+
+    def watched(cells, targets, ws, **more):
+        out = rake(cells, targets, ws, **more)
+        both = cells.select(*mixing.MARGINS, F.col("weight").alias("before")).join(out, list(mixing.MARGINS)).where("tokens > 0")
+        moved.append(both.agg(F.max(F.abs(F.col("weight") / F.col("before") - 1))).first()[0])
+        return out
+
+    monkeypatch.setattr(mixing, "rake", watched)
+    docs = frame(spark, tangled())
+    wanted = {"source": [("a", 0.3), ("b", 0.4), ("c", 0.3)], "lang": [("en", 0.4), ("de", 0.3), ("fr", 0.3)], "topic": [("short", 0.2), ("prose", 0.8)]}
+    rows = mixing.mix(docs, {m: spark.createDataFrame(wanted[m], "value string, share double") for m in given}).collect()
+    assert moved and min(moved) > 0.01
+    for m in given:
+        assert shares(rows, m) == pytest.approx(dict(wanted[m]), rel=1.1e-3)
+
+
+def test_slow_fits_end(spark):
+    """Few strays between sources and languages: plain sweeps would need some 800."""
+    share = lambda i, j, t: [0.9, 0.1][i] * (0.9999 if i == j else 0.0001) * [0.3, 0.7][t]
+    rows = [(f"s{i}", f"l{j}", f"t{t}", round(1e7 * share(i, j, t))) for i in range(2) for j in range(2) for t in range(2)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    model = mixing.tempered(cells, mixing.POWERS)
+    goals = {m: model.groupBy(F.col(m).alias("value")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("share")) for m in mixing.MARGINS}
+    got = mixing.rake(cells.withColumn("weight", F.lit(1.0)), goals, Workspace(spark, "test"), sweeps=60).collect()
+    for m, goal in goals.items():
+        for r in goal.collect():
+            assert sum(x["tokens"] * x["weight"] for x in got if x[m] == r["value"]) == pytest.approx(r["share"], rel=1e-3)
+    weight = {(x["source"], x["lang"], x["topic"]): x["weight"] for x in got}
+    assert weight["s0", "l0", "t0"] * weight["s1", "l1", "t0"] == pytest.approx(weight["s0", "l1", "t0"] * weight["s1", "l0", "t0"], rel=1e-6)
+
+
 @pytest.mark.parametrize("budget", [None, 0.3, 0.9])
 def test_against_ipf_and_sampling_by_hand(spark, budget):
     """Weights of numpy's iterative proportional fitting, calibrated probabilities and the sample, cell by cell and row by row."""
