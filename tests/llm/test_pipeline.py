@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline as cp
-from lodestack.llm import quality_rules, secrets
+from lodestack.llm import mixing, quality_rules, secrets
 
 from .conftest import DOCUMENT, EDGE
 from .test_near_dups import brute
@@ -62,6 +62,24 @@ def test_stages(spark, docs):
     assert {i for i, _ in pieces} == set(drawn) and all(total == n for (_, total), n in pieces.items())
 
 
+def test_last_fit_decides_the_mixture(spark, monkeypatch):
+    """Weights as they were before the last rake would draw other documents."""
+    rng = random.Random(3)
+    places = [("a", "en")] * 6 + [("a", "de"), ("b", "de"), ("b", "de"), ("b", "fr"), ("c", "fr")]
+    docs = spark.createDataFrame([(i, "word " * rng.choice([8, 60, 300]), *reversed(rng.choice(places)), 0) for i in range(900)], DOCUMENT)
+    rake, calls, idle = mixing.rake, [], []
+
+    def watched(cells, *rest, **more):
+        calls.append(1)
+        return cells if len(calls) in idle else rake(cells, *rest, **more)
+
+    monkeypatch.setattr(mixing, "rake", watched)
+    drawn = {r["doc_id"] for r in cp.mixture(spark, docs, "").collect()}
+    idle.append(len(calls))
+    calls.clear()
+    assert drawn != {r["doc_id"] for r in cp.mixture(spark, docs, "").collect()}
+
+
 def test_stages_take_empty_tables(spark, docs):
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
