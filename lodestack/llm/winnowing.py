@@ -7,7 +7,7 @@ rightmost of equal ones, and kept with its position. Two texts that share GRAM +
 in a row share a chosen hash, so copied passages of that length cannot be missed; positions say where.
 
 A chosen gram is one long: the upper 36 bits of the hash (each depends on the whole run) above 28 bits that fall with the position, so that a plain
-minimum breaks ties to the right. Window minima are found by doubling (of 2, 4, 8, 16 in a row), four
+minimum breaks ties to the right. Window minima are found by fours (of 4, then 16 in a row), two
 passes over the array whatever the window holds.
 
 Defined cases: a null text is empty; a text shorter than a gram is one gram; one with fewer grams than a
@@ -25,6 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A power of two, and one of four.
 GRAM = 8
 WINDOW = 16
 PLACE_BITS = 28
@@ -36,12 +37,17 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def rolled(chars: Column) -> Column:
-    """Hashes of all runs of GRAM of an array of single characters."""
+def ahead(a: Column, i: Column, step: int) -> Column:
+    """The element of an array that stands so many places after the i-th (from 0)."""
+    return F.get(a, i + step)
+
+
+def rolled(chars: Column, last) -> Column:
+    """last(hash, place) of all runs of GRAM of an array of single characters."""
 
     def doubled(a: Column, size: int) -> Column:
-        n = F.size(a) - size
-        return F.zip_with(F.slice(a, 1, n), F.slice(a, size + 1, n), lambda x, y: F.shiftleft(x, size).bitwiseXOR(y))
+        use = last if 2 * size == GRAM else lambda h, i: h
+        return F.transform(F.slice(a, 1, F.size(a) - size), lambda x, i: use(F.shiftleft(x, size).bitwiseXOR(ahead(a, i, size)), i))
 
     single = F.transform(chars, lambda c: F.xxhash64(c))
     return reduce(lambda a, size: let(a, lambda x: doubled(x, size)), [1 << s for s in range(GRAM.bit_length() - 1)], single)
@@ -50,22 +56,21 @@ def rolled(chars: Column) -> Column:
 def grams(text: Column, offset: Column | None = None) -> Column:
     """Keys of all grams; offset: position of the text's first code point in a longer text."""
     at = F.lit(0) if offset is None else offset
+    key = lambda h, i: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES).cast("long") - at - i)
     whole = F.when(F.length(text) > PLACES, F.raise_error(F.lit("a text of more code points than positions can tell")).cast("string")).otherwise(text)
-    keys = F.when(F.length(text) < GRAM, F.array(F.xxhash64(text))).otherwise(rolled(F.split(whole, "")))
-    return F.transform(keys, lambda h, i: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES).cast("long") - at - i))
+    return F.when(F.length(text) < GRAM, F.array(key(F.xxhash64(text), F.lit(0)))).otherwise(rolled(F.split(whole, ""), key))
 
 
 def window_minima(keys: Column) -> Column:
     """Least key of each window; of all keys where there are fewer."""
 
     def of(step: int):
-        def halved(a: Column) -> Column:
-            n = F.size(a) - step
-            return F.zip_with(F.slice(a, 1, n), F.slice(a, step + 1, n), lambda x, y: F.least(x, y))
+        def widened(a: Column) -> Column:
+            return F.transform(F.slice(a, 1, F.size(a) - 3 * step), lambda x, i: F.least(x, *[ahead(a, i, k * step) for k in (1, 2, 3)]))
 
-        return halved
+        return widened
 
-    steps = [1 << s for s in range(WINDOW.bit_length() - 1)]
+    steps = [4**s for s in range((WINDOW.bit_length() - 1) // 2)]
     return let(keys, lambda k: F.when(F.size(k) <= WINDOW, F.array(F.array_min(k))).otherwise(reduce(lambda a, s: let(a, of(s)), steps, k)))
 
 
