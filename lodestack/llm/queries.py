@@ -118,13 +118,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestack.llm import suffix_tree as t
+    from lodestack.llm import branches, suffix_tree
 
-    ws = Workspace(spark, "suffix-tree")
-    docs = documents(spark, sf_dir).select("doc_id", "text", t.held_out().alias("held_out"))
-    tree, counts = t.words_of(docs.where("not held_out"), ws)
-    coded = t.code(docs, tree, ws, ["doc_id", "held_out"])
-    return t.score(coded, t.grow(tree, coded.where("not held_out")), counts)
+    docs = documents(spark, sf_dir).select("doc_id", "text", suffix_tree.held_out().alias("held_out"))
+    return branches.scores(docs, Workspace(spark, "suffix-tree"), keep=["doc_id", "held_out"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
