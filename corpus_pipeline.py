@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm import mixing, near_dups, packing, quality_rules, secrets
-from lodestack.llm.common import Workspace, small_batches
+from lodestack.llm.common import Workspace, documents, small_batches
 from lodestack.llm.queries import vocabulary
 
 
@@ -63,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     # a codec's native buffers would add to the executors' memory, stage by stage
     ws = Workspace(spark, "pipeline", codec="none")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = ws.save(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,6 +27,13 @@ MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 MARKS_END = "(?P<marks>[" + re.escape(MARKS) + "]+)$"
 LATIN_END = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
 
+#: Vectored reads leave each reading thread a direct buffer as large as what it read, for as long as it lives.
+READING = {"parquet.hadoop.vectored.io.enabled": "false"}
+#: For folders of the local file system, which forks a command for each file it makes: no second file with checksums.
+WRITING = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Shuffles of a write are of no use once the table is there.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _OWN_FOLDER: list[str] = []
 
 
@@ -64,9 +71,14 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", self.codec).parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.options(**WRITING).option("compression", self.codec).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         self._saved[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.options(**READING).schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Delete the table last saved under that name: what was made from it has been written since."""
@@ -85,7 +97,7 @@ class Workspace:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.read.options(**READING).parquet(f"{sf_dir}/documents.parquet")
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -293,6 +305,13 @@ def token_memo(vocabulary: str, most: int = MEMO_PIECES) -> TokenMemo:
     return _MEMOS[vocabulary, most]
 
 
+def forget() -> None:
+    """A worker drops its memos and returns their memory: tasks that encode nothing call it first, as the worker may have served ones that did."""
+    if _MEMOS:
+        _MEMOS.clear()
+        release()
+
+
 def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows of equal keys (integers, sorted) as one table each, also across batches."""
     held: list[pa.RecordBatch] = []

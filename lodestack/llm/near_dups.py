@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import Workspace, key_runs, regroup, release, spread_join
+from lodestack.llm.common import Workspace, forget, key_runs, regroup, release, spread_join
 from lodestack.llm.components import UnionFind, components
 
 HASHES, ROWS, BITS = 128, 4, 4
@@ -156,6 +156,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     def task(batches):
+        forget()
         for batch in regroup(batches, 512, 2_000_000):
             _WORDS.room()
             n, key, bands, sig = [], [], [], []
@@ -272,6 +273,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """members: id, cluster, m, set_key, sig. The same with the set in place of its key, from the texts."""
 
     def task(batches):
+        forget()
         for batch in regroup(batches, 256, 2_000_000):
             _WORDS.room()
             sets = [shingles(t, size) for t in batch.column("text").to_pylist()]

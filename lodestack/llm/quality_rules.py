@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import WORD_RE, Workspace, regroup
+from lodestack.llm.common import WORD_RE, Workspace, forget, regroup
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shout_words", "top_word", "n_ended_lines")
@@ -95,6 +95,7 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
 
     def task(batches):
+        forget()
         for batch in regroup(batches, 1024, 2_000_000):
             rows = [text_counts(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             table = np.array(rows, dtype=np.int64).reshape(len(rows), len(COUNTS))
