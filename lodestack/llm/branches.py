@@ -167,7 +167,7 @@ def _with_parents(events: DataFrame, root, keys: np.ndarray, last: DataFrame | N
 
 
 def hot_levels(docs: DataFrame, root: Root, ws: Workspace, most: int) -> tuple[list[np.ndarray], DataFrame | None]:
-    """Keys of hot contexts by level, and for each batch log10 probabilities of symbols after them: __of, level, h, x, log."""
+    """Keys of hot contexts by level, and for each batch log10 probabilities of symbols after them: __of, level, event (h and x), log."""
     sent, hot, paths, last, values = ws.spark.sparkContext.broadcast(root), [], [], None, None
     bounds = np.append(root.firsts, root.size).tolist()
     found = [(x,) for k in np.flatnonzero(root.numbers > most).tolist() if k != st.END for x in range(bounds[k], bounds[k + 1])]
@@ -193,7 +193,7 @@ def hot_levels(docs: DataFrame, root: Root, ws: Workspace, most: int) -> tuple[l
         log = F.when(~F.col("kept"), F.col("log")).when(often, own).otherwise(F.col("log") + F.col("rest"))
         last = ws.save(events.join(F.broadcast(stats), "h").select("h", "x", "n", log.alias("log")), f"logs{level}")
         ws.drop(f"events{level}")
-        back = pairs.join(last.drop("n"), ["h", "x"]).select(F.col(bv.BATCH).alias("__of"), F.lit(level).alias("level"), "h", "x", "log")
+        back = pairs.join(last.drop("n"), ["h", "x"]).select(F.col(bv.BATCH).alias("__of"), F.lit(level).alias("level"), F.shiftleft("h", 32).bitwiseOR(F.col("x")).alias("event"), "log")
         values = back if values is None else values.unionByName(back)
         # tokens / most rows at most
         next_ones = last.where((F.col("n") > most) & (F.col("x") != st.END)).select("h", "x").collect() if level < st.DEPTH else []
@@ -201,17 +201,29 @@ def hot_levels(docs: DataFrame, root: Root, ws: Workspace, most: int) -> tuple[l
     return hot, values
 
 
+#: Parts of one in which logarithms and their sums are sent: whole numbers, whose high bytes are alike, and sums in any order are equal.
+UNIT = 2.0**32
+
+
+def _sent(logs: np.ndarray) -> bytes:
+    return np.rint(logs * UNIT).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _received(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8")[:, 0]
+
+
 def _packed(columns: list[np.ndarray], flags: np.ndarray, logs: np.ndarray) -> bytes:
     """Integers byte by byte, as most high bytes are zero."""
     planes = np.stack(columns).astype("<i4").view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)
-    return ZstdCompressor(level=1).compress(planes.tobytes() + flags.astype(np.uint8).tobytes() + logs.astype("<f8").tobytes())
+    return ZstdCompressor(level=1).compress(planes.tobytes() + flags.astype(np.uint8).tobytes() + _sent(logs))
 
 
 def _unpacked(row: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf = ZstdDecompressor().decompress(row)
     planes = np.frombuffer(buf, np.uint8, 20 * n).reshape(5, 4, n).transpose(0, 2, 1)
     flags = np.frombuffer(buf, np.uint8, n, 20 * n)
-    return np.ascontiguousarray(planes).view("<i4")[:, :, 0], flags, np.frombuffer(buf, "<f8", -1, 21 * n)
+    return np.ascontiguousarray(planes).view("<i4")[:, :, 0], flags, _received(np.frombuffer(buf, np.uint8, -1, 21 * n)) / UNIT
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -225,12 +237,13 @@ _SENT_SCHEMA = "bucket int, batch long, n int, places binary, docs binary, sums
 
 
 def _sums(doc: np.ndarray, logs: np.ndarray) -> tuple[bytes, bytes]:
-    """Documents and their sums of logs."""
+    """Documents, as differences, and their sums of logs."""
     if not len(doc):
         return b"", b""
     total, has = np.bincount(doc, weights=logs), np.bincount(doc)
     which = np.flatnonzero(has)
-    return ZstdCompressor(level=1).compress(which.astype("<i4").tobytes()), total[which].astype("<f8").tobytes()
+    small, steps = ZstdCompressor(level=1), np.diff(which, prepend=0).astype("<i4")
+    return small.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes()), small.compress(_sent(total[which]))
 
 
 def _dealt(number: int, rows, root: Root, hot: list[np.ndarray], values: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
@@ -295,10 +308,9 @@ def _solved(root):
     """A bucket's branches: sums of log10 probabilities by batch and document."""
 
     def task(table: pa.Table) -> pa.Table:
-        bucket = int(table.column("bucket")[0].as_py())
         plain = table.column("places").is_null()
         done = table.filter(plain).select(["batch", "docs", "sums"]).combine_chunks()
-        batches, docs, sums, source = done.column("batch").to_pylist(), done.column("docs").to_pylist(), done.column("sums").to_pylist(), [-1] * done.num_rows
+        batches, docs, sums = (done.column(c).to_pylist() for c in ("batch", "docs", "sums"))
         rows = table.filter(pc.invert(plain))
         if rows.num_rows:
             n = rows.column("n").to_pylist()
@@ -315,22 +327,21 @@ def _solved(root):
                 batches.append(number)
                 docs.append(which)
                 sums.append(total)
-                source.append(bucket)
             release()
-        return pa.table({"batch": pa.array(batches, pa.int64()), "source": pa.array(source, pa.int32()), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())})
+        return pa.table({"batch": pa.array(batches, pa.int64()), "docs": pa.array(docs, pa.binary()), "sums": pa.array(sums, pa.binary())})
 
     return task
 
 
 def _totals(docs: pa.Table, parts: pa.Table) -> np.ndarray:
-    """Sums by document, in one order."""
+    """Sums by document."""
     which = np.asarray(docs.column(DOC).combine_chunks())
-    total, large = np.zeros(int(which.max(initial=-1)) + 1), ZstdDecompressor()
-    source, names, sums = (parts.column(c).to_pylist() for c in ("source", "docs", "sums"))
-    for k in sorted(range(parts.num_rows), key=source.__getitem__):
-        if names[k]:
-            total[np.frombuffer(large.decompress(names[k]), "<i4")] += np.frombuffer(sums[k], "<f8")
-    return total[which]
+    total, large = np.zeros(int(which.max(initial=-1)) + 1, dtype=np.int64), ZstdDecompressor()
+    for names, sums in zip(parts.column("docs").to_pylist(), parts.column("sums").to_pylist(), strict=True):
+        if names:
+            steps = np.frombuffer(large.decompress(names), np.uint8).reshape(4, -1).T
+            total[np.cumsum(np.ascontiguousarray(steps).view("<i4")[:, 0])] += _received(np.frombuffer(large.decompress(sums), np.uint8))
+    return total[which] / UNIT
 
 
 def scores(docs: DataFrame, ws: Workspace, held_out: str = "held_out", keep: list[str] | None = None, most: int = HOT, bucket: int = BUCKET) -> DataFrame:
@@ -354,11 +365,11 @@ def scores(docs: DataFrame, ws: Workspace, held_out: str = "held_out", keep: lis
             yield _dealt(number, some, sent.value, hot, [], buckets)
 
     def deal_with(left: pa.Table, right: pa.Table) -> pa.Table:
-        level, h, x, log = (np.asarray(right.column(c).combine_chunks()) for c in ("level", "h", "x", "log"))
+        level, event, log = (np.asarray(right.column(c).combine_chunks()) for c in ("level", "event", "log"))
         found = []
         for k in range(1, levels + 1):
             mine = level == k
-            keys = (h[mine] << 32) | x[mine]
+            keys = event[mine]
             order = np.argsort(keys)
             found.append((keys[order], log[mine][order]))
         if not left.num_rows:
@@ -370,7 +381,7 @@ def scores(docs: DataFrame, ws: Workspace, held_out: str = "held_out", keep: lis
         dealt = ready.mapInArrow(deal, _SENT_SCHEMA)
     else:
         dealt = ready.groupBy(bv.BATCH).cogroup(values.groupBy("__of")).applyInArrow(deal_with, _SENT_SCHEMA)
-    parts = dealt.groupBy("bucket").applyInArrow(_solved(sent), "batch long, source int, docs binary, sums binary")
+    parts = dealt.groupBy("bucket").applyInArrow(_solved(sent), "batch long, docs binary, sums binary")
     mine = rows.drop(SYMBOLS, "__learned")
     kept = [f for f in mine.schema.fields if f.name not in (bv.BATCH, DOC, SHARED)]
 

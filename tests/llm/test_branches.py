@@ -4,6 +4,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lodestack.llm import branches, queries
@@ -68,3 +69,14 @@ def test_walk_agrees_with_parts(spark, make):
     seen = collections.Counter(w for i, t in enumerate(texts) if i not in held for w in words(t))
     for row in parted(spark, docs, most=100, bucket=1000).collect():
         assert math.isclose(row["score"], walk(tree, seen, texts[row["doc_id"]]), rel_tol=1e-9)
+
+
+def test_sums_return_small():
+    """Where buckets are many, nearly every place returns alone: documents and sums as they are were twelve bytes each."""
+    rng = np.random.default_rng(1)
+    doc = np.sort(rng.choice(4096, 450, replace=False))
+    logs = -12 * rng.random(450)
+    names, sums = branches._sums(doc, logs)
+    assert len(names) + len(sums) < 8 * 450
+    docs, parts = branches.pa.table({branches.DOC: doc}), branches.pa.table({"docs": [names], "sums": [sums]})
+    assert np.abs(branches._totals(docs, parts) - logs).max() < 2e-10
