@@ -10,10 +10,16 @@ A symbol, or a context, of more than HOT places would make a branch too large fo
 distinct pairs of it and a next symbol, listed once a batch, are counted, its sums are collected (one row for each, at
 most tokens / HOT rows), and probabilities return to the batches that list them. Its places are then dealt by one symbol
 more. Contexts below HOT places meet in one task; HOT counts places of training texts.
+
+What is dealt goes when its sums are written, and buckets may take turns, so that the disk holds a turn's share of the places
+at once. Each place is dealt in one turn, with all others of its bucket. Documents are bucketed by batch: they stay
+where they are when probabilities and sums return to their batches.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +35,8 @@ from lodestack.llm.common import Workspace, regroup, release
 HOT, BUCKET, HEAD = 1_500_000, 1_500_000, 100_000
 #: A context's symbol that no context of enough places has, or the start of the text.
 STOP = 0
+#: Turns that buckets are dealt in: each one more reads all places again, and halves, thirds, ... what is dealt at once.
+TURNS = 1
 SYMBOLS, DOC, SHARED = "__symbols", "__i", "__shared"
 _PART = (1 << 33) - 1
 
@@ -73,13 +81,17 @@ def vocabulary(texts: DataFrame, ws: Workspace) -> tuple[st.Tree, Root, DataFram
     return tree, root, named.unionByName(counts.where(~often).withColumn("number", F.lit(st.OTHER).cast("long")))
 
 
-def numbered(coded: DataFrame, words: DataFrame, root: Root, learned: str) -> DataFrame:
+def entry_values(coded: DataFrame, words: DataFrame) -> DataFrame:
+    """n and number of every entry of code()."""
+    return bv.entries(coded).join(words, "word", "left").select(bv.BATCH, "__k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("number", F.lit(st.OTHER)).alias("number"))
+
+
+def numbered(coded: DataFrame, values: DataFrame, root: Root, learned: str) -> DataFrame:
     """Rows of code() with their symbols, and what words alone decide: n_tokens, n_known, train_tokens, base_score."""
     sent = coded.sparkSession.sparkContext.broadcast(root)
-    values = bv.entries(coded).join(words, "word", "left").select(bv.BATCH, "__k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("number", F.lit(st.OTHER)).alias("number"))
 
     def finish(batch, found):
-        own, small = sent.value, ZstdCompressor(level=1)
+        own = sent.value
         numbers, bounds = st._flat(batch.column(bv.PLACES))
         starts, rare = np.concatenate([[0], bounds[:-1]]), numbers < 0
         symbols, at = numbers.copy(), -1 - numbers[rare]
@@ -91,8 +103,7 @@ def numbered(coded: DataFrame, words: DataFrame, root: Root, learned: str) -> Da
         base = np.log10((n + 1.0) / own.whole)
         shared = np.where(symbols == st.OTHER, base - own.steps[st.OTHER], 0.0)
         sums = [np.add.reduceat(x, starts) for x in ((n > 0).astype(np.int64), base, shared)]
-        flat = symbols.astype("<i4").tobytes()
-        packed = [small.compress(flat[4 * a : 4 * b]) for a, b in zip(starts.tolist(), bounds.tolist(), strict=True)]
+        packed = st.squeezed(symbols, bounds)
         tokens = np.full(len(starts), own.tokens, dtype=np.int64)
         columns = [pa.array(x) for x in (bounds - starts, sums[0], tokens, sums[1], sums[2], np.arange(len(starts), dtype=np.int32))]
         return [*columns, batch.column(learned), pa.array(packed, pa.binary()), batch.column(bv.BATCH)]
@@ -198,6 +209,11 @@ def hot_levels(docs: DataFrame, root: Root, ws: Workspace, most: int) -> tuple[l
         # tokens / most rows at most
         next_ones = last.where((F.col("n") > most) & (F.col("x") != st.END)).select("h", "x").collect() if level < st.DEPTH else []
         found = [(r["x"], *paths[-1][r["h"]]) for r in next_ones]
+    if values is not None:
+        values = ws.save(values, "hot")
+        for level in range(1, len(hot) + 1):
+            ws.drop(f"hot{level}")
+            ws.drop(f"logs{level}")
     return hot, values
 
 
@@ -213,10 +229,13 @@ def _received(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8")[:, 0]
 
 
-def _packed(columns: list[np.ndarray], flags: np.ndarray, logs: np.ndarray) -> bytes:
+def _planes(columns: list[np.ndarray]) -> np.ndarray:
     """Integers byte by byte, as most high bytes are zero."""
-    planes = np.stack(columns).astype("<i4").view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)
-    return ZstdCompressor(level=1).compress(planes.tobytes() + flags.astype(np.uint8).tobytes() + _sent(logs))
+    return np.ascontiguousarray(np.stack([c.astype("<i4") for c in columns]).view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1))
+
+
+def _packed(planes: np.ndarray, flags: np.ndarray, logs: np.ndarray) -> bytes:
+    return ZstdCompressor(level=1).compress(planes.tobytes() + flags.tobytes() + _sent(logs))
 
 
 def _unpacked(row: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,35 +265,37 @@ def _sums(doc: np.ndarray, logs: np.ndarray) -> tuple[bytes, bytes]:
     return small.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes()), small.compress(_sent(total[which]))
 
 
-def _dealt(number: int, rows, root: Root, hot: list[np.ndarray], values: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
-    """One row for each bucket with the places that it scores, and one with the sums of the others."""
+def _dealt(number: int, rows, root: Root, hot: list[np.ndarray], values: list[tuple[np.ndarray, np.ndarray]], buckets: int, turn: int = 0, turns: int = 1) -> pa.RecordBatch:
+    """One row for each of the turn's buckets with the places that it scores, and in one turn one with the sums of the others."""
     p = Places(rows, root, hot)
     logs, level = root.steps[p.step], np.zeros(len(p.symbols), dtype=np.int64)
-    for k, (found, (keys, known)) in enumerate(zip(p.hot, values, strict=True), 1):
+    for k, (found, (keys, values_of)) in enumerate(zip(p.hot, values, strict=True), 1):
         live = np.flatnonzero(found >= 0)
         level[live] = k
-        logs[live] = known[np.searchsorted(keys, (found[live] << 32) | p.symbols[live])] if len(live) else 0.0
+        logs[live] = values_of[np.searchsorted(keys, (found[live] << 32) | p.symbols[live])] if len(live) else 0.0
     after = np.choose(level, [*p.contexts, np.zeros_like(level)])
     go = after != STOP
-    key = np.zeros(len(level), dtype=np.uint64)
-    for k, c in enumerate(p.contexts):
-        key = np.where(level >= k, _mixed(key * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) + np.uint64(1)), key)
     at = np.flatnonzero(go)
-    to = (key[at] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    at, to = at[order], to[order]
+    key = np.zeros(len(at), dtype=np.uint64)
+    for k, c in enumerate(p.contexts):
+        deep = np.flatnonzero(level[at] >= k)
+        key[deep] = _mixed(key[deep] * np.uint64(0x9E3779B97F4A7C15) + c[at[deep]].astype(np.uint64) + np.uint64(1))
+    to = (key % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    mine = np.flatnonzero(to % turns == turn)
+    order = mine[np.argsort(to[mine], kind="stable")]
+    at, to = at[order], to[order].astype(np.int64)
     cuts = np.flatnonzero(np.diff(to, prepend=-1)) if len(to) else np.zeros(0, dtype=np.int64)
-    out = [[], [], []]
+    planes, lead = _planes([*[c[at] for c in p.contexts], p.symbols[at], p.doc[at]]), level[at]
+    flags, known, out = (lead * 2 + p.learned[at]).astype(np.uint8), logs[at], [[], [], []]
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)], strict=False):
-        some = at[a:b]
-        lead = level[some]
         out[0].append(int(to[a]))
-        out[1].append(len(some))
-        out[2].append(_packed([*[c[some] for c in p.contexts], p.symbols[some], p.doc[some]], lead * 2 + p.learned[some], logs[some][lead > 0]))
-    docs, sums = _sums(p.doc[~go], logs[~go])
-    n = len(out[0])
-    columns = [pa.array([*out[0], number % buckets], pa.int32()), pa.array([number] * (n + 1), pa.int64()), pa.array([*out[1], 0], pa.int32())]
-    columns += [pa.array([*x, y], pa.binary()) for x, y in ((out[2], None), ([None] * n, docs), ([None] * n, sums))]
+        out[1].append(b - a)
+        out[2].append(_packed(planes[:, :, a:b], flags[a:b], known[a:b][lead[a:b] > 0]))
+    own = number % buckets
+    plain = [(own, *_sums(p.doc[~go], logs[~go]))] if own % turns == turn else []
+    n, last = len(out[0]), len(plain)
+    columns = [pa.array([*out[0], *[x[0] for x in plain]], pa.int32()), pa.array([number] * (n + last), pa.int64()), pa.array([*out[1], *[0] * last], pa.int32())]
+    columns += [pa.array(x, pa.binary()) for x in ([*out[2], *[None] * last], [*[None] * n, *[x[1] for x in plain]], [*[None] * n, *[x[2] for x in plain]])]
     return pa.RecordBatch.from_arrays(columns, _SENT)
 
 
@@ -344,7 +365,7 @@ def _totals(docs: pa.Table, parts: pa.Table) -> np.ndarray:
     return total[which] / UNIT
 
 
-def scores(docs: DataFrame, ws: Workspace, held_out: str = "held_out", keep: list[str] | None = None, most: int = HOT, bucket: int = BUCKET) -> DataFrame:
+def scores(docs: DataFrame, ws: Workspace, held_out: str = "held_out", keep: list[str] | None = None, most: int = HOT, bucket: int = BUCKET, turns: int = TURNS) -> DataFrame:
     """The columns of keep (all but texts) with n_tokens, n_known, train_tokens, base_score and score; rows of held_out are not learned from."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -352,19 +373,24 @@ def scores(docs: DataFrame, ws: Workspace, held_out: str = "held_out", keep: lis
     tree, root, words = vocabulary(docs.where(~F.col(held_out)), ws)
     keep = [c for c in (keep or docs.columns) if c not in st.RESULTS]
     coded = st.code(docs.withColumn("__known", ~F.col(held_out)), tree, ws, [*keep, "__known"])
-    rows = ws.save(numbered(coded, words, root, "__known").drop("__known"), "numbered")
-    for name in ("coded", "words", "ordered"):
+    # written by itself: the shuffles of its join go before texts are shuffled
+    found = ws.save(entry_values(coded, words), "values")
+    for name in ("words", "ordered"):
+        ws.drop(name)
+    rows = ws.save(numbered(coded, found, root, "__known").drop("__known"), "numbered", by=bv.BATCH)
+    for name in ("coded", "values"):
         ws.drop(name)
     ready = rows.select(bv.BATCH, DOC, "__learned", SYMBOLS)
     hot, values = hot_levels(rows, root, ws, most)
     buckets = max(1, -(-root.tokens // bucket))
+    turns = min(turns, buckets)
     sent, levels = context.broadcast(root), len(hot)
 
-    def deal(batches):
+    def deal(turn: int, batches):
         for number, some in _runs(batches):
-            yield _dealt(number, some, sent.value, hot, [], buckets)
+            yield _dealt(number, some, sent.value, hot, [], buckets, turn, turns)
 
-    def deal_with(left: pa.Table, right: pa.Table) -> pa.Table:
+    def deal_with(turn: int, left: pa.Table, right: pa.Table) -> pa.Table:
         level, event, log = (np.asarray(right.column(c).combine_chunks()) for c in ("level", "event", "log"))
         found = []
         for k in range(1, levels + 1):
@@ -374,14 +400,17 @@ def scores(docs: DataFrame, ws: Workspace, held_out: str = "held_out", keep: lis
             found.append((keys[order], log[mine][order]))
         if not left.num_rows:
             return pa.Table.from_batches([], to_arrow_schema(T_SENT))
-        return pa.Table.from_batches([_dealt(int(left.column(bv.BATCH)[0].as_py()), left, sent.value, hot, found, buckets)])
+        return pa.Table.from_batches([_dealt(int(left.column(bv.BATCH)[0].as_py()), left, sent.value, hot, found, buckets, turn, turns)])
 
     T_SENT = st.T._parse_datatype_string(_SENT_SCHEMA)
-    if values is None:
-        dealt = ready.mapInArrow(deal, _SENT_SCHEMA)
-    else:
-        dealt = ready.groupBy(bv.BATCH).cogroup(values.groupBy("__of")).applyInArrow(deal_with, _SENT_SCHEMA)
-    parts = dealt.groupBy("bucket").applyInArrow(_solved(sent), "batch long, docs binary, sums binary")
+    parts = None
+    for turn in range(turns):
+        if values is None:
+            dealt = ready.mapInArrow(partial(deal, turn), _SENT_SCHEMA)
+        else:
+            dealt = ready.groupBy(bv.BATCH).cogroup(values.groupBy("__of")).applyInArrow(partial(deal_with, turn), _SENT_SCHEMA)
+        solved = ws.save(dealt.groupBy("bucket").applyInArrow(_solved(sent), "batch long, docs binary, sums binary"), f"sums{turn}")
+        parts = solved if parts is None else parts.unionByName(solved)
     mine = rows.drop(SYMBOLS, "__learned")
     kept = [f for f in mine.schema.fields if f.name not in (bv.BATCH, DOC, SHARED)]
 

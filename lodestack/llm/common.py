@@ -63,26 +63,41 @@ class Workspace:
         self.root = f"{shared_folder(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
         self._n = 0
         self._saved: dict[str, str] = {}
+        self._tables: dict[str, str] = {}
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """by: a column by which rows are bucketed, as many as a shuffle has partitions, so that they meet others by it without a shuffle."""
         path = self.path(name)
+        writer = df.write.options(**WRITING).option("compression", self.codec)
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.options(**WRITING).option("compression", self.codec).parquet(path)
+            if by:
+                table = self._tables[path] = f"lodestack_{uuid.uuid4().hex}"
+                writer.option("path", path).bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), by).sortBy(by).saveAsTable(table, format="parquet")
+            else:
+                writer.parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         self._saved[name] = path
+        if by:
+            return self.spark.read.options(**READING).table(self._tables[path])
         return self.spark.read.options(**READING).schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Delete the table last saved under that name: what was made from it has been written since."""
-        self._delete(self._saved.pop(name))
+        path = self._saved.pop(name)
+        self._forget(path)
+        self._delete(path)
+
+    def _forget(self, path: str) -> None:
+        if path in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(path)}")
 
     def _delete(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -90,6 +105,8 @@ class Workspace:
 
     def close(self) -> None:
         try:
+            for path in list(self._tables):
+                self._forget(path)
             self._delete(self.root)
         except Exception:  # the session has ended; the folder goes with the cluster's own clean-up
             return

@@ -80,3 +80,23 @@ def test_sums_return_small():
     assert len(names) + len(sums) < 8 * 450
     docs, parts = branches.pa.table({branches.DOC: doc}), branches.pa.table({"docs": [names], "sums": [sums]})
     assert np.abs(branches._totals(docs, parts) - logs).max() < 2e-10
+
+
+def test_buckets_take_turns(spark, make):
+    """What is dealt at once used to be every place; now each turn deals its buckets' places, and texts do not move for it."""
+    rng = np.random.default_rng(2)
+    root = branches.Root(np.array([2]), np.array([500]), np.array([40]), 20_100, 41, 100)
+    symbols = rng.integers(2, 42, 5000)
+    rows = branches.pa.table({branches.SYMBOLS: st.squeezed(symbols, np.array([2000, 5000])), "__learned": [True, False], branches.DOC: branches.pa.array([0, 1], branches.pa.int32())})
+    turns = [branches._dealt(7, rows, root, [], [], 20, turn, 4).to_pydict() for turn in range(4)]
+    whole = branches._dealt(7, rows, root, [], [], 20).to_pydict()
+    parts = [x for turn in turns for x in zip(*turn.values())]
+    assert sorted(parts, key=str) == sorted(zip(*whole.values()), key=str)
+    assert max(sum(turn["n"]) for turn in turns) < 0.5 * sum(whole["n"]) and sum(whole["n"]) == 4998
+    docs = make(invented(200, 6)).withColumn("held_out", st.held_out())
+    for most in (branches.HOT, 60):
+        ones = [parted(spark, docs, most=most, bucket=300, turns=turns) for turns in (1, 3)]
+        one, other = ({r["doc_id"]: r["score"] for r in x.collect()} for x in ones)
+        assert len(one) == 200 and one.keys() == other.keys() and all(math.isclose(one[k], other[k], rel_tol=1e-12) for k in one)
+        # sums are all that is shuffled at the end
+        assert ones[1]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
