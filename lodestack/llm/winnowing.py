@@ -7,8 +7,8 @@ rightmost of equal ones, and kept with its position. Two texts that share GRAM +
 in a row share a chosen hash, so copied passages of that length cannot be missed; positions say where.
 
 A chosen gram is one long: the upper 36 bits of the hash (each depends on the whole run) above 28 bits that fall with the position, so that a plain
-minimum breaks ties to the right. Window minima are found by fours (of 4, then 16 in a row), two
-passes over the array whatever the window holds.
+minimum breaks ties to the right. Window minima are found by doubling as well (of 2, 4, 8, then 16 in a row): each pass pairs an
+array with itself some places on, as a lambda of two elements costs a third of one that looks three up by place.
 
 Defined cases: a null text is empty; a text shorter than a gram is one gram; one with fewer grams than a
 window chooses the least of all; equal texts have equal fingerprints; an empty table gives none; texts are
@@ -25,11 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A power of two, and one of four.
+#: Powers of two.
 GRAM = 8
 WINDOW = 16
 PLACE_BITS = 28
 PLACES = (1 << PLACE_BITS) - 1
+#: Code points of all windows that hold a gram, from its first one on.
+REACH = GRAM + 2 * (WINDOW - 1) - 1
 
 
 def let(value: Column, use) -> Column:
@@ -37,41 +39,40 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def ahead(a: Column, i: Column, step: int) -> Column:
-    """The element of an array that stands so many places after the i-th (from 0)."""
-    return F.get(a, i + step)
+def paired(a: Column, step: int, use) -> Column:
+    """use of each element and the one that stands so many places after it; null after the last."""
+    return F.zip_with(a, F.slice(a, F.lit(step + 1), F.size(a)), use)
 
 
-def rolled(chars: Column, last) -> Column:
-    """last(hash, place) of all runs of GRAM of an array of single characters."""
+def rolled(chars: Column) -> Column:
+    """Hashes of all runs of GRAM of an array of single characters; the last GRAM - 1 elements are null."""
 
-    def doubled(a: Column, size: int) -> Column:
-        use = last if 2 * size == GRAM else lambda h, i: h
-        return F.transform(F.slice(a, 1, F.size(a) - size), lambda x, i: use(F.shiftleft(x, size).bitwiseXOR(ahead(a, i, size)), i))
+    def doubled(size: int):
+        return lambda a: paired(a, size, lambda x, y: F.shiftleft(x, size).bitwiseXOR(y))
 
     single = F.transform(chars, lambda c: F.xxhash64(c))
-    return reduce(lambda a, size: let(a, lambda x: doubled(x, size)), [1 << s for s in range(GRAM.bit_length() - 1)], single)
+    return reduce(lambda a, size: let(a, doubled(size)), [1 << s for s in range(GRAM.bit_length() - 1)], single)
 
 
 def grams(text: Column, offset: Column | None = None) -> Column:
     """Keys of all grams; offset: position of the text's first code point in a longer text."""
-    at = F.lit(0) if offset is None else offset
-    key = lambda h, i: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.lit(PLACES).cast("long") - at - i)
+    top = F.lit(PLACES).cast("long") - (F.lit(0) if offset is None else offset)
+    key = lambda h, at: h.bitwiseAND(F.lit(~PLACES)).bitwiseOR(at)
+    keyed = lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - (GRAM - 1)), F.sequence(top, top - F.size(h) + GRAM, F.lit(-1).cast("long")), key)
     whole = F.when(F.length(text) > PLACES, F.raise_error(F.lit("a text of more code points than positions can tell")).cast("string")).otherwise(text)
-    return F.when(F.length(text) < GRAM, F.array(key(F.xxhash64(text), F.lit(0)))).otherwise(rolled(F.split(whole, ""), key))
+    return F.when(F.length(text) < GRAM, F.array(key(F.xxhash64(text), top))).otherwise(let(rolled(F.split(whole, "")), keyed))
 
 
 def window_minima(keys: Column) -> Column:
     """Least key of each window; of all keys where there are fewer."""
 
-    def of(step: int):
-        def widened(a: Column) -> Column:
-            return F.transform(F.slice(a, 1, F.size(a) - 3 * step), lambda x, i: F.least(x, *[ahead(a, i, k * step) for k in (1, 2, 3)]))
+    def widened(step: int):
+        return lambda a: paired(a, step, lambda x, y: F.least(x, y))
 
-        return widened
-
-    steps = [4**s for s in range((WINDOW.bit_length() - 1) // 2)]
-    return let(keys, lambda k: F.when(F.size(k) <= WINDOW, F.array(F.array_min(k))).otherwise(reduce(lambda a, s: let(a, of(s)), steps, k)))
+    steps = [1 << s for s in range(WINDOW.bit_length() - 1)]
+    # least() skips nulls: the last WINDOW - 1 are of less than a window
+    every = lambda k: F.slice(reduce(lambda a, s: let(a, widened(s)), steps, k), F.lit(1), F.size(k) - (WINDOW - 1))
+    return let(keys, lambda k: F.when(F.size(k) <= WINDOW, F.array(F.array_min(k))).otherwise(every(k)))
 
 
 def chosen(text: Column, offset: Column | None = None) -> Column:
@@ -142,9 +143,17 @@ def with_edited(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     edited = both.withColumn("n", n).withColumn("cut", cut).withColumn("shared", shared).withColumn("start", start)
     edited = edited.withColumn("edited", F.concat(F.expr("substring(text, 1, cut)"), F.expr("substring(next_text, 1, n - cut)")))
     edited = edited.withColumn("shared", F.when(F.col("start") == 0, 0).otherwise(F.col("shared")))
-    end = chosen(F.expr("substring(edited, start + 1)"), F.col("start"))
+    # all windows that hold a gram of the next document's beginning lie in it, but for the first WINDOW - 1 grams and the last
+    # ones: only around the cut and at the end is anything chosen anew
+    edited = edited.withColumn("size", F.length("edited")).withColumn("middle", F.col("size") - F.col("cut") >= REACH)
+    low, high = F.col("cut") + (WINDOW - 1), F.col("size") - (GRAM + WINDOW - 2)
     before = F.filter("grams", lambda k: place(k) < F.col("shared"))
-    edited = edited.withColumn("edited_grams", F.concat(before, F.filter(end, lambda k: place(k) >= F.col("shared"))))
+    border = chosen(F.expr(f"substring(edited, start + 1, cut + {REACH} - start)"), F.col("start"))
+    border = F.filter(border, lambda k: (place(k) >= F.col("shared")) & (~F.col("middle") | (place(k) < low)))
+    copied = F.filter(F.transform("next_grams", lambda k: k - F.col("cut")), lambda k: (place(k) >= low) & (place(k) < high))
+    end = F.filter(chosen(F.expr(f"substring(edited, size - {REACH - 1})"), F.col("size") - REACH), lambda k: place(k) >= high)
+    both_ends = F.when(F.col("middle"), F.concat(border, copied, end)).otherwise(border)
+    edited = edited.withColumn("edited_grams", F.concat(before, both_ends))
     out = edited.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),

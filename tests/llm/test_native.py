@@ -162,6 +162,24 @@ def test_edited_texts(spark, make, ranges):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+def test_edited_ends_are_not_chosen_anew(spark, make, monkeypatch):
+    """The next document's grams serve for its beginning in the edited text; whole quarters of texts used to be hashed again."""
+    plain = winnowing.chosen
+
+    def bounded(text, offset=None):
+        most = F.when(F.length(text) > 2 * winnowing.REACH, F.raise_error(F.lit("hashed again")).cast("string")).otherwise(text)
+        return plain(text if offset is None else most, offset)
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcde fgh\n", k=k)) for k in (5000, 30, 1200, 40, 2000, 148, 147, 151, 3000, 900, 36, 37, 38)]
+    monkeypatch.setattr(winnowing, "chosen", bounded)
+    rows = winnowing.with_edited(make(texts)).orderBy("doc_id").select("n_chars", "edited_fingerprint").collect()
+    after = [*texts[1:], texts[0]]
+    edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, after, strict=True)]
+    prints = {r["text"]: r["fingerprint"] for r in winnowing.fingerprints(spark.createDataFrame([(e,) for e in edited], "text string")).collect()}
+    assert [r["edited_fingerprint"] for r in rows] == [prints[e] for e in edited]
+
+
 def test_edited_of_none_and_one(make):
     assert winnowing.with_edited(make([])).count() == 0
     (row,) = winnowing.with_edited(make(["only one text, longer than a gram"])).collect()
