@@ -16,6 +16,10 @@ def _empty(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) == ""
 
 
+def _hash(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def _problems(df: DataFrame, entity: str, key: Column, tests: dict[str, Column]) -> DataFrame:
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in tests.items()]))
     return df.select(F.lit(entity).alias("entity"), key.cast("string").alias("key"), F.explode(found).alias("problem"))
@@ -41,10 +45,12 @@ def document_problems(documents: DataFrame) -> DataFrame:
 
 
 def chunk_problems(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Against their documents: known, in range, exact slices, digests, order."""
+    """Against their documents: known, in range, exact slices, digests, order.
+
+    Chunks meet their document as ranges and SHA-256 of texts: only the documents' texts are moved."""
     own = {"empty id": _empty("id"), "empty chunker": _empty("chunker"), "negative ordinal": F.col("ordinal") < 0, "text not UTF-8": ~F.is_valid_utf8("text"), "digest differs": F.col("content_digest") != t.digest("text"), "length differs": F.octet_length("text") != F.col("byte_end") - F.col("byte_start")}
     docs = documents.select(F.col("id").alias("document_id"), F.col("text").alias("whole"))
-    listed = chunks.groupBy("document_id").agg(F.collect_list(F.struct("id", "byte_start", "byte_end", "text")).alias("c"))
+    listed = chunks.groupBy("document_id").agg(F.collect_list(F.struct("id", "byte_start", "byte_end", _hash(F.col("text")).alias("hash"))).alias("c"))
 
     def compared(whole: Column) -> Column:
         """Out of bounds and differing, of each chunk: a document meets all its chunks in one row."""
@@ -52,7 +58,7 @@ def chunk_problems(chunks: DataFrame, documents: DataFrame) -> DataFrame:
         def one(x: Column) -> Column:
             start, end = x["byte_start"], x["byte_end"]
             outside = (start < 0) | (end < start) | (end > F.octet_length(whole))
-            return F.struct(x["id"].alias("id"), outside.alias("outside"), (~outside & (F.substring(whole, start + 1, end - start) != x["text"].cast("binary"))).alias("differs"))
+            return F.struct(x["id"].alias("id"), outside.alias("outside"), (~outside & (_hash(F.substring(whole, start + 1, end - start)) != x["hash"])).alias("differs"))
 
         return F.transform("c", one)
 
@@ -73,11 +79,12 @@ def corpus_problems(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def representation_problems(representations: DataFrame, chunks: DataFrame) -> DataFrame:
     own = {"empty id": _empty("id"), "empty kind": _empty("kind"), "text not UTF-8": ~F.is_valid_utf8("text"), "digest differs": F.col("content_digest") != t.digest("text")}
-    texts = chunks.select(F.col("id").alias("chunk_id"), F.col("text").alias("chunk_text"))
-    raw = representations.where(F.col("kind") == s.KIND_RAW).join(texts, "chunk_id")
+    # texts are as large as both tables, and SHA-256 of them tell as much
+    texts = chunks.select(F.col("id").alias("chunk_id"), _hash(F.col("text")).alias("chunk_hash"))
+    raw = representations.where(F.col("kind") == s.KIND_RAW).select("id", "chunk_id", _hash(F.col("text")).alias("hash")).join(texts, "chunk_id")
     return union(
         _problems(representations, "representation", F.col("id"), own),
-        _problems(raw, "representation", F.col("id"), {"raw text differs": F.col("text") != F.col("chunk_text")}),
+        _problems(raw, "representation", F.col("id"), {"raw text differs": F.col("hash") != F.col("chunk_hash")}),
         _unknown(representations, "representation", "id", "chunk_id", chunks, "id", "unknown chunk"),
         _repeated(representations, "representation", ["id"], "repeated id"),
     )

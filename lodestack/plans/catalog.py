@@ -681,7 +681,7 @@ def staged_bundle(spark, sf):
     for half in (0, 1):
         stager.add_chunks(chunks.where(F.col("ordinal") % 2 == half))
     stager.add_representations(rep.raw(chunks))
-    made = bundle.build_staged(spark, root, scratch(spark, "bundles"), LARGE.name)
+    made = bundle.publish_staged(spark, root, scratch(spark, "bundles"), LARGE.name)
     counts = [made.tables[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in ("documents", "chunks", "representations")]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestack.operators import embedding
 from lodestack.operators import validation as val
-from lodestack.operators.common import ContractError, require, saved
+from lodestack.operators.common import STORED, ContractError, require, saved, tidy
 from lodestack.sources.corpus import Tree, table_digest, table_tree
 
 VERSION = 1
@@ -109,32 +109,42 @@ def build(x: BuildInput, root: str, stage: Callable[[str], None] | None = None)
     note = stage or (lambda _: None)
     spark = x.documents.sparkSession
     part = f"{root.rstrip('/')}/building-{uuid.uuid4().hex}"
+    with tidy(spark):
+        try:
+            note("write")
+            written = replace(x, **{name: saved(df, f"{part}/{name}", **STORED) for name, df in _given(x).items()})
+            return _published(written, part, root, note)
+        finally:
+            remove(spark, part)
+
+
+def _given(x: BuildInput) -> dict[str, DataFrame]:
     given = {"documents": x.documents, "chunks": x.chunks, "representations": x.representations}
-    if x.vectors is not None:
-        given["vectors"] = x.vectors
-    try:
-        note("write")
-        tables = {name: saved(df, f"{part}/{name}") for name, df in given.items()}
-        note("validate")
-        check_input(replace(x, **tables))
-        note("digest")
-        trees, kinds = _trees(tables), kinds_of(tables["representations"])
-        content = {name: {"rows": x.rows, "digest": x.root} for name, x in trees.items()}
-        if x.vectors is not None and content["vectors"]["rows"] != content["representations"]["rows"]:
-            raise ContractError("each representation needs one vector")
-        identity = _identity(content, kinds, x.chunker, x.model, x.dimensions)
-        key = bundle_id(identity)
-        path = f"{root.rstrip('/')}/{key}"
-        if exists(spark, f"{path}/manifest.json"):
-            note("reuse")
-            return verify(spark, path)
-        note("publish")
-        write_json(spark, f"{part}/leaves.json", {name: x.leaves for name, x in trees.items()})
-        write_json(spark, f"{part}/manifest.json", {"id": key, **identity})
-        remove(spark, path)  # what is there without a manifest is no bundle
-        publish(spark, part, path)
-    finally:
-        remove(spark, part)
+    return given if x.vectors is None else given | {"vectors": x.vectors}
+
+
+def _published(x: BuildInput, part: str, root: str, note: Callable[[str], None], finish: Callable[[], None] = lambda: None) -> Bundle:
+    """Check and digest tables that lie under part, and give that folder its place; finish: called before anything of it is changed."""
+    spark = x.documents.sparkSession
+    note("validate")
+    check_input(x)
+    note("digest")
+    trees, kinds = _trees(_given(x)), kinds_of(x.representations)
+    content = {name: {"rows": tree.rows, "digest": tree.root} for name, tree in trees.items()}
+    if x.vectors is not None and content["vectors"]["rows"] != content["representations"]["rows"]:
+        raise ContractError("each representation needs one vector")
+    identity = _identity(content, kinds, x.chunker, x.model, x.dimensions)
+    key = bundle_id(identity)
+    path = f"{root.rstrip('/')}/{key}"
+    if exists(spark, f"{path}/manifest.json"):
+        note("reuse")
+        return verify(spark, path)
+    note("publish")
+    finish()
+    write_json(spark, f"{part}/leaves.json", {name: tree.leaves for name, tree in trees.items()})
+    write_json(spark, f"{part}/manifest.json", {"id": key, **identity})
+    remove(spark, path)  # what is there without a manifest is no bundle
+    publish(spark, part, path)
     return open_bundle(spark, path, check=False)
 
 
@@ -175,6 +185,11 @@ def open_bundle(spark: SparkSession, path: str, model: str | None = None, check:
 def verify(spark: SparkSession, path: str, stage: Callable[[str], None] | None = None) -> Bundle:
     """Every table against the manifest and the contracts; the first difference is an error."""
     note = stage or (lambda _: None)
+    with tidy(spark):
+        return _verified(spark, path, note)
+
+
+def _verified(spark: SparkSession, path: str, note: Callable[[str], None]) -> Bundle:
     note("manifest")
     m = load_manifest(spark, path)
     found = Bundle(path, m, {name: spark.read.parquet(f"{path}/{name}") for name in m["content"]})
@@ -232,6 +247,62 @@ def build_staged(spark: SparkSession, root: str, out: str, chunker: str, stage:
     return build(BuildInput(*tables, chunker, vectors, model, dimensions), out, stage)
 
 
+def publish_staged(spark: SparkSession, root: str, out: str, chunker: str, stage: Callable[[str], None] | None = None, model: str = "", dimensions: int = 0) -> Bundle:
+    """The folder of a Stager becomes the bundle, by one rename: its tables are checked and digested where they lie and not
+    written again, so that it takes no second copy. Nothing can be added afterwards.
+
+    The stage stays as it was if it breaks a contract, and as a copy if a bundle of equal content is there already. root and out
+    are on one file system.
+    """
+    from lodestack.streaming.ingest import staged
+
+    root = root.rstrip("/")
+    fs, at = hadoop_path(spark, root)
+    names = ("documents", "chunks", "representations", "vectors")[: 4 if model else 3]
+    own = ("manifest.json", "manifest.json.part", "leaves.json", "leaves.json.part")  # of an attempt that was ended
+    held = [x.getPath().getName() for x in fs.listStatus(at)]
+    if missing := [x for x in names if x not in held]:
+        raise ContractError(f"the stage has no {', '.join(missing)}")
+    if more := [x for x in held if x not in (*names, *own) and not x.startswith("part-")]:
+        raise ContractError(f"the stage also holds {', '.join(sorted(more))}")
+
+    def clean() -> None:
+        for x in held:
+            if x not in names:
+                remove(spark, f"{root}/{x}")
+
+    def finish() -> None:
+        clean()
+        for name in names:
+            _flattened(spark, f"{root}/{name}")
+        fs.mkdirs(hadoop_path(spark, out)[1])
+
+    tables = {name: staged(spark, root, name) for name in names}
+    x = BuildInput(tables["documents"], tables["chunks"], tables["representations"], chunker, tables.get("vectors"), model, dimensions)
+    with tidy(spark):
+        try:
+            return _published(x, root, out, stage or (lambda _: None), finish)
+        except BaseException:
+            for name in own:
+                remove(spark, f"{root}/{name}")
+            raise
+
+
+def _flattened(spark: SparkSession, folder: str) -> None:
+    """Files of batches and pieces become files of the table; after each move all of it can still be read."""
+    fs, top = hadoop_path(spark, folder)
+    listed, files = fs.listFiles(top, True), []
+    while listed.hasNext():
+        files.append(listed.next().getPath())
+    for at in files:
+        if at.getName().endswith(".parquet") and at.getParent().getName() != top.getName():
+            if not fs.rename(at, hadoop_path(spark, f"{folder}/{at.getName()}")[1]):
+                raise ContractError(f"{at} cannot be moved")
+    for x in fs.listStatus(top):
+        if x.isDirectory():
+            fs.delete(x.getPath(), True)
+
+
 def load_verified_documents(spark: SparkSession, path: str, corpus_root: str, name: str) -> DataFrame:
     """The corpus file that a bundle was built from: inside the given root, of equal count and digest."""
     from lodestack.sources.corpus import contained_path, load_documents

@@ -8,6 +8,7 @@ digest of every id as state, so that documents that come again are dropped and t
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ from lodestack import schemas as s
 from lodestack.operators import embedding
 from lodestack.operators import representations as rep
 from lodestack.operators import validation as val
-from lodestack.operators.common import ContractError, require, saved
+from lodestack.operators.common import STORED, ContractError, require, saved, tidy
 from lodestack.sources.bundle import exists, hadoop_path, publish, remove
 
 STAGES = ("documents", "chunks", "representations")
@@ -53,7 +54,8 @@ def ingest(spark: SparkSession, source: str, chunker, root: str, fmt: str = "par
 
 
 def staged(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}").drop("batch", "piece")
+    """A stage table, whatever batches and pieces its files lie in."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/{name}")
 
 
 #: What became of the rows of one id: the first content, the same again, or another.
@@ -149,9 +151,9 @@ def _stage_outcomes(told: DataFrame, batch: int, chunker, root: str) -> None:
 class Stager:
     """Batches of documents, chunks, representations and vectors, in this order of phases, under one folder.
 
-    What is added is checked as a whole and against what earlier phases have staged, then published under one number, by one
-    rename; more than batch_size rows are dealt by their key into pieces of about that many. A phase is closed as soon as
-    a later one has a batch; nothing to add is an error.
+    What is added is written once, checked as a whole and against what earlier phases have staged, then published under one
+    number, by one rename; files of more than batch_size rows are dealt into pieces of about that many, without being written
+    again. A phase is closed as soon as a later one has a batch; nothing to add is an error.
     """
 
     PHASES = ("documents", "chunks", "representations", "vectors")
@@ -169,28 +171,37 @@ class Stager:
         if missing := [p for p in self.PHASES[:at] if not self._has(p)]:
             raise ContractError(f"{phase} need {missing[0]} first")
         batch, key = uuid.uuid4().hex, "representation_id" if phase == "vectors" else "id"
-        part, given = f"{self.root}/part-{batch}", f"{self.root}/given-{batch}"
-        try:
-            written = saved(rows, f"{part}/piece=0")
-            if not (n := written.count()):
-                raise ContractError(f"there are no {phase} to stage")
-            for found in problems(written):
-                require(found, phase)
-            if n > self.batch_size:
-                pieces = -(-n // self.batch_size)
-                publish(self.spark, part, given)
-                whole = self.spark.read.schema(written.schema).parquet(f"{given}/piece=0")
-                dealt = whole.withColumn("piece", F.pmod(F.xxhash64(key), F.lit(pieces)).cast("int"))
-                dealt.repartitionByRange("piece", F.xxhash64(key)).write.partitionBy("piece").parquet(part)
-                written = whole
-            if self._has(phase):
-                require(written.select(key).join(staged(self.spark, self.root, phase).select(key), key, "left_semi"), f"{phase} that are staged already")
-            fs, at_root = hadoop_path(self.spark, f"{self.root}/{phase}")
-            fs.mkdirs(at_root)
-            publish(self.spark, part, f"{self.root}/{phase}/batch={batch}")
-        finally:
-            remove(self.spark, part)
-            remove(self.spark, given)
+        part = f"{self.root}/part-{batch}"
+        with tidy(self.spark):
+            try:
+                # files of a quarter of a piece at most, so that pieces of whole files come out even
+                written = saved(rows, f"{part}/piece=0", maxRecordsPerFile=max(1, self.batch_size // 4), **STORED)
+                if not (n := written.count()):
+                    raise ContractError(f"there are no {phase} to stage")
+                for found in problems(written):
+                    require(found, phase)
+                if self._has(phase):
+                    require(written.select(key).join(staged(self.spark, self.root, phase).select(key), key, "left_semi"), f"{phase} that are staged already")
+                if n > self.batch_size:
+                    self._deal(part, written, -(-n // self.batch_size))
+                fs, at_root = hadoop_path(self.spark, f"{self.root}/{phase}")
+                fs.mkdirs(at_root)
+                publish(self.spark, part, f"{self.root}/{phase}/batch={batch}")
+            finally:
+                remove(self.spark, part)
+
+    def _deal(self, part: str, written: DataFrame, pieces: int) -> None:
+        """Move files to pieces, the largest first and each to the piece that has the fewest rows yet."""
+        files = written.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n")).collect()
+        loads = [(0, k) for k in range(pieces)]
+        fs, _ = hadoop_path(self.spark, part)
+        for k in range(1, pieces):
+            fs.mkdirs(hadoop_path(self.spark, f"{part}/piece={k}")[1])
+        for name, n in sorted(files, key=lambda x: (-x["n"], x["name"])):
+            load, k = heapq.heappop(loads)
+            heapq.heappush(loads, (load + n, k))
+            if k:
+                publish(self.spark, f"{part}/piece=0/{name}", f"{part}/piece={k}/{name}")
 
     def add_documents(self, rows: DataFrame) -> None:
         self._add("documents", rows, lambda df: [val.document_problems(df)])

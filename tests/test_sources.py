@@ -8,8 +8,10 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack import schemas as s
 from lodestack.operators import chunking, code_chunks, embedding
 from lodestack.operators import representations as rep
+from lodestack.operators import validation as val
 from lodestack.operators.common import ContractError
 from lodestack.sources import bundle, content, corpus, git_sources
 from lodestack.streaming import ingest
@@ -162,6 +164,53 @@ def test_stager_deals_large_phases_into_pieces(spark, tmp_path):
     assert made.documents.count() == 1000 and made.chunks.count() == chunks.count()
 
 
+def test_a_stage_becomes_the_bundle_without_a_copy(spark, tmp_path):
+    """Files of the bundle are those that were staged, also in several pieces; what breaks a contract stays staged."""
+    docs = corpus.load_documents(spark, write(tmp_path / "c.json", [doc(f"d{i}", f"{i} has a text of its own, and more") for i in range(40)]))
+    chunks, root, out = chunking.Fixed(10).chunk(docs), tmp_path / "stage", str(tmp_path / "out")
+
+    def filled(at):
+        stager = ingest.Stager(spark, str(at), 10)
+        stager.add_documents(docs)
+        for half in (0, 1):
+            stager.add_chunks(chunks.where(F.col("ordinal") % 2 == half))
+        with pytest.raises(ContractError, match="no representations"):
+            bundle.publish_staged(spark, str(at), out, "fixed-10-0")
+        stager.add_representations(rep.raw(chunks))
+        return {p.name: p.stat().st_size for p in at.rglob("*.parquet")}
+
+    files = filled(root)
+    assert len({p.parent.name for p in (root / "documents").rglob("*.parquet")}) == 4 and all(x.endswith(".zstd.parquet") for x in files)
+    again = bundle.build_staged(spark, str(root), str(tmp_path / "copied"), "fixed-10-0")
+    made = bundle.publish_staged(spark, str(root), out, "fixed-10-0")
+    assert not root.exists() and [p.name for p in (tmp_path / "out").iterdir()] == [made.manifest["id"]]
+    assert {p.name: p.stat().st_size for p in (tmp_path / "out").rglob("*.parquet")} == files
+    assert made.manifest == again.manifest and made.documents.columns == docs.columns and made.chunks.count() == chunks.count()
+    assert bundle.verify(spark, made.path).manifest == made.manifest
+    filled(tmp_path / "second")
+    assert bundle.publish_staged(spark, str(tmp_path / "second"), out, "fixed-10-0").path == made.path and (tmp_path / "second").exists()
+    stage = tmp_path / "broken"
+    stager = ingest.Stager(spark, str(stage), 10)
+    stager.add_documents(docs.where("id <= 'd2'"))
+    stager.add_chunks(chunks.where("document_id <= 'd2' and ordinal = 0"))
+    stager.add_chunks(chunks.where("document_id <= 'd2' and ordinal = 1").withColumn("ordinal", F.lit(0)))
+    stager.add_representations(rep.raw(chunks.where("document_id <= 'd2' and ordinal < 2")))
+    before = {str(p): p.stat().st_size for p in stage.rglob("*.parquet")}
+    with pytest.raises(ContractError, match="repeated ordinal"):
+        bundle.publish_staged(spark, str(stage), out, "fixed-10-0")
+    assert {str(p): p.stat().st_size for p in stage.rglob("*.parquet")} == before
+
+
+def test_checks_move_no_texts_of_chunks(spark):
+    """Chunks and representations meet what they are checked against by digests."""
+    docs = spark.createDataFrame([("d", "first text", "x", None)], "id string, text string, content_digest string, metadata string")
+    chunks = spark.createDataFrame([("c", "d", 0, 0, 5, "first", hashlib.sha256(b"first").hexdigest(), "k")], s.CHUNK_DDL)
+    for found, problems in ((val.representation_problems(rep.raw(chunks), chunks), 0), (val.chunk_problems(chunks, docs), 0), (val.chunk_problems(chunks.withColumn("text", F.lit("other")), docs), 2)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "chunk_text" not in plan and "text, text" not in plan
+        assert found.count() == problems
+
+
 def test_bundle_input_contracts(spark, tmp_path):
     docs = corpus.load_documents(spark, write(tmp_path / "c.json", [doc()]))
     x = build_input(spark, docs, 8)
