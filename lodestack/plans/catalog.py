@@ -13,7 +13,7 @@ from lodestack.functions import vectors as v
 from lodestack.operators import answering, calls, cells, chunking, embedding, evaluation, generation, lexical, markers, postings, reranking, retrieval, statistics, validation, vector_search
 from lodestack.operators import representations as rep
 from lodestack.operators import caching
-from lodestack.operators.common import ContractError, scratch
+from lodestack.operators.common import STORED, ContractError, scratch
 from lodestack.plans import corpora as c
 from lodestack.plans import sql
 from lodestack.sources import bundle, content, search_bundle
@@ -750,7 +750,7 @@ def ingested_documents(spark, sf):
     changed = docs.where(key % 7 == 0).withColumn("text", F.concat("text", F.lit("!"))).withColumn("content_digest", t.digest("text"))
     runs = [docs.where((key % 3 == n) | ((key % 5 == 0) & (key % 3 < n))) for n in range(3)] + [changed]
     for rows in runs:
-        rows.write.mode("append").parquet(source)
+        rows.write.mode("append").options(**STORED).parquet(source)
         ingest.ingest_once(spark, source, fixed, root).awaitTermination()
     staged = lambda name: ingest.staged(spark, root, name)
     counts = {name: staged(name).agg(F.count("*").alias("n")) for name in ("documents", "chunks")} | {name: staged(name).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")) for name in ("conflicts", "repeats")}

@@ -3,7 +3,7 @@
 The library has no event-time semantics; a stream here is an unbounded list of documents. Each micro-batch is
 checked, cut and appended to the stage tables under its own batch number, so a batch that is
 tried again replaces what it wrote and nothing is doubled. `ingest` takes documents as they come; `ingest_once` keeps the
-digest of every id as state, so that documents that come again are dropped and those that differ are set aside.
+digest of every id beside them, so that documents that come again are dropped and those that differ are set aside.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ import heapq
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from lodestack import schemas as s
 from lodestack.operators import embedding
@@ -28,18 +27,29 @@ STAGES = ("documents", "chunks", "representations")
 
 
 def stage_batch(documents: DataFrame, batch: int, chunker, root: str) -> None:
-    """One batch: documents, chunks and raw representations, each under batch=<number>."""
-    documents = documents.persist()
-    try:
-        require(val.document_problems(documents), f"batch {batch}")
-        chunks = chunker.chunk(documents).persist()
+    """One batch: documents, chunks and raw representations, each under batch=<number>.
+
+    Each table is written once and read for the next one, and gets its place when all three are there."""
+    spark, part = documents.sparkSession, f"{root}/_arriving/batch={batch}"
+    with tidy(spark):
         try:
-            for name, df in zip(STAGES, (documents, chunks, rep.raw(chunks)), strict=True):
-                df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}/piece=0")
+            written = saved(documents, f"{part}/documents", **STORED)
+            require(val.document_problems(written), f"batch {batch}")
+            chunks = saved(chunker.chunk(written), f"{part}/chunks", **STORED)
+            saved(rep.raw(chunks), f"{part}/representations", **STORED)
+            for name in STAGES:
+                _place(spark, f"{part}/{name}", root, name, batch)
         finally:
-            chunks.unpersist()
-    finally:
-        documents.unpersist()
+            remove(spark, part)
+
+
+def _place(spark: SparkSession, part: str, root: str, name: str, batch: int) -> None:
+    """Give a written table its place, instead of what an earlier try of the batch has left there."""
+    at = f"{root}/{name}/batch={batch}"
+    remove(spark, at)
+    fs, folder = hadoop_path(spark, at)
+    fs.mkdirs(folder)
+    publish(spark, part, f"{at}/piece=0")
 
 
 def ingest(spark: SparkSession, source: str, chunker, root: str, fmt: str = "parquet", **options) -> StreamingQuery:
@@ -60,92 +70,70 @@ def staged(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 #: What became of the rows of one id: the first content, the same again, or another.
 NEW, REPEAT, CONFLICT = "new", "repeat", "conflict"
-_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
-class FirstContent(StatefulProcessor):
-    """Of each id, the digest that was met first is state; one row of the id is held at a time.
-
-    Among rows that one micro-batch brings of an id that is not known yet, the one with the least digest is first. Rows
-    that differ from it are conflicts, with how many there were in a row; rows that agree are counted as repeats."""
-
-    def __init__(self, columns: list[str]):
-        self.columns = columns
-
-    def init(self, handle) -> None:
-        self.first = handle.getValueState("first", "digest string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        known = self.first.get()[0] if self.first.exists() else None
-        held, n, repeats = None, 0, 0
-        for frame in rows:
-            for (digest,), part in frame.groupby(["content_digest"], sort=True, dropna=False):
-                row, size = part.head(1), len(part)
-                if digest == known:
-                    repeats += size
-                elif known is not None:
-                    yield self._told(row, CONFLICT, size)
-                elif held is None or digest == held["content_digest"].iloc[0]:
-                    held, n = row if held is None else held, n + size
-                elif digest < held["content_digest"].iloc[0]:
-                    yield self._told(held, CONFLICT, n)
-                    held, n = row, size
-                else:
-                    yield self._told(row, CONFLICT, size)
-        if held is not None:
-            self.first.update((held["content_digest"].iloc[0],))
-            yield self._told(held, NEW, 1)
-            repeats = n - 1
-        if repeats:
-            none = pd.DataFrame({c: [None] for c in self.columns}, dtype=object)
-            none["id"] = key[0]
-            yield self._told(none, REPEAT, repeats)
-
-    def _told(self, row: pd.DataFrame, outcome: str, n: int) -> pd.DataFrame:
-        return row[self.columns].assign(outcome=outcome, n=n)
-
-    def close(self) -> None:
-        return
-
-
-def outcomes(documents: DataFrame) -> DataFrame:
-    """A stream of documents with outcome and n, by the content that was met first under each id."""
-    columns = documents.columns
-    # a map cannot be state's neighbour in pandas as it is: it travels as JSON
-    plain = documents.withColumn("metadata", F.to_json("metadata"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", outcome string, n long"
-    told = plain.groupBy("id").transformWithStateInPandas(FirstContent(columns), schema, "Append", "None")
-    return told.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+_KNOWN = "id string, content_digest string, batch long"
+
+
+def known(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """id and content_digest that batches before this one have staged; what a batch that is tried again has written does not count."""
+    at = f"{root}/_known"
+    if not exists(spark, at):
+        return spark.createDataFrame([], _KNOWN).drop("batch")
+    return spark.read.schema(_KNOWN).parquet(at).where(F.col("batch") < batch).drop("batch")
+
+
+def outcomes(arrived: DataFrame, before: DataFrame) -> DataFrame:
+    """Documents of a batch with outcome and n, by the content that was met first under each id; before: the ids known so far.
+
+    Among rows of an id that is not known yet, the one with the least digest is first. Rows that differ from the first are conflicts,
+    one row of each content with how many there were; rows that agree are repeats, an id and how many. What becomes of them is
+    told by ids and digests alone; texts are moved once, of equal ones in a task only one.
+    """
+    columns, digest = arrived.columns, F.coalesce("content_digest", F.lit("")).alias("digest")
+    seen = arrived.groupBy("id", digest).agg(F.count("*").alias("seen"))
+    firsts = before.select("id", F.col("content_digest").alias("first"))
+    least = F.min("digest").over(Window.partitionBy("id"))
+    told = lambda outcome, n: F.struct(F.lit(outcome).alias("outcome"), n.cast("long").alias("n"))
+    one = F.array(told(NEW, F.lit(1)))
+    new = F.when(F.col("seen") > 1, F.concat(one, F.array(told(REPEAT, F.col("seen") - 1)))).otherwise(one)
+    same = F.col("digest") == F.coalesce("first", least)
+    fate = F.when(~same, F.array(told(CONFLICT, F.col("seen")))).when(F.col("first").isNull(), new).otherwise(F.array(told(REPEAT, F.col("seen"))))
+    fates = seen.join(firsts, "id", "left").withColumn("fate", fate).select("id", "digest", F.inline("fate"))
+    rows = arrived.groupBy("id", digest).agg(F.first(F.struct(*[c for c in columns if c != "id"])).alias("row"))
+    # a row without id meets none and is an error of the batch; the hint keeps texts from being broadcast
+    met = (fates["id"] == rows["id"]) & (fates["digest"] == rows["digest"]) & (fates["outcome"] != REPEAT)
+    out = fates.join(rows.hint("merge"), met, "left")
+    return out.select(*[fates["id"] if c == "id" else rows["row"][c].alias(c) for c in columns], "outcome", "n")
 
 
 def ingest_once(spark: SparkSession, source: str, chunker, root: str, fmt: str = "parquet", **options) -> StreamingQuery:
     """Like ingest, but each id is staged once, whatever the stream brings again, over micro-batches and restarts.
 
     Besides the stage tables there are `conflicts` (documents of a known id with other content, and n) and `repeats` (id, n). Rows
-    without id are an error of the batch, as in ingest. The ids' digests are state under root/_progress."""
-    before = spark.conf.get(_PROVIDER[0], None)
-    spark.conf.set(*_PROVIDER)
-    try:
-        stream = spark.readStream.format(fmt).schema(s.DOCUMENT_DDL).options(**options).load(source)
-        query = outcomes(stream).writeStream.foreachBatch(lambda df, n: _stage_outcomes(df, n, chunker, root))
-        return query.option("checkpointLocation", f"{root}/_progress").trigger(availableNow=True).start()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER[0])
-        else:
-            spark.conf.set(_PROVIDER[0], before)
+    without id are an error of the batch, as in ingest. The ids' digests are a table of their own, root/_known, to which each batch
+    adds those that it staged."""
+    stream = spark.readStream.format(fmt).schema(s.DOCUMENT_DDL).options(**options).load(source)
+    return (
+        stream.writeStream.foreachBatch(lambda df, n: _stage_outcomes(outcomes(df, known(df.sparkSession, root, n)), n, chunker, root))
+        .option("checkpointLocation", f"{root}/_progress")
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def _stage_outcomes(told: DataFrame, batch: int, chunker, root: str) -> None:
     """Write a batch's outcomes once: what is staged and what is set aside are of the same rows."""
-    part = f"{root}/_arrived/batch={batch}"
-    try:
-        rows = saved(told, part)
-        stage_batch(rows.where(F.col("outcome") == NEW).drop("outcome", "n"), batch, chunker, root)
-        rows.where(F.col("outcome") == CONFLICT).drop("outcome").write.mode("overwrite").parquet(f"{root}/conflicts/batch={batch}/piece=0")
-        rows.where(F.col("outcome") == REPEAT).select("id", "n").write.mode("overwrite").parquet(f"{root}/repeats/batch={batch}/piece=0")
-    finally:
-        remove(told.sparkSession, part)
+    spark, part = told.sparkSession, f"{root}/_arrived/batch={batch}"
+    with tidy(spark):
+        try:
+            rows = saved(told, f"{part}/all", **STORED)
+            new = rows.where(F.col("outcome") == NEW).drop("outcome", "n")
+            stage_batch(new, batch, chunker, root)
+            aside = {"conflicts": rows.where(F.col("outcome") == CONFLICT).drop("outcome"), "repeats": rows.where(F.col("outcome") == REPEAT).select("id", "n")}
+            for name, df in (aside | {"_known": new.select("id", "content_digest")}).items():
+                saved(df, f"{part}/{name}", **STORED)
+                _place(spark, f"{part}/{name}", root, name, batch)
+        finally:
+            remove(spark, part)
 
 
 class Stager:

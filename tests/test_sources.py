@@ -324,6 +324,33 @@ def test_stateful_ingestion_equals_the_batch(spark, tmp_path):
     assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass") or "")
 
 
+def test_outcomes_are_told_by_plans_and_without_python(spark, tmp_path):
+    """A batch against the ids known so far; one that is tried again does not meet what it has staged itself."""
+    digest, root = lambda x: hashlib.sha256(x.encode()).hexdigest(), str(tmp_path / "stage")
+    table = lambda rows: spark.createDataFrame([(i, "u", "", x, digest(x), {"k": x}) for i, x in rows], s.DOCUMENT_DDL)
+    low, high = sorted(("one", "other"), key=digest)
+    batches = [table([("a", low)] * 3 + [("a", high)] * 2 + [("b", "b")]), table([("a", high), ("a", low), ("a", "x"), ("b", "b"), ("c", low)])]
+    want = [
+        {("a", low, "new", 1), ("a", None, "repeat", 2), ("a", high, "conflict", 2), ("b", "b", "new", 1)},
+        {("a", high, "conflict", 1), ("a", "x", "conflict", 1), ("a", None, "repeat", 1), ("b", None, "repeat", 1), ("c", low, "new", 1)},
+    ]
+    for n in (0, 0, 1, 1):
+        told = ingest.outcomes(batches[n], ingest.known(spark, root, n))
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "BroadcastHashJoin" not in plan.split("Generate")[0]
+        rows = told.collect()
+        assert {(r["id"], r["text"], r["outcome"], r["n"]) for r in rows} == want[n] and len(rows) == len(want[n])
+        assert all(r["metadata"] == (r["text"] and {"k": r["text"]}) for r in rows)
+        ingest._stage_outcomes(told, n, chunking.Fixed(10), root)
+    staged = {name: ingest.staged(spark, root, name).collect() for name in ("documents", "conflicts", "repeats")}
+    assert {(r["id"], r["text"]) for r in staged["documents"]} == {("a", low), ("b", "b"), ("c", low)} and len(staged["documents"]) == 3
+    assert sum(r["n"] for r in staged["conflicts"]) == 4 and sum(r["n"] for r in staged["repeats"]) == 4
+    nameless = table([("d", "d"), (None, "e")])
+    with pytest.raises(ContractError, match="empty id"):
+        ingest._stage_outcomes(ingest.outcomes(nameless, ingest.known(spark, root, 2)), 2, chunking.Fixed(10), root)
+    assert ingest.staged(spark, root, "documents").count() == 3 and not list((tmp_path / "stage/_arriving").iterdir())
+
+
 def test_staged_build_and_verified_corpus(spark, tmp_path):
     docs = corpus.load_documents(spark, write(tmp_path / "c.json", [doc(), doc("b", "second text")]))
     docs.write.parquet(str(tmp_path / "in"))
