@@ -12,6 +12,10 @@ from lodestack.functions import text as t
 from lodestack.operators.common import ContractError, let, require
 
 
+#: Files of a documents table of which texts are moved at once to check chunks, and the most turns that it takes.
+TURN_BYTES, MOST_TURNS = 1 << 27, 4
+
+
 def _empty(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) == ""
 
@@ -45,10 +49,32 @@ def document_problems(documents: DataFrame) -> DataFrame:
 
 
 def chunk_problems(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Against their documents: known, in range, exact slices, digests, order.
+    """Against their documents: known, in range, exact slices, digests, order."""
+    return union(_chunk_rows(chunks, documents), _placed(chunks, documents))
+
+
+def chunk_checks(chunks: DataFrame, documents: DataFrame) -> list[DataFrame]:
+    """The parts of chunk_problems, to be run one after the other: texts of large documents tables meet their chunks in
+    turns, by hash of the document, so that a shuffle holds a part of them only."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    turns = max(1, min(MOST_TURNS, -(-size // TURN_BYTES)))
+    part = lambda df, key, k: df.where(F.pmod(F.xxhash64(key), F.lit(turns)) == k) if turns > 1 else df
+    return [_chunk_rows(chunks, documents), *[_placed(part(chunks, "document_id", k), part(documents, "id", k)) for k in range(turns)]]
+
 
-    Chunks meet their document as ranges and SHA-256 of texts: only the documents' texts are moved."""
+def _chunk_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """What shows without the documents' texts."""
     own = {"empty id": _empty("id"), "empty chunker": _empty("chunker"), "negative ordinal": F.col("ordinal") < 0, "text not UTF-8": ~F.is_valid_utf8("text"), "digest differs": F.col("content_digest") != t.digest("text"), "length differs": F.octet_length("text") != F.col("byte_end") - F.col("byte_start")}
+    return union(
+        _problems(chunks, "chunk", F.col("id"), own),
+        _unknown(chunks, "chunk", "id", "document_id", documents, "id", "unknown document"),
+        _repeated(chunks, "chunk", ["id"], "repeated id"),
+        _repeated(chunks, "chunk", ["document_id", "ordinal"], "repeated ordinal"),
+    )
+
+
+def _placed(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks meet their document as ranges and SHA-256 of texts: only the documents' texts are moved."""
     docs = documents.select(F.col("id").alias("document_id"), F.col("text").alias("whole"))
     listed = chunks.groupBy("document_id").agg(F.collect_list(F.struct("id", "byte_start", "byte_end", _hash(F.col("text")).alias("hash"))).alias("c"))
 
@@ -64,13 +90,7 @@ def chunk_problems(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
     placed = listed.join(docs, "document_id").select(F.inline(let(F.col("whole").cast("binary"), compared)))
     source = {"range out of bounds": F.col("outside"), "not an exact slice": F.col("differs")}
-    return union(
-        _problems(chunks, "chunk", F.col("id"), own),
-        _problems(placed, "chunk", F.col("id"), source),
-        _unknown(chunks, "chunk", "id", "document_id", documents, "id", "unknown document"),
-        _repeated(chunks, "chunk", ["id"], "repeated id"),
-        _repeated(chunks, "chunk", ["document_id", "ordinal"], "repeated ordinal"),
-    )
+    return _problems(placed, "chunk", F.col("id"), source)
 
 
 def corpus_problems(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -119,4 +139,4 @@ def evidence_identities(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("query_id").agg(F.transform(sorted_, lambda e: F.struct(e["chunk_id"].alias("chunk_id"), e["content_digest"].alias("content_digest"))).alias("evidence"))
 
 
-__all__ = ["ContractError", "chunk_problems", "corpus_problems", "document_problems", "evidence_identities", "judgment_problems", "query_problems", "representation_problems", "require", "union"]
+__all__ = ["ContractError", "chunk_checks", "chunk_problems", "corpus_problems", "document_problems", "evidence_identities", "judgment_problems", "query_problems", "representation_problems", "require", "union"]

@@ -81,7 +81,8 @@ def check_input(x: BuildInput) -> None:
         raise ContractError("a chunker name is required")
     if (x.vectors is None) != (not x.model) or bool(x.model) != (x.dimensions > 0):
         raise ContractError("vectors, model and dimensions go together")
-    require(val.corpus_problems(x.documents, x.chunks), "corpus")
+    for found in (val.document_problems(x.documents), *val.chunk_checks(x.chunks, x.documents)):
+        require(found, "corpus")
     require(val.representation_problems(x.representations, x.chunks), "representations")
     if x.vectors is not None:
         require(embedding.vector_problems(x.vectors, x.representations), "vectors")

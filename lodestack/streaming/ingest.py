@@ -195,7 +195,7 @@ class Stager:
         self._add("documents", rows, lambda df: [val.document_problems(df)])
 
     def add_chunks(self, rows: DataFrame) -> None:
-        self._add("chunks", rows, lambda df: [val.chunk_problems(df, staged(self.spark, self.root, "documents"))])
+        self._add("chunks", rows, lambda df: val.chunk_checks(df, staged(self.spark, self.root, "documents")))
 
     def add_representations(self, rows: DataFrame) -> None:
         self._add("representations", rows, lambda df: [val.representation_problems(df, staged(self.spark, self.root, "chunks"))])

@@ -12,7 +12,7 @@ from lodestack import schemas as s
 from lodestack.operators import chunking, code_chunks, embedding
 from lodestack.operators import representations as rep
 from lodestack.operators import validation as val
-from lodestack.operators.common import ContractError
+from lodestack.operators.common import ContractError, saved
 from lodestack.sources import bundle, content, corpus, git_sources
 from lodestack.streaming import ingest
 
@@ -211,6 +211,21 @@ def test_checks_move_no_texts_of_chunks(spark):
         assert found.count() == problems
 
 
+def test_chunks_meet_large_tables_in_turns(spark, monkeypatch, tmp_path):
+    """All turns together find what one check finds; each moves a part of the documents."""
+    docs = spark.createDataFrame([(f"d{i}", f"{i} has a text of its own, and more", "x") for i in range(40)], "id string, text string, content_digest string")
+    docs = saved(docs, str(tmp_path / "docs"))
+    chunks = chunking.Fixed(10).chunk(docs)
+    broken = chunks.withColumn("byte_end", F.col("byte_end") + F.when(F.col("ordinal") == 1, 1).otherwise(0)).withColumn("document_id", F.when(F.col("ordinal") == 2, "zz").when(F.col("ordinal") == 3, None).otherwise(F.col("document_id")))
+    rows = lambda found: sorted(map(str, (r for df in found for r in df.collect())))
+    whole = val.chunk_checks(broken, docs)
+    monkeypatch.setattr(val, "TURN_BYTES", 1)
+    turns = val.chunk_checks(broken, docs)
+    assert len(whole) == 2 and len(turns) == 1 + val.MOST_TURNS
+    assert rows(turns) == rows(whole) == rows([val.chunk_problems(broken, docs)])
+    assert sum(df.count() > 0 for df in turns[1:]) == val.MOST_TURNS and not any(rows([df]) for df in val.chunk_checks(chunks, docs))
+
+
 def test_bundle_input_contracts(spark, tmp_path):
     docs = corpus.load_documents(spark, write(tmp_path / "c.json", [doc()]))
     x = build_input(spark, docs, 8)
